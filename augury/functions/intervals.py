@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augury.functions.clock import floor_to, micros
-from augury.functions.ordered import running
+from augury.functions.ordered import Scan, running
 
 
 def _bucketed(df: DataFrame, start: str, end: str, seconds: int, tag: str) -> DataFrame:
@@ -28,14 +28,18 @@ def overlap_join(
     *,
     bucket_seconds: int,
     extra: Column | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join of rows of one key whose closed intervals overlap.
+    """Join of rows of one key whose closed intervals overlap.
 
     Each interval is placed into every time bucket it touches; the equi-join runs on (key,
     bucket), so a hot key is spread over its buckets.  A pair is kept only in the first bucket
     both sides share, so nothing is emitted twice and no distinct is needed.  A point is the
-    interval ``(c, c)``.  Column names of the two sides must differ except for the keys.
+    interval ``(c, c)``.  Column names of the two sides must differ except for the keys.  A left
+    join is available when the left side are points, which live in exactly one bucket.
     """
+    if how != "inner" and left_span[0] != left_span[1]:
+        raise ValueError("only points can be kept without a partner")
     a = _bucketed(left, *left_span, bucket_seconds, "l")
     b = _bucketed(right, *right_span, bucket_seconds, "r")
     condition = (
@@ -43,10 +47,14 @@ def overlap_join(
         & (F.col(right_span[0]) <= F.col(left_span[1]))
         & (F.col("__bucket") == F.greatest("__first_l", "__first_r"))
     )
-    joined = a.join(b, [*keys, "__bucket"]).filter(condition)
+    matched = b.withColumnsRenamed({k: f"__r_{k}" for k in [*keys, "__bucket"]})
+    same = F.col("__bucket") == F.col("__r___bucket")
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__r_{k}"))
     if extra is not None:
-        joined = joined.filter(extra)
-    return joined.drop("__bucket", "__first_l", "__first_r")
+        condition = condition & extra
+    joined = a.join(matched, same & condition, how)
+    return joined.drop("__bucket", "__first_l", "__first_r", *[f"__r_{k}" for k in [*keys, "__bucket"]])
 
 
 def label_islands(
@@ -61,7 +69,7 @@ def label_islands(
 ) -> DataFrame:
     """Number groups of overlapping (or touching) intervals per key."""
     reach = running(
-        df, keys, start, tie, {"__reach": ("max", end)}, inclusive=False, slice_seconds=slice_seconds
+        df, keys, start, tie, {"__reach": Scan("max", end, inclusive=False)}, slice_seconds=slice_seconds
     )
     opens = F.col("__reach").isNull() | (F.col(start) > F.col("__reach"))
     return running(
@@ -69,7 +77,7 @@ def label_islands(
         keys,
         start,
         tie,
-        {name: ("sum", F.when(opens, 1).otherwise(0))},
+        {name: Scan("sum", F.when(opens, 1).otherwise(0))},
         slice_seconds=slice_seconds,
     ).drop("__reach")
 

@@ -8,12 +8,13 @@ slices, scan each slice on its own, and carry a constant-size summary per slice
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augury.functions.clock import floor_to, micros
+from augury.functions.clock import MICROS, floor_to, micros
 
 SLICE = "__slice"
 
@@ -26,56 +27,33 @@ def _direction(names: list[str], descending: bool) -> list[Column]:
     return [F.col(n).desc() if descending else F.col(n).asc() for n in names]
 
 
-def with_neighbours(
-    df: DataFrame,
-    keys: list[str],
-    ts: str,
-    tie: list[str],
-    fields: list[str],
-    *,
-    depth: int = 1,
-    ahead: bool = False,
-    slice_seconds: int = 86400,
-    name: str = "prev",
+def halo_chunks(
+    df: DataFrame, ts: str, chunk_seconds: int, *, before: int = 0, after: int = 0, name: str = "chunk"
 ) -> DataFrame:
-    """Add ``{name}_1 .. {name}_{depth}``: structs of the previous (or next) rows of a key."""
-    order = list(dict.fromkeys([ts, *tie]))
-    row = F.struct(*list(dict.fromkeys([*order, *fields])))
-    base = _sliced(df, ts, slice_seconds)
-    local = Window.partitionBy(*keys, SLICE).orderBy(*_direction(order, ahead))
-    marked = base.withColumn("__row", row).withColumn("__n", F.row_number().over(local))
-    for j in range(1, depth + 1):
-        marked = marked.withColumn(f"__l{j}", F.lag("__row", j).over(local))
-
-    # Rows next to the slice border: at most ``depth`` per slice.
-    edge = base.select(*keys, SLICE, row.alias("__row"))
-    if depth == 1:
-        pick = F.min if ahead else F.max
-        edges = edge.groupBy(*keys, SLICE).agg(F.array(pick("__row")).alias("__edge"))
-    else:
-        back = Window.partitionBy(*keys, SLICE).orderBy(
-            F.col("__row").asc() if ahead else F.col("__row").desc()
-        )
-        edges = (
-            edge.withColumn("__r", F.row_number().over(back))
-            .filter(F.col("__r") <= depth)
-            .groupBy(*keys, SLICE)
-            .agg(F.sort_array(F.collect_list("__row"), asc=not ahead).alias("__edge"))
-        )
-    over_slices = Window.partitionBy(*keys).orderBy(*_direction([SLICE], ahead))
-    carried = F.flatten(
-        F.filter(
-            F.array(*[F.lag("__edge", j).over(over_slices) for j in range(depth, 0, -1)]),
-            lambda part: part.isNotNull(),
-        )
-    )
-    carry = edges.select(*keys, SLICE, carried.alias("__carry"))
-    out = marked.join(carry, [*keys, SLICE], "left")
-    for j in range(1, depth + 1):
-        outside = F.try_element_at("__carry", -(F.lit(j + 1) - F.col("__n")).cast("int"))
-        out = out.withColumn(f"{name}_{j}", F.when(F.col("__n") > j, F.col(f"__l{j}")).otherwise(outside))
-    drop = ["__row", "__n", "__carry", SLICE, *[f"__l{j}" for j in range(1, depth + 1)]]
-    return out.drop(*drop)
+    """Place every row in its own time chunk and in those whose surroundings it belongs to.
+
+    A chunk sees all rows from ``before`` seconds ahead of it to ``after`` seconds behind it, so
+    any question with a bounded look around is answered inside (key, chunk): one shuffle, no
+    self-join, and a hot key is spread over its chunks.
+    """
+    t = micros(ts)
+    first = floor_to(t - F.lit(after * MICROS), chunk_seconds)
+    last = floor_to(t + F.lit(before * MICROS), chunk_seconds)
+    return df.withColumn(name, F.explode(F.sequence(first, last, F.lit(chunk_seconds * MICROS))))
+
+
+def own_chunk(ts: str, chunk_seconds: int, name: str = "chunk") -> Column:
+    return floor_to(micros(ts), chunk_seconds) == F.col(name)
+
+
+@dataclass(frozen=True)
+class Scan:
+    """One running value: ``sum``, ``max`` or ``last`` (latest non-null) in time order."""
+
+    kind: str
+    value: str | Column
+    inclusive: bool = True
+    descending: bool = False
 
 
 def running(
@@ -83,62 +61,67 @@ def running(
     keys: list[str],
     ts: str,
     tie: list[str],
-    specs: dict[str, tuple[str, str | Column]],
+    scans: dict[str, Scan],
     *,
-    inclusive: bool = True,
-    descending: bool = False,
     slice_seconds: int = 86400,
 ) -> DataFrame:
-    """Running ``sum``, ``max`` or ``last`` (latest non-null value) per key in time order."""
+    """Add running values per key; both directions may be mixed in one pass."""
     order = list(dict.fromkeys([ts, *tie]))
     base = _sliced(df, ts, slice_seconds)
-    for i, (_, value) in enumerate(specs.values()):
-        base = base.withColumn(f"__v{i}", F.col(value) if isinstance(value, str) else value)
-    end = Window.currentRow if inclusive else -1
-    local = (
-        Window.partitionBy(*keys, SLICE)
-        .orderBy(*_direction(order, descending))
-        .rowsBetween(Window.unboundedPreceding, end)
-    )
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(*_direction([SLICE], descending))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    for i, scan in enumerate(scans.values()):
+        base = base.withColumn(f"__v{i}", F.col(scan.value) if isinstance(scan.value, str) else scan.value)
     scanned, totals, carries = base, [], []
-    for i, (kind, _) in enumerate(specs.values()):
+    for i, scan in enumerate(scans.values()):
         v = F.col(f"__v{i}")
-        if kind == "sum":
-            scanned = scanned.withColumn(f"__s{i}", F.sum(v).over(local))
-            totals.append(F.sum(v).alias(f"__t{i}"))
-            carries.append(F.sum(f"__t{i}").over(earlier).alias(f"__c{i}"))
-        elif kind == "max":
-            scanned = scanned.withColumn(f"__s{i}", F.max(v).over(local))
-            totals.append(F.max(v).alias(f"__t{i}"))
-            carries.append(F.max(f"__t{i}").over(earlier).alias(f"__c{i}"))
-        elif kind == "last":
+        local = (
+            Window.partitionBy(*keys, SLICE)
+            .orderBy(*_direction(order, scan.descending))
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow if scan.inclusive else -1)
+        )
+        earlier = (
+            Window.partitionBy(*keys)
+            .orderBy(*_direction([SLICE], scan.descending))
+            .rowsBetween(Window.unboundedPreceding, -1)
+        )
+        if scan.kind == "last":
             scanned = scanned.withColumn(f"__s{i}", F.last(v, ignorenulls=True).over(local))
-            pick = F.min_by if descending else F.max_by
-            latest = pick(v, F.when(v.isNotNull(), F.struct(*order)))
-            totals.append(latest.alias(f"__t{i}"))
+            pick = F.min_by if scan.descending else F.max_by
+            totals.append(pick(v, F.when(v.isNotNull(), F.struct(*order))).alias(f"__t{i}"))
             carries.append(F.last(f"__t{i}", ignorenulls=True).over(earlier).alias(f"__c{i}"))
+        elif scan.kind in ("sum", "max"):
+            fn = F.sum if scan.kind == "sum" else F.max
+            scanned = scanned.withColumn(f"__s{i}", fn(v).over(local))
+            totals.append(fn(v).alias(f"__t{i}"))
+            carries.append(fn(f"__t{i}").over(earlier).alias(f"__c{i}"))
         else:
-            raise ValueError(f"unknown scan {kind}")
+            raise ValueError(f"unknown scan {scan.kind}")
     carry = base.groupBy(*keys, SLICE).agg(*totals).select(*keys, SLICE, *carries)
     out = scanned.join(carry, [*keys, SLICE], "left")
-    for i, (name, (kind, _)) in enumerate(specs.items()):
+    for i, (name, scan) in enumerate(scans.items()):
         s, c = F.col(f"__s{i}"), F.col(f"__c{i}")
-        if kind == "sum":
-            value = F.coalesce(s + c, s, c)
-        elif kind == "max":
-            value = F.greatest(s, c)
-        else:
-            value = F.coalesce(s, c)
-        out = out.withColumn(name, value)
-    n = len(specs)
+        merged = {"sum": F.coalesce(s + c, s, c), "max": F.greatest(s, c), "last": F.coalesce(s, c)}
+        out = out.withColumn(name, merged[scan.kind])
+    n = len(scans)
     return out.drop(SLICE, *[f"__{p}{i}" for p in "vsc" for i in range(n)])
 
 
+def with_previous(
+    df: DataFrame,
+    keys: list[str],
+    ts: str,
+    tie: list[str],
+    fields: list[str],
+    *,
+    ahead: bool = False,
+    name: str = "prev",
+    slice_seconds: int = 86400,
+) -> DataFrame:
+    """Add a struct of the previous (or next) row of a key, however far away it is."""
+    row = F.struct(*list(dict.fromkeys([ts, *tie, *fields])))
+    scan = Scan("last", row, inclusive=False, descending=ahead)
+    return running(df, keys, ts, tie, {name: scan}, slice_seconds=slice_seconds)
+
+
 def asof(
     left: DataFrame,
     right: DataFrame,
@@ -184,8 +167,7 @@ def asof(
         keys,
         "__at",
         ["__side", "__tie"],
-        {"__match": ("last", "__right")},
-        descending=forward,
+        {"__match": Scan("last", "__right", descending=forward)},
         slice_seconds=slice_seconds,
     )
     return scanned.filter(F.col("__left").isNotNull()).select("__left.*", F.col("__match").alias(name))
@@ -207,7 +189,7 @@ def islands(
         keys,
         ts,
         tie,
-        {name: ("sum", F.when(starts, F.lit(1)).otherwise(F.lit(0)))},
+        {name: Scan("sum", F.when(starts, F.lit(1)).otherwise(F.lit(0)))},
         slice_seconds=slice_seconds,
     )
 

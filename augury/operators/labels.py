@@ -7,12 +7,12 @@ otherwise the label is null with a reason.  The first matching reason wins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augury.functions.clock import MICROS, micros, plus, seconds_between
+from augury.functions.clock import MICROS, floor_to, micros, plus, seconds_between
 from augury.functions.intervals import overlap_join
-from augury.functions.ordered import running, union_all, with_neighbours
+from augury.functions.ordered import halo_chunks
 from augury.settings import Params
 
 
@@ -21,74 +21,92 @@ def known_events(events: DataFrame, as_of: Column) -> DataFrame:
 
 
 def event_evidence(windows: DataFrame, events: DataFrame, as_of: Column, p: Params, horizon: int, exclusion: int) -> DataFrame:
-    """Per (host, end): whether a failure is active or cooling down, and the nearest future onset."""
-    known = known_events(events, as_of)
-    reach = known.select(
+    """Add whether a failure is active or cooling down at ``end``, and the nearest future onset."""
+    reach = known_events(events, as_of).select(
         "host_id",
-        "event_id",
-        "experiment_id",
-        "failure_type",
-        F.col("observed_at").alias("onset"),
+        F.struct(F.col("observed_at").alias("onset"), "event_id", "experiment_id", "failure_type").alias("event"),
         plus("observed_at", -horizon).alias("reach_start"),
         # An open failure reaches every window up to the cutoff.
-        F.coalesce(plus("recovered_at", exclusion), as_of).alias("reach_end"),
-    ).withColumn("reach_end", F.greatest("reach_end", "onset"))
-    ends = windows.select("host_id", "end").distinct()
+        F.greatest(F.coalesce(plus("recovered_at", exclusion), as_of), F.col("observed_at")).alias("reach_end"),
+    )
     pairs = overlap_join(
-        ends, reach, ["host_id"], ("end", "end"), ("reach_start", "reach_end"), bucket_seconds=max(p.horizon, p.tick)
+        windows,
+        reach,
+        ["host_id"],
+        ("end", "end"),
+        ("reach_start", "reach_end"),
+        bucket_seconds=max(p.horizon, p.tick),
+        how="left",
     )
-    upcoming = F.col("onset") > F.col("end")
-    nearest = F.min(F.when(upcoming, F.struct("onset", "event_id", "experiment_id", "failure_type")))
-    return pairs.groupBy("host_id", "end").agg(
-        F.max(~upcoming).alias("active"), nearest.alias("next_event")
+    upcoming = F.col("event.onset") > F.col("end")
+    return pairs.groupBy(*windows.columns).agg(
+        F.coalesce(F.max(~upcoming), F.lit(False)).alias("active"),
+        F.min(F.when(upcoming, F.col("event"))).alias("next_event"),
     )
 
 
-def probe_marks(probes: DataFrame, as_of: Column, p: Params, count: int, span: int) -> DataFrame:
-    """Probes up to the cutoff with gap flag and, where ``count`` unhealthy ones complete, their first."""
-    seen = with_neighbours(
+def observation_evidence(
+    windows: DataFrame, probes: DataFrame, as_of: Column, p: Params, horizon: int, count: int, span: int
+) -> DataFrame:
+    """Add the probe coverage of ``[end, end + horizon (+ confirmation tail)]`` to each window.
+
+    Windows and probes meet in time chunks that also hold the probes shortly before and one
+    horizon after; inside a chunk they are interleaved by time once and looked up with carried
+    values.  Nothing is multiplied by the number of probes inside a horizon.
+    """
+    tail = span if count > 1 else 0
+    back = max(span, p.max_gap)
+    ahead = horizon + tail + p.max_gap
+    chunk = max(p.slice_seconds, 2 * ahead)
+    order = Window.partitionBy("host_id", "chunk").orderBy("observed_at", "probe_id")
+    seen = halo_chunks(
         probes.filter(F.col("observed_at") <= as_of).select(
             "host_id", "probe_id", "observed_at", "healthy", "known_criteria"
         ),
-        ["host_id"],
         "observed_at",
-        ["probe_id"],
-        ["healthy"],
-        depth=max(1, count - 1),
-        slice_seconds=p.slice_seconds,
+        chunk,
+        before=p.max_gap + back,
+        after=ahead,
     )
     run = ~F.col("healthy")
     for j in range(1, count):
-        run = run & F.coalesce(~F.col(f"prev_{j}.healthy"), F.lit(False))
-    first = F.col(f"prev_{count - 1}.observed_at") if count > 1 else F.col("observed_at")
+        run = run & F.coalesce(~F.lag("healthy", j).over(order), F.lit(False))
+    first = F.lag("observed_at", count - 1).over(order) if count > 1 else F.col("observed_at")
     run = run & (seconds_between("observed_at", first) <= span)
-    gap = F.coalesce(seconds_between("observed_at", "prev_1.observed_at") > p.max_gap, F.lit(False))
-    return seen.select(
+    # A probe without predecessor in reach starts after a gap.
+    gap = F.coalesce(seconds_between("observed_at", F.lag("observed_at").over(order)) > p.max_gap, F.lit(True))
+    marks = seen.select(
         "host_id",
-        "probe_id",
+        "chunk",
         F.col("observed_at").alias("at"),
+        "probe_id",
         gap.alias("gap"),
-        (~F.col("known_criteria")).alias("other_criteria"),
+        (~F.col("known_criteria")).alias("other"),
         F.when(run, first).alias("burst_first"),
     )
-
-
-def observation_evidence(
-    windows: DataFrame, probes: DataFrame, as_of: Column, p: Params, horizon: int, count: int, span: int
-) -> DataFrame:
-    """Probe coverage of ``[end, end + horizon (+ confirmation tail)]`` per window.
-
-    Windows and probes are interleaved by time once and looked up with carried values; nothing
-    is multiplied by the number of probes inside a horizon.
-    """
-    marks = probe_marks(probes, as_of, p, count, span)
-    tail = span if count > 1 else 0
-    ends = windows.select("host_id", "end").distinct()
+    # A mark is an observation, a burst (placed at its first probe) or one of three lookups.
+    points = marks.select(
+        "host_id",
+        "chunk",
+        "probe_id",
+        F.explode(
+            F.array_compact(
+                F.array(
+                    F.struct(F.col("at"), F.lit("probe").alias("kind"), "gap", "other"),
+                    F.when(
+                        F.col("burst_first").isNotNull(),
+                        F.struct(F.col("burst_first").alias("at"), F.lit("burst").alias("kind"), "gap", "other"),
+                    ),
+                )
+            )
+        ).alias("m"),
+    ).select("host_id", "chunk", "probe_id", "m.*", F.lit(0).alias("side"))
     future, cover = plus("end", horizon), plus("end", horizon + tail)
-    # order: observations come before lookups at the same instant
-    looks = ends.select(
+    carried = [c for c in windows.columns if c not in ("host_id", "end")]
+    looks = windows.select(
         "host_id",
         "end",
+        floor_to(micros("end"), chunk).alias("chunk"),
         F.explode(
             F.array(
                 F.struct(F.col("end").alias("at"), F.lit("left").alias("kind")),
@@ -96,70 +114,44 @@ def observation_evidence(
                 F.struct(cover.alias("at"), F.lit("cover").alias("kind")),
             )
         ).alias("l"),
-    ).select("host_id", "end", F.col("l.at").alias("at"), F.col("l.kind").alias("kind"), F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("probe_id"))
-    points = marks.select(
-        "host_id",
-        "at",
-        F.lit("probe").alias("kind"),
-        F.lit(0).alias("side"),
-        "probe_id",
-        F.col("at").alias("probe_at"),
-        F.when(F.col("gap"), F.col("at")).alias("gap_at"),
-        F.when(F.col("other_criteria"), F.col("at")).alias("other_at"),
-        F.struct("at", "gap", "other_criteria").alias("probe"),
-    )
-    bursts = marks.filter(F.col("burst_first").isNotNull()).select(
-        "host_id",
-        F.col("burst_first").alias("at"),
-        F.lit("burst").alias("kind"),
-        F.lit(0).alias("side"),
-        "probe_id",
-        F.col("burst_first").alias("burst_at"),
-    )
-    timeline = union_all([points, bursts, looks])
-    back = running(
-        timeline,
-        ["host_id"],
-        "at",
-        ["side", "probe_id"],
-        {
-            "last_probe": ("max", "probe_at"),
-            "last_gap": ("max", "gap_at"),
-            "last_other": ("max", "other_at"),
-            "last_burst": ("max", "burst_at"),
-        },
-        slice_seconds=p.slice_seconds,
-    )
-    # Forward lookup: in descending order probes must again precede lookups of their instant.
-    ahead = running(
-        back.filter(F.col("kind").isin("probe", "cover")).withColumn("side", F.when(F.col("kind") == "cover", 0).otherwise(1)),
-        ["host_id"],
-        "at",
-        ["side", "probe_id"],
-        {"next_probe": ("last", "probe")},
-        descending=True,
-        slice_seconds=p.slice_seconds,
-    )
-    looked = union_all(
-        [
-            back.filter(F.col("kind").isin("left", "future")).select(
-                "host_id", "end", "kind", "last_probe", "last_burst"
-            ),
-            ahead.filter(F.col("kind") == "cover").select(
-                "host_id", "end", "kind", "last_gap", "last_other", "next_probe"
-            ),
-        ]
-    )
+        F.struct(*carried).alias("row"),
+    ).select("host_id", "end", "chunk", "row", "l.*", F.lit(1).alias("side"))
+    timeline = points.unionByName(looks, allowMissingColumns=True)
+
+    before = (
+        Window.partitionBy("host_id", "chunk")
+        .orderBy("at", "side", "probe_id")
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    # At equal times lookups come after observations, in either direction.
+    behind = (
+        Window.partitionBy("host_id", "chunk")
+        .orderBy(F.col("at").desc(), "side", F.col("probe_id").desc())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    is_probe = F.col("kind") == "probe"
+    looked = timeline.select(
+        "*",
+        F.max(F.when(is_probe, F.col("at"))).over(before).alias("last_probe"),
+        F.max(F.when(is_probe & F.col("gap"), F.col("at"))).over(before).alias("last_gap"),
+        F.max(F.when(is_probe & F.col("other"), F.col("at"))).over(before).alias("last_other"),
+        F.max(F.when(F.col("kind") == "burst", F.col("at"))).over(before).alias("last_burst"),
+        F.last(F.when(is_probe, F.struct("at", "gap", "other")), ignorenulls=True).over(behind).alias("next_probe"),
+    ).filter(F.col("side") == 1)
 
     def of(kind: str, name: str) -> Column:
         return F.max(F.when(F.col("kind") == kind, F.col(name)))
 
-    return looked.groupBy("host_id", "end").agg(
+    grouped = looked.groupBy("host_id", "chunk", "end").agg(
         of("left", "last_probe").alias("left_at"),
         of("future", "last_burst").alias("burst_at"),
         of("cover", "last_gap").alias("gap_at"),
         of("cover", "last_other").alias("other_at"),
         of("cover", "next_probe").alias("right"),
+        F.any_value("row").alias("row"),
+    )
+    return grouped.select(
+        "host_id", "end", "left_at", "burst_at", "gap_at", "other_at", "right", *[F.col(f"row.{c}").alias(c) for c in carried]
     )
 
 
@@ -176,7 +168,7 @@ def label_windows(
     count: int | None = None,
     span: int | None = None,
 ) -> DataFrame:
-    """Add label, reason and the matched failure to every window."""
+    """Add label, reason and the matched failure to every window; (host, end) must be unique."""
     horizon = p.horizon if horizon is None else horizon
     exclusion = p.recovery_exclusion if exclusion is None else exclusion
     count = p.confirm_count if count is None else count
@@ -185,9 +177,8 @@ def label_windows(
         raise ValueError("invalid label durations")
     tail = span if count > 1 else 0
     target = windows.withColumn("end", F.col(end))
-    by_event = event_evidence(target, events, as_of, p, horizon, exclusion)
-    by_probe = observation_evidence(target, probes, as_of, p, horizon, count, span)
-    joined = target.join(by_event, ["host_id", "end"], "left").join(by_probe, ["host_id", "end"], "left")
+    with_events = event_evidence(target, events, as_of, p, horizon, exclusion)
+    joined = observation_evidence(with_events, probes, as_of, p, horizon, count, span)
 
     future, cover = plus("end", horizon), plus("end", horizon + tail)
     right = F.col("right")
@@ -197,10 +188,10 @@ def label_windows(
     )
     # The bracket probe's own gap lies outside the slice; a gap counts strictly after it.
     has_gap = F.coalesce(F.col("gap_at") > F.col("left_at"), F.lit(False)) | right["gap"]
-    foreign = F.coalesce(F.col("other_at") >= F.col("left_at"), F.lit(False)) | right["other_criteria"]
+    foreign = F.coalesce(F.col("other_at") >= F.col("left_at"), F.lit(False)) | right["other"]
     degraded = F.coalesce(F.col("burst_at") >= F.col("left_at"), F.lit(False))
     reason = (
-        F.when(F.coalesce("active", F.lit(False)), "active_failure_or_recovery")
+        F.when(F.col("active"), "active_failure_or_recovery")
         .when(F.col("next_event").isNotNull(), "confirmed_future_failure")
         .when(future > as_of, "right_censored")
         .when(cover > as_of, "right_censored_confirmation")
@@ -210,11 +201,8 @@ def label_windows(
         .when(degraded, "unconfirmed_degradation")
         .otherwise("observed_healthy_horizon" if count == 1 else "observed_no_sustained_failure_horizon")
     )
-    label = F.when(F.col("label_reason") == "confirmed_future_failure", 1).when(
-        F.col("label_reason").startswith("observed_"), 0
-    )
-    # "observation_gap" also starts with "observ" but not with "observed_".
     hit = F.col("label_reason") == "confirmed_future_failure"
+    label = F.when(hit, 1).when(F.col("label_reason").startswith("observed_"), 0)
     return (
         joined.withColumn("label_reason", reason)
         .withColumn("label", label)

@@ -2,39 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from augury.functions.clock import MICROS, micros, seconds_between, stable_id
+from augury.functions.clock import MICROS, micros, seconds_between
 from augury.functions.intervals import overlap_join
-from augury.functions.ordered import islands, with_neighbours
+from augury.functions.ordered import Scan, halo_chunks, islands, own_chunk, running
 from augury.functions.ranked import latest_per_key
 from augury.settings import Params
 
 
+def _streak_window(p: Params) -> tuple[int, WindowSpec]:
+    chunk = max(p.slice_seconds, 4 * max(p.confirm_span, p.max_gap))
+    return chunk, Window.partitionBy("host_id", "chunk").orderBy("observed_at", "probe_id")
+
+
 def confirmations(probes: DataFrame, p: Params) -> DataFrame:
     """Probes completing a run of equal outcomes (breached or healthy) within the allowed span."""
     n = p.confirm_count
-    seen = with_neighbours(
-        probes,
-        ["host_id"],
-        "observed_at",
-        ["probe_id"],
-        ["breached", "outcome", "latency_seconds", "status_code"],
-        depth=n - 1,
-        slice_seconds=p.slice_seconds,
-    )
-    first = F.col(f"prev_{n - 1}")
-    same = first.isNotNull()
+    chunk, order = _streak_window(p)
+    row = F.struct("observed_at", "probe_id", "breached", "outcome", "latency_seconds", "status_code")
+    seen = halo_chunks(probes, "observed_at", chunk, before=p.confirm_span)
     for j in range(1, n):
-        same = same & (F.col(f"prev_{j}.breached") == F.col("breached"))
+        seen = seen.withColumn(f"prev_{j}", F.lag(row, j).over(order))
+    run = [F.col(f"prev_{j}") for j in range(n - 1, 0, -1)] + [row]
+    first = run[0]
+    same = first.isNotNull()
+    for earlier in run[:-1]:
+        same = same & (earlier["breached"] == F.col("breached"))
     close = seconds_between("observed_at", first["observed_at"]) <= p.confirm_span
-    run = [F.col(f"prev_{j}") for j in range(n - 1, 0, -1)]
-    here = F.struct("probe_id", "latency_seconds", "status_code")
-    evidence = F.array(
-        *[F.struct(*[r[c].alias(c) for c in ("probe_id", "latency_seconds", "status_code")]) for r in run], here
-    )
-    return seen.filter(same & close).select(
+    parts = ("probe_id", "latency_seconds", "status_code")
+    evidence = F.array(*[F.struct(*[r[c].alias(c) for c in parts]) for r in run])
+    return seen.filter(own_chunk("observed_at", chunk) & same & close).select(
         "host_id",
         "breached",
         F.col("observed_at").alias("confirmed_at"),
@@ -57,68 +56,55 @@ def recovery_confirm(probes: DataFrame, p: Params) -> DataFrame:
 def failure_events(probes: DataFrame, p: Params) -> DataFrame:
     """Failures alternate with recoveries: a confirmation counts only if its kind differs from the
     one before it.  The first recovery without a failure does not count either."""
-    # A run of confirmations of one kind matters only by its first member.
-    turns = with_neighbours(
+    recovery = F.when(~F.col("breached"), F.struct("first_at", "confirmed_at"))
+    turns = running(
         confirmations(probes, p),
         ["host_id"],
         "confirmed_at",
         ["probe_id"],
-        ["breached"],
-        slice_seconds=p.slice_seconds,
-    ).filter(F.col("prev_1").isNull() | (F.col("prev_1.breached") != F.col("breached")))
-    paired = with_neighbours(
-        turns.drop("prev_1"),
-        ["host_id"],
-        "confirmed_at",
-        ["probe_id"],
-        ["first_at", "first_probe_id"],
-        ahead=True,
-        name="next",
+        {
+            "kind_before": Scan("last", "breached", inclusive=False),
+            "recovery": Scan("last", recovery, inclusive=False, descending=True),
+        },
         slice_seconds=p.slice_seconds,
     )
-    return paired.filter("breached").select(
+    # A failure starts where the kind turns; it ends with the next recovery confirmation.
+    return turns.filter(F.col("breached") & ~F.coalesce("kind_before", F.lit(False))).select(
         F.concat(F.lit("f"), F.col("first_probe_id").cast("string")).alias("event_id"),
         "host_id",
         F.col("first_outcome").alias("failure_type"),
         F.col("first_at").alias("observed_at"),
         "confirmed_at",
-        F.col("next_1.first_at").alias("recovered_at"),
-        F.col("next_1.confirmed_at").alias("recovery_confirmed_at"),
+        F.col("recovery.first_at").alias("recovered_at"),
+        F.col("recovery.confirmed_at").alias("recovery_confirmed_at"),
         "first_probe_id",
         "evidence",
     )
 
 
-def probe_experiment(probes: DataFrame, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
-    """Tag each probe with the running experiment of its host, the earliest started if several."""
+def experiment_at(points: DataFrame, at: str, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
+    """Tag rows with the experiment running on their host, the earliest started if several."""
     spans = experiments.select(
         "host_id",
         "experiment_id",
         F.col("started_at").alias("span_start"),
         F.coalesce("ended_at", as_of).alias("span_end"),
     )
-    points = probes.select("host_id", "probe_id", "observed_at")
-    hit = (
-        overlap_join(
-            points,
-            spans,
-            ["host_id"],
-            ("observed_at", "observed_at"),
-            ("span_start", "span_end"),
-            bucket_seconds=p.horizon,
-        )
-        .groupBy("host_id", "probe_id")
-        .agg(F.min_by("experiment_id", F.struct("span_start", "experiment_id")).alias("experiment_id"))
+    hit = overlap_join(
+        points, spans, ["host_id"], (at, at), ("span_start", "span_end"), bucket_seconds=p.horizon, how="left"
+    )
+    return hit.groupBy(*points.columns).agg(
+        F.min_by("experiment_id", F.struct("span_start", "experiment_id")).alias("experiment_id")
     )
-    return probes.join(hit, ["host_id", "probe_id"], "left")
 
 
-def attributed_events(events: DataFrame, probes: DataFrame, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
+def probe_experiment(probes: DataFrame, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
+    return experiment_at(probes, "observed_at", experiments, as_of, p)
+
+
+def attributed_events(events: DataFrame, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
     """Failure events with the experiment that was running at their first breach."""
-    tagged = probe_experiment(probes, experiments, as_of, p).select(
-        "host_id", F.col("probe_id").alias("first_probe_id"), "experiment_id"
-    )
-    return events.join(tagged, ["host_id", "first_probe_id"], "left")
+    return experiment_at(events, "observed_at", experiments, as_of, p)
 
 
 def active_experiments_at(points: DataFrame, experiments: DataFrame, at: str, p: Params, as_of: Column) -> DataFrame:
@@ -166,23 +152,22 @@ def healthy_baseline(probes: DataFrame, as_of: Column, p: Params, *, max_gap: in
     A probe completing ``breaches`` consecutive breaches within ``span`` empties the tail and is
     not part of it; a gap starts a new tail at the probe after it.
     """
-    seen = with_neighbours(
-        probes,
-        ["host_id"],
-        "observed_at",
-        ["probe_id"],
-        ["breached"],
-        depth=max(1, breaches - 1),
-        slice_seconds=p.slice_seconds,
-    )
+    reach = max(span, max_gap)
+    chunk = max(p.slice_seconds, 4 * reach)
+    order = Window.partitionBy("host_id", "chunk").orderBy("observed_at", "probe_id")
+    seen = halo_chunks(probes.select("host_id", "probe_id", "observed_at", "breached"), "observed_at", chunk, before=reach)
     burst = F.col("breached")
     for j in range(1, breaches):
-        burst = burst & F.coalesce(F.col(f"prev_{j}.breached"), F.lit(False))
+        burst = burst & F.coalesce(F.lag("breached", j).over(order), F.lit(False))
     if breaches > 1:
-        burst = burst & (seconds_between("observed_at", f"prev_{breaches - 1}.observed_at") <= span)
-    gap = seconds_between("observed_at", "prev_1.observed_at") > max_gap
-    marked = seen.withColumn("__burst", F.coalesce(burst, F.lit(False))).withColumn(
-        "__reset", F.coalesce(burst | gap, F.lit(False))
+        burst = burst & (seconds_between("observed_at", F.lag("observed_at", breaches - 1).over(order)) <= span)
+    # No predecessor within reach is a gap as well; on the very first probe it changes nothing.
+    gap = F.coalesce(seconds_between("observed_at", F.lag("observed_at").over(order)) > max_gap, F.lit(True))
+    marked = (
+        seen.withColumn("__burst", F.coalesce(burst, F.lit(False)))
+        .withColumn("__gap", gap)
+        .withColumn("__reset", F.col("__burst") | F.col("__gap"))
+        .filter(own_chunk("observed_at", chunk))
     )
     numbered = islands(
         marked.select("host_id", "probe_id", "observed_at", "__burst", "__reset"),
@@ -201,7 +186,3 @@ def healthy_baseline(probes: DataFrame, as_of: Column, p: Params, *, max_gap: in
     length = F.coalesce(seconds_between("tail_end", "tail_start"), F.lit(0.0))
     fresh = F.coalesce(micros(as_of) - micros("tail_end") <= F.lit(max_gap * MICROS), F.lit(False))
     return last.select("host_id", "probes", length.alias("span_seconds"), fresh.alias("fresh"))
-
-
-def event_key(*parts: str) -> Column:
-    return stable_id(*parts)

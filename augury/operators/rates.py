@@ -6,32 +6,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from augury.functions.clock import MICROS, ceil_to, floor_to, micros, seconds_between
-from augury.functions.ordered import running, with_neighbours
+from augury.functions.ordered import Scan, halo_chunks, own_chunk, running, with_previous
 from augury.settings import Params
 
 
 def counter_rate(counters: DataFrame, p: Params) -> DataFrame:
     """Change per second since the previous read; none on the first read, a stuck clock or a reset."""
-    seen = with_neighbours(
+    seen = with_previous(
         counters, ["host_id", "counter"], "ts", ["event_id"], ["value"], slice_seconds=p.slice_seconds
     )
-    elapsed = seconds_between("ts", "prev_1.ts")
-    change = F.col("value") - F.col("prev_1.value")
+    elapsed = seconds_between("ts", "prev.ts")
+    change = F.col("value") - F.col("prev.value")
     rate = F.when((elapsed > 0) & (change >= 0), change / elapsed)
-    return seen.withColumn("rate", rate).drop("prev_1")
+    return seen.withColumn("rate", rate).drop("prev")
 
 
-def increments(counters: DataFrame, keys: list[str], p: Params) -> DataFrame:
-    """Growth of a cumulative counter since its previous read; after a reset the new value counts."""
-    seen = with_neighbours(counters, keys, "ts", ["event_id"], ["value"], slice_seconds=p.slice_seconds)
-    previous = F.col("prev_1.value")
-    grown = F.when(F.col("value") >= previous, F.col("value") - previous).otherwise(F.col("value"))
-    return (
-        seen.filter(F.col("prev_1").isNotNull())
-        .withColumn("increment", grown)
-        .withColumn("prev_us", micros("prev_1.ts"))
-        .drop("prev_1")
+def increments(counters: DataFrame, keys: list[str], p: Params, within: int) -> DataFrame:
+    """Growth of a cumulative counter since its previous read; after a reset the new value counts.
+
+    Only reads at most ``within`` seconds apart are paired, which keeps the look back bounded.
+    """
+    chunk = max(p.slice_seconds, 4 * within)
+    series = Window.partitionBy(*keys, "chunk").orderBy("ts", "event_id")
+    seen = (
+        halo_chunks(counters.select(*keys, "ts", "event_id", "value"), "ts", chunk, before=within)
+        .withColumn("__previous", F.lag("value").over(series))
+        .withColumn("prev_us", F.lag(micros("ts")).over(series))
     )
+    previous = F.col("__previous")
+    grown = F.when(F.col("value") >= previous, F.col("value") - previous).otherwise(F.col("value"))
+    return seen.filter(own_chunk("ts", chunk) & previous.isNotNull()).withColumn("increment", grown).drop("chunk", "__previous")
 
 
 def _grid(at: Column, window: int, step: int) -> Column:
@@ -57,7 +61,7 @@ def windowed_rate(
     border is far, never below a zero counter.  Fewer than two reads give no rate.
     """
     width = window or p.rate_window
-    grown = increments(counters, keys, p)
+    grown = increments(counters, keys, p, width)
     at = micros("ts")
     placed = grown.withColumn("grid_us", _grid(at, width, p.rate_step))
     if until is not None:
@@ -67,7 +71,6 @@ def windowed_rate(
     inside = F.col("prev_us") > start
     grouped = placed.groupBy(*keys, "grid_us").agg(
         F.sum(F.when(inside, F.col("increment"))).alias("growth"),
-        F.min("prev_us").alias("__lead"),
         F.min(F.when(inside, F.col("prev_us"))).alias("first_us"),
         F.max(at).alias("last_us"),
         F.count(F.when(inside, 1)).alias("steps"),
@@ -205,7 +208,7 @@ def inflight(requests: DataFrame, p: Params) -> DataFrame:
         ).alias("e"),
     ).select("host_id", "request_id", "e.ts", "e.change")
     return running(
-        edges, ["host_id"], "ts", ["change", "request_id"], {"inflight": ("sum", "change")}, slice_seconds=p.slice_seconds
+        edges, ["host_id"], "ts", ["change", "request_id"], {"inflight": Scan("sum", "change")}, slice_seconds=p.slice_seconds
     )
 
 

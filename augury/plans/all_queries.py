@@ -1,4 +1,9 @@
 """Imports every query module so that they register."""
 
-from augury.plans import queries_features  # noqa: F401
-from augury.plans import queries_labels  # noqa: F401
+from augury.plans import (  # noqa: F401
+    queries_data,
+    queries_evaluation,
+    queries_features,
+    queries_labels,
+    queries_rates,
+)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from augury.functions.clock import plus
 from augury.operators import clean, features, labels, probes
 from augury.settings import SPARSE
 from augury.sources import domain
@@ -21,7 +22,6 @@ def events(spark, sf_dir) -> DataFrame:
 def attributed_events(spark, sf_dir) -> DataFrame:
     return probes.attributed_events(
         events(spark, sf_dir),
-        domain.probes(spark, sf_dir),
         domain.experiments(spark, sf_dir),
         domain.as_of(spark, sf_dir),
         SPARSE,
@@ -47,11 +47,16 @@ def labelled(spark, sf_dir) -> DataFrame:
     )
 
 
+# Hardly any whole day of the sparse data is free of breaches; four hours often are.
+INPUT_SPAN = 14400
+
+
 def health(spark, sf_dir) -> DataFrame:
+    short = keys(spark, sf_dir).withColumn("window_start", plus("window_end", -INPUT_SPAN))
     return labels.input_health(
-        keys(spark, sf_dir),
+        short,
         attributed_events(spark, sf_dir),
         judged_probes(spark, sf_dir),
         domain.as_of(spark, sf_dir),
-        SPARSE,
+        SPARSE.but(window=INPUT_SPAN),
     )

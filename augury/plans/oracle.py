@@ -46,8 +46,8 @@ def sql(final: str) -> str:
     for name in ordered:
         body = CTES[name]
         if body.startswith("("):  # column list of a recursive relation
-            head, rest = body.split(") AS ", 1)
-            parts.append(f"{name}{head}) AS {rest}")
+            head, rest = re.split(r"\) AS\s", body, maxsplit=1)
+            parts.append(f"{name}{head}) AS ({rest})")
         else:
             parts.append(f"{name} AS ({body})")
     return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + final.strip()
@@ -107,9 +107,9 @@ cte("v_experiments", """
 SELECT 'x' || CAST(event_id AS VARCHAR) AS experiment_id, host_id,
   ['latency', 'http_503', 'crash', 'latency', 'http_503'][k + 1] AS experiment_type,
   ts AS started_at,
-  CASE WHEN k = 4 AND t >= now_us - 3 * 86400 * 1000000 THEN NULL
+  CASE WHEN k = 4 AND t >= now_us - 259200000000 THEN NULL
        ELSE ts + to_seconds((k + 1) * 3600) END AS ended_at,
-  CASE WHEN k = 4 AND t >= now_us - 3 * 86400 * 1000000 THEN 'running' ELSE 'completed' END AS experiment_status
+  CASE WHEN k = 4 AND t >= now_us - 259200000000 THEN 'running' ELSE 'completed' END AS experiment_status
 FROM v_events, v_now WHERE event_type = 'signup' AND k < 5
 """)
 cte("v_counters", """
@@ -122,7 +122,7 @@ FROM (SELECT host_id, ts, t, event_id,
 cte("v_buckets", """
 SELECT host_id, ts, t, event_id, le, CAST(sum(CASE WHEN value / 100.0 <= le THEN 1 ELSE 0 END)
     OVER (PARTITION BY host_id, CAST(ts AS DATE), le ORDER BY ts, event_id) AS BIGINT) AS value
-FROM v_events, (SELECT unnest([0.1, 0.25, 0.5, 1.0, 2.5, 5.0, CAST('inf' AS DOUBLE)]) AS le)
+FROM v_events, (SELECT unnest([0.10271828, 0.25271828, 0.50271828, 1.00271828, 2.50271828, 5.00271828, CAST('inf' AS DOUBLE)]) AS le)
 """)
 cte("v_requests", """
 SELECT host_id, event_id AS request_id, ['GET', 'POST', 'PUT', 'DELETE', 'TRACE'][k % 5 + 1] AS method,

@@ -76,7 +76,7 @@ FROM {name}_br b JOIN {name}_runs p ON p.host_id = b.host_id AND p.t BETWEEN b.l
 """)
     negative = "observed_healthy_horizon" if count == 1 else "observed_no_sustained_failure_horizon"
     cte(name, f"""
-SELECT k.*, CASE reason WHEN 'confirmed_future_failure' THEN 1 WHEN '{negative}' THEN 0 END AS label,
+SELECT k.*, CASE reason WHEN 'confirmed_future_failure' THEN 1.0::DOUBLE WHEN '{negative}' THEN 0.0::DOUBLE END AS label,
   CASE WHEN reason = 'confirmed_future_failure' THEN matched END AS failure_event_id
 FROM (
 SELECT k.*, v.event_id AS matched, CASE
@@ -96,4 +96,5 @@ LEFT JOIN {name}_ob o ON o.host_id = k.host_id AND o.e = {end}) k
 
 
 label_relations("v_labels", "v_keys", "end_us", H, EXCL, 3)
-label_relations("v_inputs", "v_keys", "start_us", W, 0, 1)
+cte("v_short", "SELECT host_id, end_us, end_us - 14400000000 AS start_us FROM v_keys")
+label_relations("v_inputs", "v_short", "start_us", 14400, 0, 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
+from augury.functions.clock import plus
 from augury.operators import clean, labels, probes
 from augury.plans import common, oracle_events  # noqa: F401
 from augury.plans.catalog import query
@@ -135,7 +135,7 @@ def labelled_windows(spark, sf_dir):
     return common.labelled(spark, sf_dir).select(
         "host_id",
         "window_end",
-        "label",
+        F.col("label").cast("double").alias("label"),
         "label_reason",
         "failure_event_id",
         "experiment_id",
@@ -150,7 +150,7 @@ def _reason_query(name: str, reason: str) -> None:
         return (
             common.labelled(spark, sf_dir)
             .filter(F.col("label_reason") == reason)
-            .select("host_id", "window_end", "label", "failure_event_id")
+            .select("host_id", "window_end", F.col("label").cast("double").alias("label"), "failure_event_id")
         )
 
 
@@ -172,7 +172,7 @@ for _name, _reason in {
 SELECT host_id, {ts('start_us')} AS window_start, label AS input_label, reason AS input_reason FROM v_inputs
 """)
 def input_health(spark, sf_dir):
-    return common.health(spark, sf_dir)
+    return common.health(spark, sf_dir).withColumn("input_label", F.col("input_label").cast("double"))
 
 
 @query("healthy_inputs", f"""
@@ -181,8 +181,9 @@ FROM v_labels l JOIN v_inputs i ON i.host_id = l.host_id AND i.end_us = l.end_us
 WHERE i.label = 0 AND coalesce(l.label, 0) <> 1
 """)
 def healthy_inputs(spark, sf_dir):
-    return labels.healthy_inputs(common.labelled(spark, sf_dir), common.health(spark, sf_dir)).select(
-        "host_id", "window_end", "label", "label_reason"
+    health = common.health(spark, sf_dir).withColumn("window_start", plus("window_start", common.INPUT_SPAN - SPARSE.window))
+    return labels.healthy_inputs(common.labelled(spark, sf_dir), health).select(
+        "host_id", "window_end", F.col("label").cast("double").alias("label"), "label_reason"
     )
 
 
@@ -192,7 +193,7 @@ def skip_counts(spark, sf_dir):
 
 
 @query("label_distribution", """
-SELECT 'label' AS kind, CAST(label AS VARCHAR) AS name, count(*) AS n FROM v_labels WHERE label IS NOT NULL GROUP BY label
+SELECT 'label' AS kind, CAST(CAST(label AS INTEGER) AS VARCHAR) AS name, count(*) AS n FROM v_labels WHERE label IS NOT NULL GROUP BY label
 UNION ALL SELECT 'failure', failure_type, count(*) FROM v_failures GROUP BY failure_type
 UNION ALL SELECT 'positive', f.failure_type, count(*) FROM v_labels l JOIN v_failures f ON f.event_id = l.failure_event_id
   GROUP BY f.failure_type

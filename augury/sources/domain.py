@@ -17,7 +17,8 @@ from augury.functions.clock import micros, plus
 from augury.settings import SPARSE
 
 USERS_PER_HOST = 15
-BUCKET_BOUNDS = (0.1, 0.25, 0.5, 1.0, 2.5, 5.0, float("inf"))
+# Long fractions keep interpolated quantiles away from rounding ties.
+BUCKET_BOUNDS = (0.10271828, 0.25271828, 0.50271828, 1.00271828, 2.50271828, 5.00271828, float("inf"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,18 +174,14 @@ def buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative duration histogram per host, reset at midnight: one row per bound and scrape."""
     day = Window.partitionBy("host_id", F.to_date("ts")).orderBy("ts", "event_id")
     duration = F.col("value") / 100.0
-    counts = [
-        F.struct(
-            F.lit(b).alias("le"),
-            F.sum(F.when(duration <= b, 1).otherwise(0)).over(day).alias("value"),
-        )
-        for b in BUCKET_BOUNDS
-    ]
-    return (
-        events(spark, sf_dir)
-        .select("host_id", "ts", "event_id", F.explode(F.array(*counts)).alias("b"))
-        .select("host_id", "ts", "event_id", "b.le", "b.value")
+    counted = events(spark, sf_dir).select(
+        "host_id",
+        "ts",
+        "event_id",
+        *[F.sum(F.when(duration <= b, 1).otherwise(0)).over(day).alias(f"b{i}") for i, b in enumerate(BUCKET_BOUNDS)],
     )
+    pairs = [F.struct(F.lit(b).alias("le"), F.col(f"b{i}").alias("value")) for i, b in enumerate(BUCKET_BOUNDS)]
+    return counted.select("host_id", "ts", "event_id", F.inline(F.array(*pairs)))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

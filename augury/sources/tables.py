@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from augury.functions.clock import micros
+from augury.functions.cut import shared_folder
 from augury.functions.ranked import latest_per_key
 
 MATRIX_SCHEMA = (
@@ -19,16 +19,6 @@ MATRIX_SCHEMA = (
 )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach; a local one only when the session names none (tests)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    local = tempfile.mkdtemp(prefix="augury-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    return local
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -175,12 +165,16 @@ def read_dataset(spark: SparkSession, path: str, part: str, schema) -> DataFrame
 
 def registry_append(registry: DataFrame, candidates: DataFrame, describing: list[str]) -> DataFrame:
     """Registry plus new versions; a known version with another description fails the job."""
-    fresh = candidates.join(registry.select("version"), "version", "left_anti")
-    clash = registry_conflicts(registry, candidates, describing).select(
-        F.raise_error(F.concat(F.lit("version differs from its registration: "), F.col("version"))).cast("string").alias("version")
+    known = registry.select("version", F.struct(*describing).alias("__known"))
+    message = F.concat(F.lit("version differs from its registration: "), F.col("version"))
+    # Decided after the join, where both descriptions are present.
+    is_new = (
+        F.when(F.col("__known").isNull(), F.lit(True))
+        .when(F.col("__known").eqNullSafe(F.struct(*describing)), F.lit(False))
+        .otherwise(F.raise_error(message).cast("boolean"))
     )
-    guarded = fresh.join(clash, "version", "left_anti")
-    return registry.unionByName(guarded.select(*registry.columns))
+    fresh = candidates.join(known, "version", "left").filter(is_new)
+    return registry.unionByName(fresh.select(*registry.columns))
 
 
 def registry_conflicts(registry: DataFrame, candidates: DataFrame, describing: list[str]) -> DataFrame:
