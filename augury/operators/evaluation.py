@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.chain import greedy_chain
 from augury.functions.clock import MICROS, micros, seconds_between
+from augury.functions.cut import checkpointed
 from augury.functions.ranked import running_totals
 from augury.settings import Params
 
@@ -142,11 +143,13 @@ def alert_epochs(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
 
     A warning starts an epoch when the last epoch of its host is at least one cooldown ago.
     """
-    warned = scored.filter(F.col("probability") >= threshold).select(
-        "host_id",
-        micros("window_end").alias("at"),
-        (micros("window_end") + F.lit(p.epoch_cooldown * MICROS)).alias("resume"),
-        "label",
+    warned = checkpointed(
+        scored.filter(F.col("probability") >= threshold).select(
+            "host_id",
+            micros("window_end").alias("at"),
+            (micros("window_end") + F.lit(p.epoch_cooldown * MICROS)).alias("resume"),
+            "label",
+        )
     )
     chosen = greedy_chain(
         warned, "host_id", "at", "resume", reach_seconds=p.epoch_cooldown, slice_seconds=p.slice_seconds
@@ -157,6 +160,7 @@ def alert_epochs(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
 
 
 def false_alert_rates(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
+    scored = checkpointed(scored.select("host_id", "window_end", "label", "probability"))
     false = alert_epochs(scored, threshold, p).filter("label = 0").agg(F.count(F.lit(1)).alias("false_epochs"))
     hours = exposure(scored, threshold, p).select("host_hours")
     rate = F.try_divide("false_epochs", "host_hours")

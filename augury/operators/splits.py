@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augury.functions.clock import plus
+from augury.functions.cut import checkpointed
 from augury.functions.intervals import label_islands, merge_intervals, overlap_join
 from augury.functions.ordered import Scan, asof, running
 from augury.functions.ranked import global_rank
@@ -50,6 +51,7 @@ def _touched(rows: DataFrame, merged: DataFrame, p: Params) -> DataFrame:
 
 def window_experiments(rows: DataFrame, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
     """Add the sorted ids of all experiments whose merged influence a row overlaps."""
+    rows = checkpointed(rows)
     pairs = _touched(rows, influence_intervals(experiments, as_of, p), p)
     ids = pairs.groupBy(*ROW).agg(
         F.array_sort(F.flatten(F.collect_list("experiment_ids"))).alias("experiment_ids"),
@@ -97,6 +99,7 @@ def group_ids(tagged: DataFrame, p: Params) -> DataFrame:
 
     The root of a component is the smallest id its rows mention.
     """
+    tagged = checkpointed(tagged)
     spans = experiment_components(tagged, p)
     roots = spans.groupBy("host_id", "component").agg(F.min("smallest").alias("root"))
     by_island = spans.join(roots, ["host_id", "component"]).select(
@@ -115,6 +118,7 @@ def group_ids(tagged: DataFrame, p: Params) -> DataFrame:
 
 def grouped_split(grouped: DataFrame) -> DataFrame:
     """Latest fifth of the groups (at least one, if there are two) becomes the test part."""
+    grouped = checkpointed(grouped)
     groups = grouped.groupBy("group_id").agg(F.min("window_end").alias("first_end"))
     ranked = global_rank(groups, [F.col("first_end").asc(), F.col("group_id").asc()])
     n = ranked.count()
@@ -129,7 +133,7 @@ def purge_overlap(split: DataFrame, p: Params) -> DataFrame:
     Test spans are merged first; of the merged spans only the last one starting before a row's
     end can reach it, so one ordered lookup decides.
     """
-    reach = split.withColumn("reach", plus("window_end", p.horizon))
+    reach = checkpointed(split).withColumn("reach", plus("window_end", p.horizon))
     spans = reach.filter("split = 'test'").select("host_id", F.col("window_start").alias("start"), F.col("reach").alias("stop"))
     merged = merge_intervals(spans, ["host_id"], "start", "stop", slice_seconds=p.slice_seconds)
     found = asof(reach, merged, ["host_id"], "reach", "start", ["stop"], name="test_span", slice_seconds=p.slice_seconds)
@@ -191,7 +195,8 @@ def interval_leakage(rows: DataFrame, p: Params) -> DataFrame:
     spans = rows.select(
         "host_id", "split", F.col("window_start").alias("start"), plus("window_end", p.horizon + p.confirm_span).alias("stop")
     )
-    merged = merge_intervals(spans, ["host_id", "split"], "start", "stop", slice_seconds=p.slice_seconds)
+    spans = checkpointed(spans)
+    merged = checkpointed(merge_intervals(spans, ["host_id", "split"], "start", "stop", slice_seconds=p.slice_seconds))
     a = merged.select("host_id", F.col("split").alias("split_a"), F.col("start").alias("a1"), F.col("stop").alias("a2"))
     b = merged.select("host_id", F.col("split").alias("split_b"), F.col("start").alias("b1"), F.col("stop").alias("b2"))
     return (
@@ -226,6 +231,7 @@ def _violations(name: str, frame: DataFrame) -> DataFrame:
 
 def dataset_checks(rows: DataFrame, p: Params, width: int | None = None) -> DataFrame:
     """Violation counts of the rules a training set must keep; all zero when it is sound."""
+    rows = checkpointed(rows)
     duplicated = rows.groupBy("host_id", "window_end").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     bad_label = rows.filter(~F.coalesce(F.col("label").isin(0, 1), F.lit(False)))
     bad_split = rows.filter(~F.coalesce(F.col("split").isin("train", "validation", "test"), F.lit(False)))
@@ -250,6 +256,7 @@ def dataset_checks(rows: DataFrame, p: Params, width: int | None = None) -> Data
 
 def healthy_checks(healthy: DataFrame, rows: DataFrame, p: Params, minimum: int = 5) -> DataFrame:
     """The same for the anomaly model's training inputs: train only, never positive, clear of later parts."""
+    healthy, rows = checkpointed(healthy), checkpointed(rows)
     short = healthy.agg((F.count(F.lit(1)) < minimum).cast("bigint").alias("violations")).select(
         F.lit("enough_rows").alias("check"), "violations"
     )
@@ -288,7 +295,7 @@ def dataset_report(rows: DataFrame) -> DataFrame:
 def evidence_recheck(stored: DataFrame, recomputed: DataFrame) -> DataFrame:
     """Rows that only one of the two holds, with the side they are missing from."""
     names = sorted(stored.columns)
-    a, b = stored.select(*names), recomputed.select(*names)
+    a, b = stored.select(*names), checkpointed(recomputed.select(*names))
     return (
         a.exceptAll(b).withColumn("missing_from", F.lit("recomputed"))
         .unionByName(b.exceptAll(a).withColumn("missing_from", F.lit("stored")))

@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from augury.functions.clock import r6
+from augury.functions.cut import checkpointed
 from augury.operators import evaluation as ev
 from augury.operators import features, splits
 from augury.plans import common, oracle, oracle_events  # noqa: F401
@@ -220,7 +221,7 @@ UNION ALL SELECT 'clear_of_held_out', count(*) FROM v_healthy_rows h WHERE EXIST
   WHERE o.host_id = h.host_id AND o.split <> 'train' AND h.end_us + {_REACH} >= o.start_us)
 """)
 def healthy_checks(spark, sf_dir):
-    chrono = _chrono(spark, sf_dir)
+    chrono = checkpointed(_chrono(spark, sf_dir))
     sound = common.health(spark, sf_dir).filter("input_label = 0").select(
         "host_id", F.timestamp_micros(F.unix_micros("window_start") + F.lit(common.INPUT_SPAN * 10**6)).alias("window_end")
     )
@@ -447,7 +448,7 @@ SELECT {o6('brier')} AS brier, {o6('ece')} AS ece, {o6('constant_brier')} AS con
   FROM v_scored WHERE split = 'validation' GROUP BY 1))
 """)
 def calibration_trigger(spark, sf_dir):
-    every = scored(spark, sf_dir)
+    every = checkpointed(scored(spark, sf_dir))
     prevalence = every.filter("split = 'train'").agg(F.avg(F.col("label").cast("double")).alias("prevalence"))
     out = ev.calibration_trigger(every.filter("split = 'validation'"), prevalence)
     return out.select(*[r6(c).alias(c) for c in ("brier", "ece", "constant_brier")], "recalibrate")
