@@ -7,5 +7,6 @@ from augury.plans import (  # noqa: F401
     queries_features,
     queries_incidents,
     queries_labels,
+    queries_model,
     queries_rates,
 )

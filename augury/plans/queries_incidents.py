@@ -45,11 +45,12 @@ def statuses(spark, sf_dir):
 
 
 def attempts(alerts):
-    """Delivery attempts: up to three per alert, half a minute to a minute apart."""
+    """Delivery attempts: three per alert, a minute apart."""
     n = (micros("created_at") / 60_000_000).cast("bigint") + F.when(F.col("channel") == "slack", 2).otherwise(0)
     codes = F.array(*[F.lit(c) for c in (200, 503, 429, 400, None)])
     tried = alerts.withColumn("j", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    return tried.filter(F.col("next_attempt_at") <= plus("created_at", 86400)).select(
+    # Some alerts still wait for their first attempt.
+    return tried.filter(F.pmod(n, F.lit(7)) != 0).select(
         "alert_id",
         F.timestamp_micros(micros("next_attempt_at") + F.col("j") * 60_000_000).alias("attempted_at"),
         F.element_at(codes, (F.pmod(n * F.col("j"), F.lit(5)) + 1).cast("int")).alias("status_code"),
@@ -115,7 +116,8 @@ FROM (SELECT *, lag(p_us) OVER (PARTITION BY host_id ORDER BY p_us) AS before_us
 oracle.cte("v_attempts", """
 SELECT alert_id, j AS n, next_attempt_at + to_seconds(j * 60) AS attempted_at,
   [200, 503, 429, 400, NULL][((epoch_us(created_at) // 60000000 + CASE WHEN channel = 'slack' THEN 2 ELSE 0 END) * j) % 5 + 1] AS code
-FROM v_queued, (SELECT unnest([1, 2, 3]) AS j) WHERE next_attempt_at <= created_at + INTERVAL 1 DAY
+FROM v_queued, (SELECT unnest([1, 2, 3]) AS j)
+WHERE (epoch_us(created_at) // 60000000 + CASE WHEN channel = 'slack' THEN 2 ELSE 0 END) % 7 <> 0
 """)
 # The first attempt that is not a retry, or the third, ends an alert.
 oracle.cte("v_ended", """
