@@ -9,4 +9,5 @@ from augury.plans import (  # noqa: F401
     queries_labels,
     queries_model,
     queries_rates,
+    queries_streaming,
 )

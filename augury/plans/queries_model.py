@@ -63,9 +63,11 @@ GROUP BY n.feature
 def normalize(spark, sf_dir):
     vectors, fitted = _fitted(spark, sf_dir)
     state = model.Normalizer.collect(fitted, NAMES)
-    long = vectors.select(
-        F.posexplode(F.arrays_zip("feature_names", state.column().alias("z"))).alias("i", "f")
-    ).select(F.col("f.feature_names").alias("feature"), F.col("f")["1"].cast("double").alias("z"))
+    long = (
+        vectors.withColumn("z", state.column())
+        .select(F.explode(F.arrays_zip("feature_names", "z")).alias("f"))
+        .select(F.col("f.feature_names").alias("feature"), F.col("f.z").cast("double").alias("z"))
+    )
     return long.groupBy("feature").agg(
         F.count(F.lit(1)).alias("rows"), r6(F.avg("z"), 3).alias("mean_z"), r6(F.max("z"), 3).alias("max_z")
     )
@@ -178,11 +180,11 @@ def additivity(spark, sf_dir):
 @query("top_drivers", f"""
 SELECT host_id, {ts('end_us')} AS window_end, feature, contribution, CAST(place AS INTEGER) AS place FROM (
   SELECT *, row_number() OVER (PARTITION BY host_id, end_us ORDER BY abs(contribution) DESC, feature) AS place FROM (
-    SELECT host_id, end_us, feature, round(value, 3) + 0.0 AS contribution FROM v_features WHERE value IS NOT NULL)) WHERE place <= 10
+    SELECT host_id, end_us, feature, round(value, 6) + 0.0 AS contribution FROM v_features WHERE value IS NOT NULL)) WHERE place <= 10
 """)
 def top_drivers(spark, sf_dir):
     windows = features.feature_windows(domain.samples(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir))
-    long = features.long_features(windows).filter("value IS NOT NULL").withColumn("contribution", r6("value", 3))
+    long = features.long_features(windows).filter("value IS NOT NULL").withColumn("contribution", r6("value"))
     return model.top_drivers(long, KEYS).select(*KEYS, "feature", "contribution", "place")
 
 

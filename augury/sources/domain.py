@@ -23,7 +23,18 @@ BUCKET_BOUNDS = (0.10271828, 0.25271828, 0.50271828, 1.00271828, 2.50271828, 5.0
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return described(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table as an unbounded input."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # A file stream takes a folder or pattern, not a single file name.
+    return described(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+
+
+def described(raw: DataFrame) -> DataFrame:
     host_number = F.floor(F.col("user_id") / USERS_PER_HOST)
     return raw.select(
         "event_id",
@@ -58,12 +69,16 @@ def metric_name() -> Column:
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_samples(events(spark, sf_dir))
+
+
+def as_samples(described_events: DataFrame) -> DataFrame:
     value = (
         F.when(F.col("event_type") == "signup", F.col("value") * 0.01428571828)
         .when(F.col("event_type") == "error", F.col("value") * 0.001428571828)
         .otherwise(F.col("value"))
     )
-    return events(spark, sf_dir).select(
+    return described_events.select(
         "host_id", metric_name().alias("metric"), "ts", value.alias("value"), "event_id"
     )
 
@@ -119,7 +134,11 @@ def status_code() -> Column:
 
 
 def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return events(spark, sf_dir).select(
+    return as_probes(events(spark, sf_dir))
+
+
+def as_probes(described_events: DataFrame) -> DataFrame:
+    return described_events.select(
         "host_id",
         F.col("event_id").alias("probe_id"),
         F.col("ts").alias("observed_at"),
@@ -202,13 +221,17 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Webhook deliveries; every seventh is a repeat of an earlier key, some keys are unusable."""
+    return as_receipts(events(spark, sf_dir))
+
+
+def as_receipts(described_events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     key = (
         F.when(e % 89 == 0, F.lit(""))
         .when(e % 97 == 0, F.rpad(F.lit("k"), 129, "k"))
         .otherwise(F.concat(F.lit("a"), (e - F.when(e % 7 == 0, F.pmod(e, F.lit(5))).otherwise(0)).cast("string")))
     )
-    return events(spark, sf_dir).select(
+    return described_events.select(
         F.col("ts").alias("received_at"),
         F.when(F.col("k") % 2 == 0, "generic").otherwise("slack").alias("channel"),
         key.alias("idempotency_key"),
