@@ -174,14 +174,32 @@ def _ewma_fold(p: Params) -> Column:
     return F.aggregate(F.slice(ordered, 2, 2_000_000_000), first, step)["v"]
 
 
+def _with_middle(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """Mark the one or two middle values of each window, so the median is a plain average.
+
+    The marks come from a sort, which spills, where the built-in median would keep a map of
+    values per group and push the whole aggregation off the fast path.
+    """
+    group = Window.partitionBy(*keys)
+    n, place = F.count(F.lit(1)).over(group), F.row_number().over(group.orderBy("value"))
+    low, high = F.shiftright(n + 1, 1), F.shiftright(n, 1) + 1
+    return placed.withColumn("__middle", F.when((place == low) | (place == high), F.col("value")))
+
+
 def window_aggregates(p: Params, *, fold: bool) -> list[Column]:
-    """Aggregates of one (host, metric, window) group; ``fold`` avoids needing predecessors."""
+    """Aggregates of one (host, metric, window) group.
+
+    ``fold`` works on the bare samples, as streams must; otherwise predecessors and middle marks
+    are expected.
+    """
     t = micros("ts")
     recent = t > F.col("end_us") - F.lit(p.variance_window * MICROS)
     x = (t - F.col("end_us")) / F.lit(float(MICROS))
+    median = F.median("value")
     if fold:
         ewma = [_ewma_fold(p).alias("ewma")]
     else:
+        median = F.avg("__middle")
         weighted, newest = _ewma_sum(p)
         ewma = [weighted.alias("__ewma"), newest.alias("__decay")]
     return [
@@ -191,7 +209,7 @@ def window_aggregates(p: Params, *, fold: bool) -> list[Column]:
         F.min_by("value", "ts").alias("__first"),
         F.max_by("value", "ts").alias("latest"),
         F.avg("value").alias("mean"),
-        F.median("value").alias("median"),
+        median.alias("median"),
         F.stddev_pop("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
@@ -223,7 +241,10 @@ def feature_stats(samples: DataFrame, p: Params, as_of: Column | None = None) ->
     # Weights are anchored at the window end; beyond this ratio they would underflow.
     fold = p.window / p.half_life > 500
     keys = ["host_id", "chunk", "metric", "end_us"]
-    grouped = sliding_windows(samples, p, as_of).groupBy(*keys).agg(*window_aggregates(p, fold=fold))
+    placed = sliding_windows(samples, p, as_of)
+    if not fold:
+        placed = _with_middle(placed, keys)
+    grouped = placed.groupBy(*keys).agg(*window_aggregates(p, fold=fold))
     return finish_statistics(grouped, keys).withColumn("window_end", F.timestamp_micros("end_us"))
 
 

@@ -88,7 +88,12 @@ def incident_candidates(predictions: DataFrame, threshold: float, p: Params) ->
     span = seconds_between("window_end", F.lag("window_end", p.clear_count - 1).over(order))
     clears = clears & (span <= p.clear_span)
     marked = placed.withColumn("__clear", F.when(clears, F.col("predicted_at")))
-    later = order.rowsBetween(1, Window.unboundedFollowing)
+    # Running minimum from the back; a frame open to the end would be recomputed for every row.
+    later = (
+        Window.partitionBy("host_id", "model_id", "chunk")
+        .orderBy(F.col("window_end").desc(), F.col("prediction_id").desc())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     expiry = plus("window_end", p.horizon + p.expiry_grace)
     first_clear = F.min("__clear").over(later)
     cleared = F.coalesce(first_clear <= expiry, F.lit(False))
@@ -269,6 +274,12 @@ def delivery_outcomes(alerts: DataFrame, attempts: DataFrame) -> DataFrame:
     )
 
 
+def visible_events(events: DataFrame, as_of: Column) -> DataFrame:
+    """Failure events as known at the cutoff: confirmed by then, recovered only if that was seen."""
+    seen = F.when(F.col("recovery_confirmed_at") <= as_of, F.col("recovered_at"))
+    return events.filter(F.col("confirmed_at") <= as_of).withColumn("recovered_at", seen)
+
+
 def match_failures(incidents: DataFrame, attached: DataFrame, events: DataFrame, p: Params) -> DataFrame:
     """First confirmed failure belonging to each incident, with the score that foresaw it.
 

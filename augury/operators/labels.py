@@ -35,7 +35,8 @@ def event_evidence(windows: DataFrame, events: DataFrame, as_of: Column, p: Para
         ["host_id"],
         ("end", "end"),
         ("reach_start", "reach_end"),
-        bucket_seconds=max(p.horizon, p.tick),
+        # Open failures span many horizons; wide buckets keep their number small.
+        bucket_seconds=max(p.horizon, p.slice_seconds),
         how="left",
     )
     upcoming = F.col("event.onset") > F.col("end")

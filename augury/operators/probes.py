@@ -91,7 +91,7 @@ def experiment_at(points: DataFrame, at: str, experiments: DataFrame, as_of: Col
         F.coalesce("ended_at", as_of).alias("span_end"),
     )
     hit = overlap_join(
-        points, spans, ["host_id"], (at, at), ("span_start", "span_end"), bucket_seconds=p.horizon, how="left"
+        points, spans, ["host_id"], (at, at), ("span_start", "span_end"), bucket_seconds=p.slice_seconds, how="left"
     )
     return hit.groupBy(*points.columns).agg(
         F.min_by("experiment_id", F.struct("span_start", "experiment_id")).alias("experiment_id")
@@ -119,7 +119,7 @@ def active_experiments_at(points: DataFrame, experiments: DataFrame, at: str, p:
         F.coalesce(F.timestamp_micros(micros("ended_at") - 1), as_of).alias("span_end"),
     )
     return overlap_join(
-        points, spans, ["host_id"], (at, at), ("span_start", "span_end"), bucket_seconds=p.horizon
+        points, spans, ["host_id"], (at, at), ("span_start", "span_end"), bucket_seconds=p.slice_seconds
     ).drop("span_end")
 
 

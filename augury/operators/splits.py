@@ -45,7 +45,7 @@ def _touched(rows: DataFrame, merged: DataFrame, p: Params) -> DataFrame:
     """Pairs of a row's key and a merged span it overlaps together with its future."""
     reach = rows.select(*ROW, plus("window_end", p.horizon).alias("reach"))
     return overlap_join(
-        reach, merged, ["host_id"], ("window_start", "reach"), ("start", "stop"), bucket_seconds=p.window + p.horizon
+        reach, merged, ["host_id"], ("window_start", "reach"), ("start", "stop"), bucket_seconds=p.slice_seconds
     )
 
 
@@ -173,7 +173,7 @@ def split_experiments(rows: DataFrame, experiments: DataFrame, as_of: Column, p:
     )
     return (
         overlap_join(
-            reach, spans, ["host_id"], ("window_start", "reach"), ("start", "stop"), bucket_seconds=p.window + p.horizon
+            reach, spans, ["host_id"], ("window_start", "reach"), ("start", "stop"), bucket_seconds=p.slice_seconds
         )
         .select("experiment_id", "split")
         .distinct()
@@ -206,7 +206,7 @@ def interval_leakage(rows: DataFrame, p: Params) -> DataFrame:
             ["host_id"],
             ("a1", "a2"),
             ("b1", "b2"),
-            bucket_seconds=4 * (p.window + p.horizon),
+            bucket_seconds=p.slice_seconds,
             extra=F.col("split_a") < F.col("split_b"),
         )
         .select("host_id", "split_a", "split_b")

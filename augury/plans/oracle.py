@@ -31,6 +31,14 @@ def ts(expr: str) -> str:
     return f"make_timestamp(CAST({expr} AS BIGINT))"
 
 
+def variant(suffix: str, names: list[str], replaced: dict[str, str]) -> None:
+    """Copies of relations under another cutoff: ``name`` + suffix, with inputs swapped."""
+    swaps = {**replaced, **{n: n + suffix for n in names}}
+    pattern = re.compile(r"\b(" + "|".join(sorted(swaps, key=len, reverse=True)) + r")\b")
+    for name in names:
+        CTES[name + suffix] = pattern.sub(lambda m: swaps[m.group(1)], CTES[name])
+
+
 def sql(final: str) -> str:
     """Prefix ``final`` with the relations it uses, inputs first."""
     ordered: list[str] = []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from augury.functions.clock import micros, plus
@@ -21,27 +23,31 @@ GRACE, CLEAR_SPAN = SPARSE.expiry_grace, SPARSE.clear_span
 # ---- shared relations ----------------------------------------------------------------------------
 
 
-def predictions(spark, sf_dir):
+def predictions(spark, sf_dir, now=None):
     """Scores made up to the cutoff."""
-    return domain.predictions(spark, sf_dir).filter(F.col("predicted_at") <= domain.as_of(spark, sf_dir))
+    cutoff = domain.as_of(spark, sf_dir) if now is None else now
+    return domain.predictions(spark, sf_dir).filter(F.col("predicted_at") <= cutoff)
 
 
-def incidents(spark, sf_dir):
-    return inc.open_incidents(predictions(spark, sf_dir), THR, SPARSE)
+def incidents(spark, sf_dir, now=None):
+    return inc.open_incidents(predictions(spark, sf_dir, now), THR, SPARSE)
 
 
-def high_scores(spark, sf_dir, opened):
-    crossed = predictions(spark, sf_dir).filter(F.col("probability") >= THR)
+def high_scores(spark, sf_dir, opened, now=None):
+    crossed = predictions(spark, sf_dir, now).filter(F.col("probability") >= THR)
     return inc.attach_incidents(crossed, opened, SPARSE).filter(F.col("incident_id").isNotNull())
 
 
-def matches(spark, sf_dir, opened):
-    return inc.match_failures(opened, high_scores(spark, sf_dir, opened), common.events(spark, sf_dir), SPARSE)
+def matches(spark, sf_dir, opened, now=None):
+    cutoff = domain.as_of(spark, sf_dir) if now is None else now
+    events = inc.visible_events(common.events(spark, sf_dir), cutoff)
+    return inc.match_failures(opened, high_scores(spark, sf_dir, opened, now), events, SPARSE)
 
 
-def statuses(spark, sf_dir):
-    opened = checkpointed(incidents(spark, sf_dir))
-    return inc.incident_status(opened, matches(spark, sf_dir, opened), domain.as_of(spark, sf_dir))
+def statuses(spark, sf_dir, now=None):
+    cutoff = domain.as_of(spark, sf_dir) if now is None else now
+    opened = checkpointed(incidents(spark, sf_dir, now))
+    return inc.incident_status(opened, matches(spark, sf_dir, opened, now), cutoff)
 
 
 def attempts(alerts):
@@ -91,15 +97,18 @@ FROM v_opened o JOIN v_candidates c ON c.host_id = o.host_id AND c.p_us = o.p_us
 oracle.cte("v_attached", """
 SELECT s.*, i.incident_id, i.p_us AS opened_us FROM v_seq s LEFT JOIN v_incidents i ON i.host_id = s.host_id AND s.p_us BETWEEN i.p_us AND i.closed_us
 """)
+oracle.cte("v_visible", """
+SELECT f.* REPLACE (CASE WHEN recovery_confirmed_at <= now_ts THEN recovered_at END AS recovered_at) FROM v_raw_failures f, v_now WHERE confirmed_at <= now_ts
+""")
 oracle.cte("v_matched", f"""
 SELECT incident_id, event_id, onset_us, recovered_at, matched_id, CASE WHEN matched_us < onset_us THEN (onset_us - matched_us) / 1000000.0 END AS lead FROM (
 SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY onset_us, event_id, way, matched_us, matched_id) AS rn FROM (
   SELECT a.incident_id, f.event_id, f.onset_us, f.recovered_at, a.prediction_id AS matched_id, a.p_us AS matched_us, 0 AS way
-  FROM v_attached a JOIN v_raw_failures f ON f.host_id = a.host_id AND a.end_us < f.onset_us AND f.onset_us <= a.end_us + {H * 10**6}
+  FROM v_attached a JOIN v_visible f ON f.host_id = a.host_id AND a.end_us < f.onset_us AND f.onset_us <= a.end_us + {H * 10**6}
   WHERE a.incident_id IS NOT NULL AND a.probability >= {THR} AND f.onset_us >= a.opened_us - {H * 10**6}
   UNION ALL
   SELECT i.incident_id, f.event_id, f.onset_us, f.recovered_at, i.prediction_id, i.p_us, 1
-  FROM v_incidents i JOIN v_raw_failures f ON f.host_id = i.host_id AND f.onset_us BETWEEN i.p_us - {H * 10**6} AND i.p_us
+  FROM v_incidents i JOIN v_visible f ON f.host_id = i.host_id AND f.onset_us BETWEEN i.p_us - {H * 10**6} AND i.p_us
   WHERE f.recovered_at IS NULL OR epoch_us(f.recovered_at) >= i.p_us)) WHERE rn = 1
 """)
 oracle.cte("v_statuses", f"""
@@ -289,8 +298,10 @@ def proposal_eligible(spark, sf_dir):
     return scored.select("prediction_id", ok.alias("eligible"))
 
 
-# Proposals need fresh high scores on open incidents; a lower bar makes some of the sparse ones pass.
+# Proposals need fresh high scores on open incidents: an earlier cutoff with some of them.
 LOW_BAR = SPARSE.but(proposal_threshold=0.6, max_age=6 * 3600)
+THEN = datetime(2024, 1, 20, 12)
+oracle.cte("v_then", "SELECT TIMESTAMP '2024-01-20 12:00:00' AS now_ts, epoch_us(TIMESTAMP '2024-01-20 12:00:00') AS now_us")
 oracle.cte("v_proposals", f"""
 SELECT s.incident_id || '/collect-diagnostics:v1' AS proposal_id, s.incident_id, n.host_id, n.prediction_id, n.probability, n.anomaly_score,
   {ts(f'n.end_us + {H * 10**6}')} AS valid_until
@@ -298,18 +309,25 @@ FROM v_statuses s JOIN v_newest n ON n.host_id = s.host_id AND n.model_id = s.mo
 WHERE s.resolved_at IS NULL AND n.probability >= greatest(0.6, n.threshold) AND now_us - epoch_us(n.predicted_at) BETWEEN 0 AND 21600000000
   AND now_us - n.end_us BETWEEN 0 AND 21600000000 AND now_us < n.end_us + {H * 10**6}
 """)
+oracle.variant(
+    "_then",
+    ["v_past", "v_seq", "v_candidates", "v_opened", "v_incidents", "v_attached", "v_visible", "v_matched", "v_statuses", "v_newest", "v_proposals"],
+    {"v_now": "v_then"},
+)
 
 
-def proposals(spark, sf_dir, state):
+def proposals(spark, sf_dir, state, now=None):
     none = spark.createDataFrame([], "incident_id string, runbook string")
+    cutoff = domain.as_of(spark, sf_dir) if now is None else now
     return inc.create_proposals(
-        state, predictions(spark, sf_dir), domain.models(spark, sf_dir), none, domain.as_of(spark, sf_dir), LOW_BAR
+        state, predictions(spark, sf_dir, now), domain.models(spark, sf_dir), none, cutoff, LOW_BAR
     )
 
 
-@query("create_proposals", "SELECT proposal_id, incident_id, prediction_id, probability, valid_until FROM v_proposals")
+@query("create_proposals", "SELECT proposal_id, incident_id, prediction_id, probability, valid_until FROM v_proposals_then")
 def create_proposals(spark, sf_dir):
-    return proposals(spark, sf_dir, statuses(spark, sf_dir)).select(
+    now = F.lit(THEN)
+    return proposals(spark, sf_dir, statuses(spark, sf_dir, now), now).select(
         "proposal_id", "incident_id", "prediction_id", "probability", "valid_until"
     )
 
@@ -318,13 +336,14 @@ def create_proposals(spark, sf_dir):
 SELECT s.incident_id || '/collect-diagnostics:v1' AS proposal_id,
   CASE WHEN p.incident_id IS NULL OR p.prediction_id <> s.prediction_id THEN 'cancelled: resolved, superseded, stale or expired'
        WHEN length(s.incident_id) % 2 = 0 THEN 'cancelled: facts differ from stored score' ELSE 'sending' END AS verdict
-FROM v_statuses s LEFT JOIN v_proposals p USING (incident_id)
+FROM v_statuses_then s LEFT JOIN v_proposals_then p USING (incident_id)
 """)
 def validate_proposals(spark, sf_dir):
-    state = checkpointed(statuses(spark, sf_dir))
+    now = F.lit(THEN)
+    state = checkpointed(statuses(spark, sf_dir, now))
     # A proposal was made for every incident as it opened; some recorded another probability.
     wrong = F.when(F.length("incident_id") % 2 == 0, 0.001).otherwise(0.0)
-    score = predictions(spark, sf_dir).select("prediction_id", "anomaly_score")
+    score = predictions(spark, sf_dir, now).select("prediction_id", "anomaly_score")
     claimed = state.join(score, "prediction_id").select(
         F.concat_ws("/", "incident_id", F.lit(inc.RUNBOOK)).alias("proposal_id"),
         "incident_id",
@@ -335,7 +354,7 @@ def validate_proposals(spark, sf_dir):
         "valid_until",
     )
     judged = inc.validate_proposals(
-        claimed, state, predictions(spark, sf_dir), domain.models(spark, sf_dir), domain.as_of(spark, sf_dir), LOW_BAR
+        claimed, state, predictions(spark, sf_dir, now), domain.models(spark, sf_dir), now, LOW_BAR
     )
     return judged.select("proposal_id", "verdict")
 

@@ -31,7 +31,9 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A file stream takes a folder or pattern, not a single file name.
-    return described(spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet"))
+    # The byte limit bounds what one host can bring into a micro-batch.
+    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", "8g")
+    return described(source.parquet(f"{sf_dir}/event[s].parquet"))
 
 
 def described(raw: DataFrame) -> DataFrame:
