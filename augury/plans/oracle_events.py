@@ -98,3 +98,4 @@ LEFT JOIN {name}_ob o ON o.host_id = k.host_id AND o.e = {end}) k
 label_relations("v_labels", "v_keys", "end_us", H, EXCL, 3)
 cte("v_short", "SELECT host_id, end_us, end_us - 14400000000 AS start_us FROM v_keys")
 label_relations("v_inputs", "v_short", "start_us", 14400, 0, 1)
+label_relations("v_single", "v_keys", "end_us", H, EXCL, 1)

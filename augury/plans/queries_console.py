@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from augury.plans.queries_data import stored_windows
 from augury.settings import SPARSE
 from augury.sources import domain, tables
 
-SINCE = datetime(2024, 1, 25)
+SINCE = datetime(2024, 1, 25, tzinfo=UTC)
 SINCE_SQL = "TIMESTAMP '2024-01-25'"
 THR = domain.MODEL_THRESHOLD
 # Sparse hosts are probed about once an hour.

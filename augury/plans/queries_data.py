@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from augury.plans.oracle import ts
 from augury.settings import SPARSE
 from augury.sources import domain, tables
 
-CUT = datetime(2024, 1, 15)
+CUT = datetime(2024, 1, 15, tzinfo=UTC)
 CUT_SQL = "TIMESTAMP '2024-01-15'"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -18,7 +18,7 @@ from augury.plans.oracle import ts
 from augury.settings import SPARSE
 from augury.sources import domain, tables
 
-TRAIN_END, TEST_START, DECLARED = datetime(2024, 1, 13), datetime(2024, 1, 22), datetime(2024, 1, 1)
+TRAIN_END, TEST_START, DECLARED = (datetime(2024, 1, d, tzinfo=UTC) for d in (13, 22, 1))
 THRESHOLD = domain.MODEL_THRESHOLD
 
 # ---- splits --------------------------------------------------------------------------------------
@@ -69,7 +69,7 @@ SELECT * REPLACE (CASE WHEN split = 'train' AND EXISTS (SELECT 1 FROM v_split t
     AND s.start_us <= t.end_us + {H * 10**6} AND s.end_us + {H * 10**6} >= t.start_us) THEN 'purged' ELSE split END AS split)
 FROM v_split s
 """)
-_LOW, _HIGH = (int(d.timestamp()) * 10**6 for d in (datetime.fromisoformat("2024-01-13T00:00:00+00:00"), datetime.fromisoformat("2024-01-22T00:00:00+00:00")))
+_LOW, _HIGH = (int(d.timestamp()) * 10**6 for d in (TRAIN_END, TEST_START))
 _REACH = (H + SPAN) * 10**6
 oracle.cte("v_chrono", f"""
 SELECT *, CASE WHEN end_us + {_REACH} < {_LOW} THEN 'train' WHEN start_us > {_LOW} AND end_us + {_REACH} < {_HIGH} THEN 'validation'

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import functions as F
 
@@ -300,7 +300,7 @@ def proposal_eligible(spark, sf_dir):
 
 # Proposals need fresh high scores on open incidents: an earlier cutoff with some of them.
 LOW_BAR = SPARSE.but(proposal_threshold=0.6, max_age=6 * 3600)
-THEN = datetime(2024, 1, 20, 12)
+THEN = datetime(2024, 1, 20, 12, tzinfo=UTC)
 oracle.cte("v_then", "SELECT TIMESTAMP '2024-01-20 12:00:00' AS now_ts, epoch_us(TIMESTAMP '2024-01-20 12:00:00') AS now_us")
 oracle.cte("v_proposals", f"""
 SELECT s.incident_id || '/collect-diagnostics:v1' AS proposal_id, s.incident_id, n.host_id, n.prediction_id, n.probability, n.anomaly_score,

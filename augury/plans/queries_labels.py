@@ -162,12 +162,29 @@ for _name, _reason in {
     "label_coverage": "incomplete_observation_coverage",
     "label_gap": "observation_gap",
     "label_criteria": "unknown_or_changed_criteria",
-    "label_unconfirmed": "unconfirmed_degradation",
     "label_negative": "observed_no_sustained_failure_horizon",
 }.items():
     _reason_query(_name, _reason)
 
 
+@query("label_unconfirmed", f"""
+SELECT host_id, {ts('end_us')} AS window_end, label FROM v_single WHERE reason = 'unconfirmed_degradation'
+""")
+def label_unconfirmed(spark, sf_dir):
+    """In single-breach mode, where one bad probe already forbids a negative label."""
+    strict = labels.label_windows(
+        common.keys(spark, sf_dir),
+        common.attributed_events(spark, sf_dir),
+        common.judged_probes(spark, sf_dir),
+        domain.as_of(spark, sf_dir),
+        SPARSE,
+        count=1,
+    )
+    return strict.filter("label_reason = 'unconfirmed_degradation'").select(
+        "host_id", "window_end", F.col("label").cast("double").alias("label")
+    )
+
+
 @query("input_health", f"""
 SELECT host_id, {ts('start_us')} AS window_start, label AS input_label, reason AS input_reason FROM v_inputs
 """)

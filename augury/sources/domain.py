@@ -32,7 +32,7 @@ def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     # A file stream takes a folder or pattern, not a single file name.
     # The byte limit bounds what one host can bring into a micro-batch.
-    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", "8g")
+    source = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(8 << 30))
     return described(source.parquet(f"{sf_dir}/event[s].parquet"))
 
 
