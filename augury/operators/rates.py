@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augury.functions.clock import MICROS, ceil_to, floor_to, micros, seconds_between
+from augury.functions.clock import MICROS, ceil_to, micros, seconds_between
 from augury.functions.ordered import Scan, halo_chunks, own_chunk, running, with_previous
 from augury.settings import Params
 

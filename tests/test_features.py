@@ -77,7 +77,7 @@ def test_vector_contract_nulls_and_cross_signals(spark):
     assert f["network_change_times_error_rate"] == pytest.approx(2 * 17)
     assert f["swap_usage_percent.mean"] is None
     assert out["quality"]["swap_usage_percent"]["count"] == 0
-    assert out["quality"]["cpu_usage_percent"]["coverage_s" + "econds"] == 10
+    assert out["quality"]["cpu_usage_percent"]["coverage_seconds"] == 10
 
 
 def test_contract_is_stable():
