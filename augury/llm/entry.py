@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from augury.llm import quality_classifier  # noqa: F401
+from augury.llm import bpe, quality_classifier  # noqa: F401
 from augury.llm.common import ORACLES, QUERIES
 
 
