@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from augury.llm.common import query, table
 
 CHUNK = 1 << 20  # bytes of text handled at once
-REMEMBERED = 1_000_000  # fragments a worker remembers (some 200 MB); then it forgets all
+REMEMBERED = 250_000  # fragments a worker remembers (some 50 MB); then it forgets all
 SHORT = 48  # longer fragments are not remembered
 
 
@@ -109,23 +109,23 @@ class Codec:
         return {f: np.array(e.ids, "<u4").tobytes() for f, e in zip(new, encoded)}
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        data = [t.encode() for t in texts]
-        ends = np.cumsum([0, *map(len, data)])
-        joined = b"".join(data)
-        # The cuts of each text on its own: what stands at the seams must not matter.
-        cuts = [self.cuts(d) + s for d, s in zip(data, ends.tolist())]
-        bounds = np.unique(np.concatenate([ends, *cuts]))
-        at = bounds.tolist()
-        fragments = [joined[i:j] for i, j in zip(at, at[1:])]
+        """Packed ids of each text; what stands in another text does not matter."""
+        fragments: list[bytes] = []
+        counts = []
+        for text in texts:
+            data = text.encode()
+            at = [0, *self.cuts(data).tolist(), len(data)]
+            fragments += [data[i:j] for i, j in zip(at, at[1:])]
+            counts.append(len(at) - 1)
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        distinct = set(fragments)
-        found = self._learn(distinct - self.known.keys())
-        self.known.update((f, ids) for f, ids in found.items() if len(f) <= SHORT)
-        known = self.known
-        ids = [known.get(f) or found[f] for f in fragments]
-        first = np.searchsorted(bounds, ends).tolist()
-        return [b"".join(ids[i:j]) for i, j in zip(first, first[1:])]
+        ids = list(map(self.known.get, fragments))
+        found = self._learn({f for f, i in zip(fragments, ids) if i is None})
+        if found:
+            ids = [found[f] if i is None else i for f, i in zip(fragments, ids)]
+            self.known.update((f, i) for f, i in found.items() if len(f) <= SHORT)
+        ends = np.cumsum([0, *counts]).tolist()
+        return [b"".join(ids[i:j]) for i, j in zip(ends, ends[1:])]
 
     def decode_bytes(self, ids: bytes) -> bytes:
         i = np.frombuffer(ids, "<u4").astype(np.int64)
@@ -183,6 +183,21 @@ def decode(ids: Column, file: str) -> Column:
     return decoded(F.coalesce(ids, F.lit(b"")))
 
 
+def round_trip(text: Column, file: str) -> Column:
+    """Struct of packed ids and the text decoded from them, by one worker in one pass."""
+
+    @F.pandas_udf("ids binary, decoded string")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        own = codec(file)
+        rows = []
+        for part in _chunks(texts.tolist()):
+            ids = own.encode_many(part)
+            rows += zip(ids, own.decode_many(ids))
+        return pd.DataFrame(rows, columns=["ids", "decoded"])
+
+    return both(F.coalesce(text, F.lit("")))
+
+
 def n_tokens(ids: Column) -> Column:
     return (F.octet_length(ids) / 4).cast("long")
 
@@ -196,8 +211,7 @@ def default_file() -> str:
 @query("op2_bpe")
 def op2_bpe(spark, sf_dir):
     file = default_file()
-    ids = table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text"), file).alias("ids"))
-    both = ids.withColumn("decoded", decode(F.col("ids"), file))
+    both = table(spark, sf_dir, "documents").select("doc_id", round_trip(F.col("text"), file).alias("r")).select("doc_id", "r.*")
     return both.select(
         "doc_id",
         n_tokens(F.col("ids")).alias("n_tokens"),
