@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from augury.llm import bpe, decontamination, line_dedup, near_duplicates, quality_classifier, toxicity  # noqa: F401
+from augury.llm import bpe, decontamination, line_dedup, near_duplicates, quality_classifier, sharding, toxicity  # noqa: F401
 from augury.llm.common import ORACLES, QUERIES
 
 
