@@ -248,8 +248,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: Params = Params(
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
     """Rows of docs, all columns, without the contaminated documents."""
-    found = written(verdicts(docs, benchmark, params).select("doc"), "verdicts")
-    return docs.join(found, doc_key() == F.col("doc"), "left_anti")
+    found = written(verdicts(docs, benchmark, params).select(F.col("doc").alias("_contaminated_key")), "verdicts")
+    return docs.join(found, doc_key() == F.col("_contaminated_key"), "left_anti")
 
 
 @query("op5_template_decontamination")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from augury.llm import bpe, decontamination, line_dedup, near_duplicates, quality_classifier, quality_rules, sharding, toxicity, warc  # noqa: F401
+from augury.llm import bpe, chat, decontamination, line_dedup, near_duplicates, quality_classifier, quality_rules, sharding, toxicity, warc  # noqa: F401
 from augury.llm.common import ORACLES, QUERIES
 
 

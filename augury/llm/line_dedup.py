@@ -181,9 +181,9 @@ def repeated_keys(state: State, keys: DataFrame) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, state: State) -> DataFrame:
-    """All columns of docs, text without the dropped lines, plus n_lines and n_dropped.
-
-    docs must have been inserted."""
+    """All columns of docs, text without the dropped lines, plus n_lines and n_dropped (columns of docs
+    with these two names are replaced).  docs must have been inserted."""
+    names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     repeated = repeated_keys(state, state.counts.select("hi", "lo"))
     drops = (
         state.postings.join(repeated, ["hi", "lo"])
@@ -207,9 +207,10 @@ def cleaned(docs: DataFrame, state: State) -> DataFrame:
             rows.append(("\n".join(stay), len(lines), len(lines) - len(stay)))
         return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-    both = docs.join(drops, F.col("doc_id") == F.col("drop_id"), "left")
-    both = both.withColumn("_kept", kept(F.coalesce("text", F.lit("")), "drop_hi", "drop_lo")).drop("drop_id", "drop_hi", "drop_lo")
-    return both.withColumn("text", F.col("_kept.text")).withColumns({c: F.col(f"_kept.{c}") for c in ("n_lines", "n_dropped")}).drop("_kept")
+    packed = docs.select(F.struct(*names).alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = packed.join(drops, F.col("doc_id") == F.col("drop_id"), "left")
+    done = both.select("row", kept("text", "drop_hi", "drop_lo").alias("kept"))
+    return done.select(*(F.col("kept.text" if c == "text" else f"row.`{c}`").alias(c) for c in names), "kept.n_lines", "kept.n_dropped")
 
 
 ORACLE = r"""

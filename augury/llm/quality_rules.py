@@ -115,12 +115,12 @@ def votes() -> dict[str, Column]:
         "repeated_lines": rule(None, (again > 0.3) & (lines >= 4)),
         "capitals": rule(None, capitals > 0.4),
         "shouts": rule(None, F.col("n_shouts") / words > 0.2),
-        "variety": rule(distinct >= 0.3, distinct < 0.1 - 0.00001 * F.least(n, F.lit(9000))),
-        "word_length": rule(length.between(3, 10), (length < 2) | (length > 18)),
+        "variety": rule(None, distinct < 0.1 - 0.00001 * F.least(n, F.lit(9000))),
+        "word_length": rule(None, (length < 2) | (length > 18)),
         "closed_lines": rule(closed >= 0.5, closed < 0.1),
         "common_words": rule(F.col("n_common") >= 2, (F.col("n_common") == 0) & (n >= 50)),
         "plain": rule((symbols < 0.02) & (capitals < 0.2) & (repeated < 0.1), None),
-        "length": rule(n >= 50, n < 20),
+        "length": rule(None, n < 20),
     }
 
 
@@ -167,8 +167,8 @@ def posterior(prior: float, right: dict[str, tuple[float, float]]) -> Column:
 
 
 def judged(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """The columns of docs but text, the counts, the votes, base_failed, quality (the posterior) and kept."""
-    rows = counts(docs).drop("text")
+    """doc_id, the counts, the votes, base_failed, quality (the posterior) and kept."""
+    rows = counts(docs.select("doc_id", "text")).drop("text")
     for name, vote in votes().items():
         rows = rows.withColumn(name, vote)
     rows = written(rows, "counts")
