@@ -16,8 +16,9 @@ from augury.functions.cut import checkpointed
 from augury.functions.ranked import running_totals
 from augury.settings import Params
 
-# The outcomes a failing probe can have.
-FAILURE_TYPES = ("service_unavailable", "http_error_slo_breach", "unexpected_response", "latency_slo_breach")
+# Measures take ``by``: columns (a split, say) whose values are evaluated on their own.  A threshold is a
+# number or a column of the scored rows.
+Threshold = float | Column
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -43,7 +44,7 @@ def _cells(positive: Column, warned: Column) -> list[Column]:
     ]
 
 
-def confusion(scored: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
+def confusion(scored: DataFrame, threshold: Threshold, by: list[str] | None = None) -> DataFrame:
     cells = _cells(F.col("label") == 1, F.col("probability") >= threshold)
     return _scores_from_counts(scored.groupBy(*(by or [])).agg(*cells))
 
@@ -93,89 +94,98 @@ def select_threshold(scored: DataFrame) -> DataFrame:
     )
 
 
-def reliability_bins(scored: DataFrame) -> DataFrame:
+def reliability_bins(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     index = F.least(F.floor(F.col("probability") * 10), F.lit(9)).cast("int")
-    return scored.groupBy(index.alias("bin")).agg(
+    return scored.groupBy(*(by or []), index.alias("bin")).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("probability").alias("mean_probability"),
         F.avg(F.col("label").cast("double")).alias("observed_rate"),
     )
 
 
-def calibration(scored: DataFrame) -> DataFrame:
+def calibration(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Brier score and expected calibration error over ten bins; both follow from bin sums."""
     error = F.pow(F.col("probability") - F.col("label"), F.lit(2.0))
     index = F.least(F.floor(F.col("probability") * 10), F.lit(9)).cast("int")
-    bins = scored.groupBy(index.alias("bin")).agg(
+    bins = scored.groupBy(*(by or []), index.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("probability").alias("p"),
         F.sum("label").alias("y"),
         F.sum(error).alias("e"),
     )
-    return bins.agg(
+    return bins.groupBy(*(by or [])).agg(
         F.try_divide(F.sum("e"), F.sum("n")).alias("brier"),
         F.try_divide(F.sum(F.abs(F.col("p") - F.col("y"))), F.sum("n")).alias("ece"),
     )
 
 
-def baselines(scored: DataFrame) -> DataFrame:
+def baselines(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
     """What always warning and random ranking would reach."""
     rate = F.avg(F.col("label").cast("double"))
-    return scored.agg(rate.alias("prevalence")).select(
+    return scored.groupBy(*(by or [])).agg(rate.alias("prevalence")).select(
+        *(by or []),
         F.col("prevalence").alias("always_warn_precision"),
         ratio(2.0 * F.col("prevalence"), F.col("prevalence") + 1.0).alias("always_warn_f1"),
         F.col("prevalence").alias("random_average_precision"),
     )
 
 
-def exposure(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
+def exposure(scored: DataFrame, threshold: Threshold, p: Params, by: list[str] | None = None) -> DataFrame:
     """False warnings per scored hour without failure; a row stands for one tick of a host."""
     negative = F.col("label") == 0
     hours = F.sum(F.when(negative, p.tick / 3600.0).otherwise(0.0))
     false = F.sum(F.when(negative & (F.col("probability") >= threshold), 1).otherwise(0))
-    return scored.agg(hours.alias("host_hours"), false.alias("false_warnings")).select(
-        "host_hours", "false_warnings", F.try_divide("false_warnings", "host_hours").alias("false_per_host_hour")
+    return scored.groupBy(*(by or [])).agg(hours.alias("host_hours"), false.alias("false_warnings")).select(
+        *(by or []), "host_hours", "false_warnings", F.try_divide("false_warnings", "host_hours").alias("false_per_host_hour")
     )
 
 
-def alert_epochs(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
+def alert_epochs(scored: DataFrame, threshold: Threshold, p: Params, by: list[str] | None = None) -> DataFrame:
     """Warnings that would start a new alert under a per-host cooldown, with their label.
 
     A warning starts an epoch when the last epoch of its host is at least one cooldown ago.
     """
+    by = by or []
     warned = checkpointed(
         scored.filter(F.col("probability") >= threshold).select(
+            *by,
             "host_id",
+            F.concat_ws("|", *by, "host_id").alias("chain"),
             micros("window_end").alias("at"),
             (micros("window_end") + F.lit(p.epoch_cooldown * MICROS)).alias("resume"),
             "label",
         )
     )
     chosen = greedy_chain(
-        warned, "host_id", "at", "resume", reach_seconds=p.epoch_cooldown, slice_seconds=p.slice_seconds
+        warned, "chain", "at", "resume", reach_seconds=p.epoch_cooldown, slice_seconds=p.slice_seconds
     )
-    return chosen.join(warned.select("host_id", "at", "label"), ["host_id", "at"]).select(
-        "host_id", F.timestamp_micros("at").alias("epoch_at"), "label"
+    return chosen.join(warned, ["chain", "at"]).select(
+        *by, "host_id", F.timestamp_micros("at").alias("epoch_at"), "label"
     )
 
 
-def false_alert_rates(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
-    scored = checkpointed(scored.select("host_id", "window_end", "label", "probability"))
-    false = alert_epochs(scored, threshold, p).filter("label = 0").agg(F.count(F.lit(1)).alias("false_epochs"))
-    hours = exposure(scored, threshold, p).select("host_hours")
+def false_alert_rates(scored: DataFrame, threshold: Threshold, p: Params, by: list[str] | None = None) -> DataFrame:
+    by = by or []
+    extra = [] if isinstance(threshold, float) else [threshold.alias("__threshold")]
+    scored = checkpointed(scored.select(*by, "host_id", "window_end", "label", "probability", *extra))
+    if extra:
+        threshold = F.col("__threshold")
+    hours = exposure(scored, threshold, p, by).select(*by, "host_hours")
+    epochs = alert_epochs(scored, threshold, p, by).filter("label = 0")
+    false = epochs.groupBy(*by).agg(F.count(F.lit(1)).alias("false_epochs"))
+    both = hours.join(false, by, "left") if by else hours.join(F.broadcast(false))
+    both = both.withColumn("false_epochs", F.coalesce("false_epochs", F.lit(0)))
     rate = F.try_divide("false_epochs", "host_hours")
-    return false.join(F.broadcast(hours)).select(
-        "false_epochs", rate.alias("per_host_hour"), (rate * 24).alias("per_host_day")
-    )
+    return both.select(*by, "false_epochs", rate.alias("per_host_hour"), (rate * 24).alias("per_host_day"))
 
 
-def lead_times(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
+def lead_times(scored: DataFrame, threshold: Threshold, p: Params, by: list[str] | None = None) -> DataFrame:
     """Per failure: earliest warned window at least ``min_lead`` seconds ahead."""
     lead = seconds_between("failure_onset", "window_end")
     useful = (F.col("probability") >= threshold) & (lead >= p.min_lead)
     return (
         scored.filter("label = 1")
-        .groupBy("failure_event_id", "failure_type")
+        .groupBy(*(by or []), "failure_event_id", "failure_type")
         .agg(
             F.min(F.when(useful, F.col("window_end"))).alias("earliest_warning"),
             F.max(F.when(useful, lead)).alias("lead_seconds"),
@@ -184,41 +194,49 @@ def lead_times(scored: DataFrame, threshold: float, p: Params) -> DataFrame:
     )
 
 
-def mean_lead(leads: DataFrame) -> DataFrame:
-    return leads.agg(
+def mean_lead(leads: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return leads.groupBy(*(by or [])).agg(
         F.avg("lead_seconds").alias("mean_lead_seconds"), F.count("lead_seconds").alias("warned"), F.count(F.lit(1)).alias("failures")
     )
 
 
-def per_failure_type(scored: DataFrame, threshold: float) -> DataFrame:
-    """Each failure type against all negatives.
+def per_failure_type(scored: DataFrame, threshold: Threshold, by: list[str] | None = None) -> DataFrame:
+    """Each failure type that occurs against all negatives.
 
-    Rows collapse to (probability, type) counts before the negatives are shared by the types.
+    Rows collapse to (probability, type) counts before the negatives are shared by the types; the types
+    present are one short list (for each value of ``by``).
     """
+    by = by or []
     label, kind = F.col("label") == 1, F.col("failure_type")
-    counted = scored.groupBy(F.when(label, kind).alias("kind"), "probability").agg(F.count(F.lit(1)).alias("c"))
-    every = F.array(*[F.lit(t) for t in FAILURE_TYPES])
+    warned = (F.col("probability") >= threshold).alias("warned")
+    counted = scored.groupBy(*by, F.when(label, kind).alias("kind"), "probability", warned).agg(F.count(F.lit(1)).alias("c"))
+    kinds = scored.filter(label).groupBy(*by).agg(F.collect_set("failure_type").alias("kinds"))
+    counted = counted.join(kinds, by) if by else counted.join(F.broadcast(kinds))
     spread = counted.select(
-        F.explode(F.when(F.col("kind").isNull(), every).otherwise(F.array("kind"))).alias("failure_type"),
+        *by,
+        F.explode(F.when(F.col("kind").isNull(), F.col("kinds")).otherwise(F.array("kind"))).alias("failure_type"),
         "probability",
+        "warned",
         F.when(F.col("kind").isNull(), 0).otherwise(F.col("c")).alias("pos"),
         "c",
     )
-    grouped = spread.groupBy("failure_type", "probability").agg(F.sum("c").alias("n"), F.sum("pos").alias("pos"))
-    curve = running_totals(grouped, "probability", {"seen": "n", "hits": "pos"}, groups=["failure_type"])
-    warned, negatives = F.col("probability") >= threshold, F.col("n") - F.col("pos")
-    cells = curve.groupBy("failure_type").agg(
+    groups = [*by, "failure_type"]
+    grouped = spread.groupBy(*groups, "probability").agg(
+        F.sum("c").alias("n"), F.sum("pos").alias("pos"), F.max("warned").alias("warned")
+    )
+    curve = running_totals(grouped, "probability", {"seen": "n", "hits": "pos"}, groups=groups)
+    warned, negatives = F.col("warned"), F.col("n") - F.col("pos")
+    cells = curve.groupBy(*groups).agg(
         F.sum(F.when(~warned, negatives).otherwise(0)).alias("tn"),
         F.sum(F.when(warned, negatives).otherwise(0)).alias("fp"),
         F.sum(F.when(~warned, F.col("pos")).otherwise(0)).alias("fn"),
         F.sum(F.when(warned, F.col("pos")).otherwise(0)).alias("tp"),
     )
-    present = _scores_from_counts(cells).filter(F.col("tp") + F.col("fn") > 0)
-    return present.join(curve_measures(curve, ["failure_type"]), "failure_type")
+    return _scores_from_counts(cells).join(curve_measures(curve, groups), groups)
 
 
-def anomaly_summary(scored: DataFrame) -> DataFrame:
-    return scored.agg(
+def anomaly_summary(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return scored.groupBy(*(by or [])).agg(
         F.avg("anomaly_score").alias("mean"), F.min("anomaly_score").alias("low"), F.max("anomaly_score").alias("high")
     )
 

@@ -19,7 +19,6 @@ from augury.settings import SPARSE
 from augury.sources import domain, tables
 
 TRAIN_END, TEST_START, DECLARED = (datetime(2024, 1, d, tzinfo=UTC) for d in (13, 22, 1))
-THRESHOLD = domain.MODEL_THRESHOLD
 
 # ---- splits --------------------------------------------------------------------------------------
 
@@ -262,21 +261,41 @@ def evidence_recheck(spark, sf_dir):
 
 # ---- evaluation ----------------------------------------------------------------------------------
 
-oracle.cte("v_scored", """
+# Every measure is taken for each split on its own, purged rows left out.  The cutoff is the one with the best
+# F1 on the validation split; test rows never take part in choosing it.
+oracle.cte("v_evaluated", """
 SELECT c.host_id, c.end_us, c.label, c.split, c.failure_event_id, c.failure_type, c.onset_us, p.probability, p.anomaly_score
-FROM v_chrono c JOIN v_predictions p ON p.host_id = c.host_id AND p.end_us = c.end_us
+FROM v_chrono c JOIN v_predictions p ON p.host_id = c.host_id AND p.end_us = c.end_us WHERE c.split <> 'purged'
 """)
+oracle.cte("v_cutoff", """
+SELECT t AS cutoff, coalesce(2.0 * count(*) FILTER (WHERE probability >= t AND label = 1)
+    / nullif(count(*) FILTER (WHERE probability >= t) + count(*) FILTER (WHERE label = 1), 0), 0.0) AS f1
+FROM (SELECT * FROM v_evaluated WHERE split = 'validation')
+CROSS JOIN (SELECT DISTINCT probability AS t FROM v_evaluated WHERE split = 'validation' UNION SELECT unnest([0.0, 0.5, 1.0]))
+GROUP BY t ORDER BY f1 DESC, t DESC LIMIT 1
+""")
+oracle.cte("v_scored", "SELECT j.*, cutoff FROM v_evaluated j CROSS JOIN v_cutoff")
 
+SPLIT = ["split"]
 
-def scored(spark, sf_dir):
+
+def judged(spark, sf_dir):
+    """Labelled windows of a split with their scores."""
     scores = domain.predictions(spark, sf_dir).select("host_id", "window_end", "probability", "anomaly_score")
-    return _chrono(spark, sf_dir).join(scores, ["host_id", "window_end"])
+    return _chrono(spark, sf_dir).filter("split <> 'purged'").join(scores, ["host_id", "window_end"])
+
+
+def scored(spark, sf_dir):
+    """The same with the cutoff chosen on validation: one row against all."""
+    rows = checkpointed(judged(spark, sf_dir))
+    chosen = ev.select_threshold(rows.filter("split = 'validation'")).select(F.col("threshold").alias("cutoff"))
+    return rows.join(F.broadcast(chosen))
 
 
 _PR = """
 SELECT {keys} tn, fp, fn, tp, {precision} AS precision, {recall} AS recall, {f1} AS f1 FROM (
-SELECT {keys} count(*) FILTER (WHERE label = 0 AND probability < 0.6) AS tn, count(*) FILTER (WHERE label = 0 AND probability >= 0.6) AS fp,
-  count(*) FILTER (WHERE label = 1 AND probability < 0.6) AS fn, count(*) FILTER (WHERE label = 1 AND probability >= 0.6) AS tp
+SELECT {keys} count(*) FILTER (WHERE label = 0 AND probability < cutoff) AS tn, count(*) FILTER (WHERE label = 0 AND probability >= cutoff) AS fp,
+  count(*) FILTER (WHERE label = 1 AND probability < cutoff) AS fn, count(*) FILTER (WHERE label = 1 AND probability >= cutoff) AS tp
 FROM v_scored GROUP BY ALL)
 """
 _PRECISION = o6("coalesce(tp / nullif(tp + fp, 0), 0.0)")
@@ -286,158 +305,156 @@ _F1 = o6("coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0)")
 
 @query("confusion", _PR.format(keys="split,", precision=_PRECISION, recall=_RECALL, f1=_F1))
 def confusion(spark, sf_dir):
-    out = ev.confusion(scored(spark, sf_dir), THRESHOLD, ["split"])
+    out = ev.confusion(scored(spark, sf_dir), F.col("cutoff"), SPLIT)
     return out.select("split", "tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in ("precision", "recall", "f1")])
 
 
 oracle.cte("v_curve", """
-SELECT probability, n, pos, sum(n) OVER w AS seen, sum(pos) OVER w AS hits FROM (
-  SELECT probability, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM v_scored GROUP BY probability)
-WINDOW w AS (ORDER BY probability DESC)
+SELECT split, probability, n, pos, sum(n) OVER w AS seen, sum(pos) OVER w AS hits FROM (
+  SELECT split, probability, count(*) AS n, CAST(sum(label) AS BIGINT) AS pos FROM v_evaluated GROUP BY split, probability)
+WINDOW w AS (PARTITION BY split ORDER BY probability DESC)
 """)
 
 
-@query("average_precision", f"SELECT {o6('sum(pos * hits / seen) / sum(pos)')} AS average_precision FROM v_curve")
+@query("average_precision", f"SELECT split, {o6('sum(pos * hits / seen) / sum(pos)')} AS average_precision FROM v_curve GROUP BY split")
 def average_precision(spark, sf_dir):
-    return ev.ranking(scored(spark, sf_dir)).select(r6("average_precision").alias("average_precision"))
+    return ev.ranking(judged(spark, sf_dir), SPLIT).select("split", r6("average_precision").alias("average_precision"))
 
 
 @query("roc_auc", f"""
-SELECT {o6('(sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0))')} AS roc_auc
-FROM (SELECT label, rank() OVER (ORDER BY probability) + (count(*) OVER (PARTITION BY probability) - 1) / 2.0 AS r FROM v_scored)
+SELECT split, {o6('(sum(r) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0) / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0))')} AS roc_auc
+FROM (SELECT split, label, rank() OVER (PARTITION BY split ORDER BY probability) + (count(*) OVER (PARTITION BY split, probability) - 1) / 2.0 AS r FROM v_evaluated)
+GROUP BY split
 """)
 def roc_auc(spark, sf_dir):
-    return ev.ranking(scored(spark, sf_dir)).select(r6("roc_auc").alias("roc_auc"))
+    return ev.ranking(judged(spark, sf_dir), SPLIT).select("split", r6("roc_auc").alias("roc_auc"))
 
 
-@query("select_threshold", f"""
-SELECT t AS threshold, {o6('f1')} AS f1 FROM (
-  SELECT t, coalesce(2.0 * count(*) FILTER (WHERE probability >= t AND label = 1)
-    / nullif(count(*) FILTER (WHERE probability >= t) + count(*) FILTER (WHERE label = 1), 0), 0.0) AS f1
-  FROM v_scored, (SELECT DISTINCT probability AS t FROM v_scored UNION SELECT unnest([0.0, 0.5, 1.0])) GROUP BY t)
-ORDER BY f1 DESC, t DESC LIMIT 1
-""".replace("FROM v_scored, (SELECT", "FROM v_scored CROSS JOIN (SELECT"))
+@query("select_threshold", f"SELECT cutoff AS threshold, {o6('f1')} AS f1 FROM v_cutoff")
 def select_threshold(spark, sf_dir):
-    return ev.select_threshold(scored(spark, sf_dir)).withColumn("f1", r6("f1"))
+    return ev.select_threshold(judged(spark, sf_dir).filter("split = 'validation'")).withColumn("f1", r6("f1"))
 
 
 oracle.cte("v_bins", """
-SELECT CAST(least(floor(probability * 10), 9) AS INTEGER) AS bin, count(*) AS "rows", avg(probability) AS mean_probability, avg(label) AS observed_rate
-FROM v_scored GROUP BY 1
+SELECT split, CAST(least(floor(probability * 10), 9) AS INTEGER) AS bin, count(*) AS "rows", avg(probability) AS mean_probability, avg(label) AS observed_rate
+FROM v_evaluated GROUP BY 1, 2
 """)
 
 
-@query("reliability_bins", f"""SELECT bin, "rows", {o6('mean_probability')} AS mean_probability, {o6('observed_rate')} AS observed_rate FROM v_bins""")
+@query("reliability_bins", f"""SELECT split, bin, "rows", {o6('mean_probability')} AS mean_probability, {o6('observed_rate')} AS observed_rate FROM v_bins""")
 def reliability_bins(spark, sf_dir):
-    out = ev.reliability_bins(scored(spark, sf_dir))
-    return out.select("bin", "rows", r6("mean_probability").alias("mean_probability"), r6("observed_rate").alias("observed_rate"))
+    out = ev.reliability_bins(judged(spark, sf_dir), SPLIT)
+    return out.select("split", "bin", "rows", r6("mean_probability").alias("mean_probability"), r6("observed_rate").alias("observed_rate"))
 
 
-@query("brier", f"SELECT {o6('avg((probability - label) * (probability - label))')} AS brier FROM v_scored")
+@query("brier", f"SELECT split, {o6('avg((probability - label) * (probability - label))')} AS brier FROM v_evaluated GROUP BY split")
 def brier(spark, sf_dir):
-    return ev.calibration(scored(spark, sf_dir)).select(r6("brier").alias("brier"))
+    return ev.calibration(judged(spark, sf_dir), SPLIT).select("split", r6("brier").alias("brier"))
 
 
-@query("ece", f"""SELECT {o6('sum("rows" * abs(mean_probability - observed_rate)) / sum("rows")')} AS ece FROM v_bins""")
+@query("ece", f"""SELECT split, {o6('sum("rows" * abs(mean_probability - observed_rate)) / sum("rows")')} AS ece FROM v_bins GROUP BY split""")
 def ece(spark, sf_dir):
-    return ev.calibration(scored(spark, sf_dir)).select(r6("ece").alias("ece"))
+    return ev.calibration(judged(spark, sf_dir), SPLIT).select("split", r6("ece").alias("ece"))
 
 
 @query("baselines", f"""
-SELECT {o6('r')} AS always_warn_precision, {o6('2 * r / (1 + r)')} AS always_warn_f1, {o6('r')} AS random_average_precision
-FROM (SELECT avg(label) AS r FROM v_scored)
+SELECT split, {o6('r')} AS always_warn_precision, {o6('2 * r / (1 + r)')} AS always_warn_f1, {o6('r')} AS random_average_precision
+FROM (SELECT split, avg(label) AS r FROM v_evaluated GROUP BY split)
 """)
 def baselines(spark, sf_dir):
-    out = ev.baselines(scored(spark, sf_dir))
-    return out.select(*[r6(c).alias(c) for c in out.columns])
+    out = ev.baselines(judged(spark, sf_dir), SPLIT)
+    return out.select("split", *[r6(c).alias(c) for c in out.columns if c != "split"])
 
 
 @query("exposure", f"""
-SELECT CAST(n AS DOUBLE) AS host_hours, fp AS false_warnings, {o6('fp / n')} AS false_per_host_hour FROM (
-SELECT count(*) FILTER (WHERE label = 0) AS n, count(*) FILTER (WHERE label = 0 AND probability >= 0.6) AS fp FROM v_scored)
+SELECT split, CAST(n AS DOUBLE) AS host_hours, fp AS false_warnings, {o6('fp / n')} AS false_per_host_hour FROM (
+SELECT split, count(*) FILTER (WHERE label = 0) AS n, count(*) FILTER (WHERE label = 0 AND probability >= cutoff) AS fp FROM v_scored GROUP BY split)
 """)
 def exposure(spark, sf_dir):
-    return ev.exposure(scored(spark, sf_dir), THRESHOLD, SPARSE).withColumn("false_per_host_hour", r6("false_per_host_hour"))
+    return ev.exposure(scored(spark, sf_dir), F.col("cutoff"), SPARSE, SPLIT).withColumn("false_per_host_hour", r6("false_per_host_hour"))
 
 
-oracle.cte("v_warned", "SELECT host_id, end_us, label FROM v_scored WHERE probability >= 0.6")
-oracle.cte("v_epochs", f"""(host_id, at_us) AS
-SELECT host_id, min(end_us) FROM v_warned GROUP BY host_id
+oracle.cte("v_warned", "SELECT split, host_id, end_us, label FROM v_scored WHERE probability >= cutoff")
+oracle.cte("v_epochs", f"""(split, host_id, at_us) AS
+SELECT split, host_id, min(end_us) FROM v_warned GROUP BY split, host_id
 UNION ALL
-SELECT e.host_id, (SELECT min(w.end_us) FROM v_warned w WHERE w.host_id = e.host_id AND w.end_us >= e.at_us + {SPARSE.epoch_cooldown * 10**6})
-FROM v_epochs e WHERE EXISTS (SELECT 1 FROM v_warned w WHERE w.host_id = e.host_id AND w.end_us >= e.at_us + {SPARSE.epoch_cooldown * 10**6})
+SELECT e.split, e.host_id, (SELECT min(w.end_us) FROM v_warned w WHERE w.split = e.split AND w.host_id = e.host_id AND w.end_us >= e.at_us + {SPARSE.epoch_cooldown * 10**6})
+FROM v_epochs e WHERE EXISTS (SELECT 1 FROM v_warned w WHERE w.split = e.split AND w.host_id = e.host_id AND w.end_us >= e.at_us + {SPARSE.epoch_cooldown * 10**6})
 """)
 
 
 @query("alert_epochs", f"""
-SELECT e.host_id, {ts('e.at_us')} AS epoch_at, CAST(w.label AS INTEGER) AS label FROM v_epochs e JOIN v_warned w ON w.host_id = e.host_id AND w.end_us = e.at_us
+SELECT e.split, e.host_id, {ts('e.at_us')} AS epoch_at, CAST(w.label AS INTEGER) AS label
+FROM v_epochs e JOIN v_warned w ON w.split = e.split AND w.host_id = e.host_id AND w.end_us = e.at_us
 """)
 def alert_epochs(spark, sf_dir):
-    return ev.alert_epochs(scored(spark, sf_dir), THRESHOLD, SPARSE)
+    return ev.alert_epochs(scored(spark, sf_dir), F.col("cutoff"), SPARSE, SPLIT)
 
 
 @query("false_alert_rates", f"""
-SELECT n AS false_epochs, {o6('n / h')} AS per_host_hour, {o6('n / h * 24')} AS per_host_day FROM
-(SELECT count(*) AS n FROM v_epochs e JOIN v_warned w ON w.host_id = e.host_id AND w.end_us = e.at_us WHERE w.label = 0),
-(SELECT count(*) AS h FROM v_scored WHERE label = 0)
+SELECT split, coalesce(n, 0) AS false_epochs, {o6('coalesce(n, 0) / h')} AS per_host_hour, {o6('coalesce(n, 0) / h * 24')} AS per_host_day FROM
+(SELECT split, count(*) FILTER (WHERE label = 0) AS h FROM v_evaluated GROUP BY split) LEFT JOIN
+(SELECT e.split, count(*) AS n FROM v_epochs e JOIN v_warned w ON w.split = e.split AND w.host_id = e.host_id AND w.end_us = e.at_us
+  WHERE w.label = 0 GROUP BY e.split) USING (split)
 """)
 def false_alert_rates(spark, sf_dir):
-    out = ev.false_alert_rates(scored(spark, sf_dir), THRESHOLD, SPARSE)
-    return out.select("false_epochs", r6("per_host_hour").alias("per_host_hour"), r6("per_host_day").alias("per_host_day"))
+    out = ev.false_alert_rates(scored(spark, sf_dir), F.col("cutoff"), SPARSE, SPLIT)
+    return out.select("split", "false_epochs", r6("per_host_hour").alias("per_host_hour"), r6("per_host_day").alias("per_host_day"))
 
 
 oracle.cte("v_leads", f"""
-SELECT failure_event_id, failure_type, min(end_us) FILTER (WHERE probability >= 0.6 AND onset_us - end_us >= {SPARSE.min_lead * 10**6}) AS first_us,
+SELECT split, failure_event_id, failure_type, min(end_us) FILTER (WHERE probability >= cutoff AND onset_us - end_us >= {SPARSE.min_lead * 10**6}) AS first_us,
   max(onset_us) AS onset_us, count(*) AS eligible_windows FROM v_scored WHERE label = 1 GROUP BY ALL
 """)
 
 
 @query("lead_time", f"""
-SELECT failure_event_id, failure_type, {ts('first_us')} AS earliest_warning, (onset_us - first_us) / 1000000.0 AS lead_seconds, eligible_windows FROM v_leads
+SELECT split, failure_event_id, failure_type, {ts('first_us')} AS earliest_warning, (onset_us - first_us) / 1000000.0 AS lead_seconds, eligible_windows FROM v_leads
 """)
 def lead_time(spark, sf_dir):
-    return ev.lead_times(scored(spark, sf_dir), THRESHOLD, SPARSE)
+    return ev.lead_times(scored(spark, sf_dir), F.col("cutoff"), SPARSE, SPLIT)
 
 
 @query("mean_lead", f"""
-SELECT {o6('avg((onset_us - first_us) / 1000000.0)')} AS mean_lead_seconds, count(first_us) AS warned, count(*) AS failures FROM v_leads
+SELECT split, {o6('avg((onset_us - first_us) / 1000000.0)')} AS mean_lead_seconds, count(first_us) AS warned, count(*) AS failures FROM v_leads GROUP BY split
 """)
 def mean_lead(spark, sf_dir):
-    return ev.mean_lead(ev.lead_times(scored(spark, sf_dir), THRESHOLD, SPARSE)).withColumn(
+    return ev.mean_lead(ev.lead_times(scored(spark, sf_dir), F.col("cutoff"), SPARSE, SPLIT), SPLIT).withColumn(
         "mean_lead_seconds", r6("mean_lead_seconds")
     )
 
 
 oracle.cte("v_typed", """
-SELECT t.kind AS failure_type, s.probability, CASE WHEN s.label = 1 THEN 1 ELSE 0 END AS y
-FROM v_scored s JOIN (SELECT DISTINCT failure_type AS kind FROM v_scored WHERE label = 1) t ON s.label = 0 OR s.failure_type = t.kind
+SELECT s.split, t.kind AS failure_type, s.probability, s.cutoff, CASE WHEN s.label = 1 THEN 1 ELSE 0 END AS y
+FROM v_scored s JOIN (SELECT DISTINCT split, failure_type AS kind FROM v_scored WHERE label = 1) t
+ON s.split = t.split AND (s.label = 0 OR s.failure_type = t.kind)
 """)
 oracle.cte("v_typed_curve", """
 SELECT *, sum(n) OVER w AS seen, sum(pos) OVER w AS hits FROM (
-  SELECT failure_type, probability, count(*) AS n, sum(y) AS pos FROM v_typed GROUP BY failure_type, probability)
-WINDOW w AS (PARTITION BY failure_type ORDER BY probability DESC)
+  SELECT split, failure_type, probability, count(*) AS n, sum(y) AS pos FROM v_typed GROUP BY split, failure_type, probability)
+WINDOW w AS (PARTITION BY split, failure_type ORDER BY probability DESC)
 """)
 
 
 @query("per_failure_type", f"""
-SELECT failure_type, tn, fp, fn, tp, {_PRECISION} AS precision, {_RECALL} AS recall, {_F1} AS f1,
+SELECT split, failure_type, tn, fp, fn, tp, {_PRECISION} AS precision, {_RECALL} AS recall, {_F1} AS f1,
   {o6('ap')} AS average_precision, {o6('auc')} AS roc_auc FROM
-(SELECT failure_type, count(*) FILTER (WHERE y = 0 AND probability < 0.6) AS tn, count(*) FILTER (WHERE y = 0 AND probability >= 0.6) AS fp,
-  count(*) FILTER (WHERE y = 1 AND probability < 0.6) AS fn, count(*) FILTER (WHERE y = 1 AND probability >= 0.6) AS tp FROM v_typed GROUP BY failure_type)
-JOIN (SELECT failure_type, sum(pos * hits / seen) / sum(pos) AS ap,
-  sum((n - pos) * (hits - pos / 2.0)) / (sum(pos) * sum(n - pos)) AS auc FROM v_typed_curve GROUP BY failure_type) USING (failure_type)
+(SELECT split, failure_type, count(*) FILTER (WHERE y = 0 AND probability < cutoff) AS tn, count(*) FILTER (WHERE y = 0 AND probability >= cutoff) AS fp,
+  count(*) FILTER (WHERE y = 1 AND probability < cutoff) AS fn, count(*) FILTER (WHERE y = 1 AND probability >= cutoff) AS tp FROM v_typed GROUP BY split, failure_type)
+JOIN (SELECT split, failure_type, sum(pos * hits / seen) / sum(pos) AS ap,
+  sum((n - pos) * (hits - pos / 2.0)) / (sum(pos) * sum(n - pos)) AS auc FROM v_typed_curve GROUP BY split, failure_type) USING (split, failure_type)
 """)
 def per_failure_type(spark, sf_dir):
-    out = ev.per_failure_type(scored(spark, sf_dir), THRESHOLD)
+    out = ev.per_failure_type(scored(spark, sf_dir), F.col("cutoff"), SPLIT)
     measures = ("precision", "recall", "f1", "average_precision", "roc_auc")
-    return out.select("failure_type", "tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in measures])
+    return out.select("split", "failure_type", "tn", "fp", "fn", "tp", *[r6(c).alias(c) for c in measures])
 
 
 @query("anomaly_summary", f"""
-SELECT {o6('avg(anomaly_score)')} AS mean, min(anomaly_score) AS low, max(anomaly_score) AS high FROM v_scored
+SELECT split, {o6('avg(anomaly_score)')} AS mean, min(anomaly_score) AS low, max(anomaly_score) AS high FROM v_evaluated GROUP BY split
 """)
 def anomaly_summary(spark, sf_dir):
-    return ev.anomaly_summary(scored(spark, sf_dir)).withColumn("mean", r6("mean"))
+    return ev.anomaly_summary(judged(spark, sf_dir), SPLIT).withColumn("mean", r6("mean"))
 
 
 @query("calibration_trigger", f"""
