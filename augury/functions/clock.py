@@ -51,7 +51,3 @@ def finite_or_null(c: str | Column) -> Column:
 def r6(c: str | Column, digits: int = 6) -> Column:
     return F.round(col(c), digits)
 
-
-def stable_id(*parts: str | Column) -> Column:
-    """Deterministic key: reruns over the same natural key give the same id."""
-    return F.sha2(F.concat_ws("~", *[col(p).cast("string") for p in parts]), 256)

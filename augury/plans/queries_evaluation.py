@@ -86,6 +86,11 @@ def _tagged(spark, sf_dir):
     )
 
 
+def _chrono_all(spark, sf_dir):
+    """Split of every window, those with an unknown label included."""
+    return splits.chronological_split(common.labelled(spark, sf_dir), TRAIN_END, TEST_START, DECLARED, SPARSE)
+
+
 def _chrono(spark, sf_dir):
     return splits.chronological_split(rows(spark, sf_dir), TRAIN_END, TEST_START, DECLARED, SPARSE)
 
@@ -249,14 +254,21 @@ def missing_report(spark, sf_dir):
     return splits.missing_report(features.long_features(windows)).withColumn("fraction", r6("fraction"))
 
 
-@query("evidence_recheck")
+@query("evidence_recheck", f"""
+SELECT host_id, {ts('end_us')} AS window_end, side AS missing_from
+FROM v_labels, (SELECT unnest(['recomputed', 'stored']) AS side)
+WHERE hour({ts('end_us')}) = 5 OR (hour({ts('end_us')}) = 7 AND side = 'stored')
+""".replace("FROM v_labels, (", "FROM v_labels CROSS JOIN ("))
 def evidence_recheck(spark, sf_dir):
+    """A stored table in which some labels were turned and some rows lost; the check must find exactly these."""
     columns = ["host_id", "window_end", "label", "label_reason", "failure_event_id"]
     recomputed = common.labelled(spark, sf_dir).select(*columns)
+    hour = F.hour("window_end")
+    turned = F.when(hour == 5, 1 - F.coalesce("label", F.lit(2))).otherwise(F.col("label")).cast("int")
     path = tables.scratch_path(spark, "labels")
-    recomputed.write.parquet(path)
+    recomputed.filter(hour != 7).withColumn("label", turned).write.parquet(path)
     stored = spark.read.parquet(path)
-    return splits.evidence_recheck(stored, recomputed).agg(F.count(F.lit(1)).alias("differences"))
+    return splits.evidence_recheck(stored, recomputed).select("host_id", "window_end", "missing_from")
 
 
 # ---- evaluation ----------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from augury.functions.clock import r6
@@ -125,7 +127,15 @@ def feature_vector(spark, sf_dir):
     )
 
 
-@query("schema_contract")
+# The contract's canonical text, hashed by the other engine.
+_CONTRACT = ft.Contract.of(SPARSE)
+_TEXT = json.dumps({"version": _CONTRACT.version, "names": _CONTRACT.names, **ft.CONTRACT_TERMS}, sort_keys=True).replace("'", "''")
+
+
+@query("schema_contract", f"""
+SELECT '{_CONTRACT.version}' AS schema_version, sha256('{_TEXT}') AS schema_hash, CAST({len(_CONTRACT.names)} AS INTEGER) AS width,
+  count(*) AS windows, true AS same_names FROM v_cross
+""")
 def schema_contract(spark, sf_dir):
     c = ft.Contract.of(SPARSE)
     return (

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from augury.functions.clock import plus, r6
 from augury.functions.cut import checkpointed
+from augury.operators import evaluation as ev
 from augury.operators import features, model
 from augury.plans import common, oracle, oracle_events  # noqa: F401
 from augury.plans import queries_evaluation as qe
@@ -23,13 +25,13 @@ NAMES = features.Contract.of(SPARSE).names
 
 def _vectors(spark, sf_dir):
     windows = features.feature_windows(domain.samples(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir))
-    split = qe._chrono(spark, sf_dir).select("host_id", "window_end", "label", "split")
-    return windows.select("host_id", "window_end", "feature_names", "feature_values").join(split, KEYS)
+    split = qe._chrono_all(spark, sf_dir).select("host_id", "window_end", "label", "split")
+    return windows.select("host_id", "window_end", "feature_names", "feature_values").join(split, KEYS, "left")
 
 
 def _fitted(spark, sf_dir):
     vectors = checkpointed(_vectors(spark, sf_dir))
-    fitted = model.fit_normalizer(features.long_features(vectors.filter("split = 'train'")))
+    fitted = model.fit_normalizer(features.long_features(vectors.filter("split = 'train' AND label IS NOT NULL")))
     return vectors, fitted
 
 
@@ -64,7 +66,7 @@ def normalize(spark, sf_dir):
     vectors, fitted = _fitted(spark, sf_dir)
     state = model.Normalizer.collect(fitted, NAMES)
     long = (
-        vectors.withColumn("z", state.column())
+        vectors.filter("label IS NOT NULL").withColumn("z", state.column())
         .select(F.explode(F.arrays_zip("feature_names", "z")).alias("f"))
         .select(F.col("f.feature_names").alias("feature"), F.col("f.z").cast("double").alias("z"))
     )
@@ -108,10 +110,14 @@ def probability(spark, sf_dir):
     return qi.predictions(spark, sf_dir).select("prediction_id", r6(model.probability(logit, 1.7, -0.2)).alias("calibrated"))
 
 
-def _scaling(frame, fitted):
-    held = checkpointed(model.with_logit(fitted, frame).select(*KEYS, "split", "label", "logit"))
-    scaling = model.calibrate(held.filter("split = 'validation'"), frame.filter("split = 'train'"))
-    return held, scaling
+def _scaling(rows, frame, fitted):
+    """Every window with its logit, labelled or not; calibration and the cutoff (one row) from validation."""
+    every = rows.withColumn("features", array_to_vector("normalized"))
+    held = checkpointed(model.with_logit(fitted, every).select(*KEYS, "split", "label", "logit"))
+    validation = held.filter("split = 'validation' AND label IS NOT NULL")
+    scaling = model.calibrate(validation, frame.filter("split = 'train'"))
+    chosen = ev.select_threshold(validation.withColumn("probability", scaling.column()))
+    return held, scaling, chosen.select(F.col("threshold").alias("cutoff"))
 
 
 @query("platt")
@@ -126,7 +132,8 @@ def _healthy(spark, sf_dir, rows):
     sound = common.health(spark, sf_dir).filter("input_label = 0").select(
         "host_id", plus("window_start", common.INPUT_SPAN).alias("window_end")
     )
-    return checkpointed(rows.filter("split = 'train' AND label = 0").join(sound, KEYS, "left_semi"))
+    # Windows with an unknown label belong to it as long as their input is healthy.
+    return checkpointed(rows.filter("split = 'train' AND coalesce(label, 0) = 0").join(sound, KEYS, "left_semi"))
 
 
 @query("isolation_forest")
@@ -148,19 +155,20 @@ def anomaly_score(spark, sf_dir):
 @query("score_windows_batch")
 def score_windows_batch(spark, sf_dir):
     rows, frame, fitted, _ = _trained(spark, sf_dir)
-    held, scaling = _scaling(frame, fitted)
+    held, scaling, chosen = _scaling(rows, frame, fitted)
     scored = held.select(*KEYS, scaling.column().alias("probability"))
     unusual = _anomalies(spark, sf_dir, rows).select(*KEYS, "anomaly_score")
-    return scored.join(unusual, KEYS).withColumn("warning", F.col("probability") >= domain.MODEL_THRESHOLD)
+    warned = scored.join(unusual, KEYS).join(F.broadcast(chosen))  # one row against all
+    return warned.withColumn("warning", F.col("probability") >= F.col("cutoff")).drop("cutoff")
 
 
 def _attributed(spark, sf_dir):
     rows, frame, fitted, _ = _trained(spark, sf_dir)
-    held, scaling = _scaling(frame, fitted)
+    held, scaling, chosen = _scaling(rows, frame, fitted)
     high = held.withColumn("probability", scaling.column()).join(rows.select(*KEYS, "normalized"), KEYS)
-    # Explanations are only made above the threshold.
-    high = high.filter(F.col("probability") >= 0.5)
-    reference = model.background(rows.filter("split = 'train'"), KEYS)
+    # Explanations are only made above the selected cutoff.
+    high = high.join(F.broadcast(chosen)).filter(F.col("probability") >= F.col("cutoff"))
+    reference = model.background(rows.filter("split = 'train' AND label IS NOT NULL"), KEYS)
     return model.attribution(high, KEYS, np.asarray(fitted.coefficients.toArray()), float(fitted.intercept), scaling, reference)
 
 
@@ -172,7 +180,7 @@ def attribution(spark, sf_dir):
     return model.top_drivers(long, KEYS).select(*KEYS, "feature", "contribution", "place")
 
 
-@query("additivity")
+@query("additivity", "SELECT CAST(0 AS BIGINT) AS rejected")
 def additivity(spark, sf_dir):
     return model.additivity(_attributed(spark, sf_dir)).agg(F.count(F.lit(1)).alias("rejected"))
 

@@ -8,7 +8,6 @@ parity of the payload number ``k`` names the metric.
 from __future__ import annotations
 
 from datetime import datetime
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,13 +47,13 @@ def described(raw: DataFrame) -> DataFrame:
     )
 
 
-@lru_cache(maxsize=64)
 def _as_of(spark: SparkSession, sf_dir: str) -> datetime:
     return events(spark, sf_dir).agg(F.max("ts").alias("t")).first()["t"]
 
 
 def as_of(spark: SparkSession, sf_dir: str) -> Column:
-    """Cutoff of every batch query: the newest instant in the data, as a literal."""
+    """Cutoff of every batch query: the newest instant in the data, as a literal.  Not remembered, so rows
+    that arrive later count."""
     return F.lit(_as_of(spark, sf_dir))
 
 

@@ -143,10 +143,10 @@ def write_dataset(samples: DataFrame, healthy: DataFrame, identity: str, root: s
         if stored != report:
             raise ValueError("dataset folder holds another identity")
         return target
-    canonical_rows(samples).write.text(f"{target}/samples")
-    canonical_rows(healthy).write.text(f"{target}/healthy")
-    # The report is written last: a folder without it is incomplete and never read.
-    spark.range(1).select(F.lit(report).alias("value")).coalesce(1).write.text(f"{target}/report")
+    # The report is written last: a folder without it is incomplete, never read, and written again.
+    canonical_rows(samples).write.mode("overwrite").text(f"{target}/samples")
+    canonical_rows(healthy).write.mode("overwrite").text(f"{target}/healthy")
+    spark.range(1).select(F.lit(report).alias("value")).coalesce(1).write.mode("overwrite").text(f"{target}/report")
     return target
 
 
@@ -217,5 +217,3 @@ def recent(frame: DataFrame, created: str, key: str, limit: int = 100, **equals)
 def redact(frame: DataFrame, *private: str) -> DataFrame:
     return frame.drop(*private)
 
-
-newest_per_key = latest_per_key

@@ -53,6 +53,6 @@ def test_query_matches_sql(spark, con, name):
 def test_every_query_has_sql_or_a_reason():
     without = set(QUERIES) - set(ORACLES)
     assert without == {
-        "schema_contract", "evidence_recheck", "train_classifier", "model_selection", "platt",
-        "isolation_forest", "anomaly_score", "score_windows_batch", "attribution", "additivity",
+        "train_classifier", "model_selection", "platt",
+        "isolation_forest", "anomaly_score", "score_windows_batch", "attribution",
     }
