@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from augury.functions.chain import greedy_chain
+from augury.functions.chain import NEVER, greedy_chain
 from augury.functions.clock import MICROS, micros, plus, seconds_between
 from augury.functions.cut import checkpointed
 from augury.functions.intervals import overlap_join
@@ -14,7 +14,7 @@ from augury.functions.ranked import latest_per_key
 from augury.operators.probes import active_experiments_at
 from augury.settings import Params
 
-# Fixed wording of incident summaries.
+# Title and pattern are fixed wording; the checks are this library's own text.
 TITLE = "Model threshold crossing requires review"
 PATTERN = (
     "Supplied feature associations may indicate a change in behavior; they do not establish causation."
@@ -106,20 +106,47 @@ def incident_candidates(predictions: DataFrame, threshold: float, p: Params) ->
     )
 
 
-def open_incidents(predictions: DataFrame, threshold: float, p: Params) -> DataFrame:
-    """At most one open incident per host: a high score opens one unless one is still open.
+def settled_candidates(candidates: DataFrame, predictions: DataFrame, events: DataFrame, threshold: float, p: Params) -> DataFrame:
+    """Add open_until: when the incident a candidate would open is resolved.
 
-    The scores that do are a greedy chain over the high scores of a host, resumed when the
-    opened incident has closed.
+    A failure confirmed while the incident is open keeps it open until the failure recovers (null: not
+    yet); otherwise it ends at closed_at.  An incident that was closed is matched no more.
     """
-    candidates = checkpointed(incident_candidates(predictions, threshold, p))
-    keyed = candidates.withColumn("at", micros("predicted_at")).withColumn("resume", micros("closed_at") + 1)
+    named = candidates.withColumn("incident_id", F.concat(F.lit("i-"), "prediction_id"))
+    high = predictions.filter(F.col("probability") >= threshold)
+    own = attach_incidents(high, named, p, until="closed_at").filter(F.col("incident_id").isNotNull())
+    found = match_failures(named, own, events, p).select("incident_id", "failure_event_id", "event_recovered_at")
+    until = F.when(F.col("failure_event_id").isNull(), F.col("closed_at")).when(
+        F.col("event_recovered_at").isNotNull(), F.greatest("event_recovered_at", "predicted_at")
+    )
+    return named.join(found, "incident_id", "left").withColumn("open_until", until).drop("failure_event_id", "event_recovered_at")
+
+
+def open_incidents(predictions: DataFrame, threshold: float, p: Params, events: DataFrame | None = None) -> DataFrame:
+    """At most one unresolved incident per host: a timely high score opens one unless one is still open.
+
+    The scores that do are a greedy chain over the high scores of a host, resumed when the opened
+    incident is resolved.  Of scores made at one instant the one of the earliest window counts.
+    """
+    candidates = incident_candidates(predictions, threshold, p)
+    late = seconds_between("predicted_at", "window_end") > p.max_age
+    first = Window.partitionBy("host_id", "predicted_at").orderBy("window_end", "prediction_id")
+    candidates = candidates.filter(~late).withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
+    candidates = checkpointed(candidates)
+    if events is None:
+        settled = candidates.withColumn("open_until", F.col("closed_at"))
+    else:
+        settled = settled_candidates(candidates, predictions, events, threshold, p)
+    at = micros("predicted_at")
+    resume = F.when(F.col("open_until").isNull(), F.lit(NEVER)).otherwise(F.greatest(micros("open_until"), at) + 1)
+    keyed = checkpointed(settled.withColumn("at", at).withColumn("resume", resume))
+    longest = keyed.filter(F.col("resume") < NEVER).agg(F.max(F.col("resume") - F.col("at")).alias("w")).first()["w"] or 0
     opened = greedy_chain(
         keyed,
         "host_id",
         "at",
         "resume",
-        reach_seconds=p.horizon + p.expiry_grace + p.max_age,
+        reach_seconds=max(p.horizon + p.expiry_grace + p.max_age, -(-longest // MICROS)),
         slice_seconds=p.slice_seconds,
     )
     return keyed.join(opened, ["host_id", "at"]).select(
@@ -133,16 +160,23 @@ def open_incidents(predictions: DataFrame, threshold: float, p: Params) -> DataF
         plus("window_end", p.horizon).alias("valid_until"),
         "closed_at",
         "closed_as",
+        "open_until",
     )
 
 
-def attach_incidents(predictions: DataFrame, incidents: DataFrame, p: Params) -> DataFrame:
-    """Incident open on the host when each score was made, opened by it or before it."""
+def attach_incidents(
+    predictions: DataFrame, incidents: DataFrame, p: Params, until: str = "open_until", now: Column | None = None
+) -> DataFrame:
+    """Incident open on the host when each score was made, opened by it or before it.
+
+    ``until`` names the end of a span; spans without an end reach to ``now``."""
+    end = F.col(until) if now is None else F.coalesce(F.col(until), now)
     spans = incidents.select(
         "host_id",
         "incident_id",
         F.col("predicted_at").alias("opened_at"),
-        F.col("closed_at").alias("open_until"),
+        F.coalesce(end, F.col("closed_at")).alias("open_until"),
+        F.col("closed_at"),
     )
     return overlap_join(
         predictions,
@@ -155,16 +189,16 @@ def attach_incidents(predictions: DataFrame, incidents: DataFrame, p: Params) ->
     )
 
 
-def explain_mode(crossed: DataFrame, incidents: DataFrame, p: Params) -> DataFrame:
+def explain_mode(crossed: DataFrame, incidents: DataFrame, p: Params, now: Column | None = None) -> DataFrame:
     """Complete explanation for a new condition, a reference for a known one, none below threshold."""
-    known = attach_incidents(crossed, incidents, p)
+    known = attach_incidents(crossed, incidents, p, now=now)
     already = F.col("incident_id").isNotNull() & (F.col("opened_at") < F.col("predicted_at"))
     mode = (
         F.when(F.col("high") & (~F.coalesce(already, F.lit(False)) | F.col("crossing")), "complete")
         .when(F.col("high"), "existing_condition")
         .otherwise("below_threshold")
     )
-    return known.withColumn("explain_mode", mode).drop("opened_at", "open_until")
+    return known.withColumn("explain_mode", mode).drop("opened_at", "open_until", "closed_at")
 
 
 def incident_facts(incidents: DataFrame, service_map: DataFrame, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
@@ -283,7 +317,8 @@ def match_failures(incidents: DataFrame, attached: DataFrame, events: DataFrame,
 
     A failure starting no earlier than one horizon before the incident belongs to it when a high
     score of the incident has its window end in ``[onset - horizon, onset)``, or when it was
-    already active as the incident opened.  ``attached`` are high scores with their incident.
+    already active as the incident opened, and when it was confirmed before the incident was closed.
+    ``attached`` are high scores with their incident, up to its closing.
     """
     known = events.filter(F.col("confirmed_at").isNotNull()).select(
         "host_id",
@@ -299,6 +334,7 @@ def match_failures(incidents: DataFrame, attached: DataFrame, events: DataFrame,
         F.col("opened_at").alias("incident_at"),
         F.col("prediction_id").alias("matched_id"),
         F.col("predicted_at").alias("matched_at"),
+        "closed_at",
         F.timestamp_micros(micros("window_end") + 1).alias("from_us"),
         plus("window_end", p.horizon).alias("to_us"),
     )
@@ -312,6 +348,7 @@ def match_failures(incidents: DataFrame, attached: DataFrame, events: DataFrame,
         F.col("predicted_at").alias("incident_at"),
         F.col("prediction_id").alias("matched_id"),
         F.col("predicted_at").alias("matched_at"),
+        "closed_at",
         plus("predicted_at", -p.horizon).alias("from_us"),
         F.col("predicted_at").alias("to_us"),
     )
@@ -319,7 +356,9 @@ def match_failures(incidents: DataFrame, attached: DataFrame, events: DataFrame,
         opened, known, ["host_id"], ("from_us", "to_us"), ("onset", "onset"), bucket_seconds=p.horizon
     ).filter(F.col("event_recovered_at").isNull() | (F.col("event_recovered_at") >= F.col("incident_at")))
     columns = ["incident_id", "event_id", "onset", "event_confirmed_at", "event_recovered_at", "matched_id", "matched_at"]
-    both = foreseen.select(*columns, F.lit(0).alias("way")).unionByName(active.select(*columns, F.lit(1).alias("way")))
+    in_time = F.col("event_confirmed_at") <= F.col("closed_at")
+    both = foreseen.filter(in_time).select(*columns, F.lit(0).alias("way"))
+    both = both.unionByName(active.filter(in_time).select(*columns, F.lit(1).alias("way")))
     best = both.groupBy("incident_id").agg(
         F.min(
             F.struct(

@@ -29,19 +29,25 @@ def predictions(spark, sf_dir, now=None):
     return domain.predictions(spark, sf_dir).filter(F.col("predicted_at") <= cutoff)
 
 
+def known_failures(spark, sf_dir, now=None):
+    cutoff = domain.as_of(spark, sf_dir) if now is None else now
+    return inc.visible_events(common.events(spark, sf_dir), cutoff)
+
+
 def incidents(spark, sf_dir, now=None):
-    return inc.open_incidents(predictions(spark, sf_dir, now), THR, SPARSE)
+    known = checkpointed(known_failures(spark, sf_dir, now))
+    return inc.open_incidents(predictions(spark, sf_dir, now), THR, SPARSE, known)
 
 
 def high_scores(spark, sf_dir, opened, now=None):
+    """High scores of each incident up to its closing: those a failure can be matched by."""
     crossed = predictions(spark, sf_dir, now).filter(F.col("probability") >= THR)
-    return inc.attach_incidents(crossed, opened, SPARSE).filter(F.col("incident_id").isNotNull())
+    return inc.attach_incidents(crossed, opened, SPARSE, until="closed_at").filter(F.col("incident_id").isNotNull())
 
 
 def matches(spark, sf_dir, opened, now=None):
-    cutoff = domain.as_of(spark, sf_dir) if now is None else now
-    events = inc.visible_events(common.events(spark, sf_dir), cutoff)
-    return inc.match_failures(opened, high_scores(spark, sf_dir, opened, now), events, SPARSE)
+    known = known_failures(spark, sf_dir, now)
+    return inc.match_failures(opened, high_scores(spark, sf_dir, opened, now), known, SPARSE)
 
 
 def statuses(spark, sf_dir, now=None):
@@ -80,36 +86,58 @@ SELECT *, CASE WHEN clear_us <= expiry_us THEN clear_us ELSE expiry_us END AS cl
   CASE WHEN clear_us <= expiry_us THEN 'risk_cleared' ELSE 'forecast_expired_unconfirmed' END AS closed_as FROM (
 SELECT s.*, s.end_us + {(H + GRACE) * 10**6} AS expiry_us,
   (SELECT min(c.p_us) FROM v_seq c WHERE c.host_id = s.host_id AND c.clears AND c.end_us > s.end_us) AS clear_us
-FROM v_seq s WHERE probability >= {THR})
+FROM v_seq s WHERE probability >= {THR} AND p_us - end_us <= {SPARSE.max_age * 10**6}
+QUALIFY row_number() OVER (PARTITION BY host_id, p_us ORDER BY end_us, prediction_id) = 1)
+""")
+oracle.cte("v_visible", """
+SELECT f.* REPLACE (CASE WHEN recovery_confirmed_at <= now_ts THEN recovered_at END AS recovered_at) FROM v_raw_failures f, v_now WHERE confirmed_at <= now_ts
+""")
+# Rule: an unresolved incident is matched with the first confirmed failure that one of its high scores foresaw or
+# that was active as it opened; it is then resolved by recovery alone.  What is closed is matched no more.
+oracle.cte("v_would_match", f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prediction_id ORDER BY onset_us, event_id, way, matched_us, matched_id) AS rn FROM (
+  SELECT c.prediction_id, f.event_id, f.onset_us, f.recovered_at, s.prediction_id AS matched_id, s.p_us AS matched_us, 0 AS way
+  FROM v_candidates c JOIN v_seq s ON s.host_id = c.host_id AND s.p_us BETWEEN c.p_us AND c.closed_us AND s.probability >= {THR}
+  JOIN v_visible f ON f.host_id = c.host_id AND s.end_us < f.onset_us AND f.onset_us <= s.end_us + {H * 10**6}
+  WHERE f.onset_us >= c.p_us - {H * 10**6} AND epoch_us(f.confirmed_at) <= c.closed_us
+  UNION ALL
+  SELECT c.prediction_id, f.event_id, f.onset_us, f.recovered_at, c.prediction_id, c.p_us, 1
+  FROM v_candidates c JOIN v_visible f ON f.host_id = c.host_id AND f.onset_us BETWEEN c.p_us - {H * 10**6} AND c.p_us
+  WHERE (f.recovered_at IS NULL OR epoch_us(f.recovered_at) >= c.p_us) AND epoch_us(f.confirmed_at) <= c.closed_us)) WHERE rn = 1
+""")
+oracle.cte("v_settled", """
+SELECT c.*, m.event_id IS NOT NULL AS has_failure,
+  CASE WHEN m.event_id IS NULL THEN c.closed_us WHEN m.recovered_at IS NOT NULL THEN greatest(epoch_us(m.recovered_at), c.p_us) END AS until_us
+FROM v_candidates c LEFT JOIN v_would_match m USING (prediction_id)
 """)
 oracle.cte("v_opened", """(host_id, p_us) AS
-SELECT host_id, min(p_us) FROM v_candidates GROUP BY host_id
+SELECT host_id, min(p_us) FROM v_settled GROUP BY host_id
 UNION ALL
-SELECT o.host_id, (SELECT min(n.p_us) FROM v_candidates n WHERE n.host_id = o.host_id AND n.p_us > c.closed_us)
-FROM v_opened o JOIN v_candidates c ON c.host_id = o.host_id AND c.p_us = o.p_us
-WHERE EXISTS (SELECT 1 FROM v_candidates n WHERE n.host_id = o.host_id AND n.p_us > c.closed_us)
+SELECT o.host_id, (SELECT min(n.p_us) FROM v_settled n WHERE n.host_id = o.host_id AND n.p_us > c.until_us)
+FROM v_opened o JOIN v_settled c ON c.host_id = o.host_id AND c.p_us = o.p_us
+WHERE EXISTS (SELECT 1 FROM v_settled n WHERE n.host_id = o.host_id AND n.p_us > c.until_us)
 """)
 oracle.cte("v_incidents", f"""
 SELECT 'i-' || c.prediction_id AS incident_id, c.host_id, c.model_id, c.prediction_id, c.window_end, c.end_us, c.predicted_at, c.p_us,
-  c.probability, c.end_us + {H * 10**6} AS valid_us, c.closed_us, c.closed_as
-FROM v_opened o JOIN v_candidates c ON c.host_id = o.host_id AND c.p_us = o.p_us
+  c.probability, c.end_us + {H * 10**6} AS valid_us, c.closed_us, c.closed_as, c.until_us
+FROM v_opened o JOIN v_settled c ON c.host_id = o.host_id AND c.p_us = o.p_us
 """)
-oracle.cte("v_attached", """
-SELECT s.*, i.incident_id, i.p_us AS opened_us FROM v_seq s LEFT JOIN v_incidents i ON i.host_id = s.host_id AND s.p_us BETWEEN i.p_us AND i.closed_us
+# Without failures, as the stream of scores sees it.
+oracle.cte("v_opened_alone", """(host_id, p_us) AS
+SELECT host_id, min(p_us) FROM v_candidates GROUP BY host_id
+UNION ALL
+SELECT o.host_id, (SELECT min(n.p_us) FROM v_candidates n WHERE n.host_id = o.host_id AND n.p_us > c.closed_us)
+FROM v_opened_alone o JOIN v_candidates c ON c.host_id = o.host_id AND c.p_us = o.p_us
+WHERE EXISTS (SELECT 1 FROM v_candidates n WHERE n.host_id = o.host_id AND n.p_us > c.closed_us)
 """)
-oracle.cte("v_visible", """
-SELECT f.* REPLACE (CASE WHEN recovery_confirmed_at <= now_ts THEN recovered_at END AS recovered_at) FROM v_raw_failures f, v_now WHERE confirmed_at <= now_ts
+oracle.cte("v_attached", """
+SELECT s.*, i.incident_id, i.p_us AS opened_us FROM v_seq s CROSS JOIN v_now LEFT JOIN v_incidents i
+ON i.host_id = s.host_id AND s.p_us BETWEEN i.p_us AND coalesce(i.until_us, now_us)
 """)
-oracle.cte("v_matched", f"""
-SELECT incident_id, event_id, onset_us, recovered_at, matched_id, CASE WHEN matched_us < onset_us THEN (onset_us - matched_us) / 1000000.0 END AS lead FROM (
-SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY onset_us, event_id, way, matched_us, matched_id) AS rn FROM (
-  SELECT a.incident_id, f.event_id, f.onset_us, f.recovered_at, a.prediction_id AS matched_id, a.p_us AS matched_us, 0 AS way
-  FROM v_attached a JOIN v_visible f ON f.host_id = a.host_id AND a.end_us < f.onset_us AND f.onset_us <= a.end_us + {H * 10**6}
-  WHERE a.incident_id IS NOT NULL AND a.probability >= {THR} AND f.onset_us >= a.opened_us - {H * 10**6}
-  UNION ALL
-  SELECT i.incident_id, f.event_id, f.onset_us, f.recovered_at, i.prediction_id, i.p_us, 1
-  FROM v_incidents i JOIN v_visible f ON f.host_id = i.host_id AND f.onset_us BETWEEN i.p_us - {H * 10**6} AND i.p_us
-  WHERE f.recovered_at IS NULL OR epoch_us(f.recovered_at) >= i.p_us)) WHERE rn = 1
+oracle.cte("v_matched", """
+SELECT i.incident_id, m.event_id, m.onset_us, m.recovered_at, m.matched_id,
+  CASE WHEN m.matched_us < m.onset_us THEN (m.onset_us - m.matched_us) / 1000000.0 END AS lead
+FROM v_incidents i JOIN v_would_match m USING (prediction_id)
 """)
 oracle.cte("v_statuses", f"""
 SELECT i.*, m.event_id, m.onset_us, CASE WHEN m.recovered_at IS NOT NULL THEN 'recovered' WHEN m.event_id IS NOT NULL THEN 'observed'
@@ -185,18 +213,19 @@ FROM v_attached
 """)
 def explain_mode(spark, sf_dir):
     crossed = inc.crossing(predictions(spark, sf_dir), THR, SPARSE)
-    return inc.explain_mode(crossed, incidents(spark, sf_dir), SPARSE).select("prediction_id", "explain_mode")
+    return inc.explain_mode(crossed, incidents(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir)).select("prediction_id", "explain_mode")
 
 
 # ---- incidents -----------------------------------------------------------------------------------
 
 
 @query("open_incidents", f"""
-SELECT incident_id, host_id, predicted_at, probability, {ts('valid_us')} AS valid_until, {ts('closed_us')} AS closed_at, closed_as FROM v_incidents
+SELECT incident_id, host_id, predicted_at, probability, {ts('valid_us')} AS valid_until, {ts('closed_us')} AS closed_at, closed_as,
+  {ts('until_us')} AS open_until FROM v_incidents
 """)
 def open_incidents(spark, sf_dir):
     return incidents(spark, sf_dir).select(
-        "incident_id", "host_id", "predicted_at", "probability", "valid_until", "closed_at", "closed_as"
+        "incident_id", "host_id", "predicted_at", "probability", "valid_until", "closed_at", "closed_as", "open_until"
     )
 
 
@@ -270,6 +299,13 @@ def incident_status(spark, sf_dir):
     return statuses(spark, sf_dir).select("incident_id", "status", "resolved_at")
 
 
+@query("unresolved_twice", "SELECT host_id, count(*) AS unresolved FROM v_statuses WHERE resolved_at IS NULL GROUP BY host_id HAVING count(*) > 1")
+def unresolved_twice(spark, sf_dir):
+    """Hosts with more than one unresolved incident: none."""
+    unresolved = statuses(spark, sf_dir).filter("resolved_at IS NULL").groupBy("host_id").agg(F.count(F.lit(1)).alias("unresolved"))
+    return unresolved.filter("unresolved > 1")
+
+
 @query("cancel_alerts", """
 SELECT alert_id, CASE WHEN a.status IN ('pending', 'retry') AND s.resolved_at IS NOT NULL THEN 'cancelled' ELSE a.status END AS status
 FROM v_alerts a JOIN v_statuses s USING (incident_id)
@@ -311,7 +347,7 @@ WHERE s.resolved_at IS NULL AND n.probability >= greatest(0.6, n.threshold) AND
 """)
 oracle.variant(
     "_then",
-    ["v_past", "v_seq", "v_candidates", "v_opened", "v_incidents", "v_attached", "v_visible", "v_matched", "v_statuses", "v_newest", "v_proposals"],
+    ["v_past", "v_seq", "v_candidates", "v_would_match", "v_settled", "v_opened", "v_incidents", "v_attached", "v_visible", "v_matched", "v_statuses", "v_newest", "v_proposals"],
     {"v_now": "v_then"},
 )
 

@@ -48,7 +48,8 @@ def failure_events_stream(spark, sf_dir):
 
 
 @query("incidents_stream", """
-SELECT host_id, incident_id, predicted_at AS at_time FROM v_incidents
+SELECT o.host_id, 'i-' || c.prediction_id AS incident_id, c.predicted_at AS at_time
+FROM v_opened_alone o JOIN v_candidates c ON c.host_id = o.host_id AND c.p_us = o.p_us
 """)
 def incidents_stream(spark, sf_dir):
     # Scores are written by the scoring job and picked up as a stream.

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from augury.operators import console, evaluation as ev, incidents as inc, model, rates
 from augury.settings import LIVE
 from augury.sources import tables
-from tests.helpers import at, lit
+from tests.helpers import at, events, lit
 
 SCORED = "host_id string, window_end timestamp, label int, probability double, failure_event_id string, failure_type string, failure_onset timestamp"
 
@@ -101,6 +101,39 @@ def test_incident_life_cycle(spark, slice_seconds):
     assert inc.enqueue_alerts(inc.open_incidents(predictions(spark, [(0, 0.9)]), 0.5, p), p).count() == 2
 
 
+def failures(spark, rows):
+    """rows: (id, onset, confirmed, recovered or None)"""
+    return events(spark, [(i, "h", o, c, r) for i, o, c, r in rows])
+
+
+def test_a_matched_failure_keeps_the_incident_open(spark):
+    """High, three low ones, high again, while one failure lasts: one incident, not two."""
+    scores = predictions(spark, [(60 * i, s) for i, s in enumerate([0.9, 0.1, 0.1, 0.1, 0.9])])
+    lasting = failures(spark, [("f", 30, 60, None)])
+    opened = inc.open_incidents(scores, 0.5, LIVE, lasting)
+    assert [(r["incident_id"], r["open_until"]) for r in opened.collect()] == [("i-p0", None)]
+    own = inc.attach_incidents(scores.filter("probability > 0.5"), opened, LIVE, until="closed_at").filter("incident_id IS NOT NULL")
+    status = inc.incident_status(opened, inc.match_failures(opened, own, lasting, LIVE), lit(900)).collect()
+    assert [(r["status"], r["resolved_at"]) for r in status] == [("observed", None)]
+    over = inc.open_incidents(scores, 0.5, LIVE, failures(spark, [("f", 30, 60, 200)])).orderBy("predicted_at").collect()
+    assert [r["incident_id"] for r in over] == ["i-p0", "i-p240"]
+
+
+def test_a_closed_incident_is_matched_no_more(spark):
+    scores = predictions(spark, [(60 * i, s) for i, s in enumerate([0.9, 0.1, 0.1, 0.1])])
+    later = failures(spark, [("f", 400, 430, 500)])
+    opened = inc.open_incidents(scores, 0.5, LIVE, later)
+    assert [(r["closed_as"], r["open_until"]) for r in opened.collect()] == [("risk_cleared", opened.first()["closed_at"])]
+    own = inc.attach_incidents(scores.filter("probability > 0.5"), opened, LIVE, until="closed_at").filter("incident_id IS NOT NULL")
+    assert inc.match_failures(opened, own, later, LIVE).count() == 0
+
+
+def test_two_models_at_one_instant_and_a_late_score(spark):
+    rows = [("p1", "h", "m", at(0), at(2), 0.9, 0.0, 600), ("p2", "h", "n", at(0), at(2), 0.9, 0.0, 600), ("p3", "h", "m", at(0), at(900), 0.9, 0.0, 600)]
+    opened = inc.open_incidents(spark.createDataFrame(rows, PRED), 0.5, LIVE, failures(spark, [])).collect()
+    assert [r["incident_id"] for r in opened] == ["i-p1"]
+
+
 def test_alert_timing(spark):
     rows = [(1, None, 600, 660), (2, 600, 600, 660), (3, 480, 600, 660), (4, 480, 600, 540)]
     f = spark.createDataFrame(
