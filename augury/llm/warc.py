@@ -9,8 +9,8 @@ record must have a version line, its mandatory fields, a length that fits, the c
 the digest it states.  When one fails, the reader searches for the next gzip member or version line that
 starts a valid record, goes on from there, and reports the bytes in between as a gap.
 
-A file is read by one task, so archives should be files of bounded size; the writer makes them
-``file_bytes`` large (more only for a single larger record).
+A file is read by one task, so archives should be files of bounded size; the writer makes them up to about
+``file_bytes`` large (at pages of the average size).
 
 Defined cases: a null html is an empty payload, and empty payloads are equal to each other; rows with the
 smallest page_id of a payload are all responses if they repeat; a row without page_id revisits the response
@@ -65,9 +65,10 @@ def revisits(pages: DataFrame, params: Params = Params()) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
     rows = rows.withColumn("digest", _base32(F.unhex(F.sha1("html"))))
-    rows = written(rows, "digests")
-    firsts = rows.where(F.octet_length("html") >= params.revisit_bytes).groupBy("digest").agg(F.min("page_id").alias("first"))
-    same = rows.join(firsts, "digest", "left")
+    # Only payloads that occur again matter: a narrow table, while the pages themselves are never copied.
+    again = rows.where(F.octet_length("html") >= params.revisit_bytes).groupBy("digest")
+    again = again.agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = rows.join(written(again, "repeated"), "digest", "left")
     return same.withColumn("first", F.when(F.col("first") != F.coalesce("page_id", F.col("first") - 1), F.col("first")))
 
 
@@ -111,12 +112,11 @@ def records(pages: DataFrame, params: Params = Params()) -> DataFrame:
 
 def write(pages: DataFrame, folder: str, params: Params = Params()) -> None:
     """Archive files in a folder."""
-    made = written(records(pages, params), "records")
-    total = made.agg(F.sum(F.octet_length("record"))).first()[0] or 0
-    files = max(1, -(-total // params.file_bytes))
+    size = pages.agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("n")).first()
+    per_file = max(1, params.file_bytes * size["n"] // max(1, size["bytes"] or 0))
     # The text writer ends each row with a line feed, the last byte of a record.
-    lines = made.select(F.substring("record", F.lit(1), F.length("record") - 1).alias("value"))
-    lines.repartition(files).write.option("lineSep", "\n").text(folder)
+    lines = records(pages, params).select(F.substring("record", F.lit(1), F.length("record") - 1).alias("value"))
+    lines.write.option("lineSep", "\n").option("maxRecordsPerFile", min(per_file, 2**31)).text(folder)
 
 
 class Broken(Exception):
