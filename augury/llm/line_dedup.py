@@ -123,7 +123,9 @@ def _updated(state: State, counts: DataFrame) -> DataFrame:
     mark = lambda df, op: df.withColumn("op", F.lit(op)).withColumn("filter", F.lit(None).cast("binary"))
     enter, leave = new.exceptAll(old), old.exceptAll(new)
     changed = enter.union(leave).select("shard").distinct()
-    filters = state.filters.select("shard", F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), F.lit("filter").alias("op"), "filter")
+    # No nulls among the keys: a batch would carry them as floats.
+    zero = F.lit(0).cast("long")
+    filters = state.filters.select("shard", zero.alias("hi"), zero.alias("lo"), F.lit("filter").alias("op"), "filter")
     rows = mark(enter, "in").union(mark(leave, "out")).union(mark(new.join(changed, "shard"), "all")).union(filters)
 
     def update_one(part: pd.DataFrame) -> pd.DataFrame:

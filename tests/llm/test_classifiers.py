@@ -19,7 +19,7 @@ def corpus(spark, seed, n=400):
     rows, marks = [], []
     for i in range(n):
         good, toxic = rng.random() < 0.7, rng.random() < 0.3
-        parts = [" ".join(rng.sample(rng.choice(GOOD if good else BAD).split(), 5)) for _ in range(rng.randrange(3, 20))]
+        parts = [" ".join(rng.choices(rng.choice(GOOD if good else BAD).split(), k=6)) for _ in range(rng.randrange(3, 20))]
         if toxic:
             parts.insert(rng.randrange(len(parts)), "you are an idiot and a moron")
         rows.append((i, ". ".join(parts)))
