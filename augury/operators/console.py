@@ -48,8 +48,11 @@ def fleet(hosts: DataFrame, predictions: DataFrame, probes: DataFrame, events: D
     )
 
 
-def hosts_view(fleet_rows: DataFrame, p: Params) -> DataFrame:
-    return fleet_rows.orderBy("host_id").limit(p.host_limit)
+def hosts_view(fleet_rows: DataFrame, p: Params, after: str | None = None) -> DataFrame:
+    """A page of the fleet in the order of host_id: the first ``host_limit`` hosts behind ``after``, the last host
+    of the page before.  Pages together hold every host."""
+    behind = fleet_rows if after is None else fleet_rows.filter(F.col("host_id") > after)
+    return behind.orderBy("host_id").limit(p.host_limit)
 
 
 def host_counts(fleet_rows: DataFrame) -> DataFrame:

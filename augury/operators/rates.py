@@ -35,7 +35,7 @@ def increments(counters: DataFrame, keys: list[str], p: Params, within: int) ->
     )
     previous = F.col("__previous")
     grown = F.when(F.col("value") >= previous, F.col("value") - previous).otherwise(F.col("value"))
-    return seen.filter(own_chunk("ts", chunk) & previous.isNotNull()).withColumn("increment", grown).drop("chunk", "__previous")
+    return seen.filter(own_chunk("ts", chunk) & previous.isNotNull()).withColumn("increment", grown).withColumnRenamed("__previous", "prev_value").drop("chunk")
 
 
 def _grid(at: Column, window: int, step: int) -> Column:
@@ -74,7 +74,7 @@ def windowed_rate(
         F.min(F.when(inside, F.col("prev_us"))).alias("first_us"),
         F.max(at).alias("last_us"),
         F.count(F.when(inside, 1)).alias("steps"),
-        F.min_by(F.col("value") - F.col("increment"), F.when(inside, at)).alias("first_value"),
+        F.min_by("prev_value", F.when(inside, at)).alias("first_value"),
     )
     grouped = grouped.filter(F.col("growth").isNotNull())
     if mode == "simple":
@@ -220,16 +220,22 @@ def changing_series(samples: DataFrame, end: Column, seconds: int) -> DataFrame:
     )
 
 
-def grid_last(samples: DataFrame, end: Column, *, lookback: int, step: int) -> DataFrame:
-    """Value of each series at every grid instant: its newest finite sample within one step."""
+def grid_last(samples: DataFrame, end: Column, *, lookback: int, step: int, hold: int | None = None) -> DataFrame:
+    """Value of each series at every grid instant: its newest sample of the last ``hold`` seconds.
+
+    A sample answers the hold / step instants after it, so the result needs no look back; ``hold`` is one
+    step unless given."""
     start = micros(end) - F.lit(lookback * MICROS)
     # The grid is anchored at the start of the range.
     offset = micros("ts") - start
-    behind = ceil_to(offset, step)
-    recent = samples.filter((offset > F.lit(-step * MICROS)) & (F.col("ts") <= end)).withColumn("grid_us", start + behind)
+    first = F.greatest(ceil_to(offset, step), F.lit(0).cast("long"))
+    last = F.least(offset + F.lit((hold or step) * MICROS - 1), F.lit(lookback * MICROS))
+    recent = samples.filter(F.col("ts") <= end).withColumn("__first", first).withColumn("__last", last)
+    recent = recent.filter(F.col("__first") <= F.col("__last"))
+    grid = F.explode(F.sequence("__first", "__last", F.lit(step * MICROS)))
     return (
-        recent.filter(F.col("grid_us") <= micros(end))
+        recent.withColumn("grid_us", grid)
         .groupBy("host_id", "metric", "grid_us")
         .agg(F.max_by("value", "ts").alias("value"))
-        .select("host_id", "metric", F.timestamp_micros("grid_us").alias("at"), "value")
+        .select("host_id", "metric", F.timestamp_micros(F.col("grid_us") + start).alias("at"), "value")
     )

@@ -65,6 +65,11 @@ def hosts_view(spark, sf_dir):
     return console.hosts_view(fleet(spark, sf_dir), FRESH).select(*_FLEET)
 
 
+@query("hosts_next_page", f"SELECT {', '.join(_FLEET)} FROM v_fleet WHERE host_id > 'h1' ORDER BY host_id LIMIT 3")
+def hosts_next_page(spark, sf_dir):
+    return console.hosts_view(fleet(spark, sf_dir), FRESH.but(host_limit=3), after="h1").select(*_FLEET)
+
+
 @query("host_status", "SELECT host_id, status FROM v_fleet")
 def host_status(spark, sf_dir):
     return fleet(spark, sf_dir).select("host_id", "status")
@@ -184,17 +189,17 @@ def snapshot_totals(spark, sf_dir):
 
 
 _PANEL = ("cpu_usage_percent", "memory_usage_percent", "network_receive_bytes_per_second")
-_RANGE, _STEP = 7 * 86400, 3600
+_RANGE, _STEP, _HOLD = 7 * 86400, 3600, SPARSE.freshness
 
 
 @query("telemetry_view", f"""
-SELECT host_id, metric, {ts('g')} AS grid_at, arg_max(value, t) AS value FROM (
-  SELECT s.*, now_us - {_RANGE * 10**6} + CAST(ceil((t - now_us + {_RANGE * 10**6}) / {_STEP * 10**6}.0) AS BIGINT) * {_STEP * 10**6} AS g, now_us FROM v_samples s, v_now)
-WHERE metric IN {_PANEL} AND g >= now_us - {_RANGE * 10**6} AND g <= now_us GROUP BY host_id, metric, g
+SELECT host_id, metric, {ts('g')} AS grid_at, arg_max(value, t) AS value
+FROM v_samples s JOIN (SELECT unnest(generate_series(now_us - {_RANGE * 10**6}, now_us, {_STEP * 10**6})) AS g FROM v_now) ON t <= g AND t > g - {_HOLD * 10**6}
+WHERE metric IN {_PANEL} GROUP BY host_id, metric, g
 """)
 def telemetry_view(spark, sf_dir):
     chosen = domain.samples(spark, sf_dir).filter(F.col("metric").isin(*_PANEL))
-    grid = rates.grid_last(chosen, domain.as_of(spark, sf_dir), lookback=_RANGE, step=_STEP)
+    grid = rates.grid_last(chosen, domain.as_of(spark, sf_dir), lookback=_RANGE, step=_STEP, hold=_HOLD)
     return grid.withColumnRenamed("at", "grid_at")
 
 

@@ -94,8 +94,8 @@ _END = "(g - last_us) / 1000000.0"
 
 @query("request_rate_extrapolated", f"""
 SELECT host_id, "at", {o6(f'growth * (span + least(CASE WHEN to_first >= average * 1.1 THEN average / 2 ELSE to_first END, coalesce(zero, 1e18)) + CASE WHEN to_last >= average * 1.1 THEN average / 2 ELSE to_last END) / nullif(span, 0) / {float(SPARSE.rate_window)}', 9)} AS rate
-FROM (SELECT *, span / steps AS average, CASE WHEN growth > 0 THEN span * base / growth END AS zero FROM (
-  SELECT host_id, {ts('g')} AS "at", growth, steps, base, (last_us - first_us) / 1000000.0 AS span, {_START} AS to_first, {_END} AS to_last
+FROM (SELECT *, span / steps AS average, CASE WHEN growth > 0 THEN span * first_value / growth END AS zero FROM (
+  SELECT host_id, {ts('g')} AS "at", growth, steps, first_value, (last_us - first_us) / 1000000.0 AS span, {_START} AS to_first, {_END} AS to_last
   FROM v_rates WHERE counter = 'requests_total'))
 """)
 def request_rate_extrapolated(spark, sf_dir):
