@@ -24,14 +24,14 @@ def feature_stats_stream(samples: DataFrame, p: Params, delay_seconds: int) -> D
     """Twelve statistics per (host, metric, window), emitted once when a window is complete.
 
     Spark windows include their start; moving the clock by one microsecond makes them left-open.
-    Copies of a sample are dropped first.
+    Copies of a sample count once; samples of one instant that contradict each other are left out, as in the batch.
     """
     finite = samples.filter(is_finite("value")).select(
         "host_id", "metric", "ts", "value", F.timestamp_micros(F.unix_micros("ts") - 1).alias("clock")
     )
-    timed = finite.withWatermark("clock", f"{delay_seconds} seconds").dropDuplicatesWithinWatermark(
-        ["host_id", "metric", "ts"]
-    )
+    instants = finite.withWatermark("clock", f"{delay_seconds} seconds").groupBy("host_id", "metric", "clock")
+    instants = instants.agg(F.min("ts").alias("ts"), F.min("value").alias("value"), F.max("value").alias("other"))
+    timed = instants.filter(F.col("value") == F.col("other"))
     span = F.window("clock", f"{p.window} seconds", f"{p.tick} seconds")
     placed = timed.select("host_id", "metric", "ts", "value", span.alias("span"))
     grouped = (
