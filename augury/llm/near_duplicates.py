@@ -153,9 +153,11 @@ def shingle_sets(docs: DataFrame, params: Params) -> DataFrame:
 
     def rows(batches):
         words = Words()
-        for batch in batches:
-            sets = [shingle_set(t, words, params.size).view(np.int64) for t in batch["text"]]
-            yield pd.DataFrame({"doc": batch["doc_id"].to_numpy(), "n": [len(s) for s in sets], "shingles": sets})
+        for whole in batches:
+            for start in range(0, len(whole), 500):
+                batch = whole.iloc[start : start + 500]
+                sets = [shingle_set(t, words, params.size).view(np.int64) for t in batch["text"]]
+                yield pd.DataFrame({"doc": batch["doc_id"].to_numpy(), "n": [len(s) for s in sets], "shingles": sets})
 
     return _with_ids(docs).mapInPandas(rows, "doc long, n long, shingles array<long>")
 

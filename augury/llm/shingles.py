@@ -7,7 +7,7 @@ import xxhash
 
 SIZE = 5
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 class Words(dict):
