@@ -8,9 +8,9 @@ its slots are consistent: along one alignment every value of the item must stand
 document and the other way round, so "3 apples and 3 pears" matches "5 apples and 5 pears" but not
 "5 apples and 7 pears".  A document is contaminated by an item of which it covers 13 words, or all if it has fewer.
 
-Before the join each task drops the windows of its documents that no item has, by a table of the benchmark's
-hashes.  That table is sent to the tasks in blocks of a fixed number of hashes, one pass over the documents for each
-block, so its size does not grow with the benchmark.
+Before the join each task drops the windows of its documents that no item has, by a table of the benchmark's words
+and hashes; a sieve over bytes spares it most texts as a whole.  That table is sent to the tasks in blocks of a fixed number of hashes, one pass over the documents for
+each block, so its size does not grow with the benchmark.
 
 Defined cases: null or blank texts and items match nothing; items of fewer than four words are no
 evidence and match nothing; items shorter than a window are one window; items or documents that occur twice
@@ -52,22 +52,48 @@ class Params:
     block: int = 500_000  # benchmark hashes a task holds at once
 
 
+BETWEEN = b" \x00|\x00. "  # a word no item has, as it is not among the plain words of any
+OTHER, OTHER_END = 0, 1  # plain words no item has, without and with the end of a sentence
+ENDS = (".", "!", "?", ":")
+
+
 class Vocabulary:
-    """Kind and hash of a word as written, remembered; forgets all beyond a fixed number of words."""
+    """Kind and hash of a word as written, remembered; forgets all beyond a fixed number of words.
+
+    wanted, if given, holds the plain words of the benchmark: any other plain word is only known as
+    one that no item has, which spares nearly all words of a corpus a closer look."""
 
     LIMIT = 300_000
 
-    def __init__(self):
+    def __init__(self, wanted: frozenset[bytes] | None = None):
+        self.wanted = wanted
         self.clear()
 
     def clear(self):
         self.index: dict[bytes, int] = {}
+        self.n = 2
         self.plain, self.kind, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
+        self.ends[OTHER_END] = True
 
     def learn(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
+        core, end = text, False
+        if text[-1] in ".,;:!?":  # most words are letters with at most a mark behind them
+            core, end = text[:-1], text[-1] in ENDS
+        if not core.isalpha():
+            return self._classify(word, text)
+        if core.islower():
+            kind = UNIT if core in UNITS else PLAIN
+        else:
+            kind = NAME if core[0].isupper() and core[1:].islower() else PLAIN
+            core = core.lower()
+            kind = UNIT if core in UNITS else kind
+        return self._add(word, core.encode(), kind, end)
+
+    def _classify(self, word: bytes, text: str) -> int:
         core = text.strip(OUTER) or text
-        if NUMERIC.match(core) or (MEASURED.match(core) and MEASURED.match(core)[2].lower() in UNITS):
+        measured = MEASURED.match(core)
+        if NUMERIC.match(core) or (measured and measured[2].lower() in UNITS):
             kind = NUMBER
         elif core.lower() in UNITS:
             kind = UNIT
@@ -75,109 +101,210 @@ class Vocabulary:
             kind = NAME
         else:
             kind = PLAIN
-        i = len(self.index)
+        return self._add(word, core.lower().encode(), kind, text.rstrip("\"'”’»)]")[-1:] in ENDS)
+
+    def _add(self, word: bytes, core: bytes, kind: int, end: bool) -> int:
+        if kind == PLAIN and self.wanted is not None and core not in self.wanted:
+            self.index[word] = i = OTHER_END if end else OTHER
+            return i
+        i = self.n
         if i == len(self.plain):
             self.plain, self.kind, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.plain, self.kind, self.ends))
-        self.plain[i] = xxhash.xxh3_64_intdigest(core.lower().encode())
-        self.kind[i] = kind
-        self.ends[i] = text.rstrip("\"'”’»)]")[-1:] in (".", "!", "?", ":")
-        self.index[word] = i
+        self.plain[i], self.kind[i], self.ends[i] = xxhash.xxh3_64_intdigest(core), kind, end
+        self.index[word], self.n = i, i + 1
         return i
 
-    def look_up(self, found: list[bytes]):
-        """Hashes, kinds and sentence ends of words."""
+    def look_up(self, found: list[bytes]) -> np.ndarray:
+        """Numbers of words."""
         if len(self.index) > self.LIMIT:
             self.clear()
         at = list(map(self.index.get, found))
-        if None in at:
-            for k, i in enumerate(at):
-                if i is None:
-                    known = self.index.get(found[k])
-                    at[k] = self.learn(found[k]) if known is None else known
-        at = np.array(at, np.int64)
-        return self.plain[at], self.kind[at], self.ends[at]
+        for k in [k for k, i in enumerate(at) if i is None]:
+            known = self.index.get(found[k])
+            at[k] = self.learn(found[k]) if known is None else known
+        return np.array(at, np.int64)
 
 
 class Template:
     """Template of one text."""
 
-    def __init__(self, text: str, vocabulary: Vocabulary):
-        self.words = text.encode().split()
-        self.literal, kind, ends = vocabulary.look_up(self.words) if self.words else (np.zeros(0, np.uint64),) * 3
-        kind = kind.astype(np.int8)
-        first = np.r_[True, ends[:-1]].astype(bool)[: len(kind)]
-        after_number = np.r_[False, kind[:-1] == NUMBER][: len(kind)]
-        kind = np.where((kind == NAME) & first, PLAIN, kind)
-        self.kind = np.where((kind == UNIT) & ~after_number, PLAIN, kind)
-        self.slot = np.where(self.kind == PLAIN, self.literal, self.kind.astype(np.uint64))
+    def __init__(self, text: bytes, vocabulary: Vocabulary):
+        self.words = text.split()
+        at = vocabulary.look_up(self.words)
+        kind, ends = vocabulary.kind[at], vocabulary.ends[at]
+        self.literal, self.known = vocabulary.plain[at], at > OTHER_END
+        if len(at):
+            kind[0] = PLAIN if kind[0] in (NAME, UNIT) else kind[0]
+            before = kind[:-1].copy()
+            kind[1:][(kind[1:] == NAME) & ends[:-1]] = PLAIN
+            kind[1:][(kind[1:] == UNIT) & (before != NUMBER)] = PLAIN
+        self.kind = kind
+        self.slot = np.where(kind == PLAIN, self.literal, kind.astype(np.uint64))
 
     def __len__(self) -> int:
         return len(self.words)
 
-    def keys(self, size: int) -> np.ndarray:
-        """Hash of each window of a size."""
-        n = len(self) - size + 1
-        if n < 1:
-            return np.zeros(0, np.int64)
-        by_slot, by_word = np.full(n, size, np.uint64), np.full(n, size + 1000, np.uint64)
-        plain = np.zeros(n, np.int16)
+    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and hashes of the windows of a size that hold no word foreign to the benchmark."""
+        if len(self) < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        strange = np.concatenate([[0], np.cumsum(~self.known)])
+        at = np.flatnonzero(strange[size:] == strange[:-size])
+        by_slot, by_word = np.full(len(at), size, np.uint64), np.full(len(at), size + 1000, np.uint64)
+        plain = np.zeros(len(at), np.int16)
         for k in range(size):
-            part = slice(k, k + n)
-            by_slot = by_slot * STEP + self.slot[part]
-            by_word = by_word * STEP + self.literal[part]
-            plain += self.kind[part] == PLAIN
-        return mixed(np.where(2 * plain >= size, by_slot, by_word)).view(np.int64)
+            by_slot = by_slot * STEP + self.slot[at + k]
+            by_word = by_word * STEP + self.literal[at + k]
+            plain += self.kind[at + k] == PLAIN
+        return at, mixed(np.where(2 * plain >= size, by_slot, by_word)).view(np.int64)
 
     def values(self, at: int, size: int) -> list[str]:
         """Kind and value of each slot of a window."""
         out = []
         for i in range(at, at + size):
             if self.kind[i] != PLAIN:
-                core = self.words[i].decode("utf-8", "replace").strip(OUTER).lower()
-                out.append(f"{self.kind[i]}{core}")
+                out.append(f"{self.kind[i]}{_core(self.words[i])}")
         return out
 
+    def plain(self, at: int, size: int) -> list[str]:
+        """The plain words of a window without case and outer punctuation."""
+        return [_core(self.words[i]) for i in range(at, at + size) if self.kind[i] == PLAIN]
+
+
+class Sieve:
+    """Which stretches of a text can hold a window of the benchmark, found on bytes without looking at single words.
+
+    A word may belong to a window if it is one of the benchmark's plain words or a unit (by hash, so now and then
+    another passes), starts with a capital, or holds a digit or a byte beyond ASCII.  Windows that hold any other word
+    cannot match."""
+
+    BITS = 22
+    BASE = 0x9E3779B97F4A7C15
+    BACK = pow(BASE, -1, 1 << 64)
+
+    def __init__(self, words: frozenset[bytes], size: int):
+        self.size = size
+        byte = np.arange(256)
+        self.blank = np.isin(byte, list(b" \t\n\x0b\x0c\r"))
+        self.lower = np.where((byte >= 65) & (byte <= 90), byte + 32, byte).astype(np.uint64)
+        self.capital = (byte >= 65) & (byte <= 90)
+        self.open = (byte >= 128) | ((byte >= 48) & (byte <= 57))
+        self.outer = np.isin(byte, [ord(c) for c in OUTER if ord(c) < 128])
+        self.table = np.zeros(1 << self.BITS, bool)
+        self.powers = self.backs = np.ones(1, np.uint64)
+        for word in words | {u.encode() for u in UNITS}:
+            self.table[self._hash(np.frombuffer(word, np.uint8))] = True
+
+    def _grow(self, n: int) -> None:
+        if n > len(self.powers):
+            for name, factor in (("powers", self.BASE), ("backs", self.BACK)):
+                steps = np.full(2 * n, factor, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.multiply.accumulate(steps))
+
+    def _hash(self, word: np.ndarray) -> int:
+        self._grow(len(word) + 1)
+        total = (self.lower[word] * self.powers[: len(word)]).sum(dtype=np.uint64)
+        return int(mixed(np.array([total]))[0] >> np.uint64(64 - self.BITS))
+
+    def stretches(self, texts: list[bytes]):
+        """(number of the text, place of the first word, whether that is context only, words, bytes) to look at.
+
+        The word before a stretch comes with it: it decides how the first word is to be read."""
+        joined = b"\n".join(texts) + b"\n"
+        b = np.frombuffer(joined, np.uint8)
+        self._grow(len(b) + 1)
+        edge = np.flatnonzero(np.diff(self.blank[b], prepend=True))
+        start, end = edge[::2].copy(), edge[1::2].copy()
+        if len(start) < self.size:
+            return
+        begin, finish = start.copy(), end.copy()
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.lower[b] * self.powers[: len(b)], dtype=np.uint64)])
+        opened = np.concatenate([[0], np.cumsum(self.open[b])])
+        may = opened[end] > opened[start]
+        for side, step in ((end, -1), (start, 1)):
+            left = np.flatnonzero(end > start)
+            while len(left):
+                left = left[self.outer[b[side[left] + (step < 0) * step]]]
+                side[left] += step
+                left = left[end[left] > start[left]]
+        h = (sums[end] - sums[start]) * self.backs[start]
+        may |= self.table[mixed(h) >> np.uint64(64 - self.BITS)] | (end == start) | self.capital[b[start]]
+        strange = np.concatenate([[0], np.cumsum(~may)])
+        at = np.flatnonzero(strange[self.size :] == strange[: -self.size])
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        text = np.searchsorted(first, begin, side="right") - 1
+        at = at[text[at] == text[at + self.size - 1]]
+        if not len(at):
+            return
+        word = np.searchsorted(begin, first)  # the first word of each text
+        new = np.flatnonzero((np.diff(at) > self.size) | (np.diff(text[at]) > 0)) + 1
+        for low, high in zip(at[np.concatenate([[0], new])].tolist(), at[np.concatenate([new - 1, [-1]])].tolist()):
+            n = int(text[low])
+            context = low > word[n]
+            low -= context
+            count = high + self.size - low
+            yield n, int(low - word[n]), bool(context), int(count), joined[begin[low] : finish[high + self.size - 1]]
+
+
+def _core(word: bytes) -> str:
+    text = word.decode("utf-8", "replace")
+    return (text.strip(OUTER) or text).lower()
+
 
 def benchmark_windows(benchmark: DataFrame, params: Params) -> DataFrame:
-    """(key, item_id, item_at, size, item_words, item_slots)"""
+    """(key, item_id, item_at, size, item_words, item_slots, plain): plain are the window's words in template form."""
 
     def rows(batches):
         vocabulary = Vocabulary()
         for batch in batches:
             out = []
             for item, text in zip(batch["item_id"], batch["text"]):
-                template = Template(text, vocabulary)
+                template = Template(text.encode(), vocabulary)
                 size = min(params.window, len(template))
                 if len(template) >= params.shortest:
-                    for at, key in enumerate(template.keys(size).tolist()):
-                        out.append((key, item, at, size, len(template), template.values(at, size)))
-            yield pd.DataFrame(out, columns=["key", "item_id", "item_at", "size", "item_words", "item_slots"])
+                    for at, key in zip(*(x.tolist() for x in template.keys(size))):
+                        plain = template.plain(at, size)
+                        out.append((key, item, at, size, len(template), template.values(at, size), plain))
+            yield pd.DataFrame(out, columns=["key", "item_id", "item_at", "size", "item_words", "item_slots", "plain"])
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    kind = "key long, item_id long, item_at int, size int, item_words int, item_slots array<string>"
+    kind = "key long, item_id long, item_at int, size int, item_words int, item_slots array<string>, plain array<string>"
     return items.mapInPandas(rows, kind)
 
 
-def document_windows(docs: DataFrame, hashes: np.ndarray, sizes: list[int]) -> DataFrame:
-    """(doc, key, at, slots): the windows of docs(doc, text) whose hash is among hashes."""
-    sent = docs.sparkSession.sparkContext.broadcast(np.unique(hashes))
-    bits = 22
+def document_windows(docs: DataFrame, hashes: np.ndarray, words: list[str], sizes: list[int]) -> DataFrame:
+    """(doc, key, at, slots): the windows of docs(doc, text) whose hash is among hashes; words are the plain
+    words of the windows looked for."""
+    sent = docs.sparkSession.sparkContext.broadcast((np.unique(hashes), frozenset(w.encode() for w in words)))
 
     def rows(batches):
-        vocabulary, wanted = Vocabulary(), sent.value
-        maybe = np.zeros(1 << bits, bool)
-        maybe[wanted & ((1 << bits) - 1)] = True
+        wanted, known = sent.value
+        vocabulary, sieve = Vocabulary(known), Sieve(known, min(sizes)) if sizes else None
         for batch in batches:
-            out = []
-            for doc, text in zip(batch["doc"], batch["text"]):
-                template = Template(text, vocabulary)
+            names, texts, out = batch["doc"].tolist(), [t.encode() for t in batch["text"]], []
+            for part in slices(texts, 1 << 20) if sieve else ():
+                found = list(sieve.stretches(texts[part]))
+                # One template for all stretches; what stands between them is foreign and ends a sentence.
+                template = Template(BETWEEN.join(f[4] for f in found), vocabulary)
+                first = np.cumsum([0, *(f[3] + 1 for f in found)])
                 for size in sizes:
-                    keys = template.keys(size)
-                    at = np.flatnonzero(maybe[keys & ((1 << bits) - 1)])
-                    at = at[np.isin(keys[at], wanted)]
-                    out += [(doc, int(keys[i]), i, template.values(i, size)) for i in at.tolist()]
+                    at, keys = template.keys(size)
+                    hit = np.isin(keys, wanted)
+                    for i, key in zip(at[hit].tolist(), keys[hit].tolist()):
+                        n, offset, context, *_ = found[j := int(np.searchsorted(first, i, side="right")) - 1]
+                        if i - first[j] >= context:
+                            out.append((names[n + part.start], key, int(i - first[j]) + offset, template.values(i, size)))
             yield pd.DataFrame(out, columns=["doc", "key", "at", "slots"])
 
+    def slices(texts, most):
+        start = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= most or i == len(texts) - 1:
+                yield slice(start, i + 1)
+                start, size = i + 1, 0
+
     return docs.mapInPandas(rows, "doc string, key long, at int, slots array<string>")
 
 
@@ -190,12 +317,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) ->
     blocks = max(1, -(-keys.count() // params.block))
     found = None
     for block in range(blocks):
-        own = keys.where(F.pmod("key", F.lit(blocks)) == block)
-        rows = own.toPandas()
+        own = F.pmod("key", F.lit(blocks)) == block
+        rows = keys.where(own).toPandas()
+        words = windows.where(own).select(F.explode("plain").alias("w")).distinct().collect()  # at most window * block
         sizes = sorted(set(rows["size"].tolist()))
-        part = document_windows(docs, rows["key"].to_numpy(np.int64), sizes)
+        part = document_windows(docs, rows["key"].to_numpy(np.int64), [r["w"] for r in words if "\x00" not in r["w"]], sizes)
         found = part if found is None else found.unionByName(part)
-    joined = found.join(windows, "key").where(F.size("slots") == F.size("item_slots"))
+    joined = found.join(windows.drop("plain"), "key").where(F.size("slots") == F.size("item_slots"))
     pairs = F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y"))
     aligned = (
         joined.withColumn("pairs", pairs)

@@ -61,3 +61,26 @@ def test_awkward_rows(spark):
     assert clean.columns == docs.columns and clean.count() == docs.count() - len(hit)
     assert D.contaminated(nothing(spark), items).count() == 0
     assert D.contaminated(docs, items.limit(0)).where("contaminated").count() == 0
+
+
+def test_the_sieve_loses_no_window():
+    """Windows of whole templates against those of the stretches, on texts of awkward words."""
+    import random
+
+    rng = random.Random(5)
+    plain = [w.lower() for w in ITEM.split()] + ["été", "straße"]
+    known = frozenset(w.encode() for w in plain)
+    words = plain * 3 + [w.upper() for w in plain] + ["Alice", "3", "12kg", "kg", "foreign", "words,", "“quoted”", "(the)", "--", "...", "x.", "É.", "!?", "train!!", "'near'"]
+    sieve = D.Sieve(known, 4)
+    for _ in range(300):
+        texts = ["".join(rng.choice(words) + rng.choice([" ", "\n", "\t ", ". "]) for _ in range(rng.randrange(0, 40))).encode() for _ in range(3)]
+        want, got = set(), set()
+        for n, text in enumerate(texts):
+            at, keys = D.Template(text, D.Vocabulary(known)).keys(4)
+            want |= {(n, a, k) for a, k in zip(at.tolist(), keys.tolist())}
+        for n, offset, context, count, text in sieve.stretches(texts):
+            template = D.Template(text, D.Vocabulary(known))
+            assert len(template) == count
+            at, keys = template.keys(4)
+            got |= {(n, a + offset, k) for a, k in zip(at.tolist(), keys.tolist()) if a >= context}
+        assert want == got
