@@ -4,7 +4,8 @@ A text is cut into blocks of about 512 bytes (all of it; compression gains most
 the start of its input).  Every block is compressed with either dictionary.  The normalised difference
 ``(good - bad) / (good + bad)`` of the compressed sizes says which class the text resembles.  Runs of one
 repeated word shrink to nothing under either dictionary; the sizes themselves tell these apart.  A
-logistic regression over the sizes' ratios turns them into a calibrated probability.
+logistic regression over the sizes' ratios turns them into a calibrated probability; its constant is moved from the
+classes' shares in the calibration rows, which are bounded per class, to their shares in the labels.
 
 Defined cases: null texts count as empty; an empty text is scored like any other (its sizes are those of
 an empty block); repeated rows get equal scores; if a class has no labelled row, all texts get the share
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from augury.llm.common import held_out, labelled_sample, query, table
+from augury.llm.common import clear_labels, held_out, labelled_sample, query, table
 
 BLOCK = 512
 
@@ -162,6 +163,10 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     y = np.array([r["label"] for r in rows], float)
     mean, scale = x.mean(0), x.std(0) + 1e-9
     w = logistic((x - mean) / scale, y, params.penalty)
+    # The calibration rows' classes are not as frequent as the labels'.
+    taught = clear_labels(labels, "quality").where(~held_out(F.col("doc_id")))
+    shares = {r["label"]: r["count"] for r in taught.groupBy("label").count().collect()}
+    w[-1] += np.log(shares[1] / shares[0]) - np.log((y == 1).sum() / (y == 0).sum())
     return Model(good, bad, level, tuple(mean), tuple(scale), tuple(w))
 
 

@@ -107,3 +107,15 @@ def test_blocks_cover_the_text():
     for n in (0, 1, 255, 256, 511, 513, 100_001):
         data = bytes(np.random.default_rng(n).integers(0, 255, n, dtype=np.uint8))
         assert b"".join(Q.blocks(data)) == data
+
+
+def test_quality_scores_stay_put_when_the_caps_bind(spark):
+    """A quarter of the labels is wrong, so scores must lie near their share, whatever classes the sample has."""
+    docs, marks = corpus(spark, 7, 2000)
+    marks = marks.withColumn("quality", F.when(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0, 1 - F.col("quality")).otherwise(F.col("quality")))
+    share = marks.where(~held_out(F.col("doc_id"))).agg(F.avg("quality")).first()[0]
+    means = {}
+    for rows in ((2000, 2000), (300, 100), (100, 300)):
+        model = Q.fit(docs, marks, Q.Params(dictionary_rows=60, calibration_rows=dict(enumerate(rows))))
+        means[rows] = Q.classify(docs, model).agg(F.avg("score")).first()[0]
+    assert all(abs(m - share) < 0.06 for m in means.values()), (share, means)
