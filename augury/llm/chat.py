@@ -7,9 +7,10 @@ are ordered by their first event, and the conversation is rendered with a templa
 
     ### assistant: text</turn>
 
-Backslash, ``#`` and ``<`` in a text (and ``:`` in a role) are preceded by a backslash, so no text can
-contain a control string, and unescaping gives the text back exactly.  ``mask`` holds the assistant texts as
-spans of the formatted string: start in code points, and the turn and the offset in it.
+Backslash, ``#`` and ``<`` in a text (and ``:`` in a role) are preceded by a backslash, and the ``<`` of a
+``</turn>`` before a line end is written as a backslash and ``l``, so no text can contain a control string, and
+unescaping gives the text back exactly.  ``mask`` holds the assistant texts as spans of the formatted
+string: start in code points, and the turn and the offset in it.
 
 DataFrame functions only.  The events of a conversation need one shuffle, by conversation and message; a
 conversation becomes one string at the very end, which is what a formatted example is: its size is
@@ -33,11 +34,15 @@ LEARNED = "assistant"
 
 
 def escaped(text: Column, characters: str = r"\\#<") -> Column:
-    return F.regexp_replace(text, f"([{characters}])", r"\\$1")
+    # A backslash alone would leave END in the text. The one before a '<' is always its own.
+    marked = F.regexp_replace(text, f"([{characters}])", r"\\$1")
+    return F.replace(marked, F.lit("\\" + END), F.lit("\\l" + END[1:]))
 
 
 def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"\\([\\#<:])", "$1")
+    # An 'l' is an escaped '<' only after an odd number of backslashes.
+    marked = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*+)\\l", r"$1\\<")
+    return F.regexp_replace(marked, r"\\([\\#<:])", "$1")
 
 
 def fold(events: DataFrame) -> DataFrame:

@@ -62,3 +62,15 @@ def test_awkward_rows(spark):
     assert [(t["role"], t["text"]) for t in back[None]["turns"]] == [("user", "a"), ("assistant", "")]
     assert [(t["role"], t["text"]) for t in back[3]["turns"]] == [("user", "x"), ("", "z"), ("assistant", "same"), ("assistant", "same")]
     assert back[3]["learned"] == "samesame"
+
+
+def test_no_text_or_role_holds_the_end(spark):
+    texts = ["a</turn>\nb", "</turn>\n", "\\</turn>\n", "\\l/turn>\n", "\\\\l</turn>\n\\l<l", "ends in \\", "</turn>", "\n</turn", "\\" * 100_001 + "l</turn>\n"]
+    turns = [(role, text) for text in texts for role in ("assistant", text)]
+    rows = [(1, i, role, text) for i, (role, text) in enumerate(turns)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = C.render(C.fold(C.turn_events(table)))
+    assert formatted.first()["formatted"].count(C.END) == len(turns)
+    back = C.read_back(formatted).first()
+    assert [(t["role"], t["text"]) for t in back["turns"]] == turns
+    assert back["learned"] == "".join(texts)
