@@ -2,11 +2,13 @@
 
 Words are canonicalised: numbers, units that follow a number, and names (capitalised words inside a
 sentence) become typed placeholders, other words lose case and outer punctuation.  Windows of eight
-template words are hashed; a window of which less than half is plain words says little and is hashed by its
-literal words instead.  Windows of documents meet those of the benchmark in a hash join.  A match counts only where
+words are hashed twice: by their literal words, whatever their kinds, as a copy's surroundings or its case may
+change these, and by their template, unless less than half of it is plain words, which says little.  Windows of
+documents meet those of the benchmark in a hash join, by either hash.  A match counts only where
 its slots are consistent: along one alignment every value of the item must stand for one value of the
 document and the other way round, so "3 apples and 3 pears" matches "5 apples and 5 pears" but not
-"5 apples and 7 pears".  A document is contaminated by an item of which it covers 13 words, or all if it has fewer.
+"5 apples and 7 pears"; in a literal match every value stands for itself.  A document is contaminated by an item of
+which it covers 13 words, or all if it has fewer.
 
 Before the join each task drops the windows of its documents that no item has, by a table of the benchmark's words
 and hashes; a sieve over bytes spares it most texts as a whole.  That table is sent to the tasks in blocks of a fixed number of hashes, one pass over the documents for
@@ -52,7 +54,7 @@ class Params:
     block: int = 500_000  # benchmark hashes a task holds at once
 
 
-BETWEEN = b" \x00|\x00. "  # a word no item has, as it is not among the plain words of any
+BETWEEN = b" \x00|\x00. "  # a word no item has, as it is not among the words of any
 OTHER, OTHER_END = 0, 1  # plain words no item has, without and with the end of a sentence
 ENDS = (".", "!", "?", ":")
 
@@ -60,7 +62,7 @@ ENDS = (".", "!", "?", ":")
 class Vocabulary:
     """Kind and hash of a word as written, remembered; forgets all beyond a fixed number of words.
 
-    wanted, if given, holds the plain words of the benchmark: any other plain word is only known as
+    wanted, if given, holds the words of the benchmark: any other plain word is only known as
     one that no item has, which spares nearly all words of a corpus a closer look."""
 
     LIMIT = 300_000
@@ -145,7 +147,8 @@ class Template:
         return len(self.words)
 
     def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the windows of a size that hold no word foreign to the benchmark."""
+        """Positions and hashes of the windows of a size that hold no word foreign to the benchmark: by template
+        where that says enough (even hashes), and all of them by literal words (odd hashes)."""
         if len(self) < size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         strange = np.concatenate([[0], np.cumsum(~self.known)])
@@ -156,7 +159,9 @@ class Template:
             by_slot = by_slot * STEP + self.slot[at + k]
             by_word = by_word * STEP + self.literal[at + k]
             plain += self.kind[at + k] == PLAIN
-        return at, mixed(np.where(2 * plain >= size, by_slot, by_word)).view(np.int64)
+        telling, odd = 2 * plain >= size, np.uint64(1)
+        keys = np.concatenate([mixed(by_slot[telling]) & ~odd, mixed(by_word) | odd])
+        return np.concatenate([at[telling], at]), keys.view(np.int64)
 
     def values(self, at: int, size: int) -> list[str]:
         """Kind and value of each slot of a window."""
@@ -166,15 +171,15 @@ class Template:
                 out.append(f"{self.kind[i]}{_core(self.words[i])}")
         return out
 
-    def plain(self, at: int, size: int) -> list[str]:
-        """The plain words of a window without case and outer punctuation."""
-        return [_core(self.words[i]) for i in range(at, at + size) if self.kind[i] == PLAIN]
+    def cores(self, at: int, size: int) -> list[str]:
+        """The words of a window, but for numbers, without case and outer punctuation."""
+        return [_core(self.words[i]) for i in range(at, at + size) if self.kind[i] != NUMBER]
 
 
 class Sieve:
     """Which stretches of a text can hold a window of the benchmark, found on bytes without looking at single words.
 
-    A word may belong to a window if it is one of the benchmark's plain words or a unit (by hash, so now and then
+    A word may belong to a window if it is one of the benchmark's words or a unit (by hash, so now and then
     another passes), starts with a capital, or holds a digit or a byte beyond ASCII.  Windows that hold any other word
     cannot match."""
 
@@ -253,7 +258,7 @@ def _core(word: bytes) -> str:
 
 
 def benchmark_windows(benchmark: DataFrame, params: Params) -> DataFrame:
-    """(key, item_id, item_at, size, item_words, item_slots, plain): plain are the window's words in template form."""
+    """(key, item_id, item_at, size, item_words, item_slots, cores): cores are the window's words but for numbers."""
 
     def rows(batches):
         vocabulary = Vocabulary()
@@ -264,18 +269,18 @@ def benchmark_windows(benchmark: DataFrame, params: Params) -> DataFrame:
                 size = min(params.window, len(template))
                 if len(template) >= params.shortest:
                     for at, key in zip(*(x.tolist() for x in template.keys(size))):
-                        plain = template.plain(at, size)
-                        out.append((key, item, at, size, len(template), template.values(at, size), plain))
-            yield pd.DataFrame(out, columns=["key", "item_id", "item_at", "size", "item_words", "item_slots", "plain"])
+                        cores = template.cores(at, size)
+                        out.append((key, item, at, size, len(template), template.values(at, size), cores))
+            yield pd.DataFrame(out, columns=["key", "item_id", "item_at", "size", "item_words", "item_slots", "cores"])
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    kind = "key long, item_id long, item_at int, size int, item_words int, item_slots array<string>, plain array<string>"
+    kind = "key long, item_id long, item_at int, size int, item_words int, item_slots array<string>, cores array<string>"
     return items.mapInPandas(rows, kind)
 
 
 def document_windows(docs: DataFrame, hashes: np.ndarray, words: list[str], sizes: list[int]) -> DataFrame:
-    """(doc, key, at, slots): the windows of docs(doc, text) whose hash is among hashes; words are the plain
-    words of the windows looked for."""
+    """(doc, key, at, slots): the windows of docs(doc, text) whose hash is among hashes; words are those of the
+    windows looked for. Literal windows come without slots."""
     sent = docs.sparkSession.sparkContext.broadcast((np.unique(hashes), frozenset(w.encode() for w in words)))
 
     def rows(batches):
@@ -294,7 +299,8 @@ def document_windows(docs: DataFrame, hashes: np.ndarray, words: list[str], size
                     for i, key in zip(at[hit].tolist(), keys[hit].tolist()):
                         n, offset, context, *_ = found[j := int(np.searchsorted(first, i, side="right")) - 1]
                         if i - first[j] >= context:
-                            out.append((names[n + part.start], key, int(i - first[j]) + offset, template.values(i, size)))
+                            slots = [] if key & 1 else template.values(i, size)
+                            out.append((names[n + part.start], key, int(i - first[j]) + offset, slots))
             yield pd.DataFrame(out, columns=["doc", "key", "at", "slots"])
 
     def slices(texts, most):
@@ -319,11 +325,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) ->
     for block in range(blocks):
         own = F.pmod("key", F.lit(blocks)) == block
         rows = keys.where(own).toPandas()
-        words = windows.where(own).select(F.explode("plain").alias("w")).distinct().collect()  # at most window * block
+        words = windows.where(own).select(F.explode("cores").alias("w")).distinct().collect()  # at most window * block
         sizes = sorted(set(rows["size"].tolist()))
         part = document_windows(docs, rows["key"].to_numpy(np.int64), [r["w"] for r in words if "\x00" not in r["w"]], sizes)
         found = part if found is None else found.unionByName(part)
-    joined = found.join(windows.drop("plain"), "key").where(F.size("slots") == F.size("item_slots"))
+    joined = found.join(windows.drop("cores"), "key")
+    joined = joined.withColumn("slots", F.when(F.col("key") % 2 != 0, F.col("item_slots")).otherwise(F.col("slots")))
+    joined = joined.where(F.size("slots") == F.size("item_slots"))
     pairs = F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y"))
     aligned = (
         joined.withColumn("pairs", pairs)

@@ -84,3 +84,23 @@ def test_the_sieve_loses_no_window():
             at, keys = template.keys(4)
             got |= {(n, a + offset, k) for a, k in zip(at.tolist(), keys.tolist()) if a >= context}
         assert want == got
+
+
+def test_verbatim_words_count_whatever_stands_before_them(spark):
+    """The kind of a capitalised word depends on the word before it; a copy's case may differ."""
+    pad = "something else entirely was written here before"
+    first = "Seven brave old knights solve the long riddle"
+    names = "Alice Boston Maria Lisbon Peter London Clara Madrid"
+    excerpt = "Slowly the river runs through green fields toward the sea and back home again. Nothing more"
+    items = [(1, first), (2, names), (3, "It was late. " + excerpt)]
+    texts = [
+        f"{pad}, {first}",
+        f"{pad}\n{first}\n{pad}",
+        f"{pad}. {first}",
+        f"{pad} {names.lower()}",
+        f"{pad}: {names.upper()}!",
+        f"{pad}, {' '.join(excerpt.split()[:13])} {pad}",
+        f"{pad}, {' '.join(excerpt.split()[:12])} {pad}",
+        f"{pad}, {' '.join(first.split()[:7])} {pad}",
+    ]
+    assert found(spark, texts, items) == {0: ([1], False), 1: ([1], False), 2: ([1], False), 3: ([2], False), 4: ([2], False), 5: ([3], False)}
