@@ -45,6 +45,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ranged(df: DataFrame, rows: int, *columns: str) -> DataFrame:
+    """Rows dealt by ranges of the columns, a million or so to a partition however many there are."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 1_000_000))
+    return df.repartitionByRange(parts, *columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32(doc_id as text) mod 4 is 2; such rows never teach a model. Null ids: false."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
