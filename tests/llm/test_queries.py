@@ -39,8 +39,8 @@ def test_query_matches_sql(spark, con, name):
     assert sorted(map(tuple, frame.select(*columns).collect()), key=repr) == want
 
 
-def test_ten_operators():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_bpe_query(spark):
