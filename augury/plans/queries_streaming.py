@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from augury.functions.clock import r6
 from augury.operators import clean
 from augury.operators.features import STATS
-from augury.plans import oracle_events, queries_incidents  # noqa: F401
+from augury.plans import oracle, oracle_events, queries_incidents  # noqa: F401
 from augury.plans.catalog import query
 from augury.plans.oracle import r6 as o6
 from augury.plans.oracle import ts
@@ -17,6 +17,8 @@ from augury.sources import domain, tables
 from augury.streaming import pipelines as st
 
 DELAY = 3600
+# Watermarks have milliseconds.
+PASSED = f"({{}} // 1000 * 1000 - {DELAY * 10**6})"
 
 
 def replay(spark, frame, name: str):
@@ -38,26 +40,36 @@ def features_stream(spark, sf_dir):
 
 
 @query("failure_events_stream", """
-SELECT host_id, event_id, 'failure' AS change, observed_at AS first_at, confirmed_at FROM v_raw_failures
-UNION ALL SELECT host_id, event_id, 'recovery', recovered_at, recovery_confirmed_at FROM v_raw_failures WHERE recovered_at IS NOT NULL
-""")
+SELECT c.* FROM (SELECT host_id, event_id, 'failure' AS change, observed_at AS first_at, confirmed_at FROM v_raw_failures
+UNION ALL SELECT host_id, event_id, 'recovery', recovered_at, recovery_confirmed_at FROM v_raw_failures WHERE recovered_at IS NOT NULL) c, v_now
+WHERE epoch_us(confirmed_at) <= {PASSED}
+""".replace("{PASSED}", PASSED.format("now_us")))
 def failure_events_stream(spark, sf_dir):
     probes = clean.with_outcome(domain.as_probes(domain.events_stream(spark, sf_dir)), SPARSE.latency_slo)
-    changes = replay(spark, st.failure_events_stream(probes, SPARSE), "failures")
+    changes = replay(spark, st.failure_events_stream(probes, SPARSE, DELAY), "failures")
     return changes.select("host_id", "event_id", "change", "first_at", "confirmed_at")
 
 
-@query("incidents_stream", """
-SELECT o.host_id, 'i-' || c.prediction_id AS incident_id, c.predicted_at AS at_time
+oracle.cte("v_stream_incidents", f"""
+SELECT o.host_id, 'i-' || c.prediction_id AS incident_id, c.p_us, c.predicted_at, c.closed_us, c.closed_as,
+  (SELECT {PASSED.format("max(p_us)")} FROM v_seq) AS passed
 FROM v_opened_alone o JOIN v_candidates c ON c.host_id = o.host_id AND c.p_us = o.p_us
 """)
+
+
+@query("incidents_stream", f"""
+SELECT host_id, incident_id, 'opened' AS change, predicted_at AS at_time FROM v_stream_incidents WHERE p_us <= passed
+UNION ALL
+SELECT host_id, incident_id, closed_as, {ts('closed_us')} FROM v_stream_incidents
+WHERE CASE WHEN closed_as = 'risk_cleared' THEN closed_us <= passed ELSE closed_us < passed END
+""")
 def incidents_stream(spark, sf_dir):
     # Scores are written by the scoring job and picked up as a stream.
     path = tables.scratch_path(spark, "scores")
     queries_incidents.predictions(spark, sf_dir).write.parquet(path)
     scores = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
-    changes = replay(spark, st.incidents_stream(scores, domain.MODEL_THRESHOLD, SPARSE), "incidents")
-    return changes.filter("change = 'opened'").select("host_id", "incident_id", "at_time")
+    changes = replay(spark, st.incidents_stream(scores, domain.MODEL_THRESHOLD, SPARSE, DELAY), "incidents")
+    return changes.select("host_id", "incident_id", "change", "at_time")
 
 
 @query("receipts_stream", """

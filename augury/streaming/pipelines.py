@@ -5,17 +5,15 @@ Late rows beyond the watermark are dropped; results are appended once and never
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from augury.functions.clock import is_finite
 from augury.operators.features import finish_statistics, window_aggregates
 from augury.settings import Params
+from augury.streaming.in_order import InOrder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,51 +42,55 @@ def feature_stats_stream(samples: DataFrame, p: Params, delay_seconds: int) -> D
     )
 
 
-class FailureDetector(StatefulProcessor):
+class FailureDetector(InOrder):
     """Per host: last probes and whether a failure is open; emits confirmed changes."""
 
-    def __init__(self, count: int, span_seconds: int) -> None:
-        self.count, self.span = count, span_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "rows array<struct<us:bigint,probe:bigint,breached:boolean,outcome:string>>")
-        self.open = handle.getValueState("open", "event string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        recent = [tuple(r) for r in self.recent.get()[0]] if self.recent.exists() else []
-        current = self.open.get()[0] if self.open.exists() else None
-        # One micro-batch of one host; batches may come in any order.
-        batch = pd.concat(list(rows)).sort_values(["us", "probe_id"])
-        out = []
-        for us, probe, breached, outcome in batch[["us", "probe_id", "breached", "outcome"]].itertuples(index=False):
-            recent = (recent + [(int(us), int(probe), bool(breached), outcome)])[-self.count :]
-            run = len(recent) == self.count and recent[-1][0] - recent[0][0] <= self.span
-            if run and current is None and all(r[2] for r in recent):
-                current = f"f{recent[0][1]}"
-                out.append((key[0], current, "failure", recent[0][3], recent[0][0], int(us)))
-            elif run and current is not None and not any(r[2] for r in recent):
-                out.append((key[0], current, "recovery", None, recent[0][0], int(us)))
-                current = None
-        self.recent.update((recent,))
-        if current is None:
-            self.open.clear()
-        else:
-            self.open.update((current,))
-        if out:
-            yield pd.DataFrame(out, columns=["host_id", "event_id", "change", "failure_type", "first_us", "confirmed_us"])
+    fields = (("us", "bigint"), ("probe_id", "bigint"), ("breached", "boolean"), ("outcome", "string"))
+    output = ("host_id", "event_id", "change", "failure_type", "first_us", "confirmed_us")
+
+    def __init__(self, p: Params) -> None:
+        super().__init__(p.slice_seconds)
+        self.count, self.span = p.confirm_count, p.confirm_span * 1_000_000
 
-    def close(self) -> None:
-        pass
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.recent_state = handle.getValueState("recent", "rows array<struct<us:bigint,probe:bigint,breached:boolean,outcome:string>>")
+        self.open_state = handle.getValueState("open", "event string")
 
+    def load(self) -> None:
+        self.recent = [tuple(r) for r in self.recent_state.get()[0]] if self.recent_state.exists() else []
+        self.current = self.open_state.get()[0] if self.open_state.exists() else None
 
-def failure_events_stream(probes: DataFrame, p: Params) -> DataFrame:
-    """Confirmed failures and recoveries as they happen; state survives restarts."""
-    keyed = probes.select("host_id", "probe_id", F.unix_micros("observed_at").alias("us"), "breached", "outcome")
+    def save(self) -> None:
+        self.recent_state.update((self.recent,))
+        if self.current is None:
+            self.open_state.clear()
+        else:
+            self.open_state.update((self.current,))
+
+    def step(self, key: tuple, row: tuple) -> list[tuple]:
+        self.recent = (self.recent + [row])[-self.count :]
+        first = self.recent[0]
+        if len(self.recent) < self.count or row[0] - first[0] > self.span:
+            return []
+        if self.current is None and all(r[2] for r in self.recent):
+            self.current = f"f{first[1]}"
+            return [(key[0], self.current, "failure", first[3], first[0], row[0])]
+        if self.current is not None and not any(r[2] for r in self.recent):
+            event, self.current = self.current, None
+            return [(key[0], event, "recovery", None, first[0], row[0])]
+        return []
+
+
+def failure_events_stream(probes: DataFrame, p: Params, delay_seconds: int) -> DataFrame:
+    """Failures and recoveries confirmed by probes behind the watermark; state survives restarts."""
+    keyed = probes.withWatermark("observed_at", f"{delay_seconds} seconds").select(
+        "host_id", "probe_id", "observed_at", F.unix_micros("observed_at").alias("us"), "breached", "outcome"
+    )
     changes = keyed.groupBy("host_id").transformWithStateInPandas(
-        FailureDetector(p.confirm_count, p.confirm_span),
+        FailureDetector(p),
         outputStructType="host_id string, event_id string, change string, failure_type string, first_us bigint, confirmed_us bigint",
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime",
     )
     return changes.select(
         "host_id",
@@ -100,71 +102,81 @@ def failure_events_stream(probes: DataFrame, p: Params) -> DataFrame:
     )
 
 
-class IncidentTracker(StatefulProcessor):
-    """Per host: threshold crossings and at most one open incident."""
+class IncidentTracker(InOrder):
+    """Per host: threshold crossings and at most one open incident, which ends by low scores or when its forecast
+    has run out, also on a host that is scored no more."""
+
+    fields = (("us", "bigint"), ("prediction_id", "string"), ("end_us", "bigint"), ("probability", "double"))
+    output = ("host_id", "incident_id", "change", "at_us", "crossing")
 
     def __init__(self, threshold: float, p: Params) -> None:
+        super().__init__(p.slice_seconds)
         self.threshold, self.p = threshold, p
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.lows = handle.getValueState("lows", "ends array<bigint>")
-        self.incident = handle.getValueState("incident", "id string, expiry bigint")
-        self.newest = handle.getValueState("newest", "us bigint, high boolean")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        lows = list(self.lows.get()[0]) if self.lows.exists() else []
-        current = tuple(self.incident.get()) if self.incident.exists() else None
-        seen, before_high = tuple(self.newest.get()) if self.newest.exists() else (-1, False)
-        ahead = (self.p.horizon + self.p.expiry_grace) * 1_000_000
-        out = []
-        batch = pd.concat(list(rows)).sort_values("end_us")
-        for name, end, at, value in batch[["prediction_id", "end_us", "at_us", "probability"]].itertuples(index=False):
-            end, at = int(end), int(at)
-            if end <= seen:  # a repeated or overtaken window changes nothing
-                continue
-            high = value >= self.threshold
-            if current is not None and at > current[1]:
-                out.append((key[0], current[0], "forecast_expired_unconfirmed", current[1], False))
-                current = None
-            if high:
-                lows = []
-                if current is None:
-                    current = (f"i-{name}", end + ahead)
-                    out.append((key[0], current[0], "opened", at, not before_high))
-            else:
-                lows = (lows + [end])[-self.p.clear_count :]
-                full = len(lows) == self.p.clear_count and lows[-1] - lows[0] <= self.p.clear_span * 1_000_000
-                if current is not None and full:
-                    out.append((key[0], current[0], "risk_cleared", at, False))
-                    current = None
-            seen, before_high = end, bool(high)
-        self.lows.update((lows,))
-        self.newest.update((seen, before_high))
-        if current is None:
-            self.incident.clear()
+        self.ahead, self.clear_span, self.max_age = ((s * 1_000_000) for s in (p.horizon + p.expiry_grace, p.clear_span, p.max_age))
+
+    def setup(self, handle: StatefulProcessorHandle) -> None:
+        self.lows_state = handle.getValueState("lows", "ends array<bigint>")
+        self.incident_state = handle.getValueState("incident", "id string, expiry bigint")
+        self.newest_state = handle.getValueState("newest", "us bigint, high boolean")
+
+    def load(self) -> None:
+        self.lows = list(self.lows_state.get()[0]) if self.lows_state.exists() else []
+        self.incident = tuple(self.incident_state.get()) if self.incident_state.exists() else None
+        self.newest = tuple(self.newest_state.get()) if self.newest_state.exists() else (None, False)
+
+    def save(self) -> None:
+        self.lows_state.update((self.lows,))
+        if self.newest[0] is not None:
+            self.newest_state.update(self.newest)
+        if self.incident is None:
+            self.incident_state.clear()
         else:
-            self.incident.update(current)
-        if out:
-            yield pd.DataFrame(out, columns=["host_id", "incident_id", "change", "at_us", "crossing"])
-
-    def close(self) -> None:
-        pass
-
-
-def incidents_stream(predictions: DataFrame, threshold: float, p: Params) -> DataFrame:
-    """Incident openings and closings per host, exactly those of the batch replay."""
-    keyed = predictions.select(
+            self.incident_state.update(self.incident)
+
+    def deadline(self) -> int | None:
+        return None if self.incident is None else self.incident[1]
+
+    def late(self, key: tuple) -> list[tuple]:
+        (name, expiry), self.incident = self.incident, None
+        return [(key[0], name, "forecast_expired_unconfirmed", expiry, False)]
+
+    def step(self, key: tuple, row: tuple) -> list[tuple]:
+        at, name, end, value = row
+        out = self.late(key) if self.incident is not None and at > self.incident[1] else []
+        newest, before_high = self.newest
+        if newest is not None and end <= newest:  # a repeated or overtaken window changes nothing
+            return out
+        high = value >= self.threshold
+        self.newest = (end, high)
+        if high:
+            self.lows = []
+            if self.incident is None and at - end <= self.max_age:
+                self.incident = (f"i-{name}", end + self.ahead)
+                out.append((key[0], self.incident[0], "opened", at, not before_high))
+            return out
+        self.lows = (self.lows + [end])[-self.p.clear_count :]
+        full = len(self.lows) == self.p.clear_count and self.lows[-1] - self.lows[0] <= self.clear_span
+        if self.incident is not None and full:
+            out.append((key[0], self.incident[0], "risk_cleared", at, False))
+            self.incident = None
+        return out
+
+
+def incidents_stream(predictions: DataFrame, threshold: float, p: Params, delay_seconds: int) -> DataFrame:
+    """Incident openings and closings per host behind the watermark, those of the batch replay."""
+    keyed = predictions.withWatermark("predicted_at", f"{delay_seconds} seconds").select(
         "host_id",
         "prediction_id",
+        "predicted_at",
         F.unix_micros("window_end").alias("end_us"),
-        F.unix_micros("predicted_at").alias("at_us"),
+        F.unix_micros("predicted_at").alias("us"),
         "probability",
     )
     changes = keyed.groupBy("host_id").transformWithStateInPandas(
         IncidentTracker(threshold, p),
         outputStructType="host_id string, incident_id string, change string, at_us bigint, crossing boolean",
         outputMode="append",
-        timeMode="none",
+        timeMode="eventTime",
     )
     return changes.select("host_id", "incident_id", "change", F.timestamp_micros("at_us").alias("at_time"), "crossing")
 

@@ -1,8 +1,14 @@
 """Streams against hand-made rows."""
 
+import random
+from datetime import timezone
+
+from pyspark.sql import functions as F
+
+from augury.operators import probes
 from augury.settings import LIVE
 from augury.streaming import pipelines as st
-from tests.helpers import samples
+from tests.helpers import at, samples
 
 CPU = "cpu_usage_percent"
 
@@ -18,3 +24,55 @@ def test_contradicting_samples_are_left_out_of_the_stream(spark, tmp_path):
     got = spark.read.schema(frame.schema).parquet(str(tmp_path / "rows")).orderBy("window_end").collect()
     assert len(got) == 15  # every window of 900 s that ends on a minute and holds second 20
     assert {(r["latest"], r["mean"], r["min"], r["max"]) for r in got} == {(3.0, 3.0, 3.0, 3.0)}
+
+
+def _fed(spark, tmp_path, name, given, parts, make):
+    """Rows of a stream fed file by file; parts: conditions, one for each file in order."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
+    folder = tmp_path / name
+    for i, part in enumerate(parts):
+        given.where(part).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+        frame = make(stream)
+        st.run_once(frame, str(folder / "rows"), str(folder / "progress"))
+    return sorted(map(tuple, spark.read.schema(frame.schema).parquet(str(folder / "rows")).collect()), key=repr)
+
+
+def _probe_rows(spark):
+    rng = random.Random(3)
+    rows, state = [], False
+    for i in range(600):
+        state = state != (rng.random() < 0.15)
+        # Two probes of one instant now and then.
+        rows.append((f"h{i % 3}", i, at(10 * (i // 6) + i % 6), state, "down" if state else "ok"))
+    rows.append(("h0", 9999, at(100_000), False, "ok"))
+    return spark.createDataFrame(rows, "host_id string, probe_id bigint, observed_at timestamp, breached boolean, outcome string")
+
+
+def test_late_probes_give_the_rows_of_ordered_ones(spark, tmp_path):
+    given = _probe_rows(spark)
+    p = LIVE.but(confirm_span=60, slice_seconds=100)
+    make = lambda delay: lambda s: st.failure_events_stream(s, p, delay)
+    end = F.col("probe_id") == 9999
+    ordered = _fed(spark, tmp_path, "ordered", given, [F.lit(True)], make(2000))
+    mixed = _fed(spark, tmp_path, "mixed", given, [(F.col("probe_id") % 3 == k) & ~end for k in (2, 0, 1)] + [end], make(2000))
+    assert len(ordered) > 20 and mixed == ordered
+    full = given.withColumn("latency_seconds", F.lit(0.1)).withColumn("status_code", F.lit(200))
+    batch = {(r["host_id"], r["event_id"], r["observed_at"], r["confirmed_at"]) for r in probes.failure_events(full, p).collect()}
+    assert {(r[0], r[1], r[4], r[5]) for r in ordered if r[2] == "failure"} == batch
+
+
+def test_a_silent_host_lets_its_incident_expire(spark, tmp_path):
+    rows = [("a", "p1", at(60), at(61), 0.9), ("b", "q1", at(60), at(62), 0.1), ("b", "q2", at(5000), at(5001), 0.1), ("a", "late", at(120), at(400), 0.95)]
+    given = spark.createDataFrame(rows, "host_id string, prediction_id string, window_end timestamp, predicted_at timestamp, probability double")
+    make = lambda s: st.incidents_stream(s, 0.5, LIVE, 30)
+    want = [("a", "i-p1", "forecast_expired_unconfirmed", at(60 + LIVE.horizon + LIVE.expiry_grace), False), ("a", "i-p1", "opened", at(61), True)]
+    got = _fed(spark, tmp_path, "silent", given, [F.col("host_id") == "a", F.col("host_id") == "b"], make)
+    assert [(h, i, c, t.replace(tzinfo=timezone.utc), x) for h, i, c, t, x in got] == want
+
+
+def test_late_scores_open_nothing_and_repeated_ones_change_nothing(spark, tmp_path):
+    rows = [("a", "p1", at(60), at(60 + LIVE.max_age + 1), 0.9), ("a", "p2", at(120), at(200), 0.9), ("a", "p2", at(120), at(200), 0.9), ("z", "n", at(9000), at(9000), 0.1)]
+    given = spark.createDataFrame(rows, "host_id string, prediction_id string, window_end timestamp, predicted_at timestamp, probability double")
+    got = _fed(spark, tmp_path, "late", given, [F.lit(True)], lambda s: st.incidents_stream(s, 0.5, LIVE, 30))
+    assert [(g[1], g[2]) for g in got] == [("i-p2", "forecast_expired_unconfirmed"), ("i-p2", "opened")]
