@@ -47,6 +47,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 REMEMBERED = 200_000  # words a task counts or remembers before it lets go of them
+GROUP = 1 << 15  # words of the texts that are scored together
 STRIDE = 1 << 18  # symbols looked up at once
 
 
@@ -230,40 +231,54 @@ class Scorer:
 
     def __init__(self, arrays: Arrays):
         self.arrays, self.known = arrays, {}
-        self.rows = np.zeros((0, arrays.languages + 1))
+        self.rows = np.zeros((1024, arrays.languages + 1))  # grows by doubling
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         """(texts, languages + 1): sums and, last, the number of predicted symbols."""
         out = np.zeros((len(texts), self.arrays.languages + 1))
+        found: list[tuple[int, list[str]]] = []
+        size = 0
         for i, text in enumerate(texts):
-            found = runs(text)
-            if found:
+            found.append((i, runs(text)))
+            size += len(found[-1][1])
+            if size >= GROUP or i == len(texts) - 1:
                 self._learn(found)
-                at = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
-                for k in range(0, len(at), STRIDE):
-                    out[i] += self.rows[at[k : k + STRIDE]].sum(axis=0)
+                for k, own in found:
+                    at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+                    for start in range(0, len(at), STRIDE):
+                        out[k] += self.rows[at[start : start + STRIDE]].sum(axis=0)
+                found, size = [], 0
         return out
 
-    def _learn(self, found: list[str]) -> None:
-        new = list(dict.fromkeys(r for r in found if r not in self.known))
-        if not new:
-            return
+    def _learn(self, found: list[tuple[int, list[str]]]) -> None:
+        """Look up the words of a group of texts that are not remembered, all at once."""
+        new = set().union(*(own for _, own in found)).difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.rows, new = {}, self.rows[:0], list(dict.fromkeys(found))
-        rows = np.zeros((len(new), self.arrays.languages + 1))
-        words = [(i, f"^{w}$") for i, run in enumerate(new) for w in letters(run)]
-        start = 0
-        while start < len(words):
-            end, symbols = start, 0
-            while end < len(words) and symbols < STRIDE:
-                symbols += len(words[end][1])
-                end += 1
-            owner = np.array([i for i, _ in words[start:end]])
-            np.add.at(rows[:, :-1], owner, self.arrays.sums([w for _, w in words[start:end]]))
-            np.add.at(rows[:, -1], owner, [len(w) - 1 for _, w in words[start:end]])
-            start = end
-        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-        self.rows = np.concatenate([self.rows, rows])
+            self.known = {}
+            new = set().union(*(own for _, own in found))
+        new = list(new)
+        first = len(self.known)
+        if first + len(new) > len(self.rows):
+            grown = np.zeros((max(2 * len(self.rows), first + len(new)), self.rows.shape[1]))
+            grown[:first] = self.rows[:first]
+            self.rows = grown
+        self.rows[first : first + len(new)] = 0
+        owner, words, symbols = [], [], 0
+        for i, run in enumerate(new, first):
+            for word in letters(run):
+                owner.append(i)
+                words.append(f"^{word}$")
+                symbols += len(word) + 2
+            if symbols >= STRIDE:
+                self._look_up(owner, words)
+                owner, words, symbols = [], [], 0
+        if words:
+            self._look_up(owner, words)
+        self.known.update(zip(new, range(first, first + len(new))))
+
+    def _look_up(self, owner: list[int], words: list[str]) -> None:
+        np.add.at(self.rows[:, :-1], owner, self.arrays.sums(words))
+        np.add.at(self.rows[:, -1], owner, [len(w) - 1 for w in words])
 
 
 def _piece(model: Model, number: int) -> Arrays:
