@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from augury.functions.clock import MICROS, ceil_to, finite_or_null, floor_to, is_finite, micros
@@ -121,102 +122,145 @@ def _chunked(samples: DataFrame, p: Params, as_of: Column | None) -> DataFrame:
     )
 
 
-def sliding_windows(samples: DataFrame, p: Params, as_of: Column | None = None) -> DataFrame:
-    """One row per (sample, window): left-open windows ``(end - W, end]`` on the tick grid.
-
-    Non-finite samples are dropped, equal copies collapsed, contradicting instants left out.
-    """
+def _clean(samples: DataFrame, p: Params, as_of: Column | None) -> DataFrame:
+    """Samples in their chunks: non-finite ones dropped, equal copies collapsed, contradicting instants left out."""
     finite = samples.filter(is_finite("value") & F.col("ts").isNotNull()).select("host_id", "metric", "ts", "value")
-    clean = (
+    return (
         _chunked(finite, p, as_of)
         .groupBy("host_id", "chunk", "metric", "ts", "__from", "__to")
         .agg(F.min("value").alias("value"), F.max("value").alias("__high"))
         .filter(F.col("value") == F.col("__high"))
     )
-    series = Window.partitionBy("host_id", "chunk", "metric").orderBy("ts")
-    stepped = clean.withColumn("prev_us", F.lag(micros("ts")).over(series))
-    return stepped.select(
+
+
+def sliding_windows(samples: DataFrame, p: Params, as_of: Column | None = None) -> DataFrame:
+    """One row per (sample, window): left-open windows ``(end - W, end]`` on the tick grid.
+
+    Statistics do not need this expansion: they merge panes.
+    """
+    return _clean(samples, p, as_of).select(
         "host_id",
         "chunk",
         "metric",
         "ts",
         "value",
-        "prev_us",
         F.explode(F.sequence("__from", "__to", F.lit(p.tick * MICROS))).alias("end_us"),
     )
 
 
-def _ewma_sum(p: Params) -> tuple[Column, Column]:
-    """Closed form of the half-life average as two aggregates: weighted sum, latest weight.
+# ---- panes: summaries of a short stretch of a series that merge in time order
+
+
+def pane_seconds(p: Params) -> int:
+    """Longest stretch of which windows, ticks and the variance window are whole multiples."""
+    return math.gcd(p.window, p.tick, p.variance_window)
 
-    ``e += (1 - 2^(-dt/h)) (v - e)`` seeded with the first value equals the sum of
-    ``w_i v_i 2^(-(t_n - t_i)/h)`` with ``w_0 = 1`` and ``w_i = 1 - 2^(-dt_i/h)``.
-    """
-    t = micros("ts")
-    start = F.col("end_us") - F.lit(p.window * MICROS)
-    inside = F.col("prev_us").isNotNull() & (F.col("prev_us") > start)
-    h = F.lit(float(p.half_life * MICROS))
-    weight = F.when(inside, -F.expm1(-F.lit(0.6931471805599453) * (t - F.col("prev_us")) / h)).otherwise(F.lit(1.0))
-    decay = F.pow(F.lit(2.0), -(F.col("end_us") - t) / h)
-    return F.sum(weight * F.col("value") * decay), F.max(decay)
 
+def _decay(microseconds: Column, p: Params) -> Column:
+    return F.pow(F.lit(2.0), -microseconds / F.lit(float(p.half_life * MICROS)))
 
-def _ewma_fold(p: Params) -> Column:
-    """The same average folded over the ordered samples of one window."""
-    h = F.lit(float(p.half_life * MICROS))
-    ordered = F.array_sort(F.collect_list(F.struct(micros("ts").alias("t"), F.col("value").alias("v"))))
+
+def pane_aggregates(p: Params, origin: Column) -> list[Column]:
+    """Aggregates of the samples (ts, value) of one pane; ``origin`` is an instant (us) near the pane.
+
+    ``e`` is the pane's own half-life average, seeded with its first value."""
+    t, v = micros("ts"), F.col("value")
+    x = (t - origin) / F.lit(float(MICROS))
+    n = F.count(F.lit(1))
+    ordered = F.array_sort(F.collect_list(F.struct(t.alias("t"), v.alias("v"))))
 
     def step(acc, s):
-        alpha = -F.expm1(-F.lit(0.6931471805599453) * (s["t"] - acc["t"]) / h)
-        return F.struct(s["t"].alias("t"), (acc["v"] + alpha * (s["v"] - acc["v"])).alias("v"))
+        kept = _decay(s["t"] - acc["t"], p)
+        return F.struct(s["t"].alias("t"), (s["v"] + kept * (acc["v"] - s["v"])).alias("v"))
 
-    first = F.element_at(ordered, 1)
-    return F.aggregate(F.slice(ordered, 2, 2_000_000_000), first, step)["v"]
+    return [
+        n.alias("n"),
+        F.avg(v).alias("m"),
+        (F.var_pop(v) * n).alias("s"),
+        F.avg(x).alias("tm"),
+        (F.var_pop(x) * n).alias("tt"),
+        (F.covar_pop(x, v) * n).alias("tv"),
+        F.min_by(v, t).alias("v1"),
+        F.max_by(v, t).alias("vl"),
+        F.min(t).alias("t1"),
+        F.max(t).alias("tl"),
+        F.min(v).alias("lo"),
+        F.max(v).alias("hi"),
+        F.aggregate(F.slice(ordered, 2, 2_000_000_000), F.element_at(ordered, 1), step)["v"].alias("e"),
+        F.collect_list(v).alias("values"),
+    ]
 
 
-def _with_middle(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """Mark the one or two middle values of each window, so the median is a plain average.
+PANE = ("n", "m", "s", "tm", "tt", "tv", "v1", "vl", "t1", "tl", "lo", "hi", "e", "values")
 
-    The marks come from a sort, which spills, where the built-in median would keep a map of
-    values per group and push the whole aggregation off the fast path.
-    """
-    group = Window.partitionBy(*keys)
-    n, place = F.count(F.lit(1)).over(group), F.row_number().over(group.orderBy("value"))
-    low, high = F.shiftright(n + 1, 1), F.shiftright(n, 1) + 1
-    return placed.withColumn("__middle", F.when((place == low) | (place == high), F.col("value")))
 
+def merged_panes(panes: Column, end: Column, p: Params) -> Column:
+    """struct of a window's base statistics from its panes (k, the pane's end, and PANE) in time order.
 
-def window_aggregates(p: Params, *, fold: bool) -> list[Column]:
-    """Aggregates of one (host, metric, window) group.
+    Counts, moments and cross moments merge pairwise; the half-life average is an affine map of the average before
+    the pane; a pane is read once per window, whatever the samples in it."""
+    double = F.lit(0.0)
+    none = F.lit(None).cast("double")
+    zero = F.struct(
+        F.lit(0).cast("bigint").alias("n"), double.alias("m"), double.alias("s"), double.alias("tm"), double.alias("tt"), double.alias("tv"),
+        none.alias("v1"), none.alias("vl"), F.lit(None).cast("bigint").alias("t1"), F.lit(None).cast("bigint").alias("tl"),
+        none.alias("lo"), none.alias("hi"), none.alias("e"), F.lit(0).cast("bigint").alias("rn"), double.alias("rm"), double.alias("rs"),
+    )
+    since = end - F.lit(p.variance_window * MICROS)
+
+    def merge(a: Column, q: Column) -> Column:
+        n = a["n"] + q["n"]
+        d, dt = q["m"] - a["m"], q["tm"] - a["tm"]
+        both = a["n"] * q["n"] / n
+        recent = q["k"] > since
+        rn = a["rn"] + q["n"]
+        rd = q["m"] - a["rm"]
+        affine = q["e"] + _decay(q["tl"] - a["tl"], p) * (a["e"] - q["v1"])
+        return F.struct(
+            n.alias("n"),
+            (a["m"] + d * q["n"] / n).alias("m"),
+            (a["s"] + q["s"] + d * d * both).alias("s"),
+            (a["tm"] + dt * q["n"] / n).alias("tm"),
+            (a["tt"] + q["tt"] + dt * dt * both).alias("tt"),
+            (a["tv"] + q["tv"] + d * dt * both).alias("tv"),
+            F.coalesce(a["v1"], q["v1"]).alias("v1"),
+            q["vl"].alias("vl"),
+            F.coalesce(a["t1"], q["t1"]).alias("t1"),
+            q["tl"].alias("tl"),
+            F.least(a["lo"], q["lo"]).alias("lo"),
+            F.greatest(a["hi"], q["hi"]).alias("hi"),
+            F.when(a["n"] == 0, q["e"]).otherwise(affine).alias("e"),
+            F.when(recent, rn).otherwise(a["rn"]).alias("rn"),
+            F.when(recent, a["rm"] + rd * q["n"] / rn).otherwise(a["rm"]).alias("rm"),
+            F.when(recent, a["rs"] + q["s"] + rd * rd * (a["rn"] * q["n"] / rn)).otherwise(a["rs"]).alias("rs"),
+        )
+
+    def finish(a: Column) -> Column:
+        n = a["n"]
+        return F.struct(
+            n.alias("count"),
+            F.timestamp_micros(a["t1"]).alias("first_ts"),
+            F.timestamp_micros(a["tl"]).alias("last_ts"),
+            a["v1"].alias("__first"),
+            a["vl"].alias("latest"),
+            a["m"].alias("mean"),
+            F.sqrt(F.try_divide(a["s"], n)).alias("std"),
+            a["lo"].alias("min"),
+            a["hi"].alias("max"),
+            F.try_divide(a["tv"], a["tt"]).alias("__slope"),
+            F.try_divide(a["rs"], a["rn"]).alias("rolling_variance"),
+            a["e"].alias("ewma"),
+        )
+
+    # All values of the window in order: the one statistic that does not merge in constant space.
+    ordered = F.sort_array(F.flatten(F.transform(panes, lambda q: q["values"])))
+    return F.struct(end.alias("end_us"), F.aggregate(panes, zero, merge, finish).alias("base"), ordered.alias("__values"))
 
-    ``fold`` works on the bare samples, as streams must; otherwise predecessors and middle marks
-    are expected.
-    """
-    t = micros("ts")
-    recent = t > F.col("end_us") - F.lit(p.variance_window * MICROS)
-    x = (t - F.col("end_us")) / F.lit(float(MICROS))
-    median = F.median("value")
-    if fold:
-        ewma = [_ewma_fold(p).alias("ewma")]
-    else:
-        median = F.avg("__middle")
-        weighted, newest = _ewma_sum(p)
-        ewma = [weighted.alias("__ewma"), newest.alias("__decay")]
-    return [
-        F.count(F.lit(1)).alias("count"),
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.min_by("value", "ts").alias("__first"),
-        F.max_by("value", "ts").alias("latest"),
-        F.avg("value").alias("mean"),
-        median.alias("median"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        F.regr_slope(F.col("value"), x).alias("__slope"),
-        F.var_pop(F.when(recent, F.col("value"))).alias("rolling_variance"),
-        *ewma,
-    ]
+
+def with_median(frame: DataFrame) -> DataFrame:
+    size = F.size("__values")
+    low, high = F.shiftright(size - 1, 1), F.shiftright(size, 1)
+    return frame.withColumn("median", (F.get("__values", low) + F.get("__values", high)) / 2)
 
 
 def finish_statistics(grouped: DataFrame, keys: list[str]) -> DataFrame:
@@ -224,28 +268,45 @@ def finish_statistics(grouped: DataFrame, keys: list[str]) -> DataFrame:
     several = F.col("count") > 1
     delta = F.col("latest") - F.col("__first")
     coverage = (micros("last_ts") - micros("first_ts")) / F.lit(float(MICROS))
-    ewma = F.col("ewma") if "ewma" in grouped.columns else F.col("__ewma") / F.col("__decay")
     values = {
         "delta": F.when(several, delta),
         "percentage_change": F.when(several, F.try_divide(F.lit(100.0) * delta, F.abs("__first"))),
         "linear_trend": F.when(several, F.col("__slope")),
-        "ewma": ewma,
         "rate_of_change": F.when(several, F.try_divide(delta, coverage)),
     }
     stats = [finite_or_null(values.get(s, F.col(s))).alias(s) for s in STATS]
     return grouped.select(*keys, "count", "first_ts", "last_ts", coverage.alias("coverage_seconds"), *stats)
 
 
+def pane_end(t: Column, p: Params) -> Column:
+    """End (us) of the left-open pane that holds an instant (us)."""
+    return ceil_to(t, pane_seconds(p))
+
+
 def feature_stats(samples: DataFrame, p: Params, as_of: Column | None = None) -> DataFrame:
-    """Twelve statistics per (host, metric, window)."""
-    # Weights are anchored at the window end; beyond this ratio they would underflow.
-    fold = p.window / p.half_life > 500
-    keys = ["host_id", "chunk", "metric", "end_us"]
-    placed = sliding_windows(samples, p, as_of)
-    if not fold:
-        placed = _with_middle(placed, keys)
-    grouped = placed.groupBy(*keys).agg(*window_aggregates(p, fold=fold))
-    return finish_statistics(grouped, keys).withColumn("window_end", F.timestamp_micros("end_us"))
+    """Twelve statistics per (host, metric, window), merged from panes.
+
+    A chunk's series is a row of at most five windows' panes; its windows are read off that row, so no sample is
+    copied to the windows it lies in, and all after the one shuffle is local to the chunk.
+    """
+    series = ["host_id", "chunk", "metric"]
+    placed = _clean(samples, p, as_of).withColumn("k", pane_end(micros("ts"), p))
+    panes = placed.groupBy(*series, "k").agg(*pane_aggregates(p, F.col("chunk")), F.min("__from").alias("__from"), F.max("__to").alias("__to"))
+    rows = panes.groupBy(*series).agg(
+        F.array_sort(F.collect_list(F.struct("k", *PANE))).alias("panes"), F.min("__from").alias("__from"), F.max("__to").alias("__to")
+    )
+    width = F.lit(p.window * MICROS)
+
+    def cut(end: Column) -> Column:
+        inside = F.filter("panes", lambda q: (q["k"] > end - width) & (q["k"] <= end))
+        return F.struct(end.alias("end"), inside.alias("panes"))
+
+    # Between two samples further apart than a window lie windows without any.
+    windows = F.filter(F.transform(F.sequence("__from", "__to", F.lit(p.tick * MICROS)), cut), lambda w: F.size(w["panes"]) > 0)
+    merged = F.transform(windows, lambda w: merged_panes(w["panes"], w["end"], p))
+    found = rows.select(*series, F.explode(merged).alias("w"))
+    flat = with_median(found.select(*series, "w.end_us", "w.base.*", "w.__values"))
+    return finish_statistics(flat, [*series, "end_us"]).withColumn("window_end", F.timestamp_micros("end_us"))
 
 
 def _stat(metric: str, stat: str) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from augury.functions.clock import is_finite
-from augury.operators.features import finish_statistics, window_aggregates
+from augury.operators.features import finish_statistics
 from augury.settings import Params
 from augury.streaming.in_order import InOrder
 
