@@ -1,11 +1,12 @@
 """Benchmark decontamination by templates.
 
-Words are canonicalised: numbers, units that follow a number, and names (capitalised words inside a
-sentence) become typed placeholders, other words lose case and outer punctuation.  Windows of eight
-words are hashed twice: by their literal words, whatever their kinds, as a copy's surroundings or its case may
-change these, and by their template, unless less than half of it is plain words, which says little.  Windows of
-documents meet those of the benchmark in a hash join, by either hash.  A match counts only where
-its slots are consistent: along one alignment every value of the item must stand for one value of the
+Words are canonicalised: numbers, in digits or spelled, units that follow a number, and names become typed
+placeholders, other words lose case and outer punctuation.  A name is a run of capitalised words, and the run is one
+placeholder, so a longer name shifts nothing.  A capitalised word that begins a sentence may be a name or not; texts are read both
+ways.  Windows of eight are hashed by their literal words, whatever their kinds, as a copy's surroundings or its case may
+change these, and by their template in either reading, unless less than half of it is plain words, which says little.  Windows of
+documents meet those of the benchmark in a hash join, by any of these hashes.  A match counts only where
+its slots are consistent: along one alignment (of one reading of each text) every value of the item must stand for one value of the
 document and the other way round, so "3 apples and 3 pears" matches "5 apples and 5 pears" but not
 "5 apples and 7 pears"; in a literal match every value stands for itself.  A document is contaminated by an item of
 which it covers 13 words, or all if it has fewer.
@@ -40,6 +41,15 @@ UNITS = frozenset(
     "gallons litre litres liter liters meter meters metre metres gram grams ton tons dollar dollars cent cents euro "
     "euros percent degree degrees mph kmh kw kwh w v hz stunde stunden minuten tage jahre heures jours ans horas años".split()
 )
+# Spelled numbers of the corpus languages, but for those that are articles as well.
+SPELLED = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million "
+    "null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig "
+    "neunzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente "
+    "quarante cinquante soixante cent mille cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce "
+    "quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil".split()
+)
 NUMERIC = re.compile(r"^[+-]?[$€£¥]?\d[\d.,:/]*(?:[%°$€£¥]|st|nd|rd|th)?$")
 MEASURED = re.compile(r"^([+-]?\d[\d.,]*)([a-zA-Z]{1,3})$")
 OUTER = " \"'`´’‘“”«»()[]{}<>.,;:!?¿¡*_-–—…"
@@ -75,7 +85,8 @@ class Vocabulary:
         self.index: dict[bytes, int] = {}
         self.n = 2
         self.plain, self.kind, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
-        self.ends[OTHER_END] = True
+        self.stops = np.zeros(1024, bool)  # a mark behind the word ends a run of names
+        self.ends[OTHER_END] = self.stops[OTHER_END] = True
 
     def learn(self, word: bytes) -> int:
         text = word.decode("utf-8", "replace")
@@ -84,25 +95,24 @@ class Vocabulary:
             core, end = text[:-1], text[-1] in ENDS
         if not core.isalpha():
             return self._classify(word, text)
-        if core.islower():
-            kind = UNIT if core in UNITS else PLAIN
-        else:
-            kind = NAME if core[0].isupper() and core[1:].islower() else PLAIN
-            core = core.lower()
-            kind = UNIT if core in UNITS else kind
-        return self._add(word, core.encode(), kind, end)
+        low = core.lower()
+        kind = self._kind(core, low)
+        return self._add(word, low.encode(), kind, end)
+
+    def _kind(self, core: str, low: str) -> int:
+        if low in SPELLED:
+            return NUMBER
+        if low in UNITS:
+            return UNIT
+        return NAME if core[:1].isupper() and (core[1:].islower() or len(core) == 1) else PLAIN
 
     def _classify(self, word: bytes, text: str) -> int:
         core = text.strip(OUTER) or text
         measured = MEASURED.match(core)
         if NUMERIC.match(core) or (measured and measured[2].lower() in UNITS):
             kind = NUMBER
-        elif core.lower() in UNITS:
-            kind = UNIT
-        elif core[:1].isupper() and core[1:].islower():
-            kind = NAME
         else:
-            kind = PLAIN
+            kind = self._kind(core, core.lower())
         return self._add(word, core.lower().encode(), kind, text.rstrip("\"'”’»)]")[-1:] in ENDS)
 
     def _add(self, word: bytes, core: bytes, kind: int, end: bool) -> int:
@@ -111,8 +121,10 @@ class Vocabulary:
             return i
         i = self.n
         if i == len(self.plain):
-            self.plain, self.kind, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.plain, self.kind, self.ends))
+            for name in ("plain", "kind", "ends", "stops"):
+                setattr(self, name, np.concatenate([getattr(self, name), np.zeros_like(getattr(self, name))]))
         self.plain[i], self.kind[i], self.ends[i] = xxhash.xxh3_64_intdigest(core), kind, end
+        self.stops[i] = not word.decode("utf-8", "replace")[-1].isalnum()
         self.index[word], self.n = i, i + 1
         return i
 
@@ -127,59 +139,124 @@ class Vocabulary:
         return np.array(at, np.int64)
 
 
+class Reading:
+    """A text's words with their kinds, and its units: a run of names is one, any other word is one."""
+
+    def __init__(self, kind: np.ndarray, literal: np.ndarray, known: np.ndarray, stops: np.ndarray):
+        self.kind = kind
+        name = kind == NAME
+        goes_on = np.zeros(len(kind), bool)
+        goes_on[1:] = name[1:] & name[:-1] & ~stops[:-1]
+        self.start = np.flatnonzero(~goes_on)  # first word of each unit
+        self.unit = np.cumsum(~goes_on) - 1  # unit of each word
+        head = kind[self.start]
+        self.plain = head == PLAIN
+        self.slot = np.where(self.plain, literal[self.start], head.astype(np.uint64))
+        self.known = np.logical_and.reduceat(known, self.start) if len(kind) else known
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+    def end(self, unit: int) -> int:
+        return int(self.start[unit]) if unit < len(self.start) else len(self.kind)
+
+    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Units and (even) template hashes of the windows of so many units that say enough."""
+        at, hashes = _windows(self.slot, self.known, size, 0)
+        if not len(at):
+            return at, hashes
+        plain = np.concatenate([[0], np.cumsum(self.plain)])
+        telling = 2 * (plain[at + size] - plain[at]) >= size
+        return at[telling], hashes[telling] & ~np.uint64(1)
+
+
+def _windows(slot: np.ndarray, known: np.ndarray, size: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows without a word foreign to the benchmark."""
+    if size == 0 or len(slot) < size:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    strange = np.concatenate([[0], np.cumsum(~known)])
+    at = np.flatnonzero(strange[size:] == strange[:-size])
+    hashes = np.full(len(at), size + seed, np.uint64)
+    for k in range(size):
+        hashes = hashes * STEP + slot[at + k]
+    return at, mixed(hashes)
+
+
 class Template:
-    """Template of one text."""
+    """A text in two readings: ``strict``, where a capitalised word that begins a sentence is a plain word, and
+    ``wide``, where it is a name.  Units of the wide reading are the coordinates by which texts are aligned."""
 
     def __init__(self, text: bytes, vocabulary: Vocabulary):
         self.words = text.split()
         at = vocabulary.look_up(self.words)
-        kind, ends = vocabulary.kind[at], vocabulary.ends[at]
+        kind, ends, stops = vocabulary.kind[at], vocabulary.ends[at], vocabulary.stops[at]
         self.literal, self.known = vocabulary.plain[at], at > OTHER_END
         if len(at):
-            kind[0] = PLAIN if kind[0] in (NAME, UNIT) else kind[0]
-            before = kind[:-1].copy()
-            kind[1:][(kind[1:] == NAME) & ends[:-1]] = PLAIN
-            kind[1:][(kind[1:] == UNIT) & (before != NUMBER)] = PLAIN
-        self.kind = kind
-        self.slot = np.where(kind == PLAIN, self.literal, kind.astype(np.uint64))
+            before = np.concatenate([[PLAIN], kind[:-1]])
+            kind[(kind == UNIT) & (before != NUMBER)] = PLAIN
+        first = np.concatenate([[True], ends[:-1]])[: len(at)]
+        strict = np.where(first & (kind == NAME), PLAIN, kind)
+        self.readings = [Reading(k, self.literal, self.known, stops) for k in (strict, kind)]
+        self.wide = self.readings[1]
 
     def __len__(self) -> int:
         return len(self.words)
 
-    def keys(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and hashes of the windows of a size that hold no word foreign to the benchmark: by template
-        where that says enough (even hashes), and all of them by literal words (odd hashes)."""
-        if len(self) < size:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        strange = np.concatenate([[0], np.cumsum(~self.known)])
-        at = np.flatnonzero(strange[size:] == strange[:-size])
-        by_slot, by_word = np.full(len(at), size, np.uint64), np.full(len(at), size + 1000, np.uint64)
-        plain = np.zeros(len(at), np.int16)
-        for k in range(size):
-            by_slot = by_slot * STEP + self.slot[at + k]
-            by_word = by_word * STEP + self.literal[at + k]
-            plain += self.kind[at + k] == PLAIN
-        telling, odd = 2 * plain >= size, np.uint64(1)
-        keys = np.concatenate([mixed(by_slot[telling]) & ~odd, mixed(by_word) | odd])
-        return np.concatenate([at[telling], at]), keys.view(np.int64)
-
-    def values(self, at: int, size: int) -> list[str]:
-        """Kind and value of each slot of a window."""
+    def windows(self, size: int, wanted: np.ndarray | None = None) -> list[tuple[int, int, int, int, int, int, list[str] | None]]:
+        """(hash, units, first word, words, coordinate, readings, slots) of the windows; readings: 1 strict, 2 wide, 3 both.
+        A literal window has no slots.
+
+        With wanted (sorted hashes), the windows of that size among them; without, all, and a text shorter
+        than a window is one."""
+        out = {}
+        for bit, reading in enumerate(self.readings, 1):
+            n = size if wanted is not None else min(size, len(reading))
+            for unit, key in zip(*_among(*reading.keys(n), wanted)):
+                word, end = int(reading.start[unit]), reading.end(unit + n)
+                if (key, word, end) in out:
+                    out[key, word, end] = (*out[key, word, end][:5], 3, out[key, word, end][6])
+                else:
+                    out[key, word, end] = (key, n, word, end - word, int(self.wide.unit[word]), bit, self.slots(reading, unit, n))
+        n = size if wanted is not None else min(size, len(self))
+        at, keys = _windows(self.literal, self.known, n, 1000)
+        for word, key in zip(*_among(at, keys | np.uint64(1), wanted)):
+            out[key, word, word + n] = (key, n, word, n, int(self.wide.unit[word]), 3, None)
+        return list(out.values())
+
+    def slots(self, reading: Reading, unit: int, size: int) -> list[str]:
+        """Kind and value of each slot of a window of units."""
         out = []
-        for i in range(at, at + size):
-            if self.kind[i] != PLAIN:
-                out.append(f"{self.kind[i]}{_core(self.words[i])}")
+        for u in range(unit, unit + size):
+            word = int(reading.start[u])
+            if reading.kind[word] != PLAIN:
+                out.append(f"{reading.kind[word]}{' '.join(map(_core, self.words[word : reading.end(u + 1)]))}")
         return out
 
-    def cores(self, at: int, size: int) -> list[str]:
+    def literal_slots(self, word: int, size: int) -> list[str]:
+        """Slots of a window of words, by the wide reading; runs cut by its ends are left out."""
+        first, last = int(self.wide.unit[word]), int(self.wide.unit[word + size - 1])
+        first += int(self.wide.start[first]) < word
+        last -= self.wide.end(last + 1) > word + size
+        return self.slots(self.wide, first, last - first + 1) if last >= first else []
+
+    def cores(self, word: int, size: int) -> list[str]:
         """The words of a window, but for numbers, without case and outer punctuation."""
-        return [_core(self.words[i]) for i in range(at, at + size) if self.kind[i] != NUMBER]
+        return [_core(self.words[i]) for i in range(word, word + size) if self.wide.kind[i] != NUMBER]
+
+
+def _among(at: np.ndarray, keys: np.ndarray, wanted: np.ndarray | None) -> tuple[list[int], list[int]]:
+    """Positions and signed hashes, of those that are wanted."""
+    keys = keys.view(np.int64)
+    if wanted is not None and len(keys):
+        hit = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), bool)
+        at, keys = at[hit], keys[hit]
+    return at.tolist(), keys.tolist()
 
 
 class Sieve:
     """Which stretches of a text can hold a window of the benchmark, found on bytes without looking at single words.
 
-    A word may belong to a window if it is one of the benchmark's words or a unit (by hash, so now and then
+    A word may belong to a window if it is one of the benchmark's words, a unit or a spelled number (by hash, so now and then
     another passes), starts with a capital, or holds a digit or a byte beyond ASCII.  Windows that hold any other word
     cannot match."""
 
@@ -197,7 +274,7 @@ class Sieve:
         self.outer = np.isin(byte, [ord(c) for c in OUTER if ord(c) < 128])
         self.table = np.zeros(1 << self.BITS, bool)
         self.powers = self.backs = np.ones(1, np.uint64)
-        for word in words | {u.encode() for u in UNITS}:
+        for word in words | {u.encode() for u in UNITS | SPELLED}:
             self.table[self._hash(np.frombuffer(word, np.uint8))] = True
 
     def _grow(self, n: int) -> None:
@@ -258,7 +335,8 @@ def _core(word: bytes) -> str:
 
 
 def benchmark_windows(benchmark: DataFrame, params: Params) -> DataFrame:
-    """(key, item_id, item_at, size, item_words, item_slots, cores): cores are the window's words but for numbers."""
+    """(key, item_id, item_at, size, item_place, item_read, item_words, item_slots, units, cores): size counts words, units what
+    is hashed; item_place is the coordinate; item_read the readings; cores are the window's words but for numbers."""
 
     def rows(batches):
         vocabulary = Vocabulary()
@@ -266,20 +344,21 @@ def benchmark_windows(benchmark: DataFrame, params: Params) -> DataFrame:
             out = []
             for item, text in zip(batch["item_id"], batch["text"]):
                 template = Template(text.encode(), vocabulary)
-                size = min(params.window, len(template))
-                if len(template) >= params.shortest:
-                    for at, key in zip(*(x.tolist() for x in template.keys(size))):
-                        cores = template.cores(at, size)
-                        out.append((key, item, at, size, len(template), template.values(at, size), cores))
-            yield pd.DataFrame(out, columns=["key", "item_id", "item_at", "size", "item_words", "item_slots", "cores"])
+                if len(template) < params.shortest:
+                    continue
+                for key, units, word, size, place, read, slots in template.windows(params.window):
+                    slots = template.literal_slots(word, size) if slots is None else slots
+                    out.append((key, item, word, size, place, read, len(template), slots, units, template.cores(word, size)))
+            names = ["key", "item_id", "item_at", "size", "item_place", "item_read", "item_words", "item_slots", "units", "cores"]
+            yield pd.DataFrame(out, columns=names)
 
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), "text").distinct()
-    kind = "key long, item_id long, item_at int, size int, item_words int, item_slots array<string>, cores array<string>"
+    kind = "key long, item_id long, item_at int, size int, item_place int, item_read int, item_words int, item_slots array<string>, units int, cores array<string>"
     return items.mapInPandas(rows, kind)
 
 
 def document_windows(docs: DataFrame, hashes: np.ndarray, words: list[str], sizes: list[int]) -> DataFrame:
-    """(doc, key, at, slots): the windows of docs(doc, text) whose hash is among hashes; words are those of the
+    """(doc, key, place, read, slots): the windows of docs(doc, text) whose hash is among hashes; words are those of the
     windows looked for. Literal windows come without slots."""
     sent = docs.sparkSession.sparkContext.broadcast((np.unique(hashes), frozenset(w.encode() for w in words)))
 
@@ -293,15 +372,14 @@ def document_windows(docs: DataFrame, hashes: np.ndarray, words: list[str], size
                 # One template for all stretches; what stands between them is foreign and ends a sentence.
                 template = Template(BETWEEN.join(f[4] for f in found), vocabulary)
                 first = np.cumsum([0, *(f[3] + 1 for f in found)])
+                # Coordinates count from the stretch's first word; a stretch's own place keeps those of a text apart.
                 for size in sizes:
-                    at, keys = template.keys(size)
-                    hit = np.isin(keys, wanted)
-                    for i, key in zip(at[hit].tolist(), keys[hit].tolist()):
-                        n, offset, context, *_ = found[j := int(np.searchsorted(first, i, side="right")) - 1]
-                        if i - first[j] >= context:
-                            slots = [] if key & 1 else template.values(i, size)
-                            out.append((names[n + part.start], key, int(i - first[j]) + offset, slots))
-            yield pd.DataFrame(out, columns=["doc", "key", "at", "slots"])
+                    for key, _, word, _, place, read, slots in template.windows(size, wanted):
+                        n, offset, context, *_ = found[j := int(np.searchsorted(first, word, side="right")) - 1]
+                        if word - first[j] >= context:
+                            at = place - int(template.wide.unit[first[j]]) + offset
+                            out.append((names[n + part.start], key, at, read, slots or []))
+            yield pd.DataFrame(out, columns=["doc", "key", "place", "read", "slots"])
 
     def slices(texts, most):
         start = size = 0
@@ -311,7 +389,7 @@ def document_windows(docs: DataFrame, hashes: np.ndarray, words: list[str], size
                 yield slice(start, i + 1)
                 start, size = i + 1, 0
 
-    return docs.mapInPandas(rows, "doc string, key long, at int, slots array<string>")
+    return docs.mapInPandas(rows, "doc string, key long, place int, read int, slots array<string>")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
@@ -319,23 +397,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) ->
 
     changed: some slot's value differs from the item's."""
     windows = written(benchmark_windows(benchmark, params), "windows")
-    keys = written(windows.select("key", "size").distinct(), "keys")
+    keys = written(windows.select("key", "units").distinct(), "keys")
     blocks = max(1, -(-keys.count() // params.block))
     found = None
     for block in range(blocks):
         own = F.pmod("key", F.lit(blocks)) == block
         rows = keys.where(own).toPandas()
         words = windows.where(own).select(F.explode("cores").alias("w")).distinct().collect()  # at most window * block
-        sizes = sorted(set(rows["size"].tolist()))
+        sizes = sorted(set(rows["units"].tolist()))
         part = document_windows(docs, rows["key"].to_numpy(np.int64), [r["w"] for r in words if "\x00" not in r["w"]], sizes)
         found = part if found is None else found.unionByName(part)
     joined = found.join(windows.drop("cores"), "key")
     joined = joined.withColumn("slots", F.when(F.col("key") % 2 != 0, F.col("item_slots")).otherwise(F.col("slots")))
     joined = joined.where(F.size("slots") == F.size("item_slots"))
+    # An alignment is one reading of the document against one of the item.
+    ways = [(a, b) for a in (1, 2) for b in (1, 2)]
+    both = [F.when((F.col("read").bitwiseAND(a) > 0) & (F.col("item_read").bitwiseAND(b) > 0), F.lit(k)) for k, (a, b) in enumerate(ways)]
+    joined = joined.withColumn("way", F.explode(F.array_compact(F.array(*both))))
     pairs = F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y"))
     aligned = (
         joined.withColumn("pairs", pairs)
-        .groupBy("doc", "item_id", (F.col("at") - F.col("item_at")).alias("shift"))
+        .groupBy("doc", "item_id", "way", (F.col("place") - F.col("item_place")).alias("shift"))
         .agg(
             F.collect_set(F.struct("item_at", "size")).alias("parts"),  # at most the item's windows
             F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"),
