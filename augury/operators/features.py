@@ -160,12 +160,12 @@ def _decay(microseconds: Column, p: Params) -> Column:
     return F.pow(F.lit(2.0), -microseconds / F.lit(float(p.half_life * MICROS)))
 
 
-def pane_aggregates(p: Params, origin: Column) -> list[Column]:
-    """Aggregates of the samples (ts, value) of one pane; ``origin`` is an instant (us) near the pane.
+def pane_aggregates(p: Params) -> list[Column]:
+    """Aggregates of the samples (ts, value) of one pane, whose end (us) is in k.
 
-    ``e`` is the pane's own half-life average, seeded with its first value."""
+    Times are counted from the end; ``e`` is the pane's own half-life average, seeded with its first value."""
     t, v = micros("ts"), F.col("value")
-    x = (t - origin) / F.lit(float(MICROS))
+    x = (t - F.col("k")) / F.lit(float(MICROS))
     n = F.count(F.lit(1))
     ordered = F.array_sort(F.collect_list(F.struct(t.alias("t"), v.alias("v"))))
 
@@ -210,7 +210,7 @@ def merged_panes(panes: Column, end: Column, p: Params) -> Column:
 
     def merge(a: Column, q: Column) -> Column:
         n = a["n"] + q["n"]
-        d, dt = q["m"] - a["m"], q["tm"] - a["tm"]
+        d, dt = q["m"] - a["m"], q["tm"] + (q["k"] - end) / F.lit(float(MICROS)) - a["tm"]
         both = a["n"] * q["n"] / n
         recent = q["k"] > since
         rn = a["rn"] + q["n"]
@@ -291,7 +291,7 @@ def feature_stats(samples: DataFrame, p: Params, as_of: Column | None = None) ->
     """
     series = ["host_id", "chunk", "metric"]
     placed = _clean(samples, p, as_of).withColumn("k", pane_end(micros("ts"), p))
-    panes = placed.groupBy(*series, "k").agg(*pane_aggregates(p, F.col("chunk")), F.min("__from").alias("__from"), F.max("__to").alias("__to"))
+    panes = placed.groupBy(*series, "k").agg(*pane_aggregates(p), F.min("__from").alias("__from"), F.max("__to").alias("__to"))
     rows = panes.groupBy(*series).agg(
         F.array_sort(F.collect_list(F.struct("k", *PANE))).alias("panes"), F.min("__from").alias("__from"), F.max("__to").alias("__to")
     )

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from augury.functions.clock import is_finite
-from augury.operators.features import finish_statistics
+from augury.functions.clock import is_finite, micros
+from augury.operators.features import PANE, finish_statistics, merged_panes, pane_aggregates, pane_end, pane_seconds, with_median
 from augury.settings import Params
 from augury.streaming.in_order import InOrder
 
@@ -29,17 +29,16 @@ def feature_stats_stream(samples: DataFrame, p: Params, delay_seconds: int) -> D
     )
     instants = finite.withWatermark("clock", f"{delay_seconds} seconds").groupBy("host_id", "metric", "clock")
     instants = instants.agg(F.min("ts").alias("ts"), F.min("value").alias("value"), F.max("value").alias("other"))
-    timed = instants.filter(F.col("value") == F.col("other"))
-    span = F.window("clock", f"{p.window} seconds", f"{p.tick} seconds")
-    placed = timed.select("host_id", "metric", "ts", "value", span.alias("span"))
-    grouped = (
-        placed.withColumn("end_us", F.unix_micros("span.end"))
-        .groupBy("host_id", "metric", "span", "end_us")
-        .agg(*window_aggregates(p, fold=True))
-    )
-    return finish_statistics(grouped, ["host_id", "metric", "end_us"]).withColumn(
-        "window_end", F.timestamp_micros("end_us")
-    )
+    timed = instants.filter(F.col("value") == F.col("other")).withColumn("k", pane_end(micros("ts"), p))
+    # Samples are summarised once, in panes; windows hold panes, whose number does not grow with the samples.
+    pane = F.window("clock", f"{pane_seconds(p)} seconds").alias("pane")
+    panes = timed.groupBy("host_id", "metric", pane, "k").agg(*pane_aggregates(p))
+    ends = F.window(F.window_time("pane"), f"{p.window} seconds", f"{p.tick} seconds")
+    placed = panes.select("host_id", "metric", ends.alias("span"), "k", *PANE)
+    held = placed.groupBy("host_id", "metric", "span").agg(F.sort_array(F.collect_list(F.struct("k", *PANE))).alias("panes"))
+    merged = held.select("host_id", "metric", merged_panes(F.col("panes"), F.unix_micros("span.end"), p).alias("w"))
+    flat = with_median(merged.select("host_id", "metric", "w.end_us", "w.base.*", "w.__values"))
+    return finish_statistics(flat, ["host_id", "metric", "end_us"]).withColumn("window_end", F.timestamp_micros("end_us"))
 
 
 class FailureDetector(InOrder):

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ def test_window_statistics(spark):
     assert r["rolling_variance"] == pytest.approx(5600 / 9)
 
 
-@pytest.mark.parametrize("half_life", [60, 1])  # 1: weights are folded instead of summed
+@pytest.mark.parametrize("half_life", [60, 1])
 def test_ewma_and_rolling_variance(spark, half_life):
     rows = [("a", "m", t, v) for t, v in ((1, 0), (301, 100), (361, 200))]
     r = stats_at(spark, rows, 361, half_life=half_life)[("a", "m")]
@@ -38,6 +39,55 @@ def test_ewma_and_rolling_variance(spark, half_life):
     assert r["percentage_change"] is None
 
 
+def _plain(rows, end, p):
+    """Statistics of the samples (t, v) of one window, one by one."""
+    rows = sorted((t, v) for t, v in rows if end - p.window < t <= end)
+    e = rows[0][1]
+    for (t0, _), (t1, v) in zip(rows, rows[1:]):
+        e += (1 - 2 ** (-(t1 - t0) / p.half_life)) * (v - e)
+    ts, vs = [t for t, _ in rows], [v for _, v in rows]
+    tm, vm, n = sum(ts) / len(ts), sum(vs) / len(vs), len(vs)
+    recent = [v for t, v in rows if t > end - p.variance_window]
+    tt = sum((t - tm) ** 2 for t in ts)
+    return {
+        "count": n,
+        "latest": vs[-1],
+        "mean": vm,
+        "median": (sorted(vs)[(n - 1) // 2] + sorted(vs)[n // 2]) / 2,
+        "std": (sum((v - vm) ** 2 for v in vs) / n) ** 0.5,
+        "min": min(vs),
+        "max": max(vs),
+        "delta": vs[-1] - vs[0] if n > 1 else None,
+        "linear_trend": sum((t - tm) * (v - vm) for t, v in rows) / tt if n > 1 else None,
+        "ewma": e,
+        "rolling_variance": sum((v - sum(recent) / len(recent)) ** 2 for v in recent) / len(recent) if recent else None,
+    }
+
+
+@pytest.mark.parametrize("half_life", [7, 500, 501, 36_000])  # of 3,600 s: no ratio changes the algorithm
+def test_merged_panes_are_the_plain_statistics(spark, half_life):
+    rng = random.Random(half_life)
+    p = LIVE.but(window=3600, tick=120, half_life=half_life, variance_window=480)
+    rows = [("a", "m", t, rng.gauss(50, 20)) for t in sorted(rng.sample(range(1, 20_000), 300)) if not 6000 < t < 11_000]
+    rows += [("b", "m", 500 * p.window + i * 0.25, 1e6 + i % 3) for i in range(200)]
+    got = features.feature_stats(samples(spark, rows), p).collect()
+    for host in "ab":
+        own = [(t, v) for h, _, t, v in rows if h == host]
+        ends = {e for t, _ in own for e in range(-(-int(t * 4) // 480) * 120, int(t) + p.window + 120, 120) if e - p.window < t <= e}
+        mine = {r["end_us"] // 10**6: r for r in got if r["host_id"] == host}
+        assert set(mine) == ends
+        for end, r in mine.items():
+            for name, value in _plain(own, end, p).items():
+                assert r[name] == (value if value is None else pytest.approx(value, rel=1e-7, abs=1e-9)), (host, end, name)
+
+
+def test_ratios_beyond_the_range_of_doubles(spark):
+    """Weights of old samples vanish; they never take the newest with them."""
+    p = LIVE.but(window=86_400, tick=3600, half_life=1, variance_window=3600)
+    got = features.feature_stats(samples(spark, [("a", "m", 10, 5.0), ("a", "m", 80_000, 7.0)]), p).collect()
+    assert {(r["count"], r["ewma"]) for r in got} == {(1, 5.0), (2, 7.0), (1, 7.0)}
+
+
 def test_left_open_window_ignores_the_future(spark):
     rows = [("a", "m", t, v) for t, v in ((40, 9999), (41, 2), (70, 4), (100, 6), (101, 1e12))]
     r = stats_at(spark, rows, 100, window=60)[("a", "m")]
