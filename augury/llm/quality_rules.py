@@ -9,9 +9,8 @@ Votes are grouped into patterns, of which there are far fewer than 3**11, and ea
 one aggregate over the pattern table.
 
 Repeated words: a word counts if it lies in a window of three words found twice or more in the text, the
-first time included.  Windows are hashed, packed with their position into one number and sorted, so
-equal windows become neighbours and long texts cost no more a word than short ones.  Positions take as many
-bits as the text needs; the hash has the rest.
+first time included.  Windows are sorted by a 64-bit hash and their position, so equal windows become neighbours and
+long texts cost little more a word than short ones; neighbours with one hash are compared word by word.
 
 Defined cases: null, empty and blank texts have no words, fail the base rules and are not kept; repeated
 rows are judged alike; an empty table gives no rows; other columns are ignored.
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from augury.llm.common import query, table, written
 
 BLANK = r"[\x20\x09-\x0D]+"
-SYMBOLS = "[#*$%&|<>]"
+SYMBOLS = "#*$%&|<>"
 # Frequent function words of the corpus languages.
 COMMON = (
     "the of and to in is that for with was on are der die das und den von mit ist ein eine zu "
@@ -54,23 +53,21 @@ def counts(docs: DataFrame) -> DataFrame:
     df = docs.withColumn("_text", text)
     df = df.withColumn("_words", F.array_remove(F.split("_text", BLANK), ""))
     df = df.withColumn("n_words", F.size("_words").cast("long"))
-    # Windows of three, as hash and position in one number.
-    df = df.withColumn("_bits", F.length(F.bin("n_words")).cast("int"))
+    # Windows of three by hash and position; equal ones become neighbours, and neighbours are compared by their words.
     df = df.withColumn(
-        "_packed",
+        "_windows",
         F.expr(
             "CASE WHEN n_words >= 3 THEN sort_array(transform(sequence(0, cast(n_words AS int) - 3), "
-            "i -> shiftleft(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), _bits) + cast(i AS bigint))) END"
+            "i -> struct(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)) AS h, i AS i))) END"
         ),
     )
+    same = (
+        "coalesce(x.h = get(_windows, {0}).h AND get(_words, x.i) = get(_words, get(_windows, {0}).i) "
+        "AND get(_words, x.i + 1) = get(_words, get(_windows, {0}).i + 1) AND get(_words, x.i + 2) = get(_words, get(_windows, {0}).i + 2), false)"
+    )
     df = df.withColumn(
         "_repeated",
-        F.expr(
-            "sort_array(transform(filter(_packed, (x, i) -> "
-            "coalesce(shiftright(x, _bits) = shiftright(get(_packed, i - 1), _bits), false) OR "
-            "coalesce(shiftright(x, _bits) = shiftright(get(_packed, i + 1), _bits), false)), "
-            "x -> x & (shiftleft(1L, _bits) - 1)))"
-        ),
+        F.expr(f"sort_array(transform(filter(_windows, (x, i) -> {same.format('i - 1')} OR {same.format('i + 1')}), x -> x.i))"),
     )
     df = df.withColumn("_lines", F.expr(r"filter(split(_text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')"))
     joined = F.concat_ws("", "_words")
@@ -79,10 +76,10 @@ def counts(docs: DataFrame) -> DataFrame:
         *docs.columns,
         "n_words",
         F.length("_joined").cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        (F.length("_text") - F.length(F.translate("_text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(
-            "coalesce(aggregate(transform(_repeated, (p, i) -> least(3L, coalesce(get(_repeated, i + 1) - p, 3L))), "
+            "coalesce(aggregate(transform(_repeated, (p, i) -> least(3L, coalesce(cast(get(_repeated, i + 1) - p AS bigint), 3L))), "
             "0L, (a, x) -> a + x), 0L)"
         ).alias("n_repeat_words"),
         F.size("_lines").cast("long").alias("n_lines"),

@@ -61,3 +61,37 @@ def test_awkward_rows(spark):
     assert all(r["base_failed"] and not r["kept"] for r in rows if not (r["n_words"]))
     assert len({(r["kept"], r["quality"]) for r in rows if r["doc_id"] == 2}) == 1
     assert R.judged(nothing(spark)).count() == 0
+
+
+def test_a_million_words(spark):
+    """Counts stay exact whatever the length; positions take nothing from the hash."""
+    rng = random.Random(4)
+    text = " ".join(str(rng.randrange(1 << 40)) for _ in range(1_000_000)) + " a b c d a b c"
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    row = R.judged(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert tuple(row[n] for n in names) == brute(text) and row["n_repeat_words"] == 6
+
+
+def test_verdicts_against_brute_force(spark):
+    """Posteriors by Bayes' rule, row by row, from the accuracies found; the verdict from the posterior."""
+    rng = random.Random(5)
+    vocabulary = "the of and in to is".split() + ["".join(rng.choices("abcdefgh", k=6)) for _ in range(300)]
+    rows = []
+    for i in range(150):
+        words = [rng.choice(vocabulary) + rng.choice(["", "", "", "###", "!!", "X"]) * (i % 3 == 0) for _ in range(rng.randrange(5, 200))]
+        rows.append((i, " ".join(words) + rng.choice([".", ""])))
+    got = R.judged(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    rules = list(R.votes())
+    patterns = spark.createDataFrame([tuple(r[x] for x in rules) for r in got], ", ".join(f"{x} int" for x in rules)).groupBy(*rules).count()
+    prior, right = R.estimate(patterns.withColumnRenamed("count", "n"), rules, R.Params())
+    for r in got:
+        good, bad = prior, 1 - prior
+        for x in rules:
+            a, b = right[x]
+            good *= {1: a, -1: 1 - a, 0: 1}[r[x]]
+            bad *= {1: 1 - b, -1: b, 0: 1}[r[x]]
+        n_words, _, _, _, repeated = brute(dict(rows)[r["doc_id"]])
+        assert abs(r["quality"] - good / (good + bad)) < 1e-6
+        assert r["base_failed"] == (n_words < 50 or 100 * repeated > 50 * n_words)
+        assert r["kept"] == (not r["base_failed"] and good / (good + bad) >= 0.5)
+    assert len({r["base_failed"] for r in got}) == 2
