@@ -31,13 +31,12 @@ BLOCK = 512
 @dataclass(frozen=True)
 class Params:
     """Rows per class that teach: first the dictionaries, then the calibration.  Fixed bounds, whatever
-    the size of the corpus; 16 blocks at most go from one text to the dictionaries.  shared_lines: a line in so
+    the size of the corpus; all blocks of a row's text teach.  shared_lines: a line in so
     many sample texts stays out of the dictionaries (it is scored like any other)."""
 
     dictionary_rows: int = 800
     calibration_rows: dict | None = None
     dictionary_bytes: int = 65536
-    blocks_per_text: int = 16
     shared_lines: int = 3
     level: int = 3
     penalty: float = 1e-2
@@ -110,7 +109,7 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     """Learn from labelled rows outside the held-out quarter.  The driver gets blocks and sizes of a
-    bounded number of rows, never whole texts."""
+    bounded number of rows."""
     teach = params.dictionary_rows
     wanted = {c: teach + n for c, n in params.calibration().items()}
     sample = labelled_sample(docs, labels, "quality", wanted, seed=10)
@@ -119,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
         share = float(next(iter(found))) if found else 0.5
         return Model(b"", b"", params.level, (), (), (), share)
     last = F.when(F.col("label") == 0, F.lit(found[0][1])).otherwise(F.lit(found[1][1]))
-    dictionaries, per_text = {}, params.blocks_per_text
+    dictionaries = {}
 
     # A line that several texts of the sample share is boilerplate of both classes, or a copied text: no
     # evidence for either, yet a trainer would put it first.
@@ -127,16 +126,15 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     often = lines.groupBy("line").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") >= params.shared_lines)
     shared = {r["line"] for r in often.select("line").collect()}  # lines of a bounded sample
 
-    def some_blocks(batches):
+    def all_blocks(batches):
         for batch in batches:
             rows = []
             for label, text in zip(batch["label"], batch["text"]):
-                parts = blocks("\n".join(x for x in text.split("\n") if x not in shared).encode())
-                keep = np.linspace(0, len(parts) - 1, min(len(parts), per_text)).astype(int)
-                rows += [(label, parts[i]) for i in keep]
+                kept = "\n".join(x for x in text.split("\n") if x not in shared)
+                rows += [(label, part) for part in blocks(kept.encode())]
             yield pd.DataFrame(rows, columns=["label", "block"])
 
-    got = sample.where(F.col("draw") <= last).select("label", "text").mapInPandas(some_blocks, "label int, block binary")
+    got = sample.where(F.col("draw") <= last).select("label", "text").mapInPandas(all_blocks, "label int, block binary")
     parts: dict[int, list[bytes]] = {0: [], 1: []}
     for row in got.collect():
         parts[row["label"]].append(bytes(row["block"]))
