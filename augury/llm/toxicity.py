@@ -55,7 +55,7 @@ SENTENCE = re.compile(r"[^.!?\n]+")
 @dataclass(frozen=True)
 class Params:
     """``rows``: labelled rows per class that teach, a fixed bound.  ``swaps``: other names tried for a
-    mention.  ``mentions``: mentions of one text that make counterfactual pairs."""
+    mention; every mention of a text makes pairs."""
 
     rows: dict = field(default_factory=lambda: {0: 8000, 1: 4000})
     features: int = 4000
@@ -65,7 +65,6 @@ class Params:
     ridge: float = 3e-5
     fairness: float = 1.0
     swaps: int = 2
-    mentions: int = 8
     steps: int = 400
     terms: dict = field(default_factory=lambda: dict(IDENTITY_TERMS))
 
@@ -103,8 +102,6 @@ def counterfactuals(text: str, params: Params) -> list[tuple[set[str], set[str]]
             own, i = ring[term]
             for k in range(1, min(params.swaps, len(own) - 1) + 1):
                 pairs.append((found, (found - {term}) | {own[(i + k) % len(own)]}))
-            if len(pairs) >= params.mentions * params.swaps:
-                return pairs
     return pairs
 
 
