@@ -411,12 +411,15 @@ def long_features(windows: DataFrame) -> DataFrame:
     )
 
 
-def window_keys(samples: DataFrame, p: Params, as_of: Column | None = None) -> DataFrame:
-    """Hosts and window ends that have a window at all, from the CPU series alone."""
+def window_keys(samples: DataFrame, p: Params, as_of: Column | None = None, least_coverage: float = 0.0) -> DataFrame:
+    """Hosts and window ends that have a window at all, from the CPU series alone; with least_coverage, those whose
+    CPU samples span at least that share of the window, as training asks for."""
     cpu = samples.filter(F.col("metric") == "cpu_usage_percent")
-    last = sliding_windows(cpu, p, as_of).groupBy("host_id", "chunk", "end_us").agg(F.max(micros("ts")).alias("last_us"))
+    t = micros("ts")
+    spans = sliding_windows(cpu, p, as_of).groupBy("host_id", "chunk", "end_us").agg(F.max(t).alias("last_us"), F.min(t).alias("first_us"))
     end = F.col("end_us")
-    return last.filter(end - F.col("last_us") <= F.lit(p.freshness * MICROS)).select(
+    long_enough = F.col("last_us") - F.col("first_us") >= F.lit(least_coverage * p.window * MICROS)
+    return spans.filter((end - F.col("last_us") <= F.lit(p.freshness * MICROS)) & long_enough).select(
         "host_id",
         F.timestamp_micros(end - F.lit(p.window * MICROS)).alias("window_start"),
         F.timestamp_micros(end).alias("window_end"),

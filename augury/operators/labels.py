@@ -237,11 +237,9 @@ def healthy_inputs(labelled: DataFrame, health: DataFrame) -> DataFrame:
     )
 
 
-def skip_counts(labelled: DataFrame, eligibility: str | None = None) -> DataFrame:
-    reason = F.col("label_reason")
-    if eligibility:
-        reason = F.coalesce(eligibility, reason)
-        dropped = labelled.filter(F.col(eligibility).isNotNull() | F.col("label").isNull())
-    else:
-        dropped = labelled.filter(F.col("label").isNull())
-    return dropped.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("windows"))
+def skip_counts(unfit: DataFrame, labelled: DataFrame) -> DataFrame:
+    """Windows left out by reason: unfit ones by their skip_reason, labelled ones by why they have no label."""
+    reasons = unfit.select(F.col("skip_reason").alias("reason")).unionByName(
+        labelled.filter(F.col("label").isNull()).select(F.col("label_reason").alias("reason"))
+    )
+    return reasons.groupBy("reason").agg(F.count(F.lit(1)).alias("windows"))

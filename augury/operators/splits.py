@@ -245,17 +245,21 @@ def dataset_checks(rows: DataFrame, p: Params, width: int | None = None) -> Data
         _violations("both_classes", one_sided),
     ]
     if width is not None:
-        bad_value = F.exists("feature_values", lambda v: v.isNotNull() & (F.isnan(v) | (F.abs(v) == float("inf"))))
-        frames.append(_violations("width", rows.filter(F.size("feature_values") != width)))
-        frames.append(_violations("finite", rows.filter(bad_value)))
+        frames += _vector_checks(rows, width)
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
     return out
 
 
-def healthy_checks(healthy: DataFrame, rows: DataFrame, p: Params, minimum: int = 5) -> DataFrame:
-    """The same for the anomaly model's training inputs: train only, never positive, clear of later parts."""
+def _vector_checks(rows: DataFrame, width: int) -> list[DataFrame]:
+    endless = F.exists("feature_values", lambda v: v.isNotNull() & (F.isnan(v) | (F.abs(v) == float("inf"))))
+    return [_violations("width", rows.filter(F.size("feature_values") != width)), _violations("finite", rows.filter(endless))]
+
+
+def healthy_checks(healthy: DataFrame, rows: DataFrame, p: Params, minimum: int = 5, width: int | None = None) -> DataFrame:
+    """The same for the anomaly model's training inputs: train only, never positive, clear of later parts, judged by
+    the current objective."""
     healthy, rows = checkpointed(healthy), checkpointed(rows)
     short = healthy.agg((F.count(F.lit(1)) < minimum).cast("bigint").alias("violations")).select(
         F.lit("enough_rows").alias("check"), "violations"
@@ -266,12 +270,18 @@ def healthy_checks(healthy: DataFrame, rows: DataFrame, p: Params, minimum: int
     overlap = healthy.join(first_held_out, "host_id").filter(
         plus("window_end", p.horizon + p.confirm_span) >= F.col("held_start")
     )
-    return (
+    out = (
         short.unionByName(_violations("unique_windows", duplicated))
         .unionByName(_violations("train_only", healthy.filter("split <> 'train'")))
         .unionByName(_violations("not_positive", healthy.filter("label = 1")))
         .unionByName(_violations("clear_of_held_out", overlap))
     )
+    if "input_criterion" in healthy.columns:
+        other = ~F.coalesce(F.col("input_criterion") == p.latency_slo, F.lit(False))
+        out = out.unionByName(_violations("criterion", healthy.filter(other)))
+    for part in _vector_checks(healthy, width) if width is not None else []:
+        out = out.unionByName(part)
+    return out
 
 
 def missing_report(long: DataFrame) -> DataFrame:

@@ -37,9 +37,27 @@ def keys(spark, sf_dir) -> DataFrame:
     return features.window_keys(domain.samples(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir))
 
 
+# Share of a window that its CPU samples must span before it may teach or be evaluated.
+COVERAGE = 0.8
+
+
+def eligible_keys(spark, sf_dir) -> DataFrame:
+    return features.window_keys(domain.samples(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir), COVERAGE)
+
+
 def labelled(spark, sf_dir) -> DataFrame:
+    """Labels of all windows there are."""
+    return labels_of(spark, sf_dir, keys(spark, sf_dir))
+
+
+def dataset(spark, sf_dir) -> DataFrame:
+    """Labels of the windows a dataset takes: eligibility comes before labelling."""
+    return labels_of(spark, sf_dir, eligible_keys(spark, sf_dir))
+
+
+def labels_of(spark, sf_dir, windows: DataFrame) -> DataFrame:
     return labels.label_windows(
-        keys(spark, sf_dir),
+        windows,
         attributed_events(spark, sf_dir),
         judged_probes(spark, sf_dir),
         domain.as_of(spark, sf_dir),
@@ -51,6 +69,13 @@ def labelled(spark, sf_dir) -> DataFrame:
 INPUT_SPAN = 14400
 
 
+def healthy_part(spark, sf_dir, rows: DataFrame) -> DataFrame:
+    """Rows whose input was observed healthy and that precede no failure, unknown labels included, with the
+    objective by which the input was judged."""
+    judged = health(spark, sf_dir).withColumn("window_start", plus("window_start", INPUT_SPAN - SPARSE.window))
+    return labels.healthy_inputs(rows, judged).withColumn("input_criterion", F.lit(SPARSE.latency_slo))
+
+
 def health(spark, sf_dir) -> DataFrame:
     short = keys(spark, sf_dir).withColumn("window_start", plus("window_end", -INPUT_SPAN))
     return labels.input_health(

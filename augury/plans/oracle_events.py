@@ -95,7 +95,16 @@ LEFT JOIN {name}_ob o ON o.host_id = k.host_id AND o.e = {end}) k
 """)
 
 
+cte("v_coverage", """
+SELECT k.host_id, k.end_us, (s.tn - s.t0) / 1000000.0 AS coverage FROM v_keys k
+JOIN v_stats s ON s.host_id = k.host_id AND s.end_us = k.end_us AND s.metric = 'cpu_usage_percent'
+""")
 label_relations("v_labels", "v_keys", "end_us", H, EXCL, 3)
 cte("v_short", "SELECT host_id, end_us, end_us - 14400000000 AS start_us FROM v_keys")
 label_relations("v_inputs", "v_short", "start_us", 14400, 0, 1)
+# Windows a dataset takes: those whose CPU samples span four fifths of the window, labelled or not.
+cte("v_dataset", f"SELECT l.* FROM v_labels l JOIN v_coverage c USING (host_id, end_us) WHERE c.coverage >= 0.8 * {W}")
+cte("v_healthy_part", """
+SELECT l.* FROM v_dataset l JOIN v_inputs i ON i.host_id = l.host_id AND i.end_us = l.end_us WHERE i.label = 0 AND coalesce(l.label, 0) <> 1
+""")
 label_relations("v_single", "v_keys", "end_us", H, EXCL, 1)

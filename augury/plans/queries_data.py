@@ -7,6 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import functions as F
 
 from augury.functions.clock import micros, plus
+from augury.functions.cut import checkpointed
 from augury.operators import clean, features
 from augury.plans import common, oracle, oracle_events  # noqa: F401
 from augury.plans.catalog import query
@@ -142,22 +143,24 @@ def snapshot_as_of(spark, sf_dir):
     return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
+PARTS = ["host_id", "window_start", "window_end", "label", "label_reason", "failure_event_id"]
+
+
 def _dataset(spark, sf_dir):
-    rows = common.labelled(spark, sf_dir).filter(F.col("label").isNotNull())
-    return rows.select("host_id", "window_start", "window_end", "label", "label_reason", "failure_event_id")
+    """Labelled rows, and rows of healthy input whatever their label."""
+    rows = checkpointed(common.dataset(spark, sf_dir))
+    return rows.filter(F.col("label").isNotNull()).select(*PARTS), common.healthy_part(spark, sf_dir, rows).select(*PARTS)
 
 
 @query("write_dataset", f"""
-SELECT 'samples' AS part, host_id, {ts('end_us')} AS window_end, label, failure_event_id FROM v_labels WHERE label IS NOT NULL
-UNION ALL SELECT 'healthy', host_id, {ts('end_us')}, label, failure_event_id FROM v_labels WHERE label = 0
+SELECT 'samples' AS part, host_id, {ts('end_us')} AS window_end, label, failure_event_id FROM v_dataset WHERE label IS NOT NULL
+UNION ALL SELECT 'healthy', host_id, {ts('end_us')}, label, failure_event_id FROM v_healthy_part
 """)
 def write_dataset(spark, sf_dir):
-    rows = _dataset(spark, sf_dir).persist()
-    healthy = rows.filter("label = 0")
+    rows, healthy = (checkpointed(part) for part in _dataset(spark, sf_dir))
     root = tables.scratch_path(spark, "dataset")
     path = tables.write_dataset(rows, healthy, "check", root)
     again = tables.write_dataset(rows, healthy, "check", root)
-    rows.unpersist()
     if again != path:
         raise ValueError("dataset is not reproducible")
     parts = [
@@ -339,12 +342,6 @@ def stored_windows(spark, sf_dir):
     )
 
 
-oracle.cte("v_coverage", """
-SELECT k.host_id, k.end_us, (s.tn - s.t0) / 1000000.0 AS coverage FROM v_keys k
-JOIN v_stats s ON s.host_id = k.host_id AND s.end_us = k.end_us AND s.metric = 'cpu_usage_percent'
-""")
-
-
 @query("training_eligible", f"""
 SELECT host_id, {ts('end_us')} AS window_end, CASE
   WHEN end_us > now_us - 5 * 86400000000 THEN 'future_feature_window'

@@ -35,7 +35,7 @@ oracle.cte("v_merged", """
 SELECT host_id, island, min(a) AS a, max(b) AS b, list_sort(list(experiment_id)) AS ids FROM v_influence_marked GROUP BY host_id, island
 """)
 oracle.cte("v_rows", """
-SELECT l.*, f.experiment_id, f.failure_type, f.onset_us FROM v_labels l LEFT JOIN v_failures f ON f.event_id = l.failure_event_id
+SELECT l.*, f.experiment_id, f.failure_type, f.onset_us FROM v_dataset l LEFT JOIN v_failures f ON f.event_id = l.failure_event_id
 WHERE l.label IS NOT NULL
 """)
 oracle.cte("v_touch", f"""
@@ -70,14 +70,13 @@ FROM v_split s
 """)
 _LOW, _HIGH = (int(d.timestamp()) * 10**6 for d in (TRAIN_END, TEST_START))
 _REACH = (H + SPAN) * 10**6
-oracle.cte("v_chrono", f"""
-SELECT *, CASE WHEN end_us + {_REACH} < {_LOW} THEN 'train' WHEN start_us > {_LOW} AND end_us + {_REACH} < {_HIGH} THEN 'validation'
-  WHEN start_us > {_HIGH} THEN 'test' ELSE 'purged' END AS split FROM v_rows
-""")
+_CHRONO = f"""CASE WHEN end_us + {_REACH} < {_LOW} THEN 'train' WHEN start_us > {_LOW} AND end_us + {_REACH} < {_HIGH} THEN 'validation'
+  WHEN start_us > {_HIGH} THEN 'test' ELSE 'purged' END AS split"""
+oracle.cte("v_chrono", f"SELECT *, {_CHRONO} FROM v_rows")
 
 
 def rows(spark, sf_dir):
-    return common.labelled(spark, sf_dir).filter(F.col("label").isNotNull())
+    return common.dataset(spark, sf_dir).filter(F.col("label").isNotNull())
 
 
 def _tagged(spark, sf_dir):
@@ -88,7 +87,7 @@ def _tagged(spark, sf_dir):
 
 def _chrono_all(spark, sf_dir):
     """Split of every window, those with an unknown label included."""
-    return splits.chronological_split(common.labelled(spark, sf_dir), TRAIN_END, TEST_START, DECLARED, SPARSE)
+    return splits.chronological_split(common.dataset(spark, sf_dir), TRAIN_END, TEST_START, DECLARED, SPARSE)
 
 
 def _chrono(spark, sf_dir):
@@ -197,6 +196,18 @@ def split_status(spark, sf_dir):
     return splits.split_status(_chrono(spark, sf_dir), ["train", "validation", "test"])
 
 
+WIDTH = len(features.Contract.of(SPARSE).names)
+
+
+def _with_vectors(spark, sf_dir, rows):
+    """Rows with their stored vectors, of which some are too short (hour 4) or hold an infinite value (hour 6)."""
+    windows = features.feature_windows(domain.samples(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir))
+    hour, values = F.hour("window_end"), F.col("feature_values")
+    endless = F.transform(values, lambda v, i: F.when(i == 5, F.lit(float("inf"))).otherwise(v))
+    stored = F.when(hour == 4, F.slice(values, 1, WIDTH - 1)).when(hour == 6, endless).otherwise(values)
+    return rows.join(windows.select("host_id", "window_end", stored.alias("feature_values")), ["host_id", "window_end"])
+
+
 @query("dataset_checks", """
 WITH d AS (SELECT *, 21600 AS h FROM v_chrono UNION ALL SELECT *, 21601 FROM v_chrono WHERE hour(make_timestamp(end_us)) = 3)
 SELECT 'unique_windows' AS "check", count(*) AS violations FROM (SELECT 1 FROM d GROUP BY host_id, end_us HAVING count(*) > 1)
@@ -204,16 +215,16 @@ UNION ALL SELECT 'labels', count(*) FROM d WHERE label NOT IN (0, 1)
 UNION ALL SELECT 'splits', count(*) FROM d WHERE split = 'purged'
 UNION ALL SELECT 'horizon', count(*) FROM d WHERE h <> 21600
 UNION ALL SELECT 'both_classes', count(*) FROM (SELECT 1 FROM d GROUP BY split HAVING count(DISTINCT label) < 2)
+UNION ALL SELECT 'width', count(*) FROM d WHERE hour(make_timestamp(end_us)) = 4
+UNION ALL SELECT 'finite', count(*) FROM d WHERE hour(make_timestamp(end_us)) = 6
 """.replace("WITH d AS (SELECT", "SELECT * FROM (WITH d AS (SELECT") + ")")
 def dataset_checks(spark, sf_dir):
     good = _chrono(spark, sf_dir).withColumn("horizon_seconds", F.lit(SPARSE.horizon))
     spoiled = good.filter(F.hour("window_end") == 3).withColumn("horizon_seconds", F.lit(SPARSE.horizon + 1))
-    return splits.dataset_checks(good.unionByName(spoiled), SPARSE)
+    return splits.dataset_checks(_with_vectors(spark, sf_dir, good.unionByName(spoiled)), SPARSE, width=WIDTH)
 
 
-oracle.cte("v_healthy_rows", """
-SELECT c.* FROM v_chrono c JOIN v_inputs i ON i.host_id = c.host_id AND i.end_us = c.end_us WHERE i.label = 0 AND c.label = 0
-""")
+oracle.cte("v_healthy_rows", f"SELECT *, {_CHRONO} FROM v_healthy_part")
 
 
 @query("healthy_checks", f"""
@@ -223,14 +234,16 @@ UNION ALL SELECT 'train_only', count(*) FROM v_healthy_rows WHERE split <> 'trai
 UNION ALL SELECT 'not_positive', count(*) FROM v_healthy_rows WHERE label = 1
 UNION ALL SELECT 'clear_of_held_out', count(*) FROM v_healthy_rows h WHERE EXISTS (SELECT 1 FROM v_chrono o
   WHERE o.host_id = h.host_id AND o.split <> 'train' AND h.end_us + {_REACH} >= o.start_us)
+UNION ALL SELECT 'criterion', count(*) FROM v_healthy_rows WHERE hour(make_timestamp(end_us)) = 3
+UNION ALL SELECT 'width', count(*) FROM v_healthy_rows WHERE hour(make_timestamp(end_us)) = 4
+UNION ALL SELECT 'finite', count(*) FROM v_healthy_rows WHERE hour(make_timestamp(end_us)) = 6
 """)
 def healthy_checks(spark, sf_dir):
-    chrono = checkpointed(_chrono(spark, sf_dir))
-    sound = common.health(spark, sf_dir).filter("input_label = 0").select(
-        "host_id", F.timestamp_micros(F.unix_micros("window_start") + F.lit(common.INPUT_SPAN * 10**6)).alias("window_end")
-    )
-    healthy = chrono.filter("label = 0").join(sound, ["host_id", "window_end"], "left_semi")
-    return splits.healthy_checks(healthy, chrono, SPARSE)
+    """Rows of hour 3 were judged by another objective, vectors of hours 4 and 6 are damaged; the checks must count these."""
+    every = checkpointed(_chrono_all(spark, sf_dir))
+    healthy = common.healthy_part(spark, sf_dir, every)
+    healthy = healthy.withColumn("input_criterion", F.when(F.hour("window_end") == 3, 1.0).otherwise(F.col("input_criterion")))
+    return splits.healthy_checks(_with_vectors(spark, sf_dir, healthy), every.filter("label IS NOT NULL"), SPARSE, width=WIDTH)
 
 
 @query("dataset_report", f"""

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from augury.functions.clock import plus
-from augury.operators import clean, labels, probes
+from augury.functions.cut import checkpointed
+from augury.operators import clean, features, labels, probes
 from augury.plans import common, oracle_events  # noqa: F401
 from augury.plans.catalog import query
 from augury.plans.oracle import ts
+from augury.plans.queries_data import stored_windows
 from augury.settings import SPARSE
 from augury.sources import domain
 
@@ -204,9 +206,21 @@ def healthy_inputs(spark, sf_dir):
     )
 
 
-@query("skip_counts", "SELECT reason, count(*) AS windows FROM v_labels WHERE label IS NULL GROUP BY reason")
+@query("skip_counts", f"""
+SELECT reason, count(*) AS windows FROM (
+SELECT CASE WHEN l.end_us > now_us - 5 * 86400000000 THEN 'future_feature_window' WHEN hour({ts('l.end_us')}) = 5 THEN 'schema_mismatch'
+  WHEN hour({ts('l.end_us')}) = 7 THEN 'nonfinite_feature' WHEN coverage < 0.8 * 86400 THEN 'insufficient_feature_history'
+  WHEN l.label IS NULL THEN l.reason END AS reason
+FROM v_labels l JOIN v_coverage c USING (host_id, end_us) CROSS JOIN v_now) WHERE reason IS NOT NULL GROUP BY reason
+""")
 def skip_counts(spark, sf_dir):
-    return labels.skip_counts(common.labelled(spark, sf_dir))
+    """Why stored windows stay out of a dataset: first what makes them unfit, then what keeps them without a label."""
+    cutoff = plus(domain.as_of(spark, sf_dir), -5 * 86400)
+    windows = clean.assert_causal_quality(stored_windows(spark, sf_dir))
+    reason = clean.training_skip_reason(features.Contract.of(SPARSE), cutoff)
+    judged = checkpointed(windows.select("host_id", "window_start", "window_end", reason.alias("skip_reason")))
+    fit = judged.filter("skip_reason IS NULL").drop("skip_reason")
+    return labels.skip_counts(judged.filter("skip_reason IS NOT NULL"), common.labels_of(spark, sf_dir, fit))
 
 
 @query("label_distribution", """
