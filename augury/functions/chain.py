@@ -4,6 +4,9 @@ Cooldowns and one-open-incident rules are chains of this kind.  The walk is sequ
 a key, yet a key is never gathered in one task: every time slice reports where a walk entering
 it would leave, the few possible entries of each slice are chained per key, and the slices are
 then walked independently from their known entry.
+
+Slices are as wide as the usual jump.  A rare longer jump does not widen them: its landing place is told to the slice it
+falls into, as one more possible entry.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from augury.functions.clock import MICROS, floor_to
 
-_NEVER = np.iinfo(np.int64).max
+NEVER = np.iinfo(np.int64).max
 
 
 def _leave(at: np.ndarray, resume: np.ndarray) -> np.ndarray:
@@ -42,8 +45,8 @@ def greedy_chain(
 ) -> DataFrame:
     """Return (key, at) of the selected rows; ``at`` and ``resume`` are epoch microseconds.
 
-    ``reach_seconds`` bounds ``resume - at``; a row never resuming carries the largest long.
-    (key, at) must be unique.
+    ``reach_seconds`` is how far ``resume`` usually lies behind ``at``; rows that reach further are allowed, and cost one
+    row each.  A row never resuming carries the largest long.  (key, at) must be unique.
     """
     width = max(slice_seconds, reach_seconds)
     reach = reach_seconds * MICROS
@@ -52,15 +55,16 @@ def greedy_chain(
     ).withColumn("slice", floor_to(F.col("at"), width))
 
     def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at")
+        landings = pdf["at"][pdf["landing"]].to_numpy()
+        key, start = pdf["key"].iloc[0], int(pdf["slice"].iloc[0])
+        pdf = pdf[~pdf["landing"]].sort_values("at")
         t = pdf["at"].to_numpy()
         leave = _leave(t, pdf["resume"].to_numpy())
-        # A walk can only enter on a row within reach of the slice start, or on the next one.
-        limit = int(pdf["slice"].iloc[0]) + reach
-        keep = min(len(t), int(np.searchsorted(t, limit, side="left")) + 1)
-        return pd.DataFrame(
-            {"key": pdf["key"].iloc[:keep], "slice": pdf["slice"].iloc[:keep], "at": t[:keep], "leave": leave[:keep]}
-        )
+        # A walk enters on a row within reach of the slice start, on the next one, or where a long jump lands.
+        usual = np.arange(min(len(t), int(np.searchsorted(t, start + reach, side="left")) + 1))
+        landed = np.searchsorted(t, landings, side="left")
+        keep = np.union1d(usual, landed[landed < len(t)]).astype(int)
+        return pd.DataFrame({"key": key, "slice": start, "at": t[keep], "leave": leave[keep]})
 
     def entries(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["slice", "at"])
@@ -84,7 +88,12 @@ def greedy_chain(
         return pd.DataFrame({"key": pdf["key"].iloc[0], "at": picked})
 
     kind = dict(df.dtypes)[key]
-    exit_rows = rows.groupBy("key", "slice").applyInPandas(
+    far = (F.col("resume") - F.col("at") > F.lit(reach)) & (F.col("resume") < F.lit(NEVER))
+    landings = rows.filter(far).select(
+        "key", F.col("resume").alias("at"), "resume", floor_to(F.col("resume"), width).alias("slice"), F.lit(True).alias("landing")
+    )
+    told = rows.withColumn("landing", F.lit(False)).unionByName(landings.distinct())
+    exit_rows = told.groupBy("key", "slice").applyInPandas(
         exits, f"key {kind}, slice long, at long, leave long"
     )
     entry_rows = exit_rows.groupBy("key").applyInPandas(
@@ -97,5 +106,3 @@ def greedy_chain(
     )
     return selected.select(F.col("key").alias(key), F.col("at").alias(at))
 
-
-NEVER = _NEVER

@@ -106,8 +106,17 @@ def incident_candidates(predictions: DataFrame, threshold: float, p: Params) ->
     )
 
 
+# What an incident keeps of the failure it is matched with.
+MATCH = ("failure_event_id", "onset", "event_confirmed_at", "event_recovered_at", "matched_prediction_id", "prediction_lead_seconds")
+
+MATCH_TYPE = (
+    "struct<failure_event_id:string,onset:timestamp,event_confirmed_at:timestamp,event_recovered_at:timestamp,"
+    "matched_prediction_id:string,prediction_lead_seconds:double>"
+)
+
+
 def settled_candidates(candidates: DataFrame, predictions: DataFrame, events: DataFrame, threshold: float, p: Params) -> DataFrame:
-    """Add open_until: when the incident a candidate would open is resolved.
+    """Add open_until, when the incident a candidate would open is resolved, and its match (null: none).
 
     A failure confirmed while the incident is open keeps it open until the failure recovers (null: not
     yet); otherwise it ends at closed_at.  An incident that was closed is matched no more.
@@ -115,11 +124,11 @@ def settled_candidates(candidates: DataFrame, predictions: DataFrame, events: Da
     named = candidates.withColumn("incident_id", F.concat(F.lit("i-"), "prediction_id"))
     high = predictions.filter(F.col("probability") >= threshold)
     own = attach_incidents(high, named, p, until="closed_at").filter(F.col("incident_id").isNotNull())
-    found = match_failures(named, own, events, p).select("incident_id", "failure_event_id", "event_recovered_at")
-    until = F.when(F.col("failure_event_id").isNull(), F.col("closed_at")).when(
-        F.col("event_recovered_at").isNotNull(), F.greatest("event_recovered_at", "predicted_at")
+    found = match_failures(named, own, events, p).select("incident_id", F.struct(*MATCH).alias("match"))
+    until = F.when(F.col("match").isNull(), F.col("closed_at")).when(
+        F.col("match.event_recovered_at").isNotNull(), F.greatest("match.event_recovered_at", "predicted_at")
     )
-    return named.join(found, "incident_id", "left").withColumn("open_until", until).drop("failure_event_id", "event_recovered_at")
+    return named.join(found, "incident_id", "left").withColumn("open_until", until)
 
 
 def open_incidents(predictions: DataFrame, threshold: float, p: Params, events: DataFrame | None = None) -> DataFrame:
@@ -134,19 +143,19 @@ def open_incidents(predictions: DataFrame, threshold: float, p: Params, events:
     candidates = candidates.filter(~late).withColumn("__first", F.row_number().over(first)).filter("__first = 1").drop("__first")
     candidates = checkpointed(candidates)
     if events is None:
-        settled = candidates.withColumn("open_until", F.col("closed_at"))
+        settled = candidates.withColumn("open_until", F.col("closed_at")).withColumn("match", F.lit(None).cast(MATCH_TYPE))
     else:
         settled = settled_candidates(candidates, predictions, events, threshold, p)
     at = micros("predicted_at")
     resume = F.when(F.col("open_until").isNull(), F.lit(NEVER)).otherwise(F.greatest(micros("open_until"), at) + 1)
     keyed = checkpointed(settled.withColumn("at", at).withColumn("resume", resume))
-    longest = keyed.filter(F.col("resume") < NEVER).agg(F.max(F.col("resume") - F.col("at")).alias("w")).first()["w"] or 0
     opened = greedy_chain(
         keyed,
         "host_id",
         "at",
         "resume",
-        reach_seconds=max(p.horizon + p.expiry_grace + p.max_age, -(-longest // MICROS)),
+        # An outage that lasts longer is a long jump and widens no slice.
+        reach_seconds=p.horizon + p.expiry_grace + p.max_age,
         slice_seconds=p.slice_seconds,
     )
     return keyed.join(opened, ["host_id", "at"]).select(
@@ -161,9 +170,15 @@ def open_incidents(predictions: DataFrame, threshold: float, p: Params, events:
         "closed_at",
         "closed_as",
         "open_until",
+        "match",
     )
 
 
+def matches_of(incidents: DataFrame) -> DataFrame:
+    """The failures incidents were matched with as they were opened; the same rows as match_failures gives."""
+    return incidents.filter(F.col("match").isNotNull()).select("incident_id", *[F.col(f"match.{c}").alias(c) for c in MATCH])
+
+
 def attach_incidents(
     predictions: DataFrame, incidents: DataFrame, p: Params, until: str = "open_until", now: Column | None = None
 ) -> DataFrame:
@@ -396,7 +411,7 @@ def with_alert_timing(alerts: DataFrame, matches: DataFrame) -> DataFrame:
 
 def incident_status(incidents: DataFrame, matches: DataFrame, as_of: Column) -> DataFrame:
     """Current status: observed or recovered once a failure is matched, else how the forecast ended."""
-    joined = incidents.join(matches, "incident_id", "left")
+    joined = incidents.drop("match").join(matches, "incident_id", "left")
     matched = F.col("failure_event_id").isNotNull()
     over = F.col("closed_at") < as_of
     status = (

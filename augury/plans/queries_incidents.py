@@ -39,21 +39,10 @@ def incidents(spark, sf_dir, now=None):
     return inc.open_incidents(predictions(spark, sf_dir, now), THR, SPARSE, known)
 
 
-def high_scores(spark, sf_dir, opened, now=None):
-    """High scores of each incident up to its closing: those a failure can be matched by."""
-    crossed = predictions(spark, sf_dir, now).filter(F.col("probability") >= THR)
-    return inc.attach_incidents(crossed, opened, SPARSE, until="closed_at").filter(F.col("incident_id").isNotNull())
-
-
-def matches(spark, sf_dir, opened, now=None):
-    known = known_failures(spark, sf_dir, now)
-    return inc.match_failures(opened, high_scores(spark, sf_dir, opened, now), known, SPARSE)
-
-
 def statuses(spark, sf_dir, now=None):
     cutoff = domain.as_of(spark, sf_dir) if now is None else now
     opened = checkpointed(incidents(spark, sf_dir, now))
-    return inc.incident_status(opened, matches(spark, sf_dir, opened, now), cutoff)
+    return inc.incident_status(opened, inc.matches_of(opened), cutoff)
 
 
 def attempts(alerts):
@@ -277,7 +266,7 @@ SELECT incident_id, event_id AS failure_event_id, matched_id AS matched_predicti
 """)
 def match_failures(spark, sf_dir):
     opened = checkpointed(incidents(spark, sf_dir))
-    return matches(spark, sf_dir, opened).select(
+    return inc.matches_of(opened).select(
         "incident_id", "failure_event_id", "matched_prediction_id", "prediction_lead_seconds"
     )
 
@@ -290,7 +279,7 @@ FROM v_alerts JOIN v_matched USING (incident_id)
 """)
 def alert_timing(spark, sf_dir):
     opened = checkpointed(incidents(spark, sf_dir))
-    timed = inc.with_alert_timing(alerts(spark, sf_dir, opened), matches(spark, sf_dir, opened))
+    timed = inc.with_alert_timing(alerts(spark, sf_dir, opened), inc.matches_of(opened))
     return timed.select("alert_id", "timing", "lead_seconds")
 
 

@@ -126,6 +126,27 @@ def test_greedy_chain_equals_walk(spark, slice_seconds):
     assert got == want
 
 
+@pytest.mark.parametrize("slice_seconds", [20, 300])
+def test_long_jumps_widen_no_slice(spark, slice_seconds):
+    """One jump of half the time, some of several slices, one without end; all other rows reach 10 s."""
+    rng = random.Random(9)
+    rows = {(k, t): rng.randrange(1, 10) for k in ("hot", "b") for t in rng.sample(range(4000), 900)}
+    for key in rng.sample(sorted(rows), 12):
+        rows[key] = rng.randrange(100, 900)
+    rows["hot", 1500], rows["b", 3000] = 1900, None
+    never = 2**63 - 1
+    f = spark.createDataFrame([(k, t * 10**6, never if d is None else (t + d) * 10**6) for (k, t), d in rows.items()], "k string, t bigint, r bigint")
+    got = {(r["k"], r["t"] // 10**6) for r in greedy_chain(f, "k", "t", "r", reach_seconds=10, slice_seconds=slice_seconds).collect()}
+    want = set()
+    for key in ("hot", "b"):
+        resume = -1
+        for t in sorted(t for k, t in rows if k == key):
+            if t >= resume:
+                want.add((key, t))
+                resume = 10**9 if rows[key, t] is None else t + rows[key, t]
+    assert got == want
+
+
 def test_running_totals_and_rank(spark):
     rng = random.Random(6)
     values = sorted({rng.choice([0.5, rng.random()]) for _ in range(300)}, reverse=True)

@@ -113,7 +113,9 @@ def test_a_matched_failure_keeps_the_incident_open(spark):
     opened = inc.open_incidents(scores, 0.5, LIVE, lasting)
     assert [(r["incident_id"], r["open_until"]) for r in opened.collect()] == [("i-p0", None)]
     own = inc.attach_incidents(scores.filter("probability > 0.5"), opened, LIVE, until="closed_at").filter("incident_id IS NOT NULL")
-    status = inc.incident_status(opened, inc.match_failures(opened, own, lasting, LIVE), lit(900)).collect()
+    matched = inc.match_failures(opened, own, lasting, LIVE)
+    assert inc.matches_of(opened).collect() == matched.collect()  # known since the opening
+    status = inc.incident_status(opened, matched, lit(900)).collect()
     assert [(r["status"], r["resolved_at"]) for r in status] == [("observed", None)]
     over = inc.open_incidents(scores, 0.5, LIVE, failures(spark, [("f", 30, 60, 200)])).orderBy("predicted_at").collect()
     assert [r["incident_id"] for r in over] == ["i-p0", "i-p240"]
