@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from augury.functions.clock import plus, r6
 from augury.functions.cut import checkpointed
 from augury.operators import evaluation as ev
-from augury.operators import features, model
+from augury.operators import features, model, network
 from augury.plans import common, oracle, oracle_events  # noqa: F401
 from augury.plans import queries_evaluation as qe
 from augury.plans import queries_incidents as qi
@@ -17,7 +17,7 @@ from augury.plans.catalog import query
 from augury.plans.oracle import r6 as o6
 from augury.plans.oracle import ts
 from augury.settings import SPARSE
-from augury.sources import domain
+from augury.sources import domain, tables
 
 KEYS = ["host_id", "window_end"]
 NAMES = features.Contract.of(SPARSE).names
@@ -97,8 +97,11 @@ def train_classifier(spark, sf_dir):
 
 @query("model_selection")
 def model_selection(spark, sf_dir):
-    _, _, _, history = _trained(spark, sf_dir)
-    return spark.createDataFrame(history, "penalty double, train_objective double, validation_loss double")
+    """Losses of every epoch of the network, with the epoch whose parameters are kept."""
+    frame = checkpointed(model.training_frame(_normalized(spark, sf_dir)))
+    state = network.train(frame, folder=tables.scratch_path(spark, "network"))
+    history = spark.createDataFrame(state.history, "epoch int, train_loss double, validation_loss double")
+    return history.withColumn("kept", F.col("epoch") == state.best_epoch)
 
 
 @query("probability", f"""
