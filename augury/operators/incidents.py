@@ -9,7 +9,7 @@ from augury.functions.chain import NEVER, greedy_chain
 from augury.functions.clock import MICROS, micros, plus, seconds_between
 from augury.functions.cut import checkpointed
 from augury.functions.intervals import overlap_join
-from augury.functions.ordered import halo_chunks, own_chunk, with_previous
+from augury.functions.ordered import asof, halo_chunks, own_chunk, with_previous
 from augury.functions.ranked import latest_per_key
 from augury.operators.probes import active_experiments_at
 from augury.settings import Params
@@ -216,31 +216,95 @@ def explain_mode(crossed: DataFrame, incidents: DataFrame, p: Params, now: Colum
     return known.withColumn("explain_mode", mode).drop("opened_at", "open_until", "closed_at")
 
 
-def incident_facts(incidents: DataFrame, service_map: DataFrame, experiments: DataFrame, as_of: Column, p: Params) -> DataFrame:
-    """Ordered facts of each incident and its deterministic summary."""
+def recent_alerts(incidents: DataFrame, alerts: DataFrame, p: Params) -> DataFrame:
+    """(incident_id, recent_alerts): the host's three newest alerts created before each incident, newest first."""
+    told = alerts.select("host_id", "created_at", "alert_id", "status")
+    once = with_previous(told, ["host_id"], "created_at", ["alert_id"], ["status"], name="p1", slice_seconds=p.slice_seconds)
+    twice = with_previous(once, ["host_id"], "created_at", ["alert_id"], ["p1"], name="before", slice_seconds=p.slice_seconds)
+    chained = twice.select("host_id", "created_at", "alert_id", "status", "p1", F.col("before.p1").alias("p2"))
+    found = asof(
+        incidents.select("host_id", "incident_id", "predicted_at"), chained, ["host_id"], "predicted_at", "created_at",
+        ["alert_id", "status", "p1", "p2"], inclusive=False, tie="alert_id", slice_seconds=p.slice_seconds,
+    )
+    one = lambda c: F.when(c["alert_id"].isNotNull(), F.struct(c["alert_id"].alias("id"), c["status"].alias("status")))
+    newest = F.array_compact(F.array(one(F.col("match")), one(F.col("match.p1")), one(F.col("match.p2"))))
+    return found.select("incident_id", newest.alias("recent_alerts"))
+
+
+def feature_changes(incidents: DataFrame, windows: DataFrame) -> DataFrame:
+    """(incident_id, changes): name and value of every known difference and trend in the incident's window, by name."""
+    changed = lambda k, v: v.isNotNull() & (k.endswith(".delta") | k.endswith(".linear_trend"))
+    entries = F.array_sort(F.map_entries(F.map_filter("features", changed)))
+    return incidents.select("incident_id", "host_id", "window_end").join(
+        windows.select("host_id", "window_end", entries.alias("changes")), ["host_id", "window_end"]
+    ).select("incident_id", "changes")
+
+
+def largest_changes(changes: Column, n: int = 3) -> Column:
+    """The n largest differences as (feature, contribution), by size, then by name."""
+    deltas = F.filter(changes, lambda e: e["key"].endswith(".delta"))
+    ranked = F.array_sort(F.transform(deltas, lambda e: F.struct(-F.abs(e["value"]), e["key"].alias("feature"), e["value"].alias("contribution"))))
+    return F.slice(F.transform(ranked, lambda e: F.struct(e["feature"].alias("feature"), e["contribution"].alias("contribution"))), 1, n)
+
+
+def incident_facts(
+    incidents: DataFrame,
+    service_map: DataFrame,
+    experiments: DataFrame,
+    as_of: Column,
+    p: Params,
+    *,
+    alerts: DataFrame,
+    windows: DataFrame,
+    models: DataFrame,
+    drivers: Column | None = None,
+) -> DataFrame:
+    """The seven ordered facts of each incident and its deterministic summary.
+
+    ``alerts`` are stored alerts with their status, ``windows`` feature windows, ``models`` have a warning; ``drivers`` is an
+    array of (feature, contribution), by default the largest differences.  Incidents carry their score's anomaly_score.
+    """
+    at = incidents.select("host_id", "incident_id", "predicted_at")
+    named = F.struct(F.col("experiment_id").alias("id"), F.col("experiment_type").alias("type"), F.col("experiment_status").alias("status"))
     running = (
-        active_experiments_at(
-            incidents.select("host_id", "incident_id", "predicted_at"), experiments, "predicted_at", p, as_of
-        )
+        active_experiments_at(at, experiments, "predicted_at", p, as_of)
         .groupBy("incident_id")
-        .agg(F.array_join(F.array_sort(F.collect_set("experiment_id")), ",").alias("experiments"))
+        .agg(F.array_sort(F.collect_set(named)).alias("experiments"))
     )
-    stamp = "yyyy-MM-dd'T'HH:mm:ss"
-    first = F.format_string(
-        "Host %s, service %s: model probability %.6f; horizon %ds anchored at %s, valid until %s.",
-        F.col("host_id"),
-        F.coalesce("service_job", F.lit("None")),
-        F.col("probability"),
-        F.lit(p.horizon),
-        F.date_format("window_end", stamp),
-        F.date_format("valid_until", stamp),
+    joined = (
+        incidents.join(running, "incident_id", "left")
+        .join(recent_alerts(incidents, alerts, p), "incident_id", "left")
+        .join(feature_changes(incidents, windows), "incident_id", "left")
+        .join(service_map, "host_id", "left")
+        .join(models.select("model_id", "warning"), "model_id", "left")
     )
-    second = F.concat(F.lit("Recorded active experiments: "), F.coalesce("experiments", F.lit("none")), F.lit("."))
+    joined = joined.withColumn("drivers", largest_changes(F.col("changes")) if drivers is None else drivers)
+    stamp = "yyyy-MM-dd'T'HH:mm:ss"
+    nothing = F.lit("[]")
+    signed = lambda pairs, name, value: F.transform(
+        pairs, lambda e: F.concat(F.lit('"'), e[name], F.lit('":'), F.format_string("%.6f", e[value]))
+    )
+    listed = lambda pairs, name, value: F.concat(F.lit("{"), F.coalesce(F.array_join(signed(pairs, name, value), ","), F.lit("")), F.lit("}"))
+    facts = [
+        F.format_string(
+            "Host %s, service %s: model probability %.6f; horizon %ds anchored at %s, valid until %s.",
+            F.col("host_id"),
+            F.coalesce("service_job", F.lit("None")),
+            F.col("probability"),
+            F.lit(p.horizon),
+            F.date_format("window_end", stamp),
+            F.date_format("valid_until", stamp),
+        ),
+        F.format_string("Separate unfamiliarity score %.6f; it is not an imminent-failure probability.", F.col("anomaly_score")),
+        F.coalesce("warning", F.lit("The model has no recorded evaluation.")),
+        F.concat(F.lit("Supplied associations: "), listed(F.col("drivers"), "feature", "contribution")),
+        F.concat(F.lit("Recorded active experiments: "), F.coalesce(F.to_json("experiments"), nothing)),
+        F.concat(F.lit("Recent alerts: "), F.coalesce(F.to_json("recent_alerts"), nothing)),
+        F.concat(F.lit("Causal feature changes: "), listed(F.col("changes"), "key", "value")),
+    ]
     checks = F.array(*[F.lit(c) for c in CHECKS.values()])
     return (
-        incidents.join(running, "incident_id", "left")
-        .join(service_map, "host_id", "left")
-        .withColumn("evidence", F.array(first, second))
+        joined.withColumn("evidence", F.array(*facts))
         .withColumn("title", F.lit(TITLE))
         .withColumn("pattern", F.lit(PATTERN))
         .withColumn("checks", checks)

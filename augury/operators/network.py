@@ -140,7 +140,7 @@ def one_pass(rows: DataFrame, state: State) -> tuple[np.ndarray, float, float]:
     found = np.zeros(size + 4)
     for row in parts.collect():  # as many rows as there are parameters
         found[row["place"]] = row["value"]
-    return found[:size] / max(found[-3], 1), found[size] / max(found[-3], 1), found[-2] / max(found[-1], 1)
+    return found[:size] / max(found[-3], 1), float(found[size] / max(found[-3], 1)), float(found[-2] / max(found[-1], 1))
 
 
 def step(state: State, g: np.ndarray, schedule: Schedule) -> None:

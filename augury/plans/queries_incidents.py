@@ -218,26 +218,52 @@ def open_incidents(spark, sf_dir):
     )
 
 
-@query("incident_facts", f"""
-SELECT i.incident_id, '{inc.TITLE}' AS title,
+oracle.cte("v_fact_changes", """
+SELECT i.incident_id, string_agg('"' || f.feature || '":' || printf('%.6f', f.value), ',' ORDER BY f.feature) AS changes,
+  list('"' || f.feature || '":' || printf('%.6f', f.value) ORDER BY abs(f.value) DESC, f.feature) FILTER (WHERE f.feature LIKE '%.delta') AS largest,
+  list(f.feature || ': ' || printf('%+.6f', f.value) ORDER BY abs(f.value) DESC, f.feature) FILTER (WHERE f.feature LIKE '%.delta') AS told
+FROM v_incidents i JOIN v_features f ON f.host_id = i.host_id AND f.end_us = i.end_us
+WHERE f.value IS NOT NULL AND (ends_with(f.feature, '.delta') OR ends_with(f.feature, '.linear_trend')) GROUP BY i.incident_id
+""")
+oracle.cte("v_facts", f"""
+SELECT i.incident_id, i.host_id, i.valid_us, i.probability, m.service_job, c.told[1:3] AS told, [
   'Host ' || i.host_id || ', service ' || coalesce(m.service_job, 'None') || ': model probability ' || printf('%.6f', i.probability) ||
-  '; horizon {H}s anchored at ' || strftime(i.window_end, '%Y-%m-%dT%H:%M:%S') || ', valid until ' || strftime({ts('i.valid_us')}, '%Y-%m-%dT%H:%M:%S') || '. ' ||
-  'Recorded active experiments: ' || coalesce((SELECT string_agg(x.experiment_id, ',' ORDER BY x.experiment_id) FROM v_experiments x
-     WHERE x.host_id = i.host_id AND x.started_at <= i.predicted_at AND (x.ended_at IS NULL OR x.ended_at > i.predicted_at)), 'none') || '.' AS summary
-FROM v_incidents i LEFT JOIN v_map m USING (host_id)
+    '; horizon {H}s anchored at ' || strftime(i.window_end, '%Y-%m-%dT%H:%M:%S') || ', valid until ' || strftime({ts('i.valid_us')}, '%Y-%m-%dT%H:%M:%S') || '.',
+  'Separate unfamiliarity score ' || printf('%.6f', s.anomaly_score) || '; it is not an imminent-failure probability.',
+  'Model v1 warns from 0.6 on; see its recorded evaluation before acting.',
+  'Supplied associations: {{' || coalesce(array_to_string(c.largest[1:3], ','), '') || '}}',
+  'Recorded active experiments: ' || coalesce((SELECT '[' || string_agg('{{"id":"' || x.experiment_id || '","type":"' || x.experiment_type || '","status":"' || x.experiment_status || '"}}', ','
+      ORDER BY x.experiment_id) || ']' FROM v_experiments x
+    WHERE x.host_id = i.host_id AND x.started_at <= i.predicted_at AND (x.ended_at IS NULL OR x.ended_at > i.predicted_at)), '[]'),
+  'Recent alerts: [' || coalesce((SELECT array_to_string(list('{{"id":"' || a.alert_id || '","status":"' || a.status || '"}}'
+      ORDER BY a.created_at DESC, a.alert_id DESC)[1:3], ',') FROM v_alerts a WHERE a.host_id = i.host_id AND a.created_at < i.predicted_at), '') || ']',
+  'Causal feature changes: {{' || coalesce(c.changes, '') || '}}'] AS facts
+FROM v_incidents i JOIN v_past s USING (prediction_id) LEFT JOIN v_map m ON m.host_id = i.host_id LEFT JOIN v_fact_changes c ON c.incident_id = i.incident_id
+""")
+
+
+@query("incident_facts", f"""
+SELECT incident_id, '{inc.TITLE}' AS title, len(facts) AS n_facts, array_to_string(facts, ' ') AS summary FROM v_facts
 """)
 def incident_facts(spark, sf_dir):
-    return _facts(spark, sf_dir).select("incident_id", "title", "summary")
+    return _facts(spark, sf_dir).select("incident_id", "title", F.size("evidence").cast("long").alias("n_facts"), "summary")
 
 
 def _facts(spark, sf_dir):
     opened = checkpointed(incidents(spark, sf_dir))
+    unusual = predictions(spark, sf_dir).select("prediction_id", "anomaly_score")
+    told = domain.models(spark, sf_dir).withColumn(
+        "warning", F.format_string("Model %s warns from %s on; see its recorded evaluation before acting.", "version", F.col("threshold").cast("string"))
+    )
     return inc.incident_facts(
-        opened,
+        opened.join(unusual, "prediction_id"),
         domain.service_map(spark, sf_dir),
         domain.experiments(spark, sf_dir),
         domain.as_of(spark, sf_dir),
         SPARSE,
+        alerts=alerts(spark, sf_dir, opened),
+        windows=features.feature_windows(domain.samples(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir)),
+        models=told,
     )
 
 
@@ -385,14 +411,17 @@ def validate_proposals(spark, sf_dir):
 
 
 @query("alert_payload", f"""
-SELECT i.incident_id, 2 AS sections,
-  'Incident ' || i.incident_id || ' · Host ' || i.host_id || ' · Service ' || coalesce(m.service_job, 'None') || chr(10) ||
-  'Failure probability ' || printf('%.6f', i.probability) || '; valid until ' || strftime({ts('i.valid_us')}, '%Y-%m-%dT%H:%M:%S') AS core
-FROM v_incidents i LEFT JOIN v_map m USING (host_id)
+SELECT incident_id,
+  'Incident ' || incident_id || ' · Host ' || host_id || ' · Service ' || coalesce(service_job, 'None') || chr(10) ||
+  'Failure probability ' || printf('%.6f', probability) || '; valid until ' || strftime({ts('valid_us')}, '%Y-%m-%dT%H:%M:%S') AS core,
+  'Associated signals (not causes):' || chr(10) || coalesce(array_to_string(told, chr(10)), '') AS signals,
+  'Summary excerpt:' || chr(10) || left(array_to_string(facts, ' '), 1800) AS excerpt
+FROM v_facts
 """)
 def alert_payload(spark, sf_dir):
-    message = inc.alert_payload(_facts(spark, sf_dir))
-    return message.select("incident_id", F.size("sections").alias("sections"), F.col("sections")[0].alias("core"))
+    message = inc.alert_payload(_facts(spark, sf_dir), F.coalesce("drivers", F.array().cast("array<struct<feature:string,contribution:double>>")))
+    part = F.col("sections")
+    return message.select("incident_id", part[0].alias("core"), part[1].alias("signals"), part[2].alias("excerpt"))
 
 
 @query("live_outcomes", f"""

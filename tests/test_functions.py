@@ -1,9 +1,11 @@
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from augury.functions import cut
 from augury.functions.chain import greedy_chain
 from augury.functions.intervals import merge_intervals, overlap_join
 from augury.functions.ordered import Scan, asof, running, with_previous
@@ -163,3 +165,15 @@ def test_exact_medians(spark):
     rows = [(f, v) for f, vs in data.items() for v in vs] + [("a", None), ("a", float("nan"))]
     got = {r["feature"]: r["median"] for r in exact_medians(spark.createDataFrame(rows, "feature string, value double"), "feature", "value").collect()}
     assert got == {f: pytest.approx(float(np.median(vs))) for f, vs in data.items()}
+
+
+def test_a_cluster_needs_a_shared_folder(tmp_path):
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda path: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda key, default: folder))
+
+    assert cut.shared_folder(session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    assert cut.shared_folder(session("local[4]"))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            cut.shared_folder(session(master))
