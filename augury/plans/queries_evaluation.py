@@ -268,12 +268,16 @@ def missing_report(spark, sf_dir):
 
 
 @query("evidence_recheck", f"""
-SELECT host_id, {ts('end_us')} AS window_end, side AS missing_from
-FROM v_labels, (SELECT unnest(['recomputed', 'stored']) AS side)
+SELECT 'labels' AS part, host_id, {ts('end_us')} AS window_end, side AS missing_from
+FROM v_labels CROSS JOIN (SELECT unnest(['recomputed', 'stored']) AS side)
 WHERE hour({ts('end_us')}) = 5 OR (hour({ts('end_us')}) = 7 AND side = 'stored')
-""".replace("FROM v_labels, (", "FROM v_labels CROSS JOIN ("))
+UNION ALL
+SELECT 'vectors', host_id, {ts('end_us')}, side FROM v_coverage CROSS JOIN (SELECT unnest(['recomputed', 'stored']) AS side)
+WHERE hour({ts('end_us')}) = 7 AND (end_us // 86400000000) % 3 = 0
+""")
 def evidence_recheck(spark, sf_dir):
-    """A stored table in which some labels were turned and some rows lost; the check must find exactly these."""
+    """Stored tables in which some labels were turned, some rows lost and some vectors damaged; the check must find exactly
+    these.  Labels are derived again from probes and events, vectors from samples."""
     columns = ["host_id", "window_end", "label", "label_reason", "failure_event_id"]
     recomputed = common.labelled(spark, sf_dir).select(*columns)
     hour = F.hour("window_end")
@@ -281,7 +285,20 @@ def evidence_recheck(spark, sf_dir):
     path = tables.scratch_path(spark, "labels")
     recomputed.filter(hour != 7).withColumn("label", turned).write.parquet(path)
     stored = spark.read.parquet(path)
-    return splits.evidence_recheck(stored, recomputed).select("host_id", "window_end", "missing_from")
+    found = splits.evidence_recheck(stored, recomputed).select(F.lit("labels").alias("part"), "host_id", "window_end", "missing_from")
+    # Sums of doubles may differ in the last digits from run to run.
+    rounded = F.transform("feature_values", lambda v: F.round(v, 6))
+    windows = features.feature_windows(domain.samples(spark, sf_dir), SPARSE, domain.as_of(spark, sf_dir))
+    vectors = windows.select("host_id", "window_end", "schema_hash", rounded.alias("feature_values"))
+    day = (F.unix_micros("window_end") / (86400 * 10**6)).cast("bigint")
+    spoiled = (hour == 7) & (day % 3 == 0)
+    moved = F.transform("feature_values", lambda v, i: F.when(i == 0, v + 1).otherwise(v))
+    kept = tables.scratch_path(spark, "vectors")
+    vectors.withColumn("feature_values", F.when(spoiled, moved).otherwise(F.col("feature_values"))).write.parquet(kept)
+    again = splits.evidence_recheck(spark.read.parquet(kept), vectors).select(
+        F.lit("vectors").alias("part"), "host_id", "window_end", "missing_from"
+    )
+    return found.unionByName(again)
 
 
 # ---- evaluation ----------------------------------------------------------------------------------

@@ -128,3 +128,16 @@ def test_grouped_split(spark):
 def test_leakage_is_found(spark):
     pairs = spark.createDataFrame([("x", "train"), ("x", "test"), ("y", "train")], "experiment_id string, split string")
     assert [r["experiment_id"] for r in splits.experiment_leakage(pairs).collect()] == ["x"]
+
+
+def test_recheck_opens_only_buckets_that_differ(spark):
+    rows = [("hot", at(3600 * i), i % 2) for i in range(400)] + [("b", at(3600 * i), None) for i in range(50)] + [("b", None, 1)]
+    stored = spark.createDataFrame(rows, "host_id string, window_end timestamp, label int")
+    assert splits.differing_buckets(stored, stored.repartition(5), "window_end").count() == 0
+    assert splits.evidence_recheck(stored, stored.repartition(5)).count() == 0
+    turned = [(h, t, 1 - v if (h, t) == ("hot", at(3600 * 30)) else v) for h, t, v in rows if (h, t) != ("b", at(0))] + [("c", at(0), 1)] + rows[10:11]
+    derived = spark.createDataFrame(turned, stored.schema)
+    days = {(r["host_id"], str(r["day"])) for r in splits.differing_buckets(stored, derived, "window_end").collect()}
+    assert days == {("hot", "1970-01-02"), ("hot", "1970-01-01"), ("b", "1970-01-01"), ("c", "1970-01-01")}
+    got = sorted((r["host_id"], r["label"], r["missing_from"]) for r in splits.evidence_recheck(stored, derived).fillna(-1).collect())
+    assert got == [("b", -1, "recomputed"), ("c", 1, "stored"), ("hot", 0, "recomputed"), ("hot", 0, "stored"), ("hot", 1, "stored")]
