@@ -396,6 +396,16 @@ def feature_windows(samples: DataFrame, p: Params, as_of: Column | None = None)
     return feature_vectors(feature_stats(samples, p, as_of), p)
 
 
+def with_origin(windows: DataFrame, errors: DataFrame, service_map: DataFrame) -> DataFrame:
+    """Complete the quality record: the metrics of the host whose query failed or was contradictory (comma-separated, by
+    name), and the service the host runs (null: none)."""
+    return (
+        windows.join(errors.select("host_id", "query_errors"), "host_id", "left")
+        .join(service_map.select("host_id", "service_job"), "host_id", "left")
+        .withColumn("query_errors", F.coalesce("query_errors", F.lit("")))
+    )
+
+
 def long_features(windows: DataFrame) -> DataFrame:
     """Windows to (host, window end, position, name, value)."""
     return windows.select(

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import functions as F
 
 from augury.functions.clock import r6
+from augury.operators import clean
 from augury.operators import features as ft
+from augury.plans import queries_data  # noqa: F401  (relations its SQL uses)
 from augury.plans.catalog import query
 from augury.plans.oracle import r6 as o6, ts as ots
 from augury.settings import SPARSE
@@ -100,19 +102,24 @@ def cross_signals(spark, sf_dir):
 
 
 @query("quality", f"""
+SELECT q.*, coalesce(e.query_errors, '') AS query_errors, m.service_job FROM (
 SELECT host_id, {ots('end_us')} AS window_end, metric, n AS "count",
   {ots('t0')} AS first_ts, {ots('tn')} AS last_ts,
   (tn - t0) / 1000000.0 AS coverage_seconds, (end_us - tn) / 1000000.0 AS age_seconds
 FROM v_fresh
 UNION ALL
 SELECT host_id, {ots('end_us')}, metric, 0, NULL, NULL, 0.0, NULL
-FROM (SELECT host_id, end_us FROM v_cross), (SELECT unnest([{', '.join(f"'{m}'" for m in ft.METRICS)}]) AS metric) m
-WHERE NOT EXISTS (SELECT 1 FROM v_fresh f WHERE f.host_id = v_cross.host_id AND f.end_us = v_cross.end_us AND f.metric = m.metric)
-""".replace("FROM (SELECT host_id, end_us FROM v_cross),", "FROM v_cross,"))
+FROM v_cross, (SELECT unnest([{', '.join(f"'{m}'" for m in ft.METRICS)}]) AS metric) m
+WHERE NOT EXISTS (SELECT 1 FROM v_fresh f WHERE f.host_id = v_cross.host_id AND f.end_us = v_cross.end_us AND f.metric = m.metric)) q
+LEFT JOIN (SELECT host_id, string_agg(DISTINCT metric, ',' ORDER BY metric) AS query_errors FROM v_series JOIN v_identity USING (host_id)
+  WHERE metric <> 'cpu_usage_percent' AND v_series.host_name <> v_identity.host_name GROUP BY host_id) e USING (host_id)
+LEFT JOIN v_map m USING (host_id)
+""")
 def quality(spark, sf_dir):
-    return windows(spark, sf_dir).select(
-        "host_id", "window_end", F.explode("quality").alias("metric", "q")
-    ).select("host_id", "window_end", "metric", "q.*")
+    errors = clean.query_errors(domain.labelled_series(spark, sf_dir))
+    rows = ft.with_origin(windows(spark, sf_dir), errors, domain.service_map(spark, sf_dir))
+    told = rows.select("host_id", "window_end", "query_errors", "service_job", F.explode("quality").alias("metric", "q"))
+    return told.select("host_id", "window_end", "metric", "q.*", "query_errors", "service_job")
 
 
 @query("feature_vector", f"""
