@@ -11,7 +11,7 @@ parameter and must exist at the same path on every worker.
 
 Defined cases: null and empty texts give no ids; an undecodable byte sequence decodes to U+FFFD, as the
 library does; repeated rows give equal results; texts of any length are encoded whole, and a fragment
-without any certain cut is given to the library as it is; other columns stay as they are.
+without any certain cut is given to the library as it is; an empty table gives no rows; other columns stay as they are.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ more a turn than short ones.
 
 Defined cases: a null text is empty; a null role is empty and not in the mask; rows without a conversation form
 one conversation; a null sequence number comes first, ties follow role, text and place in the input;
-repeated rows of a table of turns are turns of their own; other columns are ignored.
+repeated rows of a table of turns are turns of their own; a conversation of any length is one value, up to Spark's 2 GB for
+a value; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ each block, so its size does not grow with the benchmark.
 
 Defined cases: null or blank texts and items match nothing; items of fewer than four words are no
 evidence and match nothing; items shorter than a window are one window; items or documents that occur twice
-under one id are one; a document without doc_id is known by its text; other columns are ignored.
+under one id are one; a document without doc_id is known by its text; a very long text is looked through whole; empty
+tables of documents or of items contaminate nothing; other columns are ignored.
 """
 
 from __future__ import annotations

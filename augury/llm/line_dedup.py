@@ -14,7 +14,8 @@ only the join that hands its verdict to the documents sees it often, and Spark s
 A key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; 128-bit hashes
 stand for keys.  Defined cases: a null or empty text is one empty line; rows with one doc_id are one
 document (they count once); rows without doc_id are not counted and keep all lines; a document that
-loses all lines has an empty text; other columns stay as they are.
+loses all lines has an empty text; a very long text is split whole in one task, line by line; an empty table has no keys and
+stays empty; other columns stay as they are.
 """
 
 from __future__ import annotations

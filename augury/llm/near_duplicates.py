@@ -18,7 +18,7 @@ these before they become pairs, and no link is lost by it:
 
 Defined cases: null or blank texts have no shingle and are linked with nothing; a document with fewer
 words than a shingle has one; rows with one doc_id are one document; rows without doc_id are linked with nothing
-and kept; other columns are ignored.
+and kept; a very long text's set is built whole in one task; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ classes' shares in the calibration rows, which are bounded per class, to their s
 
 Defined cases: null texts count as empty; an empty text is scored like any other (its sizes are those of
 an empty block); repeated rows get equal scores; if a class has no labelled row, all texts get the share
-of label 1 (0.5 without labels); other columns of the inputs are ignored.
+of label 1 (0.5 without labels); a very long text is compressed whole, block by block; an empty table gives no rows; other
+columns of the inputs are ignored.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ slices until the moment is exact.
 
 Rows only, no Python in the tasks.  Defined cases: the text of a null counts no bytes, so its size is 1 and its
 checksum 0; a null doc_id is a key like any other; rows with one doc_id start at one point and follow each
-other in the order; an empty table gives no rows; other columns are ignored.
+other in the order; a text of any length counts its bytes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

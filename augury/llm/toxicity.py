@@ -11,7 +11,7 @@ bounded number of rows and fits the weights.
 
 Defined cases: null texts count as empty; an empty text scores as the constant term; repeated rows get
 equal scores; without labels of both classes all texts get the share of label 1 (0.5 without labels);
-texts are scored whole at any length; other columns of the inputs are ignored.
+texts are scored whole at any length; an empty table gives no rows; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations

@@ -15,7 +15,7 @@ A file is read by one task, so archives should be files of bounded size; the wri
 Defined cases: a null html is an empty payload, and empty payloads are equal to each other; rows with the
 smallest page_id of a payload are all responses if they repeat; a row without page_id revisits the response
 of its payload if there is one and is a response otherwise; a null url leaves its field out; an empty table makes
-no record; other columns are ignored.
+no record; a very long page is one record, and an archive is read in one task; other columns are ignored.
 """
 
 from __future__ import annotations

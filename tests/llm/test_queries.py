@@ -1,5 +1,6 @@
 """Registered queries against their SQL, and the pipeline against brute force, on the smallest data set."""
 
+import hashlib
 import os
 from pathlib import Path
 
@@ -48,7 +49,12 @@ def test_bpe_query(spark):
     texts = {r["doc_id"]: r["text"] or "" for r in table(spark, DIR, "documents").collect()}
     rows = QUERIES["op2_bpe"](spark, DIR).collect()
     assert len(rows) == len(texts)
-    assert all(r["n_tokens"] == len(library.encode(texts[r["doc_id"]], add_special_tokens=False).ids) for r in rows)
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    for r in rows:
+        ids = library.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), sha(np.array(ids, "<u4").tobytes()))
+        assert r["decoded_sha256"] == sha(decoded.encode())
 
 
 def test_near_duplicate_query(spark):
