@@ -1,4 +1,10 @@
-"""From raw documents to token ids: each stage works on all the one before it kept."""
+"""From raw documents to token ids: each stage works on all the one before it kept.
+
+Defined cases: a null text counts as empty in every stage, and line dedup hands it on as empty; rows with one doc_id pass the
+first stage each by their own text, are one document to line dedup and near duplicates, and share their fate; rows without doc_id lose no
+line and are no near duplicate; texts of any length are read whole; an empty table passes through all stages; other columns of
+documents are carried to the last stage, which returns doc_id, lang, source and the tokens.
+"""
 
 from __future__ import annotations
 
