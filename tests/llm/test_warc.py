@@ -92,3 +92,80 @@ def test_damaged_file_is_read_on(spark, tmp_path):
     rows = W.read(spark, str(tmp_path / "a")).orderBy("offset").collect()
     assert [r["kind"] for r in rows] == ["record", "gap", "record", "record", "record"]
     assert rows[1]["length"] == len(RECORDS[1]) and rows[1]["reason"]
+
+
+def parts(data):
+    return [(int(f["x-page-id"]) if f else "gap") for _, _, f, *_ in W.salvage(data)]
+
+
+def test_many_records_in_a_member():
+    one = gzip.compress(b"".join(RECORDS))
+    assert parts(one) == [0, 1, 2, 3, 4]
+    assert [x[5] for x in W.salvage(one)][:2] == [0, len(RECORDS[0])]
+    two = gzip.compress(RECORDS[0] + RECORDS[1]) + gzip.compress(RECORDS[2] + b"junk" + RECORDS[3]) + RECORDS[4]
+    assert parts(two) == [0, 1, 2, "gap", 3, 4]
+    assert parts(gzip.compress(b"")) == ["gap"] and parts(gzip.compress(b"nothing of use")) == ["gap"]
+
+
+def test_damaged_members_give_the_records_that_digests_confirm():
+    bodies = [record(i, hashlib.sha512(b"%d" % i).hexdigest().encode() * 2000) for i in range(6)]
+    one = gzip.compress(b"".join(bodies), 1)
+    cut = parts(one[: len(one) // 2])
+    assert cut[-1] == "gap" and cut[:-1] == list(range(len(cut) - 1)) and len(cut) >= 2
+    broken = bytearray(one)
+    broken[-6] ^= 255  # the check value alone
+    found = list(W.salvage(bytes(broken) + RECORDS[2]))
+    assert [int(f["x-page-id"]) if f else "gap" for _, _, f, *_ in found] == [0, 1, 2, 3, 4, 5, "gap", 2]
+    assert all("check" in reason for _, _, _, _, reason, _ in found[:7])
+    assert {(start, end) for start, end, *_ in found} == {(0, len(one)), (len(one), len(one) + len(RECORDS[2]))}
+    unproven = gzip.compress(b"".join(b.replace(b"WARC-Payload-Digest", b"X-Nothing") for b in bodies), 1)
+    assert parts(unproven) == list(range(6)) and parts(unproven[:-9]) == ["gap"]
+
+
+def test_folded_fields_and_forms_of_digests():
+    payload = b"some payload"
+    stated = b"sha1:" + W.base32(hashlib.sha1(payload).digest()).encode()
+    whole = record(1, payload)
+    for form in (b"sha1:" + hashlib.sha1(payload).hexdigest().encode(), b"SHA-1:" + hashlib.sha1(payload).hexdigest().upper().encode(),
+                 b"sha256:" + hashlib.sha256(payload).hexdigest().encode(), b"md5:" + hashlib.md5(payload).hexdigest().encode(),
+                 stated.lower(), b"sha1:\r\n  " + stated[5:], b"blake3:unknown"):
+        assert whole.count(stated) == 1 and parts(whole.replace(stated, form)) == [1]
+        assert form == b"blake3:unknown" or parts(whole.replace(stated, form).replace(payload, b"Some payload")) == ["gap"]
+    folded = whole.replace(b"WARC-Date: x\r\n", b"WARC-Date: x\r\nX-Note: one\r\n\ttwo\r\n three\r\n")
+    (_, _, fields, *_), = W.salvage(folded)
+    assert fields["x-note"] == "one two three" and parts(whole.replace(b"WARC-Date", b" WARC-Date")) == ["gap"]
+
+
+def test_revisits_state_digests_in_one_form():
+    sha1 = hashlib.sha1(b"x")
+    for text in (sha1.hexdigest(), sha1.hexdigest().upper(), W.base32(sha1.digest()), W.base32(sha1.digest()).lower()):
+        assert W._stated_sha1("sha1:" + text) == W.base32(sha1.digest())
+    assert W._stated_sha1("md5:00") is None and W._stated_sha1("") is None
+
+
+def test_reading_is_linear():
+    """Bytes fed to the inflater grow with the members, not with members times file."""
+    members = [gzip.compress(record(i, b"payload %d" % i), 1) for i in range(2000)]
+    fed = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def copy(self):
+            return Counted(self.inner.copy())
+
+        def decompress(self, piece, *most):
+            fed.append(len(piece))
+            return self.inner.decompress(piece, *most)
+
+        def __getattr__(self, name):
+            return getattr(self.inner, name)
+
+    true = W.zlib.decompressobj
+    W.zlib.decompressobj = lambda bits: Counted(true(bits))
+    try:
+        assert parts(b"".join(members)) == list(range(2000))
+    finally:
+        W.zlib.decompressobj = true
+    assert sum(fed) <= 2 * len(members) * W.PIECE
