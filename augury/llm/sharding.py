@@ -9,7 +9,7 @@ Nothing is placed one by one.  A shard that fills up does so at one moment in th
 before that moment it takes all rows that reach it, afterwards none.  All keys of one arc of the ring walk
 through the same shards.  The moments follow from counts per (arc, slice of the order): a table of bounded
 size, whatever the number of rows.  The slice in which a shard fills up is counted again in finer
-slices until the moment is exact.
+slices until it holds so few rows that they can be placed one by one (or until the moment is exact).
 
 Rows only, no Python in the tasks.  Defined cases: the text of a null counts no bytes, so its size is 1 and its
 checksum 0; a null doc_id is a key like any other; rows with one doc_id start at one point and follow each
@@ -26,13 +26,14 @@ from pyspark.sql import functions as F
 from augury.llm.common import query, table, written
 
 ORDER_BITS = 62  # the order of keys is a number of so many bits
-SLICE_BITS = 9  # a count splits a range of the order into 512 slices
+SLICE_BITS = 6  # a count splits a range of the order into 64 slices, so 65,536 counts for 1,024 arcs
+AT_ONCE = 65_536  # rows of a slice that are placed one by one on the driver
 
 
 @dataclass(frozen=True)
 class Params:
     shards: int = 16
-    points: int = 8  # ring points of a shard
+    points: int = 64  # ring points of a shard: more of them move fewer rows when a shard is added
 
 
 def _hash(seed: int, *cols) -> Column:
@@ -56,16 +57,17 @@ def walks(points: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def arc_of(position: Column, points: list[tuple[int, int]]) -> Column:
-    """Number of the first point at or after a position, by binary search in nested conditions."""
+def numbers(values) -> Column:
+    """A constant array of longs, written as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low % len(points))
-        middle = (low + high) // 2
-        return F.when(position <= points[middle][0], search(low, middle)).otherwise(search(middle + 1, high))
 
-    return search(0, len(points))
+def arc_of(position: Column, points: list[tuple[int, int]]) -> Column:
+    """Number of the first point at or after a position, by halving steps through the sorted points."""
+    at, n = numbers(p for p, _ in points), len(points)
+    steps = numbers(1 << i for i in reversed(range(n.bit_length())))
+    further = lambda low, step: F.when(F.get(at, (low + step - 1).cast("int")) < position, low + step).otherwise(low)
+    return F.aggregate(steps, F.lit(0).cast("long"), further) % n
 
 
 class Filling:
@@ -98,7 +100,7 @@ class Filling:
             self._slice(column, start + (number << step), step, within, by_slice[number])
 
     def _slice(self, column: str, start: int, bits: int, within: Column | None, arcs: dict[int, int]) -> None:
-        need: dict[int, int] = {}
+        need: dict[int, int] = {}  # by shard
         for arc, n in arcs.items():
             need[self.target(arc)] = need.get(self.target(arc), 0) + n
         if all(n <= self.room[s] for s, n in need.items()):
@@ -107,20 +109,32 @@ class Filling:
                 if self.room[s] == 0:
                     end = start + (1 << bits)
                     self.full[s] = (end, 0) if column == "order" else (self.value, end)
+        elif sum(arcs.values()) <= AT_ONCE:
+            self._one_by_one(column, start, bits, within)
         elif bits > 0:
             self._range(column, start, bits, within)
         else:  # rows of one place in the order follow each other by row number
             self.value = start
             self._range("row", 0, ORDER_BITS, F.col("order") == start)
 
+    def _one_by_one(self, column: str, start: int, bits: int, within: Column | None) -> None:
+        rows = self.keys if within is None else self.keys.where(within)
+        mine = rows.where((F.col(column) >= start) & (F.col(column) < start + (1 << bits)))
+        for order, row, arc in sorted(tuple(r) for r in mine.select("order", "row", "arc").collect()):
+            shard = self.target(arc)
+            self.room[shard] -= 1
+            if self.room[shard] == 0:
+                self.full[shard] = (order, row + 1)
+
 
 def shard_of(arc: Column, order: Column, row: Column, walks: list[list[int]], full: dict[int, tuple[int, int]]) -> Column:
     """The first shard of the arc's walk that is not yet full at the key's turn."""
     shards = sorted(walks[0])
-    orders, rows = (F.array(*(F.lit(full[s][i]).cast("long") for s in shards)) for i in (0, 1))
-    ways = F.array(*(F.array(*map(F.lit, w)) for w in walks))
-    is_open = lambda s: (order < orders[s]) | ((order == orders[s]) & (row < rows[s]))
-    return F.get(F.filter(F.get(ways, arc), is_open), F.lit(0))
+    orders, rows = (numbers(full[s][i] for s in shards) for i in (0, 1))
+    way = F.slice(numbers(s for w in walks for s in w), (arc * len(shards) + 1).cast("int"), len(shards))
+    moment = lambda s: (F.get(orders, s.cast("int")), F.get(rows, s.cast("int")))
+    is_open = lambda s: (order < moment(s)[0]) | ((order == moment(s)[0]) & (row < moment(s)[1]))
+    return F.get(F.filter(way, is_open), F.lit(0)).cast("int")
 
 
 def bounded_shards(docs: DataFrame, params: Params = Params()) -> DataFrame:
