@@ -338,6 +338,54 @@ def enqueue_alerts(incidents: DataFrame, p: Params, channels: tuple[str, ...] =
     )
 
 
+def queue_alerts(incidents: DataFrame, stored: DataFrame, p: Params, channels: tuple[str, ...] = CHANNELS, remembered: int = 3) -> DataFrame:
+    """As :func:`enqueue_alerts`, with the cooldown read from the stored alerts and from those queued here.
+
+    ``stored`` are alert rows (alert_id, host_id, channel, created_at); an incident that has stored alerts queues
+    none again.  Of a host's ``remembered`` alerts made last before the incident (ties by descending id), the newest
+    one of the channel counts.  Alerts older than the cooldown hold nothing back, so the look back is bounded and a
+    busy host is spread over time chunks.
+    """
+    channel = F.explode(F.array(*map(F.lit, channels))).alias("channel")
+    at = F.col("predicted_at").alias("created_at")
+    wanted = incidents.select("incident_id", "host_id", "prediction_id", "window_end", "valid_until", at, channel)
+    wanted = wanted.withColumn("alert_id", F.concat_ws("/", "incident_id", "channel"))
+    known = stored.select("alert_id", "host_id", "channel", "created_at")
+    fresh = wanted.join(known.select("alert_id"), "alert_id", "left_anti")
+    shown = ["alert_id", "host_id", "channel", "created_at"]
+    made = known.unionByName(fresh.select(*shown))
+    # One row per host and instant with its newest alerts; an instant has at most its incident's channels.
+    alert = F.struct("alert_id", "channel", "created_at")
+    instants = made.groupBy("host_id", "created_at").agg(F.slice(F.sort_array(F.collect_list(alert), asc=False), 1, remembered).alias("own"))
+    chunk = max(p.slice_seconds, 4 * p.alert_cooldown)
+    order = Window.partitionBy("host_id", "chunk").orderBy("created_at")
+    placed = halo_chunks(instants, "created_at", chunk, before=p.alert_cooldown)
+    none = F.array().cast("array<struct<alert_id:string,channel:string,created_at:timestamp>>")
+    before = F.concat(*[F.coalesce(F.lag("own", i).over(order), none) for i in range(1, remembered + 1)])
+    recent = placed.withColumn("before", F.slice(before, 1, remembered)).filter(own_chunk("created_at", chunk))
+    found = fresh.join(recent.select("host_id", "created_at", "before"), ["host_id", "created_at"])
+    last = F.get(F.filter("before", lambda a: a["channel"] == F.col("channel")), F.lit(0))["created_at"]
+    due = F.greatest("created_at", plus(last, p.alert_cooldown))
+    return found.select(*shown, "incident_id", "prediction_id", due.alias("next_attempt_at"), "window_end", "valid_until")
+
+
+def delivery_attempts(changes: DataFrame, restarted_at: Column) -> tuple[DataFrame, DataFrame]:
+    """(attempts, underway) of a log of deliveries (alert_id, number, change, at, status_code).
+
+    Each attempt leaves 'sending' and, if there was one, 'answered'.  One that was still sending when the worker
+    restarted has an unknown outcome: an attempt without status code.  One that began later is underway.
+    """
+    per = changes.groupBy("alert_id", "number").agg(
+        F.min(F.when(F.col("change") == "sending", F.col("at"))).alias("attempted_at"),
+        F.min_by(F.struct("status_code"), F.when(F.col("change") == "answered", F.col("at"))).alias("answer"),
+        F.max(F.when(F.col("change") == "answered", 1)).alias("answered"),
+    )
+    ended = F.col("answered").isNotNull() | (F.col("attempted_at") <= restarted_at)
+    known = per.filter(F.col("attempted_at").isNotNull())
+    attempts = known.filter(ended).select("alert_id", "number", "attempted_at", F.col("answer.status_code").alias("status_code"))
+    return attempts, known.filter(~ended).select("alert_id", "number", "attempted_at")
+
+
 def due_alerts(alerts: DataFrame, now: Column, limit: int = 10) -> DataFrame:
     """Oldest alerts ready for delivery."""
     ready = alerts.filter(
@@ -360,7 +408,9 @@ def delivery_outcomes(alerts: DataFrame, attempts: DataFrame) -> DataFrame:
         .when((code == 429) | (code >= 500), "retry")
         .otherwise("failed")
     )
-    order = Window.partitionBy("alert_id").orderBy("attempted_at")
+    # Attempts at one instant follow their numbers where they have one.
+    ties = ["number"] if "number" in attempts.columns else []
+    order = Window.partitionBy("alert_id").orderBy("attempted_at", *ties, "status_code")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     numbered = attempts.withColumn("n", F.row_number().over(order)).withColumn("outcome", outcome)
     final_before = F.coalesce(F.max(F.when(F.col("outcome") != "retry", 1)).over(earlier), F.lit(0))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from augury.functions.clock import micros
@@ -13,9 +14,10 @@ from augury.operators import incidents as inc
 from augury.plans import common, oracle, oracle_events  # noqa: F401
 from augury.plans.catalog import query
 from augury.plans.oracle import H, ts
-from augury.plans.queries_data import stored_windows
+from augury.plans.queries_data import CUT, stored_windows
 from augury.settings import SPARSE
-from augury.sources import domain
+from augury.sources import domain, event_log, tables
+from augury.sources.event_log import EventLog
 
 THR = domain.MODEL_THRESHOLD
 GRACE, CLEAR_SPAN = SPARSE.expiry_grace, SPARSE.clear_span
@@ -287,6 +289,56 @@ def delivery_outcomes(spark, sf_dir):
     return alerts(spark, sf_dir).select("alert_id", "status", "attempt_count", "next_attempt_at", "delivered_at")
 
 
+ALERTS = "alert_id string, host_id string, channel string, created_at timestamp, incident_id string, next_attempt_at timestamp"
+DELIVERIES = "alert_id string, number int, change string, at timestamp, status_code int"
+# Rule: the newest alert of the channel among the host's three last ones holds a new one back by the cooldown.
+oracle.cte("v_h_alerts", """
+SELECT incident_id || '/' || channel AS alert_id, incident_id, host_id, channel, p_us FROM v_incidents, (SELECT unnest(['generic', 'slack']) AS channel)
+""")
+oracle.cte("v_h_recent", """
+SELECT * FROM (SELECT q.alert_id, q.channel AS mine, o.channel, o.p_us, row_number() OVER (PARTITION BY q.alert_id ORDER BY o.p_us DESC, o.alert_id DESC) AS rn
+FROM v_h_alerts q JOIN v_h_alerts o ON o.host_id = q.host_id AND o.p_us < q.p_us) WHERE rn <= 3
+""")
+oracle.cte("v_h_queued", f"""
+SELECT q.*, greatest(q.p_us, coalesce((SELECT max(r.p_us) FROM v_h_recent r WHERE r.alert_id = q.alert_id AND r.channel = r.mine) + {SPARSE.alert_cooldown * 10**6}, q.p_us)) AS due_us
+FROM v_h_alerts q
+""")
+oracle.cte("v_h_made", "SELECT a.* FROM v_attempts a, v_now WHERE a.attempted_at <= now_ts")
+oracle.cte("v_h_last", """
+SELECT m.* FROM v_h_made m JOIN (SELECT alert_id, coalesce(min(CASE WHEN n = 3 OR code IS NULL OR NOT (code = 429 OR code >= 500) THEN n END), max(n)) AS n
+FROM v_h_made GROUP BY alert_id) USING (alert_id, n)
+""")
+
+
+@query("alert_history", f"""
+SELECT alert_id, channel, coalesce(status, 'pending') AS status, coalesce(n, 0)::INTEGER AS attempt_count, delivered_at,
+  CASE WHEN status IS NULL THEN {ts('due_us')} WHEN status = 'retry' THEN attempted_at + to_seconds((30 * 2 ** (n - 1))::BIGINT) END AS next_attempt_at
+FROM (SELECT q.alert_id, q.channel, q.due_us, a.n, a.attempted_at, CASE WHEN a.code BETWEEN 200 AND 299 THEN a.attempted_at END AS delivered_at,
+  CASE WHEN a.n IS NULL THEN NULL WHEN a.code IS NULL THEN 'unknown' WHEN a.code BETWEEN 200 AND 299 THEN 'delivered'
+       WHEN a.n < 3 AND (a.code = 429 OR a.code >= 500) THEN 'retry' ELSE 'failed' END AS status
+  FROM v_h_queued q LEFT JOIN v_h_last a USING (alert_id))
+""")
+def alert_history(spark, sf_dir):
+    """Alerts queued from stored ones in two runs, and deliveries folded from their log."""
+    now = domain.as_of(spark, sf_dir)
+    opened = checkpointed(incidents(spark, sf_dir))
+    path = tables.scratch_path(spark, "alert-history")
+    queue, sent = EventLog(spark, f"{path}/alerts", ALERTS), EventLog(spark, f"{path}/deliveries", DELIVERIES)
+    early = F.col("predicted_at") <= F.lit(CUT)
+    for run, part in (("early", opened.filter(early)), ("late", opened.filter(~early)), ("late", opened)):  # the last run is a replay
+        queue.commit(inc.queue_alerts(part, queue.read(), SPARSE), run)
+    queued = queue.read().drop("commit")
+    order = Window.partitionBy("alert_id").orderBy("attempted_at")  # three rows
+    tried = attempts(queued).withColumn("number", F.row_number().over(order)).filter(F.col("attempted_at") <= now)
+    begun = tried.select("alert_id", "number", F.lit("sending").alias("change"), F.col("attempted_at").alias("at"), F.lit(None).cast("int").alias("status_code"))
+    answer = tried.filter("status_code IS NOT NULL")
+    answer = answer.select("alert_id", "number", F.lit("answered").alias("change"), F.timestamp_micros(micros("attempted_at") + 1_000_000).alias("at"), "status_code")
+    sent.commit(begun.unionByName(answer), "deliveries")
+    known, _ = inc.delivery_attempts(sent.read(), now)
+    told = inc.delivery_outcomes(queued, known)
+    return told.select("alert_id", "channel", "status", "attempt_count", "delivered_at", "next_attempt_at")
+
+
 @query("match_failures", """
 SELECT incident_id, event_id AS failure_event_id, matched_id AS matched_prediction_id, lead AS prediction_lead_seconds FROM v_matched
 """)
@@ -442,3 +494,23 @@ def live_outcomes(spark, sf_dir):
     return out
 
 
+
+
+@query("registry_log", f"""
+SELECT m.version, m.model_id, m.threshold, count(p.prediction_id) AS scored, count(p.prediction_id) FILTER (WHERE p.probability >= m.threshold) AS warned
+FROM v_models m LEFT JOIN v_past p USING (model_id) GROUP BY ALL
+""")
+def registry_log(spark, sf_dir):
+    """Models registered with their evaluation run in one commit; a repeated registration changes nothing."""
+    log = event_log.EventLog(spark, tables.scratch_path(spark, "registry"), event_log.REGISTRY)
+    models = checkpointed(domain.models(spark, sf_dir))
+    scored = predictions(spark, sf_dir).join(F.broadcast(models.select("model_id", "threshold")), "model_id")  # three models
+    high = F.count(F.when(F.col("probability") >= F.col("threshold"), 1))
+    runs = checkpointed(scored.groupBy("model_id").agg(F.count(F.lit(1)).alias("scored"), high.alias("warned")))
+    versions = sorted(r["version"] for r in models.select("version").collect())
+    for version in [*versions, versions[0]]:
+        model = models.filter(F.col("version") == version)
+        event_log.register_model(log, version, model.drop("version"), model.select("model_id").join(runs, "model_id", "left").na.fill(0))
+    kept = event_log.registered(log, "model", "model_id string, threshold double")
+    told = event_log.registered(log, "evaluation", "model_id string, scored bigint, warned bigint").drop("model_id")
+    return kept.join(told, "registered_version").select(F.col("registered_version").alias("version"), "model_id", "threshold", "scored", "warned")

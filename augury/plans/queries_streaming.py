@@ -14,6 +14,7 @@ from augury.plans.oracle import ts
 from augury.plans.queries_features import _digits
 from augury.settings import SPARSE
 from augury.sources import domain, tables
+from augury.sources.event_log import EventLog, append_stream
 from augury.streaming import pipelines as st
 
 DELAY = 3600
@@ -81,6 +82,21 @@ def receipts_stream(spark, sf_dir):
     return first.groupBy("idempotency_key").agg(F.count(F.lit(1)).alias("kept"))
 
 
+@query("receipts_log", """
+SELECT idempotency_key, received_at, channel, kind, receipt_id FROM v_receipts WHERE length(idempotency_key) BETWEEN 1 AND 128
+QUALIFY row_number() OVER (PARTITION BY idempotency_key ORDER BY received_at, receipt_id) = 1
+""")
+def receipts_log(spark, sf_dir):
+    """Receipts appended to a log by a stream that is started twice; the one kept is that of the batch."""
+    receipts = domain.as_receipts(domain.events_stream(spark, sf_dir))
+    path = tables.scratch_path(spark, "receipts-log")
+    log = EventLog(spark, f"{path}/log", receipts.schema)
+    for attempt in ("first", "restarted"):  # a lost checkpoint replays everything
+        append_stream(receipts, log, f"{path}/{attempt}").awaitTermination()
+    log.compact()
+    return tables.dedupe_receipts(log.read().drop("commit"))
+
+
 @query("enriched_stream", "SELECT s.event_id, s.host_id, m.service_job FROM v_samples s LEFT JOIN v_map m USING (host_id)")
 def enriched_stream(spark, sf_dir):
     samples = domain.as_samples(domain.events_stream(spark, sf_dir)).select("event_id", "host_id")

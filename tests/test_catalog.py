@@ -15,6 +15,7 @@ CHOSEN = [
     "feature_stats", "quality", "clean_samples", "training_eligible", "request_rate", "latency_p95", "failure_events",
     "labelled_windows", "group_ids", "average_precision", "alert_epochs", "open_incidents", "incident_status",
     "hosts_view", "experiment_view", "features_stream", "failure_events_stream", "incidents_stream",
+    "alert_history", "registry_log", "receipts_log",
 ]
 
 
