@@ -8,7 +8,7 @@ inserted and deleted; keys that reach the limit enter the filter, keys that fall
 filter that is full is built anew from the counts.
 
 Shards are cut by key, their number follows the number of keys, so a shard's share stays the same at
-every size.  A key that very many documents hold is one row of the counts (partial sums come first);
+every size; a state that grows to twice the keys a shard should have, or shrinks to half, is cut anew.  A key that very many documents hold is one row of the counts (partial sums come first);
 only the join that hands its verdict to the documents sees it often, and Spark splits that side.
 
 A key is the line without ``[\\x20\\x09-\\x0D]`` at both ends and with A-Z lower-cased; 128-bit hashes
@@ -146,14 +146,23 @@ def _updated(state: State, counts: DataFrame) -> DataFrame:
     return written(rows.groupBy("shard").applyInPandas(update_one, "shard int, filter binary"), "filters")
 
 
+def _recounted(state: State, held: DataFrame, counts: DataFrame) -> State:
+    """State with other postings and counts; shards are cut anew when their share has doubled or halved."""
+    counts = written(counts.select("hi", "lo", "refs", "newest"), "counts")
+    wanted = max(1, -(-counts.count() // state.params.keys_per_shard))
+    same = state.shards < 2 * wanted and wanted < 2 * state.shards
+    shards = state.shards if same else wanted
+    counts = counts.select(_shard(shards), "hi", "lo", "refs", "newest")
+    filters = _updated(state, counts) if same else _filters(counts, state.params)
+    return replace(state, postings=held, counts=counts, filters=filters, shards=shards)
+
+
 def insert(state: State, docs: DataFrame) -> State:
     """State with further documents; documents it already has add only keys they did not have."""
     added = written(postings(docs, state.params).join(state.postings, ["doc_id", "hi", "lo"], "left_anti"), "added")
     counts = state.counts.drop("shard").unionByName(_count(added)).groupBy("hi", "lo")
     counts = counts.agg(F.sum("refs").alias("refs"), F.max("newest").alias("newest"))
-    counts = written(counts.select(_shard(state.shards), "hi", "lo", "refs", "newest"), "counts")
-    held = written(state.postings.unionByName(added), "postings")
-    return replace(state, postings=held, counts=counts, filters=_updated(state, counts))
+    return _recounted(state, written(state.postings.unionByName(added), "postings"), counts)
 
 
 def delete(state: State, ids: DataFrame) -> State:
@@ -163,8 +172,7 @@ def delete(state: State, ids: DataFrame) -> State:
     touched = written(state.postings.join(ids, "doc_id", "left_semi").select("hi", "lo").distinct(), "touched")
     again = _count(held.join(touched, ["hi", "lo"], "left_semi"))
     counts = state.counts.drop("shard").join(touched, ["hi", "lo"], "left_anti").unionByName(again)
-    counts = written(counts.select(_shard(state.shards), "hi", "lo", "refs", "newest"), "counts")
-    return replace(state, postings=held, counts=counts, filters=_updated(state, counts))
+    return _recounted(state, held, counts)
 
 
 def repeated_keys(state: State, keys: DataFrame) -> DataFrame:

@@ -82,3 +82,19 @@ def test_cuckoo_filter():
     assert own.has(keys[0][:1500], keys[1][:1500]).mean() < 0.01
     with pytest.raises(Full):
         Cuckoo(np.zeros((2, 4), "<u2")).add(keys[0], keys[1])
+
+
+def test_a_growing_state_is_cut_into_more_shards(spark):
+    params = L.Params(characters=5, documents=2, keys_per_shard=50)
+    docs = lambda low, high: spark.range(low, high).selectExpr("id AS doc_id", "concat('line number ', id div 2) AS text")
+    state = L.build(docs(0, 40), params)
+    assert state.shards == 1
+    for low, high in ((40, 400), (400, 1200)):
+        state = L.insert(state, docs(low, high))
+    assert state.shards >= 6 and state.counts.count() == 600
+    assert max(r["count"] for r in state.counts.groupBy("shard").count().collect()) <= 3 * params.keys_per_shard
+    whole = L.build(docs(0, 1200), params)
+    told = lambda s: sorted((r["doc_id"], r["n_dropped"], r["text"]) for r in L.cleaned(docs(0, 1200), s).collect())
+    assert told(state) == told(whole) and sum(n for _, n, _ in told(state)) == 600
+    state = L.delete(state, docs(30, 1200))
+    assert state.shards == 1 and state.counts.count() == 15
