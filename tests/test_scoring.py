@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from augury.operators import console, evaluation as ev, incidents as inc, model, rates
+from augury.operators import clean, console, evaluation as ev, incidents as inc, model, rates
 from augury.settings import LIVE
 from augury.sources import tables
 from tests.helpers import at, events, lit
@@ -214,3 +214,36 @@ def test_dataset_digest_ignores_row_order(spark, tmp_path):
     assert back.exceptAll(f).count() == 0 and back.count() == 2
     with pytest.raises(ValueError):
         tables.recent(f, "t", "k", 101)
+
+
+@pytest.mark.parametrize("size", [1.0, 40.0, 4000.0])
+def test_background_paths_equal_paths_walked_row_by_row(size):
+    """Contributions, also far outside the range of exponentials, against whole paths computed for one row."""
+    rng = np.random.default_rng(7)
+    n, scaling = 12, model.Calibration(1.3, -0.4)
+    w, ref, x = rng.normal(size=n) * size, rng.normal(size=(9, n)), rng.normal(size=n)
+    first = rng.permutation(n)
+    start, orders, want = ref @ w + 0.2, [first, first[::-1]], np.zeros(n)
+    for order in orders:
+        path = np.concatenate([start[:, None], start[:, None] + np.cumsum(((x - ref) * w)[:, order], axis=1)], axis=1)
+        z = np.clip(path * scaling.slope + scaling.intercept, -50, 50)
+        want[order] += np.diff((1.0 / (1.0 + np.exp(-z))).mean(axis=0)) / 2
+    found = model.BackgroundPaths(w, start, ref, orders, scaling)
+    assert np.allclose(found.contributions(x), want, rtol=1e-9, atol=1e-12)
+    assert np.isclose(found.base + sum(found.contributions(x)), (1 / (1 + np.exp(-np.clip((x @ w + 0.2) * 1.3 - 0.4, -50, 50)))))
+
+
+@pytest.mark.parametrize(
+    "keys, values, bad",
+    [(["a", "b"], [1.0, None], False), (["b", "a"], [None, 1.0], False), (["b", "a"], [1.0, None], True), (["a", "b"], [1.0, 2.0], True)],
+)
+def test_contract_compares_map_and_vector_in_any_order(spark, keys, values, bad):
+    class Two:
+        names, version, digest = ["a", "b"], "v", "d"
+
+    row = spark.range(1).select(
+        F.lit("v").alias("schema_version"), F.lit("d").alias("schema_hash"), F.array(F.lit("a"), F.lit("b")).alias("feature_names"),
+        F.array(F.lit(1.0), F.lit(None).cast("double")).alias("feature_values"),
+        F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[F.lit(v).cast("double") for v in values])).alias("features"),
+    )
+    assert row.select(clean.contract_violation(Two)).first()[0] is bad
