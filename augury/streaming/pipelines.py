@@ -5,40 +5,122 @@ Late rows beyond the watermark are dropped; results are appended once and never
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from augury.functions.clock import is_finite, micros
-from augury.operators.features import PANE, finish_statistics, merged_panes, pane_aggregates, pane_end, pane_seconds, with_median
+from augury.operators.features import chunk_us, flat_windows, in_chunks, windows_of
 from augury.settings import Params
 from augury.streaming.in_order import InOrder
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class OpenWindows(StatefulProcessor):
+    """Per (host, metric, chunk of window ends): the samples, each held once, until the watermark has passed the windows they
+    lie in.  A wake-up hands over the ends passed since the one before (first to last) with the samples they need."""
+
+    def __init__(self, p: Params) -> None:
+        self.window, self.tick, self.length = p.window * 1_000_000, p.tick * 1_000_000, chunk_us(p)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.samples = handle.getListState("samples", "us bigint, value double")
+        self.mark = handle.getValueState("mark", "done bigint, woken bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for part in rows:
+            us = part["us"].astype("int64")
+            self.samples.appendList(list(zip(us.tolist(), part["value"].tolist())))
+            first = int(us.min()) if first is None else min(first, int(us.min()))
+        if first is not None:
+            done, woken = self.mark.get() if self.mark.exists() else (None, None)
+            self._wake(done, woken, max(self._end(first), int(key[2]), self._after(done)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        start, stop = int(key[2]), int(key[2]) + self.length - self.tick
+        done, _ = self.mark.get()
+        last = min(passed - passed % self.tick, stop)
+        held = [(int(us), value) for us, value in self.samples.get()]
+        plain = self._plain(held)
+        first = max(start, self._after(done), self._end(plain[0][0]) if plain else start)
+        need = [x for x in plain if first - self.window < x[0] <= last]
+        if need:
+            rows = [(key[0], key[1], first, last, [x[0] for x in need], [x[1] for x in need])]
+            yield pd.DataFrame(rows, columns=["host_id", "metric", "first", "last", "t", "v"])
+        rest = [x for x in held if x[0] > last + self.tick - self.window]
+        if last >= stop or not rest:
+            self.samples.clear()
+        elif 2 * len(rest) <= len(held):
+            self.samples.put(rest)
+        if last >= stop:
+            self.mark.clear()
+        elif rest:
+            # The next end that has a sample in its window.
+            self._wake(last, None, max(last + self.tick, self._end(min(x[0] for x in rest))))
+        else:
+            self.mark.update((last, None))
+
+    def _end(self, us: int) -> int:
+        """First window end that holds an instant."""
+        return -(-us // self.tick) * self.tick
+
+    def _after(self, done: int | None) -> int:
+        return -(2**62) if done is None else int(done) + self.tick
+
+    def _wake(self, done: int | None, woken: int | None, end: int) -> None:
+        """One timer, which fires once the watermark is at the end or behind it: timers lie before the watermark."""
+        at = end // 1000 - 1
+        if woken is None or at < int(woken):
+            if woken is not None:
+                self.handle.deleteTimer(int(woken))
+            self.handle.registerTimer(at)
+            woken = at
+        self.mark.update((done, int(woken)))
+
+    def _plain(self, held: list[tuple]) -> list[tuple]:
+        """Samples in order; copies count once, and instants that contradict each other are left out."""
+        values: dict[int, float | None] = {}
+        for us, value in held:
+            values[us] = value if values.get(us, value) == value else None
+        return sorted((us, value) for us, value in values.items() if value is not None)
+
+    def close(self) -> None:
+        pass
+
+
 def feature_stats_stream(samples: DataFrame, p: Params, delay_seconds: int) -> DataFrame:
     """Twelve statistics per (host, metric, window), emitted once when a window is complete.
 
-    Spark windows include their start; moving the clock by one microsecond makes them left-open.
+    The clock lies one microsecond before a sample, so a window is complete once the watermark has reached its end.
     Copies of a sample count once; samples of one instant that contradict each other are left out, as in the batch.
+    State holds a sample once for each chunk, not once for each window.
     """
     finite = samples.filter(is_finite("value")).select(
         "host_id", "metric", "ts", "value", F.timestamp_micros(F.unix_micros("ts") - 1).alias("clock")
     )
-    instants = finite.withWatermark("clock", f"{delay_seconds} seconds").groupBy("host_id", "metric", "clock")
-    instants = instants.agg(F.min("ts").alias("ts"), F.min("value").alias("value"), F.max("value").alias("other"))
-    timed = instants.filter(F.col("value") == F.col("other")).withColumn("k", pane_end(micros("ts"), p))
-    # Samples are summarised once, in panes; windows hold panes, whose number does not grow with the samples.
-    pane = F.window("clock", f"{pane_seconds(p)} seconds").alias("pane")
-    panes = timed.groupBy("host_id", "metric", pane, "k").agg(*pane_aggregates(p))
-    ends = F.window(F.window_time("pane"), f"{p.window} seconds", f"{p.tick} seconds")
-    placed = panes.select("host_id", "metric", ends.alias("span"), "k", *PANE)
-    held = placed.groupBy("host_id", "metric", "span").agg(F.sort_array(F.collect_list(F.struct("k", *PANE))).alias("panes"))
-    merged = held.select("host_id", "metric", merged_panes(F.col("panes"), F.unix_micros("span.end"), p).alias("w"))
-    flat = with_median(merged.select("host_id", "metric", "w.end_us", "w.base.*", "w.__values"))
-    return finish_statistics(flat, ["host_id", "metric", "end_us"]).withColumn("window_end", F.timestamp_micros("end_us"))
+    placed = in_chunks(finite.withWatermark("clock", f"{delay_seconds} seconds"), p)
+    ready = (
+        placed.select("host_id", "metric", "chunk", "clock", micros("ts").alias("us"), "value")
+        .groupBy("host_id", "metric", "chunk")
+        .transformWithStateInPandas(
+            OpenWindows(p),
+            outputStructType="host_id string, metric string, first bigint, last bigint, t array<bigint>, v array<double>",
+            outputMode="append",
+            timeMode="eventTime",
+        )
+    )
+    keys = ["host_id", "metric"]
+    series = ready.select(*keys, "first", "last", F.arrays_zip("t", "v").alias("samples"))
+    return flat_windows(series.select(*keys, windows_of("samples", "first", "last", p).alias("windows")), keys)
 
 
 class FailureDetector(InOrder):

@@ -1,9 +1,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from augury.functions import merged
 from augury.operators import clean, features
 from augury.settings import LIVE
 from tests.helpers import lit, samples
@@ -81,6 +83,29 @@ def test_merged_panes_are_the_plain_statistics(spark, half_life):
                 assert r[name] == (value if value is None else pytest.approx(value, rel=1e-7, abs=1e-9)), (host, end, name)
 
 
+def test_series_are_merged_in_bounded_parts(monkeypatch):
+    """Many series at once, cut into parts of any size, give the statistics of each one alone."""
+    rng = random.Random(2)
+    p = LIVE.but(window=600, tick=60, variance_window=120)
+    series = [sorted((rng.randrange(0, 5000 * 10**6), rng.gauss(0, 9)) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    counts, t, v = np.array([len(s) for s in series]), *(np.array([x[i] for s in series for x in s]) for i in range(2))
+    first, last = np.zeros(40, dtype="int64"), np.full(40, 5400 * 10**6)
+    number, whole = merged.window_statistics(counts, t, v, first, last, features.grid(p))
+    monkeypatch.setattr(merged, "WINDOWS", 100)
+    monkeypatch.setattr(merged, "VALUES", 7)
+    again, parts = merged.window_statistics(counts, t, v, first, last, features.grid(p))
+    assert (number == again).all() and all(np.array_equal(whole[n], parts[n], equal_nan=True) for n in whole)
+    at = 0
+    for s, n in zip(series, number):
+        rows = [(us / 10**6, x) for us, x in s]
+        for i in range(at, at + n):
+            for name, value in _plain(rows, int(whole["end_us"][i]) / 10**6, p).items():
+                if name in whole and value is not None:
+                    assert whole[name][i] == pytest.approx(value, rel=1e-7, abs=1e-9), name
+        at += n
+    assert at == len(whole["count"]) > 1000
+
+
 def test_ratios_beyond_the_range_of_doubles(spark):
     """Weights of old samples vanish; they never take the newest with them."""
     p = LIVE.but(window=86_400, tick=3600, half_life=1, variance_window=3600)

@@ -5,8 +5,8 @@ from datetime import timezone
 
 from pyspark.sql import functions as F
 
-from augury.operators import probes
-from augury.settings import LIVE
+from augury.operators import features, probes
+from augury.settings import LIVE, SPARSE
 from augury.streaming import pipelines as st
 from tests.helpers import at, samples
 
@@ -76,3 +76,29 @@ def test_late_scores_open_nothing_and_repeated_ones_change_nothing(spark, tmp_pa
     given = spark.createDataFrame(rows, "host_id string, prediction_id string, window_end timestamp, predicted_at timestamp, probability double")
     got = _fed(spark, tmp_path, "late", given, [F.lit(True)], lambda s: st.incidents_stream(s, 0.5, LIVE, 30))
     assert [(g[1], g[2]) for g in got] == [("i-p2", "forecast_expired_unconfirmed"), ("i-p2", "opened")]
+
+
+def test_open_windows_hold_a_sample_once(spark, tmp_path):
+    """Each of 48 hourly samples lies in 24 windows; state has a few copies of none of them."""
+    given = samples(spark, [("h", CPU, 3600 * i + 5, float(i)) for i in range(48)])
+    given.write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", st.ROCKSDB)
+    stream = spark.readStream.schema(given.schema).parquet(str(tmp_path / "in"))
+    frame = st.feature_stats_stream(stream, SPARSE, 10**7)
+    query = frame.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [sum(op.numRowsTotal for op in p.stateOperators) for p in query.recentProgress]
+    assert 0 < max(held) < 2 * 48
+
+
+def test_windows_of_a_stream_in_parts_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"h{i % 2}", "m", rng.randrange(0, 30_000) + i / 1000, rng.gauss(5, 2)) for i in range(300)]
+    rows += [(h, "m", t, v) for h, _, t, v in rows[::20] for v in (v, v + 1.0)] + rows[1:40:9] + [("h0", "m", 60_000, 1.0)]
+    given = samples(spark, rows)
+    t, keys = F.unix_seconds("ts"), ["host_id", "metric", "end_us", "count", "latest", "median", "ewma"]
+    parts = [t < 12_000, t.between(12_000, 12_500), t.between(12_501, 25_000), t > 25_000]
+    make = lambda s: st.feature_stats_stream(s, LIVE, 60).select(*keys)
+    batch = features.feature_stats(given, LIVE).filter(F.col("end_us") <= (60_000 - 60) * 10**6 - 1).select(*keys)
+    want = sorted(map(tuple, batch.collect()), key=repr)
+    assert len(want) > 500 and _fed(spark, tmp_path, "parts", given, parts, make) == want
