@@ -30,3 +30,19 @@ def test_windows_with_little_history_are_split(spark, folder, name, rows):
     found = QUERIES[name](spark, folder)
     want = con.execute(f"SELECT count(*) FROM ({ORACLES[name]})").fetchone()[0]
     assert found.count() == want == rows
+
+
+WHOLE = (
+    "experiment_components group_ids grouped_split purge_overlap experiment_leakage plan_valid split_status dataset_report confusion "
+    "average_precision roc_auc select_threshold reliability_bins brier ece baselines exposure alert_epochs false_alert_rates lead_time "
+    "mean_lead per_failure_type anomaly_summary calibration_trigger class_weight fit_normalizer"
+).split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_the_sql_takes_every_labelled_window(name):
+    assert "v_labels" in ORACLES[name] and "v_dataset" not in ORACLES[name]
+
+
+def test_a_report_counts_windows_with_little_history(spark, folder):
+    assert sum(r["rows"] for r in QUERIES["dataset_report"](spark, folder).collect()) == 12
