@@ -149,6 +149,16 @@ def test_long_jumps_widen_no_slice(spark, slice_seconds):
     assert got == want
 
 
+def test_many_short_chains_cost_one_call_per_batch(spark):
+    """2,000 keys with one slice of six rows each: a walk for each slice, and no Python call for each."""
+    rows = [(f"k{i}", 10**6 * (t + 7 * i), 10**6 * (t + 7 * i + 2 + i % 3)) for i in range(2000) for t in range(6)]
+    f = spark.createDataFrame(rows, "k string, t bigint, r bigint")
+    chain = greedy_chain(f, "k", "t", "r", reach_seconds=5, slice_seconds=10**6)
+    assert "FlatMapGroupsInPandas" not in chain._jdf.queryExecution().toString()
+    got = {(r["k"], r["t"] // 10**6) for r in chain.collect()}
+    assert got == {(f"k{i}", t + 7 * i) for i in range(2000) for t in range(0, 6, 2 + i % 3)}
+
+
 def test_running_totals_and_rank(spark):
     rng = random.Random(6)
     values = sorted({rng.choice([0.5, rng.random()]) for _ in range(300)}, reverse=True)
