@@ -11,6 +11,7 @@ from augury.functions.cut import checkpointed
 from augury.functions.intervals import overlap_join
 from augury.functions.ordered import asof, halo_chunks, own_chunk, with_previous
 from augury.functions.ranked import latest_per_key
+from augury.operators.features import Contract
 from augury.operators.probes import active_experiments_at
 from augury.settings import Params
 
@@ -233,8 +234,10 @@ def recent_alerts(incidents: DataFrame, alerts: DataFrame, p: Params) -> DataFra
 
 def feature_changes(incidents: DataFrame, windows: DataFrame) -> DataFrame:
     """(incident_id, changes): name and value of every known difference and trend in the incident's window, by name."""
-    changed = lambda k, v: v.isNotNull() & (k.endswith(".delta") | k.endswith(".linear_trend"))
-    entries = F.array_sort(F.map_entries(F.map_filter("features", changed)))
+    # Places in the vector are fixed by the contract, so no map is built and no names are compared for the many other windows.
+    places = sorted((n, i) for i, n in enumerate(Contract().names) if n.endswith((".delta", ".linear_trend")))
+    given = [(n, F.get("feature_values", F.lit(i))) for n, i in places]
+    entries = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(n).alias("key"), v.alias("value"))) for n, v in given]))
     return incidents.select("incident_id", "host_id", "window_end").join(
         windows.select("host_id", "window_end", entries.alias("changes")), ["host_id", "window_end"]
     ).select("incident_id", "changes")

@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from augury.operators import clean, console, evaluation as ev, incidents as inc, model, rates
+from augury.operators.features import Contract
 from augury.settings import LIVE
 from augury.sources import tables
 from tests.helpers import at, events, lit
@@ -247,3 +248,17 @@ def test_contract_compares_map_and_vector_in_any_order(spark, keys, values, bad)
         F.map_from_arrays(F.array(*map(F.lit, keys)), F.array(*[F.lit(v).cast("double") for v in values])).alias("features"),
     )
     assert row.select(clean.contract_violation(Two)).first()[0] is bad
+
+
+def test_changes_are_read_off_their_places(spark):
+    """Known differences and trends by name, without a map of all features for each window."""
+    names = Contract.of(LIVE).names
+    values = [None] * len(names)
+    for name, v in (("memory_usage_percent.delta", -2.0), ("cpu_usage_percent.linear_trend", 0.5), ("cpu_usage_percent.mean", 7.0)):
+        values[names.index(name)] = v
+    window = spark.createDataFrame([("h", at(0), values), ("g", at(0), values)], "host_id string, window_end timestamp, feature_values array<double>")
+    opened = spark.createDataFrame([("i", "h", at(0))], "incident_id string, host_id string, window_end timestamp")
+    found = inc.feature_changes(opened, window).collect()
+    assert [(r["incident_id"], [tuple(c) for c in r["changes"]]) for r in found] == [
+        ("i", [("cpu_usage_percent.linear_trend", 0.5), ("memory_usage_percent.delta", -2.0)])
+    ]
