@@ -54,6 +54,15 @@ def test_normaliser(spark):
     assert row["z"] == [97.0, 0.0]
 
 
+def test_vectors_are_scaled_in_batches(spark):
+    """Missing and endless values become the median, a missing vector stays missing; no lambda runs for each value."""
+    state = model.Normalizer(["a", "b"], [3.0, 0.5], [3.0, 0.0], [2.0, 1.0])
+    rows = [(0, [5.0, None]), (1, None), (2, [float("inf"), -2.0]), (3, [float("nan"), 1e300])]
+    f = spark.createDataFrame(rows, "i int, feature_values array<double>").coalesce(1).select("i", state.column().alias("z"))
+    assert "zip_with" not in f._jdf.queryExecution().toString()
+    assert {r["i"]: r["z"] for r in f.collect()} == {0: [1.0, 0.5], 1: None, 2: [0.0, -2.0], 3: [0.0, float("inf")]}
+
+
 def test_probability_is_clipped(spark):
     f = spark.createDataFrame([(-1e9,), (0.0,), (1e9,)], "logit double")
     got = [r[0] for r in f.select(model.probability(F.col("logit"))).collect()]
