@@ -6,6 +6,7 @@ affine map of the average before the pane.  The median alone reads the values.""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,17 +143,76 @@ def window_statistics(counts: np.ndarray, t: np.ndarray, v: np.ndarray, first: n
 
     counts: samples of each series; t, v: instants (us, none twice in a series) and values, one series after the other."""
     ticks = (last - first) // grid.tick + 1
-    at, parts, number = np.concatenate([[0], np.cumsum(counts)]), [], np.zeros(len(counts), dtype="int64")
-    start = 0
+    at, merged, number = np.concatenate([[0], np.cumsum(counts)]), [], np.zeros(len(counts), dtype="int64")
     with np.errstate(all="ignore"):
-        while start < len(counts):
-            stop = max(start + 1, start + int(np.searchsorted(np.cumsum(ticks[start:]), WINDOWS, "right")))
-            c, rows = ticks[start:stop], np.arange(stop - start)
+        for some in parts(ticks, WINDOWS):
+            c, rows = ticks[some], np.arange(some.stop - some.start)
             of = np.repeat(rows, c)
-            ends = first[start:stop][of] + (np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c)) * grid.tick
-            own = slice(at[start], at[stop])
-            of, found = _windows(np.repeat(rows, counts[start:stop]), t[own], v[own], ends, of, grid)
-            number[start:stop] = np.bincount(of, minlength=stop - start)
-            parts.append(found)
-            start = stop
-    return number, {name: np.concatenate([x[name] for x in parts]) for name, _ in FIELDS}
+            ends = first[some][of] + (np.arange(len(of)) - np.repeat(np.cumsum(c) - c, c)) * grid.tick
+            own = slice(at[some.start], at[some.stop])
+            of, found = _windows(np.repeat(rows, counts[some]), t[own], v[own], ends, of, grid)
+            number[some] = np.bincount(of, minlength=len(rows))
+            merged.append(found)
+    return number, {name: np.concatenate([x[name] for x in merged]) for name, _ in FIELDS}
+
+
+def parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of rows whose sizes add up to most; a larger row is one on its own."""
+    reached, start = np.concatenate([[0], np.cumsum(sizes)]), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(reached, reached[start] + most, "right")) - 1)
+        yield slice(start, stop)
+        start = stop
+
+
+def derived(found: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Base statistics with those that rest on changes, which need two samples; undefined ones are not finite."""
+    several = found["count"] > 1
+    delta = found["latest"] - found["__first"]
+    changes = {
+        "delta": delta,
+        "percentage_change": 100.0 * delta / np.abs(found["__first"]),
+        "linear_trend": found["__slope"],
+        "rate_of_change": delta / ((found["last_us"] - found["first_us"]) / MICROS),
+    }
+    return found | {name: np.where(several, x, np.nan) for name, x in changes.items()}
+
+
+class Wide:
+    """Windows of rows that hold samples of several kinds: arrays by window and kind, count 0 where a kind has no sample."""
+
+    def __init__(
+        self, counts: np.ndarray, kind: np.ndarray, t: np.ndarray, v: np.ndarray, first: np.ndarray, last: np.ndarray, grid: Grid, kinds: int, stats: tuple[str, ...]
+    ) -> None:
+        ticks = (last - first) // grid.tick + 1
+        self.start, self.ticks, self.first, self.tick = np.cumsum(ticks) - ticks, ticks, first, grid.tick
+        self.row = np.repeat(np.arange(len(ticks)), ticks)
+        self.end = first[self.row] + (np.arange(len(self.row)) - self.start[self.row]) * grid.tick
+        of = np.repeat(np.arange(len(counts)), counts) * kinds + kind
+        order = np.argsort(of, kind="stable")
+        series, n = np.unique(of, return_counts=True)
+        owner = series // kinds
+        number, found = window_statistics(n, t[order], v[order], first[owner], last[owner], grid)
+        with np.errstate(all="ignore"):
+            found = derived(found)
+        owner = np.repeat(owner, number)
+        at = self.start[owner] + (found["end_us"] - first[owner]) // grid.tick, np.repeat(series % kinds, number)
+        shape = len(self.row), kinds
+        self.count, self.first_us, self.last_us = (np.zeros(shape, dtype="int64") for _ in range(3))
+        self.values = np.full((*shape, len(stats)), np.nan)
+        self.count[at], self.first_us[at], self.last_us[at] = (found[name] for name in ("count", "first_us", "last_us"))
+        for i, name in enumerate(stats):
+            self.values[(*at, i)] = found[name]
+
+    def forget(self, which: np.ndarray) -> None:
+        self.count[which] = 0
+        self.values[which] = np.nan
+
+    def among(self, counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which windows end at one of their row's ends, counts of which belong to each row."""
+        row = np.repeat(np.arange(len(counts)), counts)
+        place, off = np.divmod(ends - self.first[row], self.tick)
+        inside = (off == 0) & (place >= 0) & (place < self.ticks[row])
+        out = np.zeros(len(self.row), dtype=bool)
+        out[self.start[row[inside]] + place[inside]] = True
+        return out

@@ -171,6 +171,47 @@ def test_stale_host_has_no_window(spark):
     assert [r["host_id"] for r in fresh] == ["b"]
 
 
+def _shuffles(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning") + plan.count("Exchange rangepartitioning")
+
+
+def test_vectors_come_out_of_one_shuffle(spark):
+    rows = [("a", m, 10 * i, i) for i in range(1, 50) for m in ("cpu_usage_percent", "process_count")]
+    assert _shuffles(features.feature_windows(samples(spark, rows), LIVE, lit(600))) == 1
+
+
+def _facts(row):
+    return {(m, k): v for m, q in row["quality"].items() for k, v in q.asDict().items()} | row["features"]
+
+
+def test_vectors_hold_the_statistics_of_fresh_metrics(spark):
+    """Vectors merged side by side are those put together from the statistics of each series."""
+    rng = random.Random(5)
+    metrics = ["cpu_usage_percent", "process_count", "error_rate", "latency_p95_seconds", "not_in_the_contract"]
+    rows = [(h, m, rng.randrange(1, 20_000), rng.gauss(3, 9)) for h in ("a", "b", None) for m in metrics for _ in range(60)]
+    rows += [("c", "error_rate", 500, 1.0)]
+    p = LIVE.but(window=3600, tick=120, variance_window=480, freshness=300)
+    frame = samples(spark, rows)
+    want = features.feature_vectors(features.feature_stats(frame, p, lit(20_000)), p).collect()
+    got = features.feature_windows(frame, p, lit(20_000)).collect()
+    keyed = lambda found: {(r["host_id"], r["window_end"]): _facts(r) for r in found}
+    assert keyed(got) == keyed(want) and len(got) == len(want) > 100
+    assert {r["host_id"] for r in got} == {"a", "b", None}
+
+
+def test_only_the_windows_asked_for_become_vectors(spark):
+    rows = [("ab"[i % 2], "cpu_usage_percent", 15 * i, i % 7) for i in range(1, 4000)]
+    frame = samples(spark, rows)
+    every = features.feature_windows(frame, LIVE, lit(60_000)).select("host_id", "window_end", "feature_values")
+    some = every.filter((F.col("host_id") == "a") & (F.minute("window_end") == 7)).select("host_id", "window_end")
+    off = some.select("host_id", (F.col("window_end") + F.expr("INTERVAL 1 SECOND")).alias("window_end"))
+    asked = features.feature_windows(frame, LIVE, lit(60_000), some.union(some).union(off)).select(*every.columns)
+    want = every.join(some, ["host_id", "window_end"])
+    assert asked.count() == want.count() > 10
+    assert asked.exceptAll(want).count() == 0
+
+
 def test_busy_host_is_spread_over_chunks(spark):
     rows = [("hot", "m", 15 * i, i % 7) for i in range(4000)] + [("cold", "m", 15, 1)]
     placed = features.sliding_windows(samples(spark, rows), LIVE, lit(60000))
