@@ -68,7 +68,8 @@ class Panes:
         least, wide = self.number.min(), grid.window // grid.pane
         reach = self.number.max() - least + 2 * wide + 2
         placed = self.series * reach + (self.number - least)
-        last = series * reach + (end // grid.pane - least)
+        # A window far from all samples must not reach into those of the next series.
+        last = series * reach + np.clip(end // grid.pane - least, -1, reach - 1)
         return np.searchsorted(placed, last - wide, "right"), np.searchsorted(placed, last, "right")
 
 

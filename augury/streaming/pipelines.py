@@ -6,7 +6,9 @@ Late rows beyond the watermark are dropped; results are appended once and never
 from __future__ import annotations
 
 from collections.abc import Iterator
+from struct import Struct
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,53 +24,68 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 class OpenWindows(StatefulProcessor):
-    """Per (host, metric, chunk of window ends): the samples, each held once, until the watermark has passed the windows they
-    lie in.  A wake-up hands over the ends passed since the one before (first to last) with the samples they need."""
+    """Per (host, chunk of window ends): the samples of all metrics, each held once, until the watermark has passed the windows
+    they lie in.  A wake-up hands over the ends passed since the one before (first to last) with the samples they need, one
+    row for each metric.
+
+    Spark converts state field by field, so a sample is one field: instant (us, 64 bits), value (double), metric."""
+
+    number = Struct("<qd")
 
     def __init__(self, p: Params) -> None:
         self.window, self.tick, self.length = p.window * 1_000_000, p.tick * 1_000_000, chunk_us(p)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.samples = handle.getListState("samples", "us bigint, value double")
+        self.samples = handle.getListState("samples", "sample binary")
         self.mark = handle.getValueState("mark", "done bigint, woken bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, held = None, []
         for part in rows:
-            us = part["us"].astype("int64")
-            self.samples.appendList(list(zip(us.tolist(), part["value"].tolist())))
+            us = part["us"].to_numpy("int64")
+            held += map(self._packed, part["metric"].tolist(), us.tolist(), part["value"].tolist())
             first = int(us.min()) if first is None else min(first, int(us.min()))
         if first is not None:
-            done, woken = self.mark.get() if self.mark.exists() else (None, None)
-            self._wake(done, woken, max(self._end(first), int(key[2]), self._after(done)))
+            self.samples.appendList(held)
+            done, woken = self._marked()
+            self._wake(done, woken, max(self._end(first), int(key[1]), self._after(done)))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        start, stop = int(key[2]), int(key[2]) + self.length - self.tick
-        done, _ = self.mark.get()
+        start, stop = int(key[1]), int(key[1]) + self.length - self.tick
+        done, _ = self._marked()
         last = min(passed - passed % self.tick, stop)
-        held = [(int(us), value) for us, value in self.samples.get()]
-        plain = self._plain(held)
-        first = max(start, self._after(done), self._end(plain[0][0]) if plain else start)
-        need = [x for x in plain if first - self.window < x[0] <= last]
-        if need:
-            rows = [(key[0], key[1], first, last, [x[0] for x in need], [x[1] for x in need])]
+        held, rows, rest, next_us = self._held(), [], [], []
+        for metric, (us, value) in held.items():
+            t, v = self._plain(us, value)
+            first = max(start, self._after(done), self._end(int(t[0]))) if len(t) else start
+            need = (t > first - self.window) & (t <= last)
+            if need.any():
+                rows.append((key[0], metric, first, last, t[need], v[need]))
+            later = us > last + self.tick - self.window
+            if later.any():
+                rest += map(self._packed, [metric] * len(us), us[later].tolist(), value[later].tolist())
+                next_us.append(int(us[later].min()))
+        if rows:
             yield pd.DataFrame(rows, columns=["host_id", "metric", "first", "last", "t", "v"])
-        rest = [x for x in held if x[0] > last + self.tick - self.window]
         if last >= stop or not rest:
             self.samples.clear()
-        elif 2 * len(rest) <= len(held):
+        elif 2 * len(rest) <= sum(len(us) for us, _ in held.values()):
             self.samples.put(rest)
         if last >= stop:
             self.mark.clear()
         elif rest:
             # The next end that has a sample in its window.
-            self._wake(last, None, max(last + self.tick, self._end(min(x[0] for x in rest))))
+            self._wake(last, None, max(last + self.tick, self._end(min(next_us))))
         else:
             self.mark.update((last, None))
 
+    def _marked(self) -> tuple[int | None, int | None]:
+        """The last end handed over and the timer that is set; nothing yet when the state holds no mark."""
+        return self.mark.get() or (None, None)
+
     def _end(self, us: int) -> int:
         """First window end that holds an instant."""
         return -(-us // self.tick) * self.tick
@@ -86,12 +103,27 @@ class OpenWindows(StatefulProcessor):
             woken = at
         self.mark.update((done, int(woken)))
 
-    def _plain(self, held: list[tuple]) -> list[tuple]:
+    def _packed(self, metric: str | None, us: int, value: float) -> tuple[bytes]:
+        return (self.number.pack(us, value) + (b"\xff" if metric is None else metric.encode()),)
+
+    def _held(self) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+        """Instants and values of each metric."""
+        parts: dict[bytes, list[bytes]] = {}
+        for (sample,) in self.samples.get():
+            parts.setdefault(bytes(sample[16:]), []).append(sample[:16])
+        found = {}
+        for metric, own in parts.items():
+            both = np.frombuffer(b"".join(own), [("us", "<i8"), ("value", "<f8")])
+            found[None if metric == b"\xff" else metric.decode()] = both["us"], both["value"]
+        return found
+
+    def _plain(self, us: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Samples in order; copies count once, and instants that contradict each other are left out."""
-        values: dict[int, float | None] = {}
-        for us, value in held:
-            values[us] = value if values.get(us, value) == value else None
-        return sorted((us, value) for us, value in values.items() if value is not None)
+        order = np.lexsort((value, us))
+        us, value = us[order], value[order]
+        at = np.flatnonzero(np.append(True, us[1:] != us[:-1]))
+        same = value[at] == value[np.append(at[1:], len(us)) - 1]
+        return us[at[same]], value[at[same]]
 
     def close(self) -> None:
         pass
@@ -102,7 +134,8 @@ def feature_stats_stream(samples: DataFrame, p: Params, delay_seconds: int) -> D
 
     The clock lies one microsecond before a sample, so a window is complete once the watermark has reached its end.
     Copies of a sample count once; samples of one instant that contradict each other are left out, as in the batch.
-    State holds a sample once for each chunk, not once for each window.
+    State holds a sample once for each chunk, not once for each window; the metrics of a host's chunk share one state and one
+    timer, so calls to the state grow with the hosts' chunks.
     """
     finite = samples.filter(is_finite("value")).select(
         "host_id", "metric", "ts", "value", F.timestamp_micros(F.unix_micros("ts") - 1).alias("clock")
@@ -110,7 +143,7 @@ def feature_stats_stream(samples: DataFrame, p: Params, delay_seconds: int) -> D
     placed = in_chunks(finite.withWatermark("clock", f"{delay_seconds} seconds"), p)
     ready = (
         placed.select("host_id", "metric", "chunk", "clock", micros("ts").alias("us"), "value")
-        .groupBy("host_id", "metric", "chunk")
+        .groupBy("host_id", "chunk")
         .transformWithStateInPandas(
             OpenWindows(p),
             outputStructType="host_id string, metric string, first bigint, last bigint, t array<bigint>, v array<double>",

@@ -102,3 +102,19 @@ def test_windows_of_a_stream_in_parts_are_those_of_the_batch(spark, tmp_path):
     batch = features.feature_stats(given, LIVE).filter(F.col("end_us") <= (60_000 - 60) * 10**6 - 1).select(*keys)
     want = sorted(map(tuple, batch.collect()), key=repr)
     assert len(want) > 500 and _fed(spark, tmp_path, "parts", given, parts, make) == want
+
+
+def test_metrics_of_a_host_share_one_state(spark, tmp_path):
+    """Three metrics of one host and chunk wake up together: one timer, not three; their windows are those of the batch."""
+    rows = [("h", m, 60 * i + 7, float(i * k)) for k, m in enumerate((CPU, "memory_usage_percent", "error_rate"), 1) for i in range(20)] + [("h", CPU, 9000, 1.0)]
+    given = samples(spark, rows)
+    frame = lambda stream: st.feature_stats_stream(stream, LIVE, 60).select("host_id", "metric", "end_us", "count", "mean")
+    got = _fed(spark, tmp_path, "shared", given, [F.lit(True)], frame)
+    batch = features.feature_stats(given, LIVE).filter(F.col("end_us") <= 8940 * 10**6 - 1).select("host_id", "metric", "end_us", "count", "mean")
+    assert got == sorted(map(tuple, batch.collect()), key=repr) and len(got) == 3 * 34
+    query = frame(spark.readStream.schema(given.schema).parquet(str(tmp_path / "shared" / "in"))).writeStream.format("memory").queryName("shared")
+    query = query.option("checkpointLocation", str(tmp_path / "again")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    timers = [op.customMetrics["numRegisteredTimers"] for p in query.recentProgress for op in p.stateOperators]
+    chunks = len({-(-t // 60) * 60 // 3600 + d for _, _, t, _ in rows for d in (0, 1)})
+    assert 0 < timers[0] <= chunks
